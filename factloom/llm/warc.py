@@ -214,7 +214,8 @@ def read(spark: SparkSession, folder: str, payloads: bool = True, frames_a_task:
     """All records of an archive. Digests and lengths of responses are those of the payload as read back."""
     runs = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("bundle", "frame", F.floor(F.col("frame") / frames_a_task).alias("k")).distinct()
     tasks = runs.groupBy("bundle", "k").agg(F.array_sort(F.collect_list("frame")).alias("frames"))  # at most frames_a_task numbers
-    return _read(tasks, True, payloads)
+    # one row is up to frames_a_task frames of work: Spark must not put all of these short rows into one task
+    return _read(tasks.repartition(max(1, tasks.count()), "bundle", "k"), True, payloads)
 
 
 def lookup(spark: SparkSession, folder: str, ids: DataFrame, id_col: str = "page_id") -> DataFrame:
