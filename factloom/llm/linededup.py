@@ -97,7 +97,7 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, runs: LineRuns | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, salts: int = 16, runs: LineRuns | None = None,
 ) -> DataFrame:
     """``docs`` with the text's kept lines in place of the text, and n_lines and n_dropped added.
 
@@ -113,9 +113,10 @@ def dedup_lines(
     runs = runs or LineRuns(spark, fanout, min_docs)
     for batch in batches_of(source, batches):
         runs.add(line_keys(batch, least_chars))
-    hot = runs.counts().where(F.col("n") >= min_docs).select("h1", "h2", "newest")
-    # a key of a third of all documents is one row of `hot`; Spark splits its partition of the other side (skew join)
-    lost = line_keys(source, least_chars).join(hot, ["h1", "h2"]).where(~F.col("newest").eqNullSafe(F.col("doc")))
+    hot = runs.counts().where(F.col("n") >= min_docs).select("h1", "h2", "newest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    # a key may be in a third of all documents: its rows are dealt to `salts` tasks
+    met = line_keys(source, least_chars).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    lost = met.join(hot, ["h1", "h2", "salt"]).where(~F.col("newest").eqNullSafe(F.col("doc")))
     lost = lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
 
     kept = docs.drop("n_lines", "n_dropped")
