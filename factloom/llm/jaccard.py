@@ -113,10 +113,10 @@ def _texts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, list[str]]]:
 
 
 SETS = "doc long, n long, c1 long, c2 long, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", gram long, times long"
-SLICE = 1_000_000
+SLICE = 400_000
 
 
-def _sets(docs: DataFrame, n: int, chunk: int = 3_000_000, common: int = 8) -> DataFrame:
+def _sets(docs: DataFrame, n: int, chunk: int = 2_000_000, common: int = 8) -> DataFrame:
     """A row for each document, and rows (gram, times) for n-grams in ``common`` or more different sets among those
     of ``chunk`` n-grams together. An n-gram in a share of all documents is found in at least one chunk."""
 
@@ -182,9 +182,9 @@ class Order:
         return np.where(keys >= TOP, rank, (keys >> np.uint64(32)) * np.uint64(cuts) >> np.uint64(31))
 
 
-def _order(sets: DataFrame, most: int) -> Order:
-    """At most ``most`` n-grams (16 bytes each) come to the driver; which ones has no bearing on results."""
-    top = sets.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(most).toPandas()
+def _order(frequent: DataFrame, most: int) -> Order:
+    """Of (gram, times). At most ``most`` n-grams (16 bytes each) come to the driver; which ones has no bearing on results."""
+    top = frequent.groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(most).toPandas()
     return Order(top["gram"].to_numpy().astype(np.uint64), top["times"].to_numpy())
 
 
@@ -223,41 +223,46 @@ def _possible(percent: int, x: str, y: str, sketches: bool = True) -> Column:
     return out
 
 
-def _fragments(docs: DataFrame, wanted: DataFrame, order, n: int, cuts: int, broadcast_rows: int) -> DataFrame:
-    """(rep, c1, n, fragment, grams) of the representatives in ``wanted`` (rep, c1)."""
-    ids = wanted.select(F.col("rep").alias("doc")).distinct()
-    if ids.count() <= broadcast_rows:  # 8 bytes each
-        ids = F.broadcast(ids)
+def _fragments(docs: DataFrame, wanted: DataFrame, order, n: int, cuts: int, first: int, broadcast_rows: int) -> DataFrame:
+    """(rep, c1, fragment, n, inside, grams) of the representatives in ``wanted`` (rep, c1): their n-grams in the
+    ``first`` fragments of the order, ``inside`` in number. Each has a row for fragment 0, be it empty."""
+    ids = _few(wanted.select(F.col("rep").alias("doc")).distinct(), broadcast_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _texts(batch, SLICE):
+            for at, texts in _texts(batch, SLICE):
                 rows = []
                 for i, found in enumerate(ngrams(texts, n)):
                     c1, keys = digest(distinct(found))[0], order.value.keys(found)
-                    doc = batch.column(0)[first + i].as_py()
                     part = order.value.fragments(keys, cuts)
-                    for f in np.unique(part):
-                        rows.append({"rep": doc, "c1": c1, "n": len(keys), "fragment": int(f), "grams": keys[part == f].view(np.int64)})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("rep", pa.int64()), ("c1", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))]))
+                    inside = int((part < first).sum())
+                    for f in np.union1d(part[part < first], [0]):
+                        rows.append({"rep": batch.column(0)[at + i].as_py(), "c1": c1, "fragment": int(f), "n": len(keys), "inside": inside, "grams": keys[part == f].view(np.int64)})
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("rep", pa.int64()), ("c1", pa.int64()), ("fragment", pa.int32()), ("n", pa.int64()), ("inside", pa.int64()), ("grams", pa.list_(pa.int64()))]))
 
-    made = docs.join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(run, "rep long, c1 long, n long, fragment int, grams array<long>")
+    made = docs.join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(run, "rep long, c1 long, fragment int, n long, inside long, grams array<long>")
     # a repeated id may bring other texts, or the same one again
-    return made.join(wanted, ["rep", "c1"], "left_semi").groupBy("rep", "c1", "fragment").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    return made.join(wanted, ["rep", "c1"], "left_semi").groupBy("rep", "c1", "fragment").agg(*[F.first(c).alias(c) for c in ("n", "inside", "grams")])
+
 
+def _few(ids: DataFrame, most: int) -> DataFrame:
+    """For a join: broadcast if counted to be at most ``most`` rows of a number, else shuffled."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
-def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Of the (a, b) pairs, those at the threshold: overlaps within each fragment, summed by pair."""
-    side = lambda t: fragments.select(F.col("rep").alias(t), F.col("c1").alias(f"{t}_c"), F.col("n").alias(f"{t}_n"), "fragment", F.col("grams").alias(f"{t}_grams"))
+
+def _overlapping(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """Of the (a, b) pairs, those that can reach the threshold: overlaps within each fragment, summed by pair, and at
+    most all of what is outside the fragments. If they are the whole order, just those at the threshold."""
+    side = lambda t: fragments.select(F.col("rep").alias(t), F.col("c1").alias(f"{t}_c"), F.col("n").alias(f"{t}_n"), (F.col("n") - F.col("inside")).alias(f"{t}_out"), "fragment", F.col("grams").alias(f"{t}_grams"))
     partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
-    partial = partial.select("a", "b", "a_c", "b_c", "a_n", "b_n", F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
-    total = partial.groupBy("a", "b", "a_c", "b_c").agg(F.sum("common").alias("common"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
-    return total.where((100 + percent) * F.col("common") >= percent * (F.col("a_n") + F.col("b_n"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    partial = partial.select("a", "b", "a_c", "b_c", "a_n", "b_n", "a_out", "b_out", F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
+    total = partial.groupBy("a", "b", "a_c", "b_c").agg(F.sum("common").alias("common"), *[F.first(c).alias(c) for c in ("a_n", "b_n", "a_out", "b_out")])
+    return total.where((100 + percent) * (F.col("common") + F.least("a_out", "b_out")) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
 
 
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, leaders: int = 4, cuts: int = 8,
-    most_frequent: int = 500_000, broadcast_rows: int = 1_000_000,
+    long_list: int = 16, most_frequent: int = 500_000, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every row.
 
@@ -274,8 +279,7 @@ def similar_documents(
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(source, n), "jaccard-sets")
-    found = _order(sets, most_frequent)
-    order = spark.sparkContext.broadcast(found)
+    order = spark.sparkContext.broadcast(_order(sets.where("gram IS NOT NULL"), most_frequent))
     rows = sets.where("c1 IS NOT NULL").drop("gram", "times")
     sketches = [f"s{k}" for k in range(SKETCH)]
     # copies are counted up before the shuffle: a class of a third of all rows is a row a task
@@ -286,10 +290,19 @@ def similar_documents(
     named = written(named.select("doc", "n_shingles", F.when(F.col("doc").isNull() | (F.col("n_shingles") == 0), F.col("doc")).otherwise(F.col("rep")).alias("rep")), "jaccard-named")
 
     by_gram = Window.partitionBy("gram")
-    met = _prefixes(source.where("doc IS NOT NULL"), order, n, percent).withColumn("times", F.count("*").over(by_gram)).where("times > 1").drop("times")
+    shared = lambda rows: rows.withColumn("times", F.count("*").over(by_gram)).where("times > 1")
+    met = shared(_prefixes(source.where("doc IS NOT NULL"), order, n, percent)).drop("times")
     names = named.where("n_shingles > 0").select("doc", F.col("n_shingles").cast("int").alias("n"), "rep").distinct()
     lists = met.join(names, ["doc", "n"]).groupBy("gram", F.col("rep").alias("doc"), "n").agg(F.min("pos").alias("pos"))
-    lists = written(lists.withColumn("times", F.count("*").over(by_gram)).where("times > 1"), "jaccard-lists")
+    lists = written(shared(lists), "jaccard-lists")
+    # Two sets that share n-grams of long lists only in their prefixes are both in such a list. So the sets in them
+    # take prefixes in another order, with these n-grams last, and the long lists go.
+    frequent = sets.where("gram IS NOT NULL").select("gram", "times").union(lists.where((F.col("times") >= long_list) & (F.col("gram") >= 0)).groupBy("gram").agg(F.max("times").alias("times")))
+    again = spark.sparkContext.broadcast(_order(frequent, most_frequent))
+    moved = source.join(_few(lists.where(F.col("times") >= long_list).select("doc").distinct(), broadcast_rows), "doc", "left_semi").select("doc", "text")
+    moved = _prefixes(moved, again, n, percent).join(classes.select(F.col("rep").alias("doc"), "n"), ["doc", "n"], "left_semi")
+    moved = moved.groupBy(F.xxhash64("gram", F.lit("again")).alias("gram"), "doc", "n").agg(F.min("pos").alias("pos"))
+    lists = written(lists.where(F.col("times") < long_list).unionByName(shared(moved)), "jaccard-lists-again")
 
     # the leader of a list: whose n-grams the most others have, for its size
     score = lists.groupBy("doc").agg((F.sum("times") / F.first("n")).alias("score"))
@@ -299,23 +312,28 @@ def similar_documents(
     first = first.groupBy("doc", F.col("y.doc").alias("other")).agg(F.count("*").alias("times")).withColumn("rank", rank).where(F.col("rank") <= leaders)
     marks = classes.select(F.col("rep").alias("doc"), "n", *sketches)
 
-    def counted(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = written(pairs.select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct(), f"jaccard-pairs-{tag}")
+    def overlapping(pairs: DataFrame, first: int, tag: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "c1"), "rep")
-        return written(_links(pairs, _fragments(source, wanted, order, n, cuts, broadcast_rows), percent), f"jaccard-links-{tag}")
+        return written(_overlapping(pairs, _fragments(source, wanted, again, n, cuts, first, broadcast_rows), percent), f"jaccard-{tag}")
+
+    def by_id(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
 
     near = first.select("doc", "other").join(marks.alias("x"), "doc").join(marks.select(*[F.col(c).alias("other" if c == "doc" else c) for c in marks.columns]).alias("y"), "other").where(_possible_by_sketch(percent))
-    links = counted(near.select("doc", "other"), "leaders")
-    parts = connected_components(links)
+    near = written(by_id(near), "jaccard-near")
+    links = overlapping(near, 2 * cuts, "links")
+    parts = connected_components(links.toDF("u", "v"))
 
     # lists whose members are all in one component are done; in the others, pairs across components are left
     joined = lists.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component", "times")
     left = joined.withColumn("low", F.min("part").over(by_gram)).withColumn("high", F.max("part").over(by_gram)).where("low <> high").drop("low", "high")
     left = written(left.join(marks.drop("n"), "doc"), "jaccard-left")
     pairs = left.alias("x").join(left.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") > F.col("y.doc")) & (F.col("x.part") != F.col("y.part")) & _possible(percent, "x", "y"))
-    rest = pairs.select(F.col("x.doc").alias("doc"), F.col("y.doc").alias("other")).distinct()
-    tried = near.select(F.greatest("doc", "other").alias("doc"), F.least("doc", "other").alias("other"))
-    links = links.union(counted(rest.join(tried, ["doc", "other"], "left_anti"), "rest"))
+    rest = written(by_id(pairs.select(F.col("x.doc").alias("doc"), F.col("y.doc").alias("other"))), "jaccard-pairs")  # else Spark joins before it drops repeats
+    rest = written(rest.join(near, ["a", "b"], "left_anti"), "jaccard-rest")
+    # few of these are links: a quarter of the fragments shows that of most
+    rest = overlapping(rest, cuts // 4, "rest-possible")
+    links = links.union(overlapping(rest, 2 * cuts, "rest-links")).toDF("u", "v")
     parts = connected_components(links).select(F.col("node").alias("rep"), "component")
     return named.join(parts, "rep", "left").select(F.col("doc").alias(id_col), "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
