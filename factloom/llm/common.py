@@ -34,3 +34,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of about ``most`` bytes in this session, unless a limit of its own is set: texts differ in length
+    by five orders of magnitude, so a batch of so many rows has no bound in memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, str(most))
