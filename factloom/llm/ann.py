@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ready, written
 
 FOUND = "query_id long, vec_id long, score double"
 BLOCK = "cell long, ids array<long>, vectors binary"
@@ -183,6 +183,7 @@ def nearest(
     smaller distance. Ties go to smaller ids. Empty tables give an empty result.
     """
     spark = rows.sparkSession
+    ready(spark)
     good = rows.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     shape = good.groupBy(F.size(vector_col).alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if shape is None:

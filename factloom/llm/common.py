@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +39,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Arrow batches of about ``most`` bytes in this session, unless a limit of its own is set: texts differ in length
-    by five orders of magnitude, so a batch of so many rows has no bound in memory."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless their path has it already."""
+    package, context = Path(__file__).resolve().parents[1], spark.sparkContext
+    if context.applicationId in _shipped or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='factloom-')}/{package.name}", "zip", root_dir=package.parent, base_dir=package.name))
+    _shipped.add(context.applicationId)
+
+
+def ready(spark: SparkSession, most: int = 4 << 20) -> None:
+    """For operators that run Python in tasks: the package is there, and Arrow batches have about ``most`` bytes in this
+    session, unless a limit of its own is set: texts differ in length by five orders of magnitude, so a batch of so many
+    rows has no bound in memory."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in ("67108864b", "64MB", "64m"):
         spark.conf.set(key, str(most))

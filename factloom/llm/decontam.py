@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import ready
 
 WORD = re.compile(rb"[^ ]+")
 #: Digits, letters and all bytes of non-ASCII characters stay (A-Z as a-z); the rest separates words.
@@ -109,7 +109,7 @@ def find_items(
     Null or empty texts have no words. Null or empty items have no window; a null item id counts as "".
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready(spark)
     wanted = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     size = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     if size > most_item_chars:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import ready, written
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -277,7 +277,7 @@ def similar_documents(
     those pairs that the first links leave apart and the exact bounds leave possible.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(source, n), "jaccard-sets")
     order = spark.sparkContext.broadcast(_order(sets.where("gram IS NOT NULL"), most_frequent))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import ready
 
 #: ASCII letters (A-Z as a-z) and all bytes of non-ASCII characters stay; the rest is a space.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -121,7 +121,7 @@ def train(
     The sample's n-grams are counted on Spark; the ``profile`` most frequent ones of each language come to
     the driver, at most ``most_languages * profile`` numbers. Ties in counts go to the smaller n-gram.
     """
-    bounded_batches(labelled.sparkSession)
+    ready(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"),
         ((F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))).alias("u"),
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", sli
     ``und`` if the text is null or has no letter, or the model knows no language; then score is 0.
     Columns of the added names are replaced.
     """
-    bounded_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score")
     at = kept.columns.index(text_col)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch_path
+from .common import ready, scratch_path
 
 BLANK = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -109,7 +109,7 @@ def dedup_lines(
     empty line and stays null or empty. Columns named n_lines and n_dropped are replaced; all others stay.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ready(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     runs = runs or LineRuns(spark, fanout, min_docs)
     for batch in batches_of(source, batches):

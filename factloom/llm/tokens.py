@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import ready
 
 #: A cut before a single space between two ASCII letters. The vocabulary's pattern ends a piece after
 #: the first letter and begins the next with the space, whatever stands around them.
@@ -76,7 +76,7 @@ def count_tokens(
     whatever the texts. Only byte-level vocabularies (``.json``) are cut; others take texts whole.
     Null and empty texts count 0 bytes and 0 tokens; a null id stays null; repeated rows each count.
     """
-    bounded_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     cut = piece_chars if tokenizer.endswith(".json") else 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

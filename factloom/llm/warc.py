@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch_path
+from .common import ready, scratch_path
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -158,7 +158,7 @@ def write(
     revisited. Smaller payloads are all responses. A null payload is empty, a null address an empty one;
     other columns are left out. A lost executor's bundles are written anew under other names.
     """
-    bounded_batches(pages.sparkSession)
+    ready(pages.sparkSession)
     fs, path = store(folder)
     fs.create_dir(path, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
@@ -208,6 +208,7 @@ def _read(frames: DataFrame, whole: bool, payloads: bool) -> DataFrame:
                             break
                     yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
+    ready(frames.sparkSession)
     return frames.mapInArrow(run, schema)
 
 
