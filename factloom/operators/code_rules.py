@@ -48,12 +48,12 @@ def _by_file(rows: DataFrame, message: str | Column) -> DataFrame:
     return found(rows.withColumns({"line": F.lit(1), "col": F.lit(1)}), message)
 
 
-@CODE_RULES.rule("no-debug-code", "quality", "Debugger statements")
+@CODE_RULES.rule("no-debug-code", "quality", "Debugger statements", needs=("nodes",))
 def no_debug_code(facts: Facts, options: dict) -> DataFrame:
     return found(facts["nodes"].where("kind = 'DebuggerStatement'"), "debugger statement")
 
 
-@CODE_RULES.rule("banned-syntax", "quality", "Void, labels, bare blocks, deletion of names", sub_checks=4)
+@CODE_RULES.rule("banned-syntax", "quality", "Void, labels, bare blocks, deletion of names", sub_checks=4, needs=("nodes",))
 def banned_syntax(facts: Facts, options: dict) -> DataFrame:
     nodes = with_parent(facts["nodes"])
     what = (
@@ -63,54 +63,54 @@ def banned_syntax(facts: Facts, options: dict) -> DataFrame:
     return found(nodes.withColumn("what", what).where("what IS NOT NULL"), F.col("what"))
 
 
-@CODE_RULES.rule("no-magic-numbers", "quality", "Numbers without a name")
+@CODE_RULES.rule("no-magic-numbers", "quality", "Numbers without a name", needs=("nodes",))
 def no_magic_numbers(facts: Facts, options: dict) -> DataFrame:
     nodes = with_parent(facts["nodes"].where((F.col("kind") == "NumericLiteral") | F.col("kind").isin(*NUMBER_PARENTS)))
     hit = nodes.where((F.col("kind") == "NumericLiteral") & ~F.col("text").cast("double").isin([float(x) for x in options.get("ignored", (0, 1, 2))]) & F.col("parent_kind").isNull())
     return found(hit, F.concat(F.lit("number "), F.col("text")))
 
 
-@CODE_RULES.rule("no-underscore-prefix", "quality", "Declared names that begin with an underscore")
+@CODE_RULES.rule("no-underscore-prefix", "quality", "Declared names that begin with an underscore", needs=("nodes",))
 def no_underscore_prefix(facts: Facts, options: dict) -> DataFrame:
     return found(facts["nodes"].where(F.col("kind").isin(*DECLARATIONS) & F.col("text").rlike("^_.+")), F.concat(F.lit("name "), F.col("text")))
 
 
-@CODE_RULES.rule("no-local-constants", "architecture", "Upper-case constants outside the constants folder")
+@CODE_RULES.rule("no-local-constants", "architecture", "Upper-case constants outside the constants folder", needs=("nodes",))
 def no_local_constants(facts: Facts, options: dict) -> DataFrame:
     hit = facts["nodes"].where((F.col("kind") == "VariableDeclaration") & F.col("text").rlike("^[A-Z][A-Z0-9_]*$") & ~F.col("file").contains("/constants/"))
     return found(hit, F.concat(F.lit("constant "), F.col("text")))
 
 
-@CODE_RULES.rule("max-file-lines", "quality", "Files with too many lines")
+@CODE_RULES.rule("max-file-lines", "quality", "Files with too many lines", needs=("files",))
 def max_file_lines(facts: Facts, options: dict) -> DataFrame:
     return _by_file(facts["files"].where(lines_over(F.col("content"), options.get("maxLines", 300))), "too many lines")
 
 
-@CODE_RULES.rule("no-unescaped-entities", "quality", "Raw marks in markup text")
+@CODE_RULES.rule("no-unescaped-entities", "quality", "Raw marks in markup text", needs=("nodes",))
 def no_unescaped_entities(facts: Facts, options: dict) -> DataFrame:
     mark = F.regexp_extract("text", """[>"'}]""", 0)
     return found(facts["nodes"].where((F.col("kind") == "JsxText") & F.col("file").endswith(".tsx") & (mark != "")), F.concat(F.lit("escape "), mark))
 
 
-@CODE_RULES.rule("readability", "quality", "Nested ternaries, switches and templates", sub_checks=3)
+@CODE_RULES.rule("readability", "quality", "Nested ternaries, switches and templates", sub_checks=3, needs=("nodes",))
 def readability(facts: Facts, options: dict) -> DataFrame:
     nested = lambda kind: (F.col("kind") == kind) & F.exists("ancestors", lambda a: a["kind"] == kind)
     what = F.when((F.col("kind") == "ConditionalExpression") & (F.col("parent_kind") == "ConditionalExpression"), "nested ternary").when(nested("SwitchStatement"), "nested switch").when(nested("TemplateExpression"), "nested template")
     return found(with_parent(facts["nodes"]).withColumn("what", what).where("what IS NOT NULL"), F.col("what"))
 
 
-@CODE_RULES.rule("regexp-in-loop", "performance", "Regular expressions made anew in a loop")
+@CODE_RULES.rule("regexp-in-loop", "performance", "Regular expressions made anew in a loop", needs=("nodes",))
 def regexp_in_loop(facts: Facts, options: dict) -> DataFrame:
     return found(facts["nodes"].where((F.col("kind") == "RegularExpressionLiteral") & inside("ancestors", LOOPS, FUNCTIONS)), "make it once, before the loop")
 
 
-@CODE_RULES.rule("unreachable-code", "quality", "Statements after one that ends the block")
+@CODE_RULES.rule("unreachable-code", "quality", "Statements after one that ends the block", needs=("nodes",))
 def unreachable_code(facts: Facts, options: dict) -> DataFrame:
     statements = facts["nodes"].where((F.col("field") == "statement") & ~F.col("kind").isin(*HOISTED))
     return found(relations.first_after(statements, ["file", "parent_id"], ["ord"], F.col("kind").isin(*TERMINATORS)), "never reached")
 
 
-@CODE_RULES.rule("complexity", "quality", "Functions over a threshold", sub_checks=3)
+@CODE_RULES.rule("complexity", "quality", "Functions over a threshold", sub_checks=3, needs=("nodes",))
 def complexity(facts: Facts, options: dict) -> DataFrame:
     nodes = facts["nodes"]
     functions = F.filter("ancestors", lambda a: a["kind"].isin(*FUNCTIONS))
@@ -123,19 +123,19 @@ def complexity(facts: Facts, options: dict) -> DataFrame:
     return found(over.select("owner.file", "owner.node_id", "metric").join(nodes, ["file", "node_id"]), F.col("metric"))
 
 
-@CODE_RULES.rule("self-import", "architecture", "Files that import themselves")
+@CODE_RULES.rule("self-import", "architecture", "Files that import themselves", needs=("import_edges",))
 def self_import(facts: Facts, options: dict) -> DataFrame:
     return found(facts["import_edges"].where("src = dst").select(F.col("src").alias("file"), "line", F.lit(1).alias("col")), "imports itself")
 
 
-@CODE_RULES.rule("duplicate-import", "architecture", "A module imported twice in a file")
+@CODE_RULES.rule("duplicate-import", "architecture", "A module imported twice in a file", needs=("import_edges",))
 def duplicate_import(facts: Facts, options: dict) -> DataFrame:
     static = facts["import_edges"].where("NOT is_dynamic")
     hit = relations.later_duplicates(static, ["src", "dst", "type_only"], ["line"])
     return found(hit.select(F.col("src").alias("file"), "line", F.lit(1).alias("col"), "specifier"), F.concat(F.lit("again "), F.col("specifier")))
 
 
-@CODE_RULES.rule("no-import-cycle", "architecture", "Value imports that close a cycle")
+@CODE_RULES.rule("no-import-cycle", "architecture", "Value imports that close a cycle", needs=("import_edges",))
 def no_import_cycle(facts: Facts, options: dict) -> DataFrame:
     values = facts["import_edges"].where("NOT type_only AND NOT external")
     parts = graph.components_of_cycles(values)
@@ -144,13 +144,13 @@ def no_import_cycle(facts: Facts, options: dict) -> DataFrame:
     return found(hit.select(F.col("src").alias("file"), "line", F.lit(1).alias("col"), "specifier"), F.concat(F.lit("cycle through "), F.col("specifier")))
 
 
-@CODE_RULES.rule("unused-export", "quality", "Exports that no other file uses")
+@CODE_RULES.rule("unused-export", "quality", "Exports that no other file uses", needs=("exports", "refs"))
 def unused_export(facts: Facts, options: dict) -> DataFrame:
     used = facts["refs"].select(F.col("def_file").alias("file"), "name").distinct()
     return _by_file(relations.uncovered(facts["exports"], used, ["file", "name"]), F.concat(F.lit("unused "), F.col("name")))
 
 
-@CODE_RULES.rule("no-duplicate-schema-export", "quality", "A schema name exported in several places")
+@CODE_RULES.rule("no-duplicate-schema-export", "quality", "A schema name exported in several places", needs=("exports",))
 def no_duplicate_schema_export(facts: Facts, options: dict) -> DataFrame:
     rows = facts["exports"].where(F.col("name").endswith("Schema"))
     for part in options.get("ignorePaths", ()):
@@ -159,7 +159,7 @@ def no_duplicate_schema_export(facts: Facts, options: dict) -> DataFrame:
     return _by_file(relations.covered(rows, names, ["name"]), F.concat(F.lit("also elsewhere: "), F.col("name")))
 
 
-@CODE_RULES.rule("route-boundary", "architecture", "Imports from one route into another")
+@CODE_RULES.rule("route-boundary", "architecture", "Imports from one route into another", needs=("import_edges",))
 def route_boundary(facts: Facts, options: dict) -> DataFrame:
     folder = options.get("appDir", "app/")
     of = lambda path: F.when(F.col(path).startswith(folder), F.split_part(F.substring(F.col(path), F.lit(len(folder) + 1), F.length(path)), F.lit("/"), F.lit(1)))
@@ -168,7 +168,7 @@ def route_boundary(facts: Facts, options: dict) -> DataFrame:
     return found(hit.select(F.col("src").alias("file"), "line", F.lit(1).alias("col"), "a", "b"), F.concat_ws(" -> ", "a", "b"))
 
 
-@CODE_RULES.rule("no-client-server-only-import", "architecture", "Client files from which server-only modules are reached")
+@CODE_RULES.rule("no-client-server-only-import", "architecture", "Client files from which server-only modules are reached", needs=("files", "import_edges"))
 def no_client_server_only_import(facts: Facts, options: dict) -> DataFrame:
     files, values = facts["files"], facts["import_edges"].where("NOT type_only")
     clients = files.where("directive = 'use client'").select(F.col("file").alias("node"))
@@ -177,7 +177,7 @@ def no_client_server_only_import(facts: Facts, options: dict) -> DataFrame:
     return _by_file(hit.select(F.col("root").alias("file"), "path"), F.array_join("path", " -> "))
 
 
-@CODE_RULES.rule("unnecessary-use-server", "security", "Server actions that no client file imports")
+@CODE_RULES.rule("unnecessary-use-server", "security", "Server actions that no client file imports", needs=("files", "import_edges"))
 def unnecessary_use_server(facts: Facts, options: dict) -> DataFrame:
     files = facts["files"]
     clients = files.where("directive = 'use client'").select(F.col("file").alias("node"))

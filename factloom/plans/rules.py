@@ -22,6 +22,7 @@ class Rule:
     check: Callable[[Facts, dict], DataFrame]
     sub_checks: int = 1
     severity: str | None = None
+    needs: tuple[str, ...] = ()
 
 
 class Registry:
@@ -30,12 +31,12 @@ class Registry:
     def __init__(self, rules: Iterable[Rule] = ()):
         self.rules = {r.id: r for r in rules}
 
-    def rule(self, id: str, category: str, description: str, sub_checks: int = 1, severity: str | None = None):
+    def rule(self, id: str, category: str, description: str, sub_checks: int = 1, severity: str | None = None, needs: tuple[str, ...] = ()):
         if category not in CATEGORIES:
             raise ValueError(f"{category} is no category")
 
         def add(check):
-            self.rules[id] = Rule(id, category, description, check, sub_checks, severity)
+            self.rules[id] = Rule(id, category, description, check, sub_checks, severity, needs)
             return check
 
         return add
@@ -50,8 +51,11 @@ class Registry:
         return spark.createDataFrame([(i, r.id, r.category, r.description, r.sub_checks, r.severity) for i, r in enumerate(self.rules.values())], "rule_ord int, rule string, category string, description string, sub_checks int, meta_severity string")
 
     def diagnostics(self, facts: Facts, options: dict | None = None) -> DataFrame:
-        """All findings of the rules, which are never multiplied by files: each is a query of its own."""
-        found = [r.check(facts, (options or {}).get(r.id, {})).withColumn("rule", F.lit(r.id)).select("rule", "file", "line", "column", "message") for r in self.rules.values()]
+        """All findings of the rules whose relations are there. Rules are never multiplied by files: each is a query of its own."""
+        able = [r for r in self.rules.values() if set(r.needs) <= set(facts)]
+        if not able:
+            raise ValueError(f"no rule can work on {sorted(facts)}")
+        found = [r.check(facts, (options or {}).get(r.id, {})).withColumn("rule", F.lit(r.id)).select("rule", "file", "line", "column", "message") for r in able]
         return reduce(DataFrame.unionByName, found)
 
 

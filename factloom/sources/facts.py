@@ -1,4 +1,10 @@
-"""Schemas of the code-fact relations, and a reader of facts that another tool has written as Parquet."""
+"""Schemas of the code-fact relations, and a reader of facts that another tool has written as Parquet.
+
+A node's field is its role in its parent (left, right, operator, expression, condition, initializer, argument, statement,
+branch, else, member, name, type), ord its place among those of the role; its text is a name, a literal's value, or the
+source. A call's chain holds the names from the root to the called one. Edges of def_use run also from the parts of an
+expression to the whole. Types of unions and intersections list their members.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +18,10 @@ SCHEMAS = {
     "assignable": "src_type long, dst_type long",
     "exports": "file string, name string, symbol string",
     "import_edges": "src string, dst string, specifier string, line int, type_only boolean, is_dynamic boolean, external boolean",
+    "node_types": "file string, node_id long, type_id long",
+    "node_symbols": "file string, node_id long, symbol_id long",
+    "class_bases": "symbol_id long, base_id long",
+    "blocks": "file string, name string, line int, stmt_count int, tokens array<string>",
     "calls": "file string, node_id long, caller_id long, target_symbol long, name string, chain array<string>",
     "def_use": "file string, use_node long, def_node long, def_kind string",
 }

@@ -40,14 +40,14 @@ WANT = {
 }
 
 
-@pytest.mark.parametrize("rule", sorted(CODE_RULES.rules))
+@pytest.mark.parametrize("rule", sorted(WANT))
 def test_rule(facts, rule):
     assert {(r["file"], r["line"]) for r in CODE_RULES.only([rule]).diagnostics(facts).collect()} == WANT[rule]
 
 
 def test_no_facts(spark, facts):
     none = {k: v.limit(0) for k, v in facts.items()}
-    assert CODE_RULES.diagnostics(none).count() == 0
+    assert CODE_RULES.only(WANT).diagnostics(none).count() == 0
     assert empty(spark, "nodes").columns == facts["nodes"].columns
 
 
