@@ -99,13 +99,11 @@ def readability(facts: Facts, options: dict) -> DataFrame:
     return found(with_parent(facts["nodes"]).withColumn("what", what).where("what IS NOT NULL"), F.col("what"))
 
 
-@CODE_RULES.rule("regexp-in-loop", "performance", "Regular expressions made anew in a loop", needs=("nodes",))
-def regexp_in_loop(facts: Facts, options: dict) -> DataFrame:
+def regexp_in_loop(facts: Facts) -> DataFrame:
     return found(facts["nodes"].where((F.col("kind") == "RegularExpressionLiteral") & inside("ancestors", LOOPS, FUNCTIONS)), "make it once, before the loop")
 
 
-@CODE_RULES.rule("unreachable-code", "quality", "Statements after one that ends the block", needs=("nodes",))
-def unreachable_code(facts: Facts, options: dict) -> DataFrame:
+def unreachable_code(facts: Facts) -> DataFrame:
     statements = facts["nodes"].where((F.col("field") == "statement") & ~F.col("kind").isin(*HOISTED))
     return found(relations.first_after(statements, ["file", "parent_id"], ["ord"], F.col("kind").isin(*TERMINATORS)), "never reached")
 

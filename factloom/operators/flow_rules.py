@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.rules import Facts
 from . import graph, relations, similarity
-from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, with_parent
+from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, regexp_in_loop, with_parent
 from .syntax_rules import kind, operator, with_children
 
 # Type flags, as the public compiler interface has them.
@@ -277,11 +277,11 @@ def state_hooks_cluster(facts: Facts, options: dict) -> DataFrame:
     return found(at(facts, many), F.concat(F.col("n").cast("string"), F.lit(" states")))
 
 
-@CODE_RULES.rule("performance", "performance", "Blocking calls and long chains", sub_checks=2, needs=("nodes", "calls", "symbols"))
+@CODE_RULES.rule("performance", "performance", "Blocking calls, long chains, expressions made anew in loops", sub_checks=3, needs=("nodes", "calls", "symbols"))
 def performance(facts: Facts, options: dict) -> DataFrame:
     calls = at(facts, origins(facts))
     blocking = calls.where(F.col("name").endswith("Sync") & F.col("origin").startswith("pkg:"))
-    return found(blocking, "blocks").unionByName(found(calls.where((F.size("chain") - 1 > options.get("maxChainDepth", 6)) & (F.col("origin") == "local")), "long chain"))
+    return regexp_in_loop(facts).unionByName(found(blocking, "blocks")).unionByName(found(calls.where((F.size("chain") - 1 > options.get("maxChainDepth", 6)) & (F.col("origin") == "local")), "long chain"))
 
 
 # --- flows ------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.rules import Facts
 from . import relations
-from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, with_parent
+from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, unreachable_code, with_parent
 
 # Fixed values of the rules.
 RESTRICTED = ("undefined", "NaN", "Infinity", "eval", "arguments")
@@ -21,7 +21,6 @@ COMPARISONS = (*EQUALITY, "LessThanToken", "LessThanEqualsToken", "GreaterThanTo
 ALWAYS_BELOW_ZERO = ("GreaterThanToken", "GreaterThanEqualsToken", "ExclamationEqualsToken", "ExclamationEqualsEqualsToken")
 EXITS = ("ReturnStatement", "ThrowStatement", "BreakStatement", "ContinueStatement")
 DANGEROUS_URL = r"(?i)^\s*(javascript|data|vbscript):"
-MOST_CHAIN = 6
 
 
 def with_children(nodes: DataFrame, *roles: str) -> DataFrame:
@@ -118,12 +117,12 @@ def naming_convention(facts: Facts, options: dict) -> DataFrame:
     return restricted.unionByName(found(labels, F.concat(F.lit("label "), F.col("text"))))
 
 
-@CODE_RULES.rule("correctness", "quality", "Assignments, comparisons and exits that can't be meant", sub_checks=7, needs=("nodes",))
+@CODE_RULES.rule("correctness", "quality", "Assignments, comparisons and exits that can't be meant", sub_checks=9, needs=("nodes",))
 def correctness(facts: Facts, options: dict) -> DataFrame:
     rows = with_parent(with_children(facts["nodes"], "left", "operator", "right", "statement", "expression"))
     same = F.col("left.text") == F.col("right.text")
     in_finally = within("FinallyBlock")
-    return each(rows, {
+    return unreachable_code(facts).unionByName(each(rows, {
         "assigned to itself": operator("EqualsToken") & same & F.col("left.kind").isin(*PURE),
         "compared with itself": operator(*EQUALITY) & same & F.col("left.kind").isin(*PURE),
         "loop of one round": kind(*LOOPS) & F.col("statement.kind").isin("ReturnStatement", "ThrowStatement", "BreakStatement"),
@@ -132,7 +131,7 @@ def correctness(facts: Facts, options: dict) -> DataFrame:
         "exit in finally": kind("ReturnStatement", "ThrowStatement") & in_finally,
         "await in finally": kind("AwaitExpression") & in_finally,
         "value returned by a setter": kind("ReturnStatement") & F.col("expression").isNotNull() & inside("ancestors", ("SetAccessor",), FUNCTIONS),
-    })
+    }))
 
 
 @CODE_RULES.rule("logic", "quality", "Conditions and writes without effect", sub_checks=3, needs=("nodes",))

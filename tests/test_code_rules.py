@@ -34,7 +34,7 @@ def facts(spark):
 
 WANT = {
     "no-debug-code": {("src/a.tsx", 2)}, "banned-syntax": {("src/a.tsx", 10)}, "no-magic-numbers": {("src/a.tsx", 8)}, "no-underscore-prefix": {("src/a.tsx", 3)}, "no-local-constants": {("src/a.tsx", 14)},
-    "max-file-lines": {("src/a.tsx", 1)}, "no-unescaped-entities": {("src/a.tsx", 13)}, "readability": {("src/a.tsx", 12)}, "regexp-in-loop": {("src/a.tsx", 5)}, "unreachable-code": {("src/a.tsx", 8)}, "complexity": {("src/a.tsx", 3)},
+    "max-file-lines": {("src/a.tsx", 1)}, "no-unescaped-entities": {("src/a.tsx", 13)}, "readability": {("src/a.tsx", 12)}, "complexity": {("src/a.tsx", 3)},
     "self-import": {("e.ts", 3)}, "duplicate-import": {("src/a.tsx", 9)}, "no-import-cycle": {("b.ts", 1), ("c.ts", 4), ("e.ts", 3)}, "unused-export": {("b.ts", 1)}, "no-duplicate-schema-export": {("b.ts", 1), ("c.ts", 1)},
     "route-boundary": {("app/p/q.ts", 2)}, "no-client-server-only-import": {("src/a.tsx", 1)}, "unnecessary-use-server": {("lone.ts", 1)},
 }

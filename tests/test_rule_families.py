@@ -4,15 +4,16 @@ from dataclasses import dataclass, field
 
 import pytest
 
-from factloom.operators import flow_rules, syntax_rules  # noqa: F401
+from factloom.operators import shape_rules  # noqa: F401
 from factloom.operators.code_rules import CODE_RULES
 from factloom.sources.facts import SCHEMAS
 
-STR, NUM, BIG, OBJ, ANY, PROMISE, NULLABLE, UNION, MEMBER_A, MEMBER_B, BARE = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11
+STR, NUM, BIG, OBJ, ANY, PROMISE, NULLABLE, UNION, MEMBER_A, MEMBER_B, BARE, WIDE, FUNC, ROW, HOLDER = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16
 TYPES = [
     (STR, 4, "string", [], [], False, True), (NUM, 8, "number", [], [], False, True), (BIG, 64, "bigint", [], [], False, True), (OBJ, 524288, "{}", [], [], False, True), (ANY, 1, "any", [], [], False, True),
     (PROMISE, 524288, "Promise", [], [], True, True), (NULLABLE, 1048576, "string | null", [STR, 12], [], False, True), (12, 65536, "null", [], [], False, True),
     (UNION, 1048576, "'a' | 'b'", [MEMBER_A, MEMBER_B], [], False, True), (MEMBER_A, 128, "'a'", [], [], False, True), (MEMBER_B, 128, "'b'", [], [], False, True), (BARE, 524288, "Bare", [], [], False, False),
+    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True),
 ]
 
 
@@ -59,7 +60,7 @@ TREES = {
     "no-empty-function": [fn("function f() {}", line=1), fn("function f() { g() }", STATEMENT("ExpressionStatement", 2), line=2), call(3, "f", fn("() => {}", kind="ArrowFunction", line=3)), N("VariableDeclaration", "v", line=4)(fn("() => {}", kind="ArrowFunction", line=4))],
     "no-multiline-comments": [N("Comment", "/** a\n b */", line=1), N("Comment", "// a", line=2)],
     "naming-convention": [N("VariableDeclaration", "NaN", line=1), N("VariableDeclaration", "loop", line=2), N("LabeledStatement", "loop", line=3), N("LabeledStatement", "other", line=4)],
-    "correctness": [binary("EqualsToken", "a", "a", 1), binary("EqualsEqualsEqualsToken", "a", "a", 2), N("WhileStatement", line=3)(STATEMENT("ReturnStatement", 3)), N("CatchClause", "catch (e) { throw e }", line=4)(N("ThrowStatement", "throw e", "statement", 4)), N("ArrayLiteralExpression", line=5)(N("OmittedExpression", line=5)),
+    "correctness": [binary("EqualsToken", "a", "a", 1), binary("EqualsEqualsEqualsToken", "a", "a", 2), N("WhileStatement", line=3)(STATEMENT("ReturnStatement", 3)), N("Block", line=20)(STATEMENT("BreakStatement", 20), STATEMENT("FunctionDeclaration", 21), STATEMENT("ExpressionStatement", 22), STATEMENT("ExpressionStatement", 23)), N("CatchClause", "catch (e) { throw e }", line=4)(N("ThrowStatement", "throw e", "statement", 4)), N("ArrayLiteralExpression", line=5)(N("OmittedExpression", line=5)),
                     N("FinallyBlock", line=6)(N("ReturnStatement", line=7), N("AwaitExpression", line=8), fn("", N("ReturnStatement", line=9))), N("SetAccessor", line=10)(N("ReturnStatement", line=11)(N("Identifier", "x", "expression"))), binary("EqualsToken", "a", "b", 12)],
     "logic": [N("IfStatement", line=1)(N("Identifier", "a", "condition"), N("IfStatement", role="else", line=2)(N("Identifier", "a", "condition"))), N("IfStatement", line=3)(N("TrueKeyword", "true", "condition")), N("Block", line=4)(*[STATEMENT("ExpressionStatement", 4 + k, binary("EqualsToken", N("ElementAccessExpression", e), N("NumericLiteral", "1"), 4 + k, role="expression")) for k, e in enumerate(["x[0]", "x[0]", "x[1]"], 1)])],
     "no-deprecated-api": [N("PropertyAccessExpression", "x.__proto__", line=1), N("PropertyAccessExpression", "arguments.callee", line=2), binary("EqualsToken", N("PropertyAccessExpression", "A.prototype"), "b", 3), N("PropertyAccessExpression", "x.proto", line=4)],
@@ -97,19 +98,41 @@ TREES = {
     "effect-cleanup": [call(1, "useEffect", fn("", call(2, "setInterval"), call(3, "addEventListener"), fn("", call(4, "clearInterval"), kind="ArrowFunction"), kind="ArrowFunction")), call(5, "setInterval")],
     "input-validation": [fn("bad", N("Parameter", "a", "parameter"), line=1), fn("own", N("Parameter", "a", "parameter"), call(2, "safeParse"), line=2), fn("through", N("Parameter", "a", "parameter"), call(3, "helper", target=30), line=3), fn("helper", call(4, "safeParse"), line=4, symbol=30), fn("hidden", N("Parameter", "a", "parameter"), line=5)],
     "state-hooks-cluster": [fn("C", *[call(2, "useState") for _ in range(5)], line=1), fn("D", *[call(4, "useState") for _ in range(4)], line=3)],
-    "performance": [call(1, "readSync", target=13), call(2, "readSync", target=2), call(3, "h", chain=list("abcdefgh"), target=2), call(4, "h", chain=list("abc"), target=2)],
+    "performance": [N("WhileStatement")(N("RegularExpressionLiteral", line=5)), call(1, "readSync", target=13), call(2, "readSync", target=2), call(3, "h", chain=list("abcdefgh"), target=2), call(4, "h", chain=list("abc"), target=2)],
     **{rule: [fn("f", N("Parameter", "p", name="p"), N("Identifier", "v", name="v"), call(1, name, N("Identifier", "v", name="used"), target=target), call(2, name, N("StringLiteral", "x"), target=target), call(3, name, N("Identifier", "p", name="other"), target=2))]
        for rule, name, target in [("no-child-process", "exec", 14), ("no-non-literal-fs-path", "readFile", 13), ("no-non-literal-regexp", "RegExp", 11), ("no-non-literal-require", "require", 11), ("no-ssrf", "fetch", 11)]},
+    "prefer-modern-api": [binary("GreaterThanToken", N("CallExpression", "a.indexOf(b)"), "-1", 1), binary("EqualsEqualsEqualsToken", N("CallExpression", "a.indexOf(b)"), "0", 2), N("DeleteExpression", line=3), call(4, "assign", N("ObjectLiteralExpression", "{}"), chain=["Object", "assign"]), call(5, "assign", N("Identifier", "x"), chain=["Object", "assign"]), N("ElementAccessExpression", "a.b[a.b.length - 1]", line=6), N("ElementAccessExpression", "a[b.length - 1]", line=7)],
+    "prefer-optional-chain": [binary("AmpersandAmpersandToken", "a", N("PropertyAccessExpression", "a.b"), 1), binary("AmpersandAmpersandToken", "a", N("PropertyAccessExpression", "ab.c"), 2), binary("AmpersandAmpersandToken", N("BinaryExpression", "a != null"), N("PropertyAccessExpression", "a.b"), 3)],
+    "promise-all-opportunity": [N("Block")(STATEMENT("VariableStatement", 1, N("VariableDeclaration", "a", symbol=50)(N("AwaitExpression"))), STATEMENT("VariableStatement", 2, N("VariableDeclaration", "b", symbol=51)(N("AwaitExpression")(N("Identifier", "a", symbol=50)))), STATEMENT("ExpressionStatement", 3, N("AwaitExpression")), STATEMENT("ExpressionStatement", 4)),
+                                N("TryStatement")(N("Block")(STATEMENT("ExpressionStatement", 5, N("AwaitExpression")), STATEMENT("ExpressionStatement", 6, N("AwaitExpression"))))],
+    "exhaustive-deps": [fn("C", N("Parameter", "p", symbol=60), N("VariableDeclaration", "q", symbol=61), N("VariableDeclaration", "setQ", symbol=62),
+                           call(1, "useEffect", fn("", N("Identifier", "p", symbol=60), N("Identifier", "q", symbol=61), N("Identifier", "setQ", symbol=62), N("Identifier", "g", symbol=63), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "p", symbol=60))),
+                           call(2, "useMemo", fn("", N("Identifier", "p", symbol=60), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "p", symbol=60))), call(3, "useEffect", fn("", N("Identifier", "q", symbol=61), kind="ArrowFunction")))],
+    "narrow-param-type": [fn("f", N("Parameter", "a", line=1, symbol=70, type=WIDE), N("PropertyAccessExpression", "a.p1")(N("Identifier", "a", "expression", symbol=70))), fn("g", N("Parameter", "b", line=2, symbol=71, type=WIDE), N("PropertyAccessExpression", "b.p1")(N("Identifier", "b", "expression", symbol=71)), call(2, "h", N("Identifier", "b", symbol=71))), fn("h", N("Parameter", "c", line=3, symbol=72, type=OBJ))],
+    "no-async-client-component": [fn("Page", N("AsyncKeyword", role="modifier"), line=1), fn("Plain", line=2), fn("Hidden", N("AsyncKeyword", role="modifier"), line=3)],
+    "no-misused-promises": [call(1, "forEach", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction")), call(2, "forEach", fn("", kind="ArrowFunction")), call(3, "map", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction"))],
+    "no-redundant-zod-parse": [call(1, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=STR), call(2, "parse", N("Identifier", "a", type=ANY), chain=["Schema", "parse"], type=STR), call(3, "parse", N("Identifier", "a", type=STR), chain=["Schema", "catch", "parse"], type=STR), call(4, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=NUM)],
+    "unbranded-type-consistency": [N("Parameter", "userId", line=1, type=STR), N("Parameter", "user", line=2, type=STR), N("Parameter", "userId", line=3, type=NUM)],
+    "prefer-literal-union": [binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", "x"), 1), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=UNION), N("StringLiteral", "x"), 2), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", ""), 3)],
+    "zustand-patterns": [call(1, "useShallow", N("ArrowFunction", "(s) => s.a")), call(2, "useAppStore", N("ArrowFunction", "(s) => ({ a: s.a, b: s.b })")), call(3, "useAppStore", N("ArrowFunction", "(s) => s.a"))],
+    "prop-drilling": [fn("A", *[N("Parameter", f"p{k}", symbol=80 + k, type=FUNC if k < 2 else STR) for k in range(4)], *[N("JsxExpression")(N("Identifier", f"p{k}", symbol=80 + k)) for k in range(4)], line=1),
+                      fn("B", *[N("Parameter", f"p{k}", symbol=90 + k, type=FUNC) for k in range(4)], *[N("JsxExpression")(N("Identifier", f"p{k}", symbol=90 + k)) for k in range(4)], N("CallExpression")(N("Identifier", "p0", symbol=90)), line=2)],
+    "no-db-origin-client-boundary": [fn("A", N("Parameter", "a", "parameter", 1, type=HOLDER)), fn("B", N("Parameter", "a", "parameter", 2, type=OBJ)), fn("C", N("Parameter", "a", "parameter", 3, type=OBJ), N("Parameter", "b", "parameter", 4, type=ROW))],
+    "type-precision": [fn("f", N("Parameter", "a")(N("UnionType", line=1)(N("LiteralType", role="literal"), N("LiteralType", role="literal")))), N("InterfaceDeclaration", line=2)(N("IndexSignature", role="member"), N("PropertySignature", role="member")), N("InterfaceDeclaration", line=3)(N("PropertySignature", role="member")),
+                       N("Parameter", "xs", line=4, symbol=95)(N("ArrayType", role="type")), N("Parameter", "ys", line=5, symbol=96)(N("ArrayType", role="type")), N("PropertyAccessExpression", "ys.push")(N("Identifier", "ys", "expression", symbol=96))],
+    "app/page": [fn("Page", N("Parameter", "params", name="p"), N("Identifier", "v", name="v"), call(1, "parse", N("Identifier", "v", name="used"), chain=["S", "parse"]), call(2, "safeParse", N("Identifier", "p", name="other"), chain=["S", "safeParse"]))],
     "no-unthrown-error": [N("ExpressionStatement")(N("NewExpression", line=1, symbol=41)), N("ThrowStatement")(N("NewExpression", line=2, symbol=41)), N("ExpressionStatement")(N("NewExpression", line=3, symbol=2))],
 }
 FINDS = {
     "no-identical-binary-operands": [1], "no-collection-size-mischeck": [1, 2, 4], "jsx-no-useless-fragment": [1], "no-all-duplicated-branches": [1], "error-handling": [1, 4], "no-empty-function": [1], "no-multiline-comments": [1],
-    "naming-convention": [1, 3], "correctness": [1, 2, 3, 4, 5, 7, 8, 11], "logic": [1, 3, 5], "no-deprecated-api": [1, 2, 3], "no-useless-code": [1, 2, 3], "no-implicit-coercion": [1, 3, 4, 5], "safety": [1, 2, 3, 5, 6],
+    "naming-convention": [1, 3], "correctness": [1, 2, 3, 4, 5, 7, 8, 11, 22], "logic": [1, 3, 5], "no-deprecated-api": [1, 2, 3], "no-useless-code": [1, 2, 3], "no-implicit-coercion": [1, 3, 4, 5], "safety": [1, 2, 3, 5, 6],
     "security": [1, 2, 3], "simplification": [1, 3, 4, 5, 7], "syntax": [1, 3, 4, 5, 6], "typescript": [1, 2, 4, 6, 7], "react": [1, 3, 6], "rules-of-hooks": [1, 3, 4, 5, 6], "no-re-export": [1], "no-duplicated-constants": [1],
     "await-non-thenable": [1], "no-floating-promises": [1], "restrict-plus-operands": [1, 3, 4], "restrict-template-expr": [1], "no-base-to-string": [1, 3], "prefer-nullish-coalescing": [1], "unnecessary-type-assertion": [1],
     "prefer-satisfies-over-as": [1], "exhaustive-switch": [1], "any-propagation": [1], "cache-primitive-args": [2], "deprecated-usage": [1], "no-weak-crypto": [1], "no-implied-eval": [1], "no-client-data-fetch": [1, 3],
-    "no-dynamic-sql": [1], "no-db-antipatterns": [1, 2], "missing-returning": [1], "cache-caller-count": [1], "effect-cleanup": [3], "input-validation": [1], "state-hooks-cluster": [1], "performance": [1, 3],
+    "no-dynamic-sql": [1], "no-db-antipatterns": [1, 2], "missing-returning": [1], "cache-caller-count": [1], "effect-cleanup": [3], "input-validation": [1], "state-hooks-cluster": [1], "performance": [1, 3, 5],
     "no-child-process": [1], "no-non-literal-fs-path": [1], "no-non-literal-regexp": [1], "no-non-literal-require": [1], "no-ssrf": [1], "no-unthrown-error": [1],
+    "prefer-modern-api": [1, 2, 3, 4, 6], "prefer-optional-chain": [1, 3], "promise-all-opportunity": [3], "exhaustive-deps": [1], "narrow-param-type": [1], "no-async-client-component": [1], "no-misused-promises": [1],
+    "no-redundant-zod-parse": [1], "unbranded-type-consistency": [1], "prefer-literal-union": [1], "zustand-patterns": [1, 2], "prop-drilling": [1], "no-db-origin-client-boundary": [1], "type-precision": [1, 2, 4],
 }
 OWNERS = ("FunctionDeclaration", "ArrowFunction", "Constructor")
 
@@ -119,7 +142,7 @@ def facts(spark):
     rows = {k: [] for k in ("nodes", "node_types", "node_symbols", "calls", "def_use", "files")}
     for rule, tops in TREES.items():
         file, names, count = f"{rule}.tsx", {}, 0
-        rows["files"].append((file, "tsx", 1, "", False, "use server" if rule in ("missing-returning", "input-validation", "no-ssrf") else None))
+        rows["files"].append((file, "tsx", 1, "", False, "use server" if rule in ("missing-returning", "input-validation", "no-ssrf") else "use client" if rule in ("no-async-client-component", "no-db-origin-client-boundary") else None))
 
         def visit(n, parent, up, ord_):
             nonlocal count
@@ -146,7 +169,7 @@ def facts(spark):
     symbols = [(1, "old", 0, "x.ts", 9, "local", ["deprecated"]), (40, "Error", 0, "lib.d.ts", 0, "lib", []), *[(i, f"s{i}", 0, "x.ts", i, o, []) for i, o in origin.items()]]
     tokens = [f"t{k}" for k in range(60)]
     blocks = [("a.ts", "f", 1, 12, tokens), ("b.ts", "f", 2, 12, tokens), ("c.ts", "near", 3, 12, [*tokens[:57], "x", *tokens[58:]]), ("d.ts", "alike", 4, 12, [*tokens[:55], "y", "z", "w", "v", "u"]), ("e.ts", "twice", 5, 12, ["q", "r", "s"]), ("e.ts", "twice", 9, 12, ["q", "r", "s"]), ("g.ts", "short", 6, 1, tokens), ("h.ts", "none", 7, 12, [])]
-    rows |= {"symbols": symbols, "types": TYPES, "assignable": [(STR, STR)], "class_bases": [(41, 40)], "blocks": blocks, "exports": [("input-validation.tsx", x, "s") for x in ("bad", "own", "through", "helper")]}
+    rows |= {"symbols": symbols, "types": TYPES, "assignable": [(STR, STR)], "class_bases": [(41, 40)], "blocks": blocks, "exports": [("input-validation.tsx", x, "s") for x in ("bad", "own", "through", "helper")] + [("no-async-client-component.tsx", x, "s") for x in ("Page", "Plain")]}
     return {k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()}
 
 
@@ -156,6 +179,11 @@ def test_family(facts, rule):
     assert sorted({r["line"] for r in out}) == FINDS[rule]
 
 
+def test_page_parameters(facts):
+    out = CODE_RULES.only(["no-page-params-unsafe-parse"]).diagnostics(facts).collect()
+    assert {(r["file"], r["line"]) for r in out} == {("app/page.tsx", 1)}
+
+
 def test_clones(facts):
     of = lambda rule: sorted((r["file"], r["line"]) for r in CODE_RULES.only([rule]).diagnostics(facts).collect())
     assert of("syntactic-clone") == [("a.ts", 1), ("b.ts", 2), ("c.ts", 3)]
@@ -165,7 +193,7 @@ def test_clones(facts):
 def test_every_rule_has_a_case():
     from tests.test_code_rules import WANT
 
-    assert set(CODE_RULES.rules) == set(FINDS) | set(WANT) | {"syntactic-clone", "semantic-clone"}
+    assert set(CODE_RULES.rules) == set(FINDS) | set(WANT) | {"syntactic-clone", "semantic-clone", "no-page-params-unsafe-parse"}
 
 
 def test_only_rules_with_relations(facts):
