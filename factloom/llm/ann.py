@@ -92,13 +92,23 @@ def _nearest(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeats(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by id, where each id begins in it)."""
+    by = np.argsort(ids, kind="stable")
+    return by, np.flatnonzero(np.concatenate([[True], np.diff(ids[by]) != 0]))
+
+
 class Best:
     """The k nearest distinct ids of each query so far, smaller ids first on ties."""
 
     def __init__(self, k: int):
         self.k, self.kept = k, {}
 
-    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray, met: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """``met``: the ``repeats`` of the ids, if known."""
+        by, starts = met or repeats(ids)
+        if len(starts) < len(ids):  # else copies of few ids fill the k places
+            ids, scores = ids[by][starts], np.minimum.reduceat(scores[by], starts)
         near = ids != query
         ids, scores = ids[near], scores[near]
         if len(ids) > self.k:
@@ -127,8 +137,9 @@ def exact(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> D
         best = Best(k)
         for batch in batches:
             x, own = _matrix(batch.column(1), queries.shape[1]), batch.column(0).to_numpy()
+            met = repeats(own)
             for q, scores in zip(ids, _nearest(queries, x), strict=True):
-                best.add(int(q), own, scores)
+                best.add(int(q), own, scores, met)
         yield best.batch()
 
     return _ranked(vectors.mapInArrow(run, FOUND), k)
@@ -144,16 +155,19 @@ def fitted(rows: DataFrame, queries: DataFrame, dim: int, count: int, k: int, ta
     """(hash, probes a table): the fewest probes by which ``sample`` queries meet their true neighbours.
 
     Depth grows with the logarithm of the number of rows, to about ``cell_rows`` a cell. The sample's exact
-    neighbours come from one scan; ``sample`` * (k + 1) vectors come to the driver.
+    neighbours come from one scan; ``sample`` * (k + 1) vectors come to the driver. Where an id is met twice,
+    the query's and the neighbour's vectors at their smaller distance count.
     """
     some = queries.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     if not len(some):
         return CrossPolytope(dim, tables, 1), 1
     x = np.array(some["v"].tolist(), dtype=np.float64)
     found = exact(rows, some["id"].to_numpy(), x, k).select("query_id", F.col("vec_id").alias("id"))
-    true = rows.join(F.broadcast(found), "id").toPandas()  # sample * k rows
-    at = {q: i for i, q in enumerate(some["id"])}
-    owner, near = true["query_id"].map(at).to_numpy(), np.array(true["v"].tolist(), dtype=np.float64).reshape(-1, dim)
+    asking = rows.sparkSession.createDataFrame([(int(q), i, v.tolist()) for i, (q, v) in enumerate(zip(some["id"], x, strict=True))], "query_id long, at int, q array<double>")
+    apart = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    pairs = rows.join(F.broadcast(found.join(asking, "query_id")), "id")
+    true = pairs.groupBy("query_id", "id").agg(F.min_by(F.struct("at", "v"), apart).alias("m")).select("m.at", "m.v").toPandas()  # sample * k rows
+    owner, near = true["at"].to_numpy(), np.array(true["v"].tolist(), dtype=np.float64).reshape(-1, dim)
     depth = max(1, round(math.log(max(1, count / cell_rows)) / math.log(2 * dim)))
     while True:
         hashed = CrossPolytope(dim, tables, depth)
@@ -225,8 +239,9 @@ def nearest(
             for row in batch.select(["ids", "vectors", "query_ids", "queries"]).to_pylist():
                 vectors, asking = (np.frombuffer(row[c], dtype=dtype).reshape(-1, dim) for c in ("vectors", "queries"))
                 ids = np.array(row["ids"], dtype=np.int64)
+                met = repeats(ids)
                 for q, scores in zip(row["query_ids"], _nearest(asking, vectors), strict=True):
-                    best.add(q, ids, scores)
+                    best.add(q, ids, scores, met)
             if len(best.kept) > 20_000:
                 yield best.batch()
         yield best.batch()

@@ -212,6 +212,23 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id >= 2000"), F.lit(False)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    ids, scores = np.repeat(np.arange(1, 31), 3), np.repeat(np.arange(30) / 7, 3) + np.tile([0.0, 0.01, 0.02], 30)
+    best = ann.Best(10)
+    best.add(0, ids, scores)
+    assert best.kept[0][0].tolist() == list(range(1, 11)) and (best.kept[0][1] == scores[::3][:10]).all()
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8))
+    # each row three times, and each id once more with another vector
+    table = [(i, x[i].tolist()) for i in range(60) for _ in range(3)] + [(i, (x[i] + 3).tolist()) for i in range(60)]
+    got = ann.nearest(spark.createDataFrame(table, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 10 == 0, recall=1.0).collect()
+    both = np.stack([x, x + 3])
+    for q in range(0, 60, 10):
+        d = np.min([np.sqrt(((v - w[q]) ** 2).sum(axis=1)) for v in both for w in both], axis=0)
+        want = [i for i in np.lexsort((np.arange(60), d)) if i != q][:10]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 # --- 7 --------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
