@@ -13,10 +13,13 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run is matched from its first AKIA or, if too
 HEX = r"[0-9a-f]{32,}"  # a run of this class is matched whole or not at all
 KINDS = ("assign", "access", "hex", "entropy")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: With "=" only where it pads: the name before an equals sign is no part of the value. A window needs WINDOW characters.
+CANDIDATE = r"[A-Za-z0-9+/_-]{18,}={0,2}"
 #: Character classes from narrow to wide, and bits a character from which a window is random. A window of 20 of 16
 #: symbols holds about 3.5 bits a character, of 62 or 64 symbols about 4.1.
 CLASSES = (("lower hex", r"^[0-9a-f]+$", 3.0), ("upper hex", r"^[0-9A-F]+$", 3.0), ("alphanumeric", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^", 3.8))
+#: A window of both letters and digits in one of the hex classes is held to this, whatever class its candidate has.
+HEX_BITS = 3.0
 #: Candidates that are no secrets: words or numbers joined by marks (paths, names), one class of letters, UUIDs.
 ALLOWED = (
     r"^[+/_=-]*(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*$", r"^[+/_=-]*$",
@@ -58,15 +61,18 @@ def _weights(window: int) -> Column:
 
 
 def random_part(candidate: Column, bits: Column, window: int) -> Column:
-    """(first, last) place of windows of ``window`` characters with at least ``bits`` of entropy a character; first -1 if none.
+    """(first, last) place of windows of ``window`` characters with at least ``bits`` of entropy a character, or
+    HEX_BITS in a window of hex letters of one case and digits; first -1 if none.
 
     With counts c, entropy is log2(window) - sum(c * log2(c)) / window. One count goes up and one goes down as
     the window moves, so the sum changes by two table look-ups.
     """
     table = _weights(window)
     of = lambda count: F.element_at(table, count + 1)
-    most = F.floor((F.lit(math.log2(window)) - bits) * window * UNIT)
-    step_type = "struct<counts:array<int>,total:bigint,first:int,last:int>"
+    under = lambda least: F.floor((F.lit(math.log2(window)) - least) * window * UNIT)
+    most, most_hex = under(bits), under(F.lit(HEX_BITS))
+    # digit, lower, upper: where the last digit, a-f and A-F were; other: where the last of all others was
+    step_type = "struct<counts:array<int>,total:bigint,first:int,last:int,digit:int,lower:int,upper:int,other:int>"
 
     def step(s: Column, i: Column) -> Column:
         enter = F.ascii(F.substring(candidate, i + 1, F.lit(1)))
@@ -76,10 +82,16 @@ def random_part(candidate: Column, bits: Column, window: int) -> Column:
         same = enter == leave
         total = s["total"] + F.when(same, F.lit(0).cast("long")).otherwise(of(up + 1) - of(up) + F.when(leave < 0, F.lit(0).cast("long")).otherwise(of(down - 1) - of(down)))
         counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda c, k: c + F.when(k == enter, 1).otherwise(0) - F.when(k == leave, 1).otherwise(0)))
-        full = (i >= window - 1) & (total <= most)
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when(full & (s["first"] < 0), i + 1 - window).otherwise(s["first"]).alias("first"), F.when(full, i + 1).otherwise(s["last"]).alias("last")).cast(step_type)
-
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last")).cast(step_type)
+        kinds = {"digit": enter.between(48, 57), "lower": enter.between(97, 102), "upper": enter.between(65, 70)}
+        seen = {k: F.when(is_kind, i).otherwise(s[k]) for k, is_kind in kinds.items()}
+        seen["other"] = F.when(kinds["digit"] | kinds["lower"] | kinds["upper"], s["other"]).otherwise(i)
+        within = {k: at > i - window for k, at in seen.items()}
+        hexed = ~within["other"] & within["digit"] & (within["lower"] != within["upper"])
+        full = (i >= window - 1) & ((total <= most) | (hexed & (total <= most_hex)))
+        return F.struct(counts.alias("counts"), total.alias("total"), F.when(full & (s["first"] < 0), i + 1 - window).otherwise(s["first"]).alias("first"), F.when(full, i + 1).otherwise(s["last"]).alias("last"), *[at.alias(k) for k, at in seen.items()]).cast(step_type)
+
+    never = [F.lit(-window).alias(k) for k in ("digit", "lower", "upper", "other")]
+    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), *never).cast(step_type)
     return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
@@ -90,19 +102,37 @@ def _class_bits(candidate: Column) -> Column:
     return out
 
 
+def _blanked(candidate: Column, base: Column) -> Column:
+    """The candidate's text with blanks, one for each character, for what lies in base spans."""
+    over = F.array_sort(F.filter(base, lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"])))
+    done = F.aggregate(
+        over, F.struct(candidate["start"].alias("at"), F.lit("").alias("out")),
+        lambda s, b: F.when(b["end"] <= s["at"], s).otherwise(F.struct(
+            F.least(b["end"], candidate["end"]).alias("at"),
+            F.concat(s["out"], F.substring(candidate["text"], s["at"] - candidate["start"] + 1, F.greatest(b["start"] - s["at"], F.lit(0))), F.repeat(F.lit(" "), F.least(b["end"], candidate["end"]) - F.greatest(b["start"], s["at"]))).alias("out"))),
+    )
+    return F.concat(done["out"], F.substring(candidate["text"], done["at"] - candidate["start"] + 1, candidate["end"] - done["at"]))
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED, allowed_strings: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with secrets added: an array of (start, kind, end, text), by start and then kind.
 
     Offsets are code points of the whole text, end exclusive. The base kinds are ``assign``, ``access`` and ``hex``;
-    ``entropy`` spans are added where none of them overlaps: runs of base64 characters that the allow-list
-    (patterns, exact strings) doesn't hold, from the first to the last window as random as its character class
-    asks. Null and empty texts have none. A column of the added name is replaced; all others stay.
+    ``entropy`` spans are added outside of them: runs of base64 characters ("=" at the end only), without what base
+    spans cover, that the allow-list (patterns, exact strings) doesn't hold, from the first to the last window as
+    random as the run's character class asks, or as the hex class asks where the window is hex of letters and
+    digits. Null and empty texts have none. A column of the added name is replaced; all others stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = F.concat(matches(text, ASSIGN, 0, group=2, least=8), matches(text, ACCESS, 1), matches(text, HEX, 2))
     suppressed = lambda c: F.reduce(F.array(*[F.lit(p) for p in allowed]), F.lit(False), lambda a, p: a | F.rlike(c, p)) | c.isin(*allowed_strings)
     staged = docs.drop("secrets", "__base", "__some").withColumns({"__base": base, "__some": matches(text, CANDIDATE, 3)})
-    candidates = F.filter("__some", lambda c: ~suppressed(c["text"]) & ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    cut = lambda c: F.transform(F.array(_blanked(c, F.col("__base"))), lambda t: matches(t, CANDIDATE, 3))[0]
+    moved = lambda c: F.transform(cut(c), lambda p: F.struct((c["start"] + p["start"]).alias("start"), p["rank"].alias("rank"), (c["start"] + p["end"]).alias("end"), p["text"].alias("text")))
+    overlaps = lambda c: F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    pieces = F.flatten(F.transform("__some", lambda c: F.when(overlaps(c), moved(c)).otherwise(F.array(c)).cast(SPAN)))
+    staged = staged.withColumn("__some", F.when((F.size("__some") > 0) & (F.size("__base") > 0), pieces).otherwise(F.col("__some")))
+    candidates = F.filter("__some", lambda c: ~suppressed(c["text"]))
 
     def narrowed(c: Column) -> Column:
         part = random_part(c["text"], _class_bits(c["text"]), window)

@@ -268,6 +268,32 @@ def test_secrets(spark):
     assert name not in [s["text"] for s in secrets.find_secrets(df.where("doc_id = 9"), allowed_strings=(name,)).first()["secrets"]]
 
 
+def test_secrets_behind_prefixes(spark):
+    rng = random.Random(8)
+    hexed = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
+    upper, mixed = "0123456789ABCDEF", "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    values = [(p, hexed(n, a)) for p, n, a in [("id=", 40, upper), ("key=", 24, upper.lower()), ("sk_", 24, upper.lower()), ("session_id=", 32, upper), ("x-", 22, upper), ("id=", 24, mixed)] for _ in range(12)]
+    # a value alone is the measure: some are too even to be found
+    table = [(2 * i + k, ("", p)[k] + v + " end") for i, (p, v) in enumerate(values) for k in range(2)]
+    got = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    found = 0
+    for i, (p, v) in enumerate(values):
+        alone, behind = got[2 * i], got[2 * i + 1]
+        for s in alone:
+            found += 1
+            # all of it is found; a window may begin in a prefix that base64 can hold, not before "="
+            assert [b for b in behind if b["start"] - len(p) <= s["start"] and b["end"] - len(p) >= s["end"] and (b["start"] >= len(p) or "=" not in p)], (p, v)
+    assert found >= 60
+
+    word, key = hexed(26, mixed), hexed(26, mixed)
+    texts = [word + "-" + hexed(32) + "-" + key, word + "/token=abcdefgh12 x", "x1_" + "1234567890" * 3, "see_user-123e4567-e89b-12d3-a456-426614174000", "some_long_name_of_a_token=abcdefgh12"]
+    out = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(docs_table(spark, texts)).collect()}
+    assert [s["kind"] for s in out[0]] == ["entropy", "hex", "entropy"] and [s["kind"] for s in out[1]] == ["entropy", "assign"]
+    assert all(texts[i][s["start"] : s["end"]] == s["text"] for i in out for s in out[i])
+    assert out[0][0]["end"] <= out[0][1]["start"] and out[0][1]["end"] <= out[0][2]["start"]
+    assert out[2] == [] and [s["kind"] for s in out[4]] == ["assign"]
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
