@@ -112,6 +112,21 @@ def slices(column: pa.Array, most: int) -> Iterator[list[str]]:
         yield part
 
 
+def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, most_languages: int) -> tuple[list[str], DataFrame]:
+    """(languages by name, (lang, text) of about ``docs_per_language`` rows of each language, by a hash of the id)."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"),
+        ((F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))).alias("u"),
+    )
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not sizes:
+        return [], rows.select("lang", "text")
+    share = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, docs_per_language / sizes[k]))])
+    return sorted(sizes), rows.where(F.col("u") <= share[F.col("lang")]).select("lang", "text")
+
+
 def train(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     docs_per_language: int = 4_000, profile: int = 6_000, bits: int = 19, most_languages: int = 1_024,
@@ -122,18 +137,9 @@ def train(
     the driver, at most ``most_languages * profile`` numbers. Ties in counts go to the smaller n-gram.
     """
     ready(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"),
-        ((F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))).alias("u"),
-    )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if not sizes:
+    languages, sample = sampled(labelled, id_col, text_col, lang_col, docs_per_language, most_languages)
+    if not languages:
         return LanguageFilter.build([], {}, bits)
-    languages = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k]))])
-    sample = rows.where(F.col("u") <= share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,6 +163,17 @@ def train(
     return LanguageFilter.build(languages, {k: g["gram"].to_numpy().astype(np.uint32) for k, g in top.groupby("lang")}, bits)
 
 
+def low_scores(
+    labelled: DataFrame, model: LanguageFilter, quantile: float, least_chars: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    docs_per_language: int = 4_000, most_languages: int = 1_024,
+) -> dict[str, float]:
+    """By language, the exact ``quantile`` of the scores of ``train``'s sample: rows of ``least_chars`` characters or
+    more that are told to be in their own language. A language without such rows is left out."""
+    _, sample = sampled(labelled, id_col, text_col, lang_col, docs_per_language, most_languages)
+    told = identify(sample.where(F.length("text") >= least_chars), model).where("lang = lang_pred")
+    return {r["lang"]: r["low"] for r in told.groupBy("lang").agg(F.percentile("score", F.lit(quantile)).alias("low")).collect()}
+
+
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text, mod 5, is 0; a null id counts as ""."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
