@@ -184,7 +184,7 @@ def fitted(rows: DataFrame, queries: DataFrame, dim: int, count: int, k: int, ta
 
 def nearest(
     rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    tables: int = 12, recall: float = 0.96, sample: int = 100, cell_rows: int = 4_096,
+    tables: int = 12, recall: float = 0.96, sample: int = 100, cell_rows: int = 4_096, together: int = 1_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that fulfils ``queries``, its k nearest found among all others.
 
@@ -194,7 +194,8 @@ def nearest(
     only the nearest leave a task. Candidates are reranked by exact Euclidean distance of the original vectors.
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
     part, nor do null ids. Rows with a query's id are never its neighbours; an id met twice counts once, at its
-    smaller distance. Ties go to smaller ids. Empty tables give an empty result.
+    smaller distance. Ties go to smaller ids. Empty tables give an empty result. Queries whose cells hold fewer than
+    ``k`` others (or than there are) are answered by scans of all rows, ``together`` queries a scan.
     """
     spark = rows.sparkSession
     ready(spark)
@@ -246,4 +247,16 @@ def nearest(
                 yield best.batch()
         yield best.batch()
 
-    return _ranked(met.mapInArrow(rerank, FOUND), k)
+    found = written(_ranked(met.mapInArrow(rerank, FOUND), k), "ann-found")
+    most = source.select("id").distinct().limit(k + 1).count() - 1  # others that each query has, k at most
+    short = asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) < most).select("id", "v")
+    short = written(short, "ann-short")
+    blocks = math.ceil(short.count() / together)
+    if not blocks:
+        return found
+    found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+    for b in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()  # about `together` vectors
+        if len(some):
+            found = found.unionByName(written(exact(source, some["id"].to_numpy(), np.array(some["v"].tolist(), dtype=np.float64), k), "ann-scanned"))
+    return found

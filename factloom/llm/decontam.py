@@ -31,9 +31,11 @@ def _padded(ws: list[bytes]) -> str:
     return (b" " + b" ".join(ws) + b" ").decode("latin-1")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(items: tuple[tuple[str, str], ...], n: int):
-    """(automaton, owners): the automaton's values are (window number, words in it), owners[k] the items of window k."""
+    """(automaton, owners): the automaton's values are (window number, words in it), owners[k] the items of window k.
+
+    A task keeps the last one, so with one block each worker builds it once."""
     import ahocorasick
 
     at: dict[str, int] = {}
@@ -77,10 +79,18 @@ def scan(text: str | None, automaton, owners) -> tuple[int, list[tuple[int, int]
 
 
 def _char_spans(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Sorted runs of words as code points of the text; each byte is decoded once."""
     raw = text.encode()
     at = [m.span() for m in WORD.finditer(raw.translate(FOLD))]
-    chars = lambda byte: len(raw[:byte].decode())
-    return [{"start": chars(at[a][0]), "end": chars(at[b - 1][1])} for a, b in runs]
+    byte = char = 0
+    out = []
+    for a, b in runs:
+        place = []
+        for to in (at[a][0], at[b - 1][1]):
+            byte, char = to, char + len(raw[byte:to].decode())
+            place.append(char)
+        out.append({"start": place[0], "end": place[1]})
+    return out
 
 
 def _blocks(items: list[tuple[str, str]], most_chars: int) -> list[tuple[tuple[str, str], ...]]:
@@ -96,17 +106,38 @@ def _blocks(items: list[tuple[str, str]], most_chars: int) -> list[tuple[tuple[s
     return [tuple(x) for x in out]
 
 
+def scan_all(texts: list[str | None], blocks: list[tuple[tuple[str, str], ...]], n: int) -> list[dict]:
+    """n_words, n_hit, items and hit_spans of each text. Blocks are the outer loop: one automaton is held at a time and
+    scans all texts."""
+    total, runs, met = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for block in blocks:
+        if len(blocks) > 1:
+            _automaton.cache_clear()  # else two are held while one is built
+        automaton, owners = _automaton(block, n)
+        for i, text in enumerate(texts):
+            total[i], some, found = scan(text, automaton, owners)
+            runs[i] += some
+            met[i] |= {block[k][0] for k in found}
+    if len(blocks) > 1:
+        runs = [_merged(r) for r in runs]
+    return [
+        {"n_words": t, "n_hit": sum(b - a for a, b in r), "items": sorted(m), "hit_spans": _char_spans(text, r) if r else []}
+        for text, t, r, m in zip(texts, total, runs, met, strict=True)
+    ]
+
+
 def find_items(
     docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", block_chars: int = 500_000, most_item_chars: int = 64_000_000,
+    item_id: str = "item_id", item_text: str = "text", block_chars: int = 500_000, most_item_chars: int = 64_000_000, held_bytes: int = 32 << 20,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted strings) and hit_spans (code points, end exclusive) added.
 
     The items are a test set, not a corpus: their size is summed first, and beyond ``most_item_chars``
-    the call fails rather than send them to the executors. They are split into blocks of ``block_chars``
-    (an automaton of some 100 MB at most); one block is the usual case, more are scanned one after the
-    other over the same text in the same task. Columns of the same names as the added ones are replaced.
-    Null or empty texts have no words. Null or empty items have no window; a null item id counts as "".
+    the call fails rather than send them to the executors. Up to ``block_chars`` characters they are one automaton
+    (some 200 MB), built once a worker; texts are scanned batch by batch. Beyond, a worker holds one block's automaton at a time
+    and ``held_bytes`` of texts, which all blocks scan in turn: a block is built once for so many bytes.
+    Columns of the same names as the added ones are replaced. Null or empty texts have no words. Null or empty items
+    have no window; a null item id counts as "".
     """
     spark = docs.sparkSession
     ready(spark)
@@ -114,24 +145,28 @@ def find_items(
     size = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     if size > most_item_chars:
         raise ValueError(f"the items have {size} characters; at most {most_item_chars} are sent to the executors")
-    blocks = spark.sparkContext.broadcast(_blocks(sorted(tuple(x) for x in wanted.collect()), block_chars))
+    parts = _blocks(sorted(tuple(x) for x in wanted.collect()), block_chars)
+    blocks = spark.sparkContext.broadcast(parts)
+    most = held_bytes if len(parts) > 1 else 0
+
+    def told(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = scan_all([x.as_py() for batch in held for x in batch.column(text_at)], blocks.value, n)
+        done = 0
+        for batch in held:
+            extra = pa.RecordBatch.from_pylist(rows[done : done + batch.num_rows], schema=ADDED)
+            done += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra.columns], names=[*batch.schema.names, *ADDED.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            rows = [_one(batch.column(text_at)[i].as_py(), blocks.value) for i in range(batch.num_rows)]
-            extra = pa.RecordBatch.from_pylist(rows, schema=ADDED)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra.columns], names=[*batch.schema.names, *ADDED.names])
-
-    def _one(text: str | None, parts) -> dict:
-        total, runs, met = 0, [], set()
-        for part in parts:
-            automaton, owners = _automaton(part, n)
-            total, some, found = scan(text, automaton, owners)
-            runs += some
-            met |= {part[i][0] for i in found}
-        if len(parts) > 1:
-            runs = _merged(runs)
-        return {"n_words": total, "n_hit": sum(b - a for a, b in runs), "items": sorted(met), "hit_spans": _char_spans(text, runs) if runs else []}
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield from told(held)
+                held, size = [], 0
+        if held:
+            yield from told(held)
 
     kept = docs.drop(*ADDED.names)
     text_at = kept.columns.index(text_col)

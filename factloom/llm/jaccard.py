@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from .components import connected_components
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Odd multipliers of the hash functions.
-POWER, MIX1, MIX2, JOIN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93))
+MIX1, MIX2, JOIN = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93))
 SKETCH = 8  # longs, 64 bits each
 TOP = np.uint64(1 << 63)
 
@@ -39,15 +38,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(POWER), -1, 1 << 64))
-    out = []
-    for p in (POWER, inverse):
-        x = np.full(n, p, dtype=np.uint64)
-        x[0] = 1
-        out.append(np.cumprod(x, dtype=np.uint64))
-    return out[0], out[1]
+def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word begins, its 64-bit hash) of bytes: the sum of a random number for each byte at each place of a
+    word, so that no arrangement of letters cancels."""
+    letter = np.flatnonzero(~BLANK[flat])
+    if not len(letter):
+        return letter, np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(letter) > 1]))
+    starts = letter[first]
+    place = letter - np.repeat(starts, np.diff(np.append(first, len(letter))))
+    value = _mixed(flat[letter].astype(np.uint64) + ((place + 1).astype(np.uint64) << np.uint64(8)))
+    return starts, _mixed(np.add.reduceat(value, first))
 
 
 def ngrams(texts: list[str], n: int) -> list[np.ndarray]:
@@ -56,13 +57,8 @@ def ngrams(texts: list[str], n: int) -> list[np.ndarray]:
     flat = np.frombuffer(b"\n".join([*raw, b""]).translate(LOWER), dtype=np.uint8)
     if not len(flat):
         return []
-    power, inverse = (x[: len(flat)] for x in _powers(1 << max(20, int(len(flat)).bit_length())))
-    blank = BLANK[flat]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)])
-        word = _mixed((total[ends] - total[starts]) * inverse[starts]) if len(starts) else np.zeros(0, np.uint64)
+        starts, word = word_hashes(flat)
         long = np.zeros(0, np.uint64)
         if len(word) >= n:
             long = word[: len(word) - n + 1].copy()
@@ -164,9 +160,8 @@ class Order:
         by = np.argsort(grams)
         self.grams, self.rank = grams[by], rank[by]
 
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """A text's distinct n-grams as keys that sort in this order."""
-        keys = distinct(found)
+    def placed(self, keys: np.ndarray) -> np.ndarray:
+        """Distinct n-grams as keys that sort in this order."""
         if len(self.grams) and len(keys):
             at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
             hit = self.grams[at] == keys
@@ -189,26 +184,31 @@ def _order(frequent: DataFrame, most: int) -> Order:
 
 
 def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """(gram, doc, pos, n): each document's first n - ceil(percent * n) + 1 n-grams in the order."""
+    """(gram, c1, pos, n): each set's first n - ceil(percent * n) + 1 n-grams in the order; c1 is half of its digest.
+    Copies within a batch of texts are one set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in _texts(batch, SLICE):
-                parts, sizes = [], []
+            for _, texts in _texts(batch, SLICE):
+                parts, sizes, names = [np.zeros(0, np.uint64)], [], {}
                 for found in ngrams(texts, n):
-                    keys = order.value.keys(found)
-                    sizes.append(len(keys))
-                    parts.append(keys[: len(keys) + (-len(keys) * percent // 100) + 1] if len(keys) else keys)
-                lengths = np.array([len(p) for p in parts])
+                    keys = distinct(found)
+                    c1 = digest(keys)[0]
+                    if not len(keys) or names.get(c1) == len(keys):
+                        continue
+                    names[c1] = len(keys)
+                    sizes.append((c1, len(keys)))
+                    parts.append(order.value.placed(keys)[: len(keys) + (-len(keys) * percent // 100) + 1])
+                lengths = np.array([len(p) for p in parts[1:]], dtype=np.int64)
                 flat = np.concatenate(parts)
                 begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+                own = np.repeat(np.array(sizes, dtype=np.int64).reshape(-1, 2), lengths, axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat.view(np.int64)), pa.array(np.repeat(ids[first : first + len(texts)].astype(np.int64), lengths)), pa.array((np.arange(len(flat)) - begin).astype(np.int32)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), lengths))],
-                    names=["gram", "doc", "pos", "n"],
+                    [pa.array(flat.view(np.int64)), pa.array(own[:, 0]), pa.array((np.arange(len(flat)) - begin).astype(np.int32)), pa.array(own[:, 1].astype(np.int32))],
+                    names=["gram", "c1", "pos", "n"],
                 )
 
-    return docs.mapInArrow(run, "gram long, doc long, pos int, n int")
+    return docs.mapInArrow(run, "gram long, c1 long, pos int, n int")
 
 
 def _possible(percent: int, x: str, y: str, sketches: bool = True) -> Column:
@@ -224,8 +224,8 @@ def _possible(percent: int, x: str, y: str, sketches: bool = True) -> Column:
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, order, n: int, cuts: int, first: int, broadcast_rows: int) -> DataFrame:
-    """(rep, c1, fragment, n, inside, grams) of the representatives in ``wanted`` (rep, c1): their n-grams in the
-    ``first`` fragments of the order, ``inside`` in number. Each has a row for fragment 0, be it empty."""
+    """(node, fragment, n, inside, grams) of the classes in ``wanted`` (node, rep, c1): their n-grams in the ``first``
+    fragments of the order, ``inside`` in number. Each has a row for fragment 0, be it empty."""
     ids = _few(wanted.select(F.col("rep").alias("doc")).distinct(), broadcast_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,8 @@ def _fragments(docs: DataFrame, wanted: DataFrame, order, n: int, cuts: int, fir
             for at, texts in _texts(batch, SLICE):
                 rows = []
                 for i, found in enumerate(ngrams(texts, n)):
-                    c1, keys = digest(distinct(found))[0], order.value.keys(found)
+                    keys = distinct(found)
+                    c1, keys = digest(keys)[0], order.value.placed(keys)
                     part = order.value.fragments(keys, cuts)
                     inside = int((part < first).sum())
                     for f in np.union1d(part[part < first], [0]):
@@ -242,7 +243,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, order, n: int, cuts: int, fir
 
     made = docs.join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(run, "rep long, c1 long, fragment int, n long, inside long, grams array<long>")
     # a repeated id may bring other texts, or the same one again
-    return made.join(wanted, ["rep", "c1"], "left_semi").groupBy("rep", "c1", "fragment").agg(*[F.first(c).alias(c) for c in ("n", "inside", "grams")])
+    return made.join(wanted, ["rep", "c1"]).groupBy("node", "fragment").agg(*[F.first(c).alias(c) for c in ("n", "inside", "grams")])
 
 
 def _few(ids: DataFrame, most: int) -> DataFrame:
@@ -253,11 +254,11 @@ def _few(ids: DataFrame, most: int) -> DataFrame:
 def _overlapping(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Of the (a, b) pairs, those that can reach the threshold: overlaps within each fragment, summed by pair, and at
     most all of what is outside the fragments. If they are the whole order, just those at the threshold."""
-    side = lambda t: fragments.select(F.col("rep").alias(t), F.col("c1").alias(f"{t}_c"), F.col("n").alias(f"{t}_n"), (F.col("n") - F.col("inside")).alias(f"{t}_out"), "fragment", F.col("grams").alias(f"{t}_grams"))
+    side = lambda t: fragments.select(F.col("node").alias(t), F.col("n").alias(f"{t}_n"), (F.col("n") - F.col("inside")).alias(f"{t}_out"), "fragment", F.col("grams").alias(f"{t}_grams"))
     partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
-    partial = partial.select("a", "b", "a_c", "b_c", "a_n", "b_n", "a_out", "b_out", F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
-    total = partial.groupBy("a", "b", "a_c", "b_c").agg(F.sum("common").alias("common"), *[F.first(c).alias(c) for c in ("a_n", "b_n", "a_out", "b_out")])
-    return total.where((100 + percent) * (F.col("common") + F.least("a_out", "b_out")) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
+    partial = partial.select("a", "b", "a_n", "b_n", "a_out", "b_out", F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
+    total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), *[F.first(c).alias(c) for c in ("a_n", "b_n", "a_out", "b_out")])
+    return total.where((100 + percent) * (F.col("common") + F.least("a_out", "b_out")) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
 def similar_documents(
@@ -270,8 +271,8 @@ def similar_documents(
     ``percent`` of their union or more. class_id is the smallest id with the same set, component_id the smallest
     id reachable by links, itself included. A text of fewer than ``n`` words has one n-gram, all its words; one
     without words, null or empty, has none, links with nothing and is its own component. Rows with a null id link
-    with nothing either, their class and component are null. Rows that share an id count as one document
-    with several texts wherever the id represents them. Other columns are left out.
+    with nothing either, their class and component are null. Rows that share an id are documents of their own, with the
+    same id. Other columns are left out.
 
     A class of copies costs one representative, and a group of near copies as many pairs as it has members, plus
     those pairs that the first links leave apart and the exact bounds leave possible.
@@ -285,25 +286,31 @@ def similar_documents(
     sketches = [f"s{k}" for k in range(SKETCH)]
     # copies are counted up before the shuffle: a class of a third of all rows is a row a task
     classes = rows.where("n > 0 AND doc IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.first("n").cast("int").alias("n"), *[F.first(s).alias(s) for s in sketches])
-    classes = written(classes, "jaccard-classes")
+    # a class is known by a number: an id may have several texts
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     known = rows.select("doc", F.col("n").alias("n_shingles"), "c1", "c2")
-    named = known.join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left")
-    named = written(named.select("doc", "n_shingles", F.when(F.col("doc").isNull() | (F.col("n_shingles") == 0), F.col("doc")).otherwise(F.col("rep")).alias("rep")), "jaccard-named")
+    named = known.join(classes.select("c1", "c2", "node", "rep"), ["c1", "c2"], "left")
+    alone = F.col("doc").isNull() | (F.col("n_shingles") == 0)
+    named = written(named.select("doc", "n_shingles", F.when(~alone, F.col("node")).alias("node"), F.when(alone, F.col("doc")).otherwise(F.col("rep")).alias("rep")), "jaccard-named")
 
     by_gram = Window.partitionBy("gram")
-    shared = lambda rows: rows.withColumn("times", F.count("*").over(by_gram)).where("times > 1")
-    met = shared(_prefixes(source.where("doc IS NOT NULL"), order, n, percent)).drop("times")
-    names = named.where("n_shingles > 0").select("doc", F.col("n_shingles").cast("int").alias("n"), "rep").distinct()
-    lists = met.join(names, ["doc", "n"]).groupBy("gram", F.col("rep").alias("doc"), "n").agg(F.min("pos").alias("pos"))
-    lists = written(shared(lists), "jaccard-lists")
+
+    def listed(prefixes: DataFrame, tag: str) -> DataFrame:
+        """(gram, doc, n, pos, times) of n-grams in two or more sets. Copies are one row before the first shuffle of a task's
+        rows and one row after it; lists are counted by partial sums and then joined, which Spark splits where a list is long."""
+        sets = written(prefixes.groupBy("gram", "c1", "n").agg(F.min("pos").alias("pos")), f"{tag}-sets")
+        times = sets.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
+        return sets.join(times, "gram").join(classes.select("c1", "n", F.col("node").alias("doc")), ["c1", "n"]).select("gram", "doc", "n", "pos", "times")
+
+    lists = written(listed(_prefixes(source.where("doc IS NOT NULL"), order, n, percent), "jaccard-prefixes"), "jaccard-lists")
     # Two sets that share n-grams of long lists only in their prefixes are both in such a list. So the sets in them
     # take prefixes in another order, with these n-grams last, and the long lists go.
     frequent = sets.where("gram IS NOT NULL").select("gram", "times").union(lists.where((F.col("times") >= long_list) & (F.col("gram") >= 0)).groupBy("gram").agg(F.max("times").alias("times")))
     again = spark.sparkContext.broadcast(_order(frequent, most_frequent))
-    moved = source.join(_few(lists.where(F.col("times") >= long_list).select("doc").distinct(), broadcast_rows), "doc", "left_semi").select("doc", "text")
-    moved = _prefixes(moved, again, n, percent).join(classes.select(F.col("rep").alias("doc"), "n"), ["doc", "n"], "left_semi")
-    moved = moved.groupBy(F.xxhash64("gram", F.lit("again")).alias("gram"), "doc", "n").agg(F.min("pos").alias("pos"))
-    lists = written(lists.where(F.col("times") < long_list).unionByName(shared(moved)), "jaccard-lists-again")
+    crowded = lists.where(F.col("times") >= long_list).select(F.col("doc").alias("node")).distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc")).distinct()
+    moved = source.join(_few(crowded, broadcast_rows), "doc", "left_semi").select("doc", "text")
+    moved = _prefixes(moved, again, n, percent).withColumn("gram", F.xxhash64("gram", F.lit("again")))
+    lists = written(lists.where(F.col("times") < long_list).unionByName(listed(moved, "jaccard-moved")), "jaccard-lists-again")
 
     # the leader of a list: whose n-grams the most others have, for its size
     score = lists.groupBy("doc").agg((F.sum("times") / F.first("n")).alias("score"))
@@ -311,10 +318,10 @@ def similar_documents(
     first = led.alias("x").select("x.*", F.struct((-F.col("leader.doc")).alias("doc"), "leader.n", "leader.pos").alias("y")).where("x.doc <> y.doc").where(_possible(percent, "x", "y", sketches=False))
     rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("times"), "other"))
     first = first.groupBy("doc", F.col("y.doc").alias("other")).agg(F.count("*").alias("times")).withColumn("rank", rank).where(F.col("rank") <= leaders)
-    marks = classes.select(F.col("rep").alias("doc"), "n", *sketches)
+    marks = classes.select(F.col("node").alias("doc"), "n", *sketches)
 
     def overlapping(pairs: DataFrame, first: int, tag: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "c1"), "rep")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep", "c1"), "node")
         return written(_overlapping(pairs, _fragments(source, wanted, again, n, cuts, first, broadcast_rows), percent), f"jaccard-{tag}")
 
     def by_id(pairs: DataFrame) -> DataFrame:
@@ -335,8 +342,10 @@ def similar_documents(
     # few of these are links: a quarter of the fragments shows that of most
     rest = overlapping(rest, cuts // 4, "rest-possible")
     links = links.union(overlapping(rest, 2 * cuts, "rest-links")).toDF("u", "v")
-    parts = connected_components(links).select(F.col("node").alias("rep"), "component")
-    return named.join(parts, "rep", "left").select(F.col("doc").alias(id_col), "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    parts = connected_components(links)
+    least = parts.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    parts = parts.join(least, "component").select("node", F.col("least").alias("component"))
+    return named.join(parts, "node", "left").select(F.col("doc").alias(id_col), "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def _possible_by_sketch(percent: int) -> Column:

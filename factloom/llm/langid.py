@@ -163,15 +163,21 @@ def train(
     return LanguageFilter.build(languages, {k: g["gram"].to_numpy().astype(np.uint32) for k, g in top.groupby("lang")}, bits)
 
 
+def most_likely(text_col: str = "text", width: float = 2.0):
+    """The score that a text may have but for chance: its n-grams are about as many as its characters, so chance moves the
+    share found by some 1 / sqrt(characters)."""
+    return F.col("score") + width / F.sqrt(F.greatest(F.length(text_col), F.lit(1)))
+
+
 def low_scores(
-    labelled: DataFrame, model: LanguageFilter, quantile: float, least_chars: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    labelled: DataFrame, model: LanguageFilter, quantile: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     docs_per_language: int = 4_000, most_languages: int = 1_024,
 ) -> dict[str, float]:
-    """By language, the exact ``quantile`` of the scores of ``train``'s sample: rows of ``least_chars`` characters or
-    more that are told to be in their own language. A language without such rows is left out."""
+    """By language, the exact ``quantile`` of ``most_likely`` scores of ``train``'s sample: rows that are told to be in
+    their own language. A language without such rows is left out."""
     _, sample = sampled(labelled, id_col, text_col, lang_col, docs_per_language, most_languages)
-    told = identify(sample.where(F.length("text") >= least_chars), model).where("lang = lang_pred")
-    return {r["lang"]: r["low"] for r in told.groupBy("lang").agg(F.percentile("score", F.lit(quantile)).alias("low")).collect()}
+    told = identify(sample, model).where("lang = lang_pred")
+    return {r["lang"]: r["low"] for r in told.groupBy("lang").agg(F.percentile(most_likely(), F.lit(quantile)).alias("low")).collect()}
 
 
 def held_out(id_col: str = "doc_id"):

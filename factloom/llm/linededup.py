@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, scratch_path
+from .common import ready, remove, scratch_path, settings, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
-RUN = "h1 long, h2 long, n long, newest long"
+#: Scans of sorted buckets tell that they are sorted.
+ORDERED = {"spark__sql__legacy__bucketedTableScan__outputOrdering": "true"}
 
 
 def line_hash(line: bytes, least: int) -> bytes | None:
@@ -47,63 +50,80 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
 class LineRuns:
     """Counts of line keys as sorted runs (h1, h2, n, newest) on levels, as a log-structured merge tree.
 
-    Each batch adds one run to level 0. A level with ``fanout`` runs is compacted into one run of the next
-    level: runs are summed by key, so a key has at most one row a run and levels grow with the logarithm of
-    the number of batches. n is the number of documents, newest the largest document id. A key is settled
-    for a batch once earlier runs have it in ``min_docs`` documents and with a newer document than any of
+    A run is a table of ``buckets`` files by key, each sorted: runs have equal buckets, so they are merged and joined
+    bucket by bucket, without an exchange and in the order in which they lie. Each batch adds one run to level 0. A level
+    with ``fanout`` runs is compacted into one run of the next level: a key has at most one row a run and levels grow
+    with the logarithm of the number of batches. n is the number of documents, newest the largest document id. A key is
+    settled for a batch once earlier runs have it in ``min_docs`` documents and with a newer document than any of
     the batch: the batch is merge-anti-joined against the runs' settled keys and adds only what is left.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3, min_docs: int = 3):
-        self.spark, self.fanout, self.min_docs = spark, fanout, min_docs
+    def __init__(self, spark: SparkSession, fanout: int = 3, min_docs: int = 3, buckets: int = 8):
+        self.spark, self.fanout, self.min_docs, self.buckets = spark, fanout, min_docs, buckets
         self.levels: list[list[str]] = []
 
     def _write(self, keys: DataFrame, level: int) -> None:
-        path = scratch_path(self.spark, f"line-run-{level}")
-        keys.sortWithinPartitions("h1", "h2").write.parquet(path)  # partitioned by key already: each file is sorted
+        path, name = scratch_path(self.spark, f"line-run-{level}"), f"line_run_{uuid.uuid4().hex}"
+        with settings(self.spark, **ORDERED):
+            keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._write(self._sum(full), level + 1)
-
-    def _sum(self, paths: list[str]) -> DataFrame:
-        runs = self.spark.read.schema(RUN).parquet(*paths)
+            for name in full:
+                self.drop(name)
+
+    def drop(self, name: str) -> None:
+        place = self.spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, place)
+
+    def _sum(self, names: list[str]) -> DataFrame:
+        # bucket k of all runs is one partition of the union. The filter (n is 1 at least) makes the scans' columns rows: a
+        # union of columnar scans would put the buckets behind one another, but pass for partitioned by key (Spark 4.1).
+        runs = reduce(DataFrame.unionAll, [self.spark.table(n).where("n > 0") for n in names])
         return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
 
     def counts(self) -> DataFrame | None:
         """(h1, h2, n, newest) of all keys so far; n of a settled key may stay at the count that settled it."""
-        paths = [p for level in self.levels for p in level]
-        return self._sum(paths) if paths else None
+        names = [n for level in self.levels for n in level]
+        return self._sum(names) if names else None
 
-    def add(self, keys: DataFrame) -> None:
-        """Adds a batch's (h1, h2, doc) rows, one for each key and document."""
-        batch = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("newest"))
+    def batch(self, keys: DataFrame) -> DataFrame:
+        """What a batch's (h1, h2, doc) rows, one for each key and document, add. Counts are summed before they are dealt
+        to the buckets: a key of a third of all documents is a row a task."""
+        batch = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("newest")).repartition(self.buckets, "h1", "h2")
         if (known := self.counts()) is not None:
             settled = known.where(F.col("n") >= self.min_docs).select("h1", "h2", F.col("newest").alias("settled"))
             batch = batch.join(settled.hint("merge"), (batch.h1 == settled.h1) & (batch.h2 == settled.h2) & (F.coalesce(batch.newest <= settled.settled, F.col("newest").isNull())), "left_anti")
-        self._write(batch, 0)
+        return batch
+
+    def add(self, keys: DataFrame) -> None:
+        self._write(self.batch(keys), 0)
 
 
-def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
-    """(doc, text) in ``n`` ranges of the id, largest ids first; a null id is in the last."""
-    cuts = docs.agg(F.percentile_approx("doc", [k / n for k in range(n - 1, 0, -1)], 1000)).first()[0] or []
+def batches_of(keys: DataFrame, n: int) -> list[DataFrame]:
+    """(.., doc) rows in ``n`` ranges of the id, largest ids first; a null id is in the last."""
+    cuts = keys.agg(F.percentile_approx("doc", [k / n for k in range(n - 1, 0, -1)], 1000)).first()[0] or []
     cuts = list(dict.fromkeys(cuts))
     if not cuts:
-        return [docs]
-    between = [docs.where((F.col("doc") > low) & (F.col("doc") <= high)) for high, low in zip(cuts, cuts[1:], strict=False)]
-    return [docs.where(F.col("doc") > cuts[0]), *between, docs.where(F.col("doc").isNull() | (F.col("doc") <= cuts[-1]))]
+        return [keys]
+    between = [keys.where((F.col("doc") > low) & (F.col("doc") <= high)) for high, low in zip(cuts, cuts[1:], strict=False)]
+    return [keys.where(F.col("doc") > cuts[0]), *between, keys.where(F.col("doc").isNull() | (F.col("doc") <= cuts[-1]))]
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, salts: int = 16, runs: LineRuns | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, salts: int = 16,
+    bucket_keys: int = 1_000_000, runs: LineRuns | None = None,
 ) -> DataFrame:
     """``docs`` with the text's kept lines in place of the text, and n_lines and n_dropped added.
 
     A line's key is the line stripped of ASCII blanks, A-Z in lower case. Keys of ``least_chars`` code points
     or more in ``min_docs`` documents or more lose all lines but those of the largest id that holds them.
-    Documents come in ``batches`` ranges of ids, newest first, through ``runs`` (given: runs of earlier batches).
+    Documents come in ``batches`` ranges of ids of about equal numbers of keys, newest first, through ``runs`` (given: runs
+    of earlier batches; else with a bucket for each ``bucket_keys`` keys, and one a core at least).
     Each row counts as a document, also when ids repeat; rows that share the largest id all keep the line. A
     null id is smaller than all others; if only such rows hold a key, they keep it. Null or empty text is one
     empty line and stays null or empty. Columns named n_lines and n_dropped are replaced; all others stay.
@@ -111,12 +131,13 @@ def dedup_lines(
     spark = docs.sparkSession
     ready(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    runs = runs or LineRuns(spark, fanout, min_docs)
-    for batch in batches_of(source, batches):
-        runs.add(line_keys(batch, least_chars))
+    keys = written(line_keys(source, least_chars), "line-keys")  # texts are read twice: here and at the end
+    runs = runs or LineRuns(spark, fanout, min_docs, max(spark.sparkContext.defaultParallelism, -(-keys.count() // bucket_keys)))
+    for batch in batches_of(keys, batches):
+        runs.add(batch)
     hot = runs.counts().where(F.col("n") >= min_docs).select("h1", "h2", "newest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     # a key may be in a third of all documents: its rows are dealt to `salts` tasks
-    met = line_keys(source, least_chars).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    met = keys.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
     lost = met.join(hot, ["h1", "h2", "salt"]).where(~F.col("newest").eqNullSafe(F.col("doc")))
     lost = lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
 

@@ -46,7 +46,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int, most_source
     return sources.sparkSession.createDataFrame(out, "source string, source_size long, target double")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: id, source, size (words), source_size, target, copies, taken = copies * size.
 
     Each document gets floor(target / source_size) copies, and one more if its hash is under the source's
@@ -56,9 +56,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document at the boundary is taken if the mix comes nearer to its target with it (on a tie, not).
     Rows with equal ids share a hash and are taken or left together. A null source is a source, the last; a
     null text has size 0; sources of size 0 have target 0. Reruns agree: the hash depends on the id alone.
+    ``keep`` names columns to give besides; then the table is read once more, else texts are read once. Columns named
+    as the added ones can't be kept.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("hash"))
-    rows = written(rows, "mix-sizes")  # texts are read once
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.col(id_col)).alias("hash"), *keep)
+    rows = written(sized.select("id", "source", "size", "hash"), "mix-sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     plan = plan.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
     plan = plan.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
@@ -71,8 +73,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "source", (F.col("threshold") + F.when(F.col("below") + F.col("edge") - F.col("budget") < F.col("budget") - F.col("below"), 1).otherwise(0)).alias("threshold"))
     final = plan.join(final.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "budget").withColumnRenamed("source", "s")
     copies = (F.col("copies") + (F.col("hash") < F.col("threshold")).cast("int")).cast("int")
-    return rows.join(_small(final), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return (sized if keep else rows).join(_small(final), F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("id").alias(id_col), *keep, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def _small(plan: DataFrame) -> DataFrame:

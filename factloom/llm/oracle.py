@@ -14,27 +14,27 @@ FROM d LEFT JOIN m ON d.digest = m.digest
 
 OP3 = f"""
 WITH RECURSIVE w AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
-n AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
-g AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
-p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * common >= 80 * (x.n + y.n - common)),
-r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+n AS MATERIALIZED (SELECT r, doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+g AS MATERIALIZED (SELECT r, unnest(s) AS g FROM s WHERE doc_id IS NOT NULL),
+p AS MATERIALIZED (SELECT a.r AS a, b.r AS b, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+t AS (SELECT r, r AS reached FROM n UNION SELECT t.r, l.b FROM t JOIN l ON l.a = t.reached)
 SELECT n.doc_id, n.n AS n_shingles, c.component_id
-FROM n JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = n.doc_id
+FROM n JOIN (SELECT t.r, min(m.doc_id) AS component_id FROM t JOIN n m ON m.r = t.reached GROUP BY t.r) c ON c.r = n.r
 """
 
 OP4 = f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key FROM l),
-h AS (SELECT key, max(doc_id) AS newest FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
-SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (h.newest > k.doc_id) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (h.newest IS NULL OR h.newest = k.doc_id), '')) AS kept_sha256
-FROM k LEFT JOIN h ON k.key = h.key GROUP BY k.doc_id
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT r, doc_id, i, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS key FROM l),
+h AS (SELECT key, max(doc_id) AS newest FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+m AS (SELECT k.*, h.key IS NOT NULL AND h.newest IS DISTINCT FROM k.doc_id AS dropped FROM k LEFT JOIN h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
 """
 
 OP5 = """
@@ -65,38 +65,46 @@ SELECT doc_id, source, size, source_size, target, CAST(n AS INTEGER) AS copies,
 
 OP8 = """
 WITH t AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS raw, replace(coalesce(text, ''), '<|', '< |') AS text,
-         coalesce(CAST(floor(turn / 1024) AS BIGINT), 0) AS chunk FROM conversations),
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS raw, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 p AS (
-  SELECT t.conv_id, v.perspective, t.chunk, t.turn, t.speaker, t.raw, t.speaker = v.perspective AS own,
-         '<|im_start|>' || CASE WHEN t.speaker = v.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user name=' || replace(t.speaker, '<|', '< |') END || chr(10) AS head,
+  SELECT t.conv_id, v.perspective, t.turn, t.speaker, t.raw, t.speaker = v.perspective AS own,
+         '<|im_start|>' || CASE WHEN t.speaker = v.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(replace(t.speaker, '<|', '< |'), '[\\r\\n]+', ' ', 'g') END || chr(10) AS head,
          t.text || '<|im_end|>' AS body
   FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
 o AS (
-  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn NULLS FIRST, speaker, raw ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS stop FROM p)
-SELECT conv_id, perspective, chunk, count(*) AS n_turns, count(*) FILTER (own) AS n_targets,
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, raw ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS stop FROM p)
+SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (own) AS n_targets,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, speaker, raw) AS text,
        coalesce(string_agg(CAST(stop - length(body) AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY stop) FILTER (own), '') AS mask
-FROM o GROUP BY conv_id, perspective, chunk
+FROM o GROUP BY conv_id, perspective
 """
 
 OP10 = f"""
-WITH lw AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+WITH lw AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
 bw AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
 k AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS key FROM bw WHERE len(w) > 0),
 z AS (SELECT DISTINCT size FROM k),
 q AS (
-  SELECT doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS key,
+  SELECT r, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS key,
          unnest(range(1, len(w) - size + 2)) AS i FROM lw, z WHERE len(w) >= size),
-m AS MATERIALIZED (SELECT q.doc_id, q.i, q.size, k.item_id FROM q JOIN k ON q.size = k.size AND q.key = k.key),
-hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM m) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+m AS MATERIALIZED (SELECT q.r, q.i, q.size, k.item_id FROM q JOIN k ON q.size = k.size AND q.key = k.key),
+j AS MATERIALIZED (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + size)) AS j FROM m)),
+hit AS (SELECT r, count(*) AS n FROM j GROUP BY r),
+runs AS (SELECT r, min(j) AS a, max(j) AS b FROM (SELECT r, j, j - row_number() OVER (PARTITION BY r ORDER BY j) AS run FROM j) GROUP BY r, run),
+gaps AS (SELECT r, w, string_split_regex(text, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS g FROM lw WHERE r IN (SELECT r FROM j)),
+places AS (
+  SELECT runs.r, coalesce(list_sum(list_transform(g[1:a], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:a - 1], lambda x: length(x))), 0) AS first,
+         coalesce(list_sum(list_transform(g[1:b], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:b], lambda x: length(x))), 0) AS last
+  FROM runs JOIN gaps ON runs.r = gaps.r),
+spans AS (SELECT r, string_agg(CAST(first AS BIGINT) || ':' || CAST(last AS BIGINT), ',' ORDER BY first) AS l FROM places GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS l FROM (SELECT DISTINCT r, coalesce(CAST(item_id AS VARCHAR), '') AS item_id FROM m) GROUP BY r)
 SELECT lw.doc_id, CAST(len(lw.w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
-       sha256(coalesce(items.l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM lw LEFT JOIN hit ON lw.doc_id = hit.doc_id LEFT JOIN items ON lw.doc_id = items.doc_id
+       sha256(coalesce(items.l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(spans.l, '') AS hit_spans
+FROM lw LEFT JOIN hit ON lw.r = hit.r LEFT JOIN items ON lw.r = items.r LEFT JOIN spans ON lw.r = spans.r
 """
 
 

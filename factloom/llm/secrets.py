@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,79 +21,119 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{18,}={0,2}"
 CLASSES = (("lower hex", r"^[0-9a-f]+$", 3.0), ("upper hex", r"^[0-9A-F]+$", 3.0), ("alphanumeric", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^", 3.8))
 #: A window of both letters and digits in one of the hex classes is held to this, whatever class its candidate has.
 HEX_BITS = 3.0
-#: Candidates that are no secrets: words or numbers joined by marks (paths, names), one class of letters, UUIDs.
-ALLOWED = (
-    r"^[+/_=-]*(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*$", r"^[+/_=-]*$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-)
+#: A candidate in which no letter stands beside a digit is words and numbers joined by marks: a path, a name, a ruler.
+MIXED = r"[A-Za-z][0-9]|[0-9][A-Za-z]"
+#: Candidates that are no secrets: UUIDs. No pattern here repeats a group: Java matches such by recursion, once a round.
+ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",)
 WINDOW, UNIT = 20, 1_000_000
+#: Windows folded at a time, and rows of an array gathered at a time.
+BLOCK, CHUNK = 65_536, 256
 
-SPAN = "array<struct<start:int,rank:int,end:int,text:string>>"
+SPAN = "struct<start:int,rank:int,end:int,first:int,last:int,text:string>"
 
 
 def _none() -> Column:
-    return F.array().cast(SPAN)
+    return F.array().cast(f"array<{SPAN}>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(rows: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """An array of what ``emit`` (of type ``kind``) gives for each row and the state before it. Arrays are gathered in chunks of CHUNK and
+    then joined, so that no row copies all earlier ones."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda k: F.slice(rows, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def chunk(s: Column, part: Column) -> Column:
+        return F.aggregate(
+            part, F.struct(s["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")),
+            lambda t, r: F.struct(step(t["state"], r).alias("state"), F.concat(t["out"], F.array(emit(t["state"], r)).cast(f"array<{kind}>")).alias("out")),
+            lambda t: F.struct(t["state"].alias("state"), F.concat(s["out"], F.array(t["out"])).alias("out")))
+
+    done = F.aggregate(parts, F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), chunk, lambda s: F.flatten(s["out"]))
+    return F.when(F.size(rows) > 0, done).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def matches(text: Column, pattern: str, rank: int, group: int | None = None, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points, end exclusive.
+    """Spans of the leftmost non-overlapping matches: start and end in code points, first and last in bytes, ends exclusive.
 
     What stands between the matches gives the offsets: a split by the same pattern. If a group is named,
     matches whose group is under ``least`` characters go, after they have taken their place.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group or 0))
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), parts.alias("part"))
-    found = F.aggregate(
-        rows, F.struct(F.lit(0).alias("at"), _none().alias("out")),
-        lambda s, r: F.when(r["hit"].isNull(), s).otherwise(F.struct(
-            (s["at"] + F.length(r["gap"]) + F.length(r["hit"])).alias("at"),
-            F.when(F.length(r["part"]) >= least, F.concat(s["out"], F.array(F.struct(
-                (s["at"] + F.length(r["gap"])).alias("start"), F.lit(rank).alias("rank"), (s["at"] + F.length(r["gap"]) + F.length(r["hit"])).alias("end"), r["hit"].alias("text"),
-            )).cast(SPAN))).otherwise(s["out"]).alias("out"))),
-        lambda s: s["out"],
-    )
-    return F.when(text.rlike(pattern), found).otherwise(_none())
-
-
-def _weights(window: int) -> Column:
-    """c * log2(c) for counts 0 to ``window``, in millionths."""
-    return F.array(*[F.lit(round(c * math.log2(c) * UNIT) if c else 0).cast("long") for c in range(window + 1)])
-
-
-def random_part(candidate: Column, bits: Column, window: int) -> Column:
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group or 0)).alias("part"))
+    sized = F.transform(rows, lambda r: F.struct(
+        F.length(r["gap"]).alias("gap"), F.octet_length(r["gap"]).alias("gap_bytes"), F.length(r["hit"]).alias("hit"), F.octet_length(r["hit"]).alias("hit_bytes"), (F.length(r["part"]) >= least).alias("kept"), r["hit"].alias("text")))
+    moved = lambda s, r: F.struct((s["at"] + r["gap"] + r["hit"]).alias("at"), (s["byte"] + r["gap_bytes"] + r["hit_bytes"]).alias("byte"))
+    span = lambda s, r: F.struct(
+        (s["at"] + r["gap"]).alias("start"), F.when(r["kept"], rank).otherwise(-1).alias("rank"), (s["at"] + r["gap"] + r["hit"]).alias("end"),
+        (s["byte"] + r["gap_bytes"]).alias("first"), (s["byte"] + r["gap_bytes"] + r["hit_bytes"]).alias("last"), r["text"].alias("text"))
+    found = let(sized, lambda x: running(x, F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte")), moved, span, SPAN))
+    return F.when(text.rlike(pattern), F.filter(found, lambda s: s["rank"] >= 0)).otherwise(_none())
+
+
+def _byte(binary: Column, at: Column) -> Column:
+    """The byte at a place from 0, below 128: a cut of a binary, whose cost doesn't grow with the place."""
+    return F.ascii(F.substring(binary, at + 1, F.lit(1)).cast("string"))
+
+
+def _numbers(values: list[int], kind: str = "int") -> Column:
+    return F.array(*[F.lit(v).cast(kind) for v in values])
+
+
+def random_part(candidate: Column, bits: Column, window: int, block: int = BLOCK) -> Column:
     """(first, last) place of windows of ``window`` characters with at least ``bits`` of entropy a character, or
-    HEX_BITS in a window of hex letters of one case and digits; first -1 if none.
+    HEX_BITS in a window of hex letters of one case and digits; first -1 if none. Candidates are ASCII.
 
     With counts c, entropy is log2(window) - sum(c * log2(c)) / window. One count goes up and one goes down as
-    the window moves, so the sum changes by two table look-ups.
+    the window moves, so the sum changes by two table look-ups. The counts are a byte a symbol. Windows are
+    folded in blocks, each from its own beginning, so that memory doesn't grow with the candidate.
     """
-    table = _weights(window)
-    of = lambda count: F.element_at(table, count + 1)
+    weight = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(window + 2)]
+    gain, loss = _numbers([weight[c + 1] - weight[c] for c in range(window + 1)], "long"), _numbers([weight[c] - weight[max(c - 1, 0)] for c in range(window + 1)], "long")
+    code = _numbers([0 if 48 <= c <= 57 else 1 if 97 <= c <= 102 else 2 if 65 <= c <= 70 else 3 for c in range(128)])
     under = lambda least: F.floor((F.lit(math.log2(window)) - least) * window * UNIT)
-    most, most_hex = under(bits), under(F.lit(HEX_BITS))
-    # digit, lower, upper: where the last digit, a-f and A-F were; other: where the last of all others was
-    step_type = "struct<counts:array<int>,total:bigint,first:int,last:int,digit:int,lower:int,upper:int,other:int>"
-
-    def step(s: Column, i: Column) -> Column:
-        enter = F.ascii(F.substring(candidate, i + 1, F.lit(1)))
-        leave = F.when(i >= window, F.ascii(F.substring(candidate, i + 1 - window, F.lit(1)))).otherwise(F.lit(-1))
-        up = F.element_at(s["counts"], enter + 1)
-        down = F.when(leave < 0, F.lit(0)).otherwise(F.element_at(s["counts"], leave + 1))
-        same = enter == leave
-        total = s["total"] + F.when(same, F.lit(0).cast("long")).otherwise(of(up + 1) - of(up) + F.when(leave < 0, F.lit(0).cast("long")).otherwise(of(down - 1) - of(down)))
-        counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda c, k: c + F.when(k == enter, 1).otherwise(0) - F.when(k == leave, 1).otherwise(0)))
-        kinds = {"digit": enter.between(48, 57), "lower": enter.between(97, 102), "upper": enter.between(65, 70)}
-        seen = {k: F.when(is_kind, i).otherwise(s[k]) for k, is_kind in kinds.items()}
-        seen["other"] = F.when(kinds["digit"] | kinds["lower"] | kinds["upper"], s["other"]).otherwise(i)
-        within = {k: at > i - window for k, at in seen.items()}
-        hexed = ~within["other"] & within["digit"] & (within["lower"] != within["upper"])
-        full = (i >= window - 1) & ((total <= most) | (hexed & (total <= most_hex)))
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when(full & (s["first"] < 0), i + 1 - window).otherwise(s["first"]).alias("first"), F.when(full, i + 1).otherwise(s["last"]).alias("last"), *[at.alias(k) for k, at in seen.items()]).cast(step_type)
+    one = F.array(*[F.lit(bytes([c])) for c in range(window + 2)])
+    step_type = "struct<counts:binary,total:bigint,first:int,last:int,digit:int,lower:int,upper:int,other:int>"
+    put = lambda counts, at, count: F.overlay(counts, F.element_at(one, count + 1), at + 1, F.lit(1))
+
+    def step(s: Column, r: Column, most: Column, most_hex: Column) -> Column:
+        i, enter, leave = r["i"], r["enter"], r["leave"]
+        # the leaving one goes first, so that counts stay within the window
+        down = F.when(leave < 0, s["counts"]).otherwise(put(s["counts"], leave, _byte(s["counts"], leave) - 1))
+        lost = F.when(leave < 0, F.lit(0).cast("long")).otherwise(F.element_at(loss, _byte(s["counts"], leave) + 1))
+
+        def moved(counts: Column) -> Column:
+            up = _byte(counts, enter)
+            seen = {name: F.when(r["kind"] == k, i).otherwise(s[name]) for k, name in enumerate(("digit", "lower", "upper", "other"))}
+            return F.struct(put(counts, enter, up + 1).alias("counts"), (s["total"] - lost + F.element_at(gain, up + 1)).alias("total"), *[v.alias(k) for k, v in seen.items()])
+
+        def judged(m: Column) -> Column:
+            within = {k: m[k] > i - window for k in ("digit", "lower", "upper", "other")}
+            hexed = (m["total"] <= most_hex) & ~within["other"] & within["digit"] & (within["lower"] != within["upper"])
+            full = (i >= window - 1) & ((m["total"] <= most) | hexed)
+            return F.struct(m["counts"].alias("counts"), m["total"].alias("total"), F.when(full & (s["first"] < 0), i + 1 - window).otherwise(s["first"]).alias("first"), F.when(full, i + 1).otherwise(s["last"]).alias("last"), *[m[k].alias(k) for k in ("digit", "lower", "upper", "other")]).cast(step_type)
+
+        return let(let(down, moved), judged)
 
     never = [F.lit(-window).alias(k) for k in ("digit", "lower", "upper", "other")]
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), *never).cast(step_type)
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    start = F.struct(F.lit(bytes(128)).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), *never).cast(step_type)
+
+    def folded(part: Column, at: Column, most: Column, most_hex: Column) -> Column:
+        letters = F.transform(F.sequence(F.lit(0), F.octet_length(part) - 1), lambda i: let(_byte(part, i), lambda b: F.struct(
+            i.alias("i"), b.alias("enter"), F.when(i >= window, _byte(part, i - window)).otherwise(-1).alias("leave"), F.element_at(code, b + 1).alias("kind"))))
+        return F.aggregate(letters, start, lambda s, r: step(s, r, most, most_hex), lambda s: F.struct(F.when(s["first"] >= 0, at + s["first"]).alias("first"), F.when(s["first"] >= 0, at + s["last"]).alias("last")))
+
+    def whole(binary: Column, limits: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.octet_length(binary) - window, F.lit(0)), F.lit(block))
+        parts = F.transform(starts, lambda at: let(F.substring(binary, at + 1, F.lit(block + window - 1)), lambda part: folded(part, at, limits["most"], limits["most_hex"])))
+        return let(parts, lambda p: F.struct(F.coalesce(F.array_min(F.transform(p, lambda x: x["first"])), F.lit(-1)).alias("first"), F.coalesce(F.array_max(F.transform(p, lambda x: x["last"])), F.lit(-1)).alias("last")))
+
+    limits = F.struct(under(bits).alias("most"), under(F.lit(HEX_BITS)).alias("most_hex"))
+    return let(limits, lambda m: let(candidate.cast("binary"), lambda b: whole(b, m)))
 
 
 def _class_bits(candidate: Column) -> Column:
@@ -102,16 +143,15 @@ def _class_bits(candidate: Column) -> Column:
     return out
 
 
-def _blanked(candidate: Column, base: Column) -> Column:
-    """The candidate's text with blanks, one for each character, for what lies in base spans."""
-    over = F.array_sort(F.filter(base, lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"])))
-    done = F.aggregate(
-        over, F.struct(candidate["start"].alias("at"), F.lit("").alias("out")),
-        lambda s, b: F.when(b["end"] <= s["at"], s).otherwise(F.struct(
-            F.least(b["end"], candidate["end"]).alias("at"),
-            F.concat(s["out"], F.substring(candidate["text"], s["at"] - candidate["start"] + 1, F.greatest(b["start"] - s["at"], F.lit(0))), F.repeat(F.lit(" "), F.least(b["end"], candidate["end"]) - F.greatest(b["start"], s["at"]))).alias("out"))),
-    )
-    return F.concat(done["out"], F.substring(candidate["text"], done["at"] - candidate["start"] + 1, candidate["end"] - done["at"]))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks, one for each character, for what lies in ``spans`` (sorted by start)."""
+    most = lambda s, r: F.struct(F.greatest(s["at"], r["end"]).alias("at"), F.greatest(s["byte"], r["last"]).alias("byte"))
+    piece = lambda s, r: F.struct(s["byte"].alias("from"), F.greatest(r["first"] - s["byte"], F.lit(0)).alias("bytes"), F.greatest(r["end"] - F.greatest(s["at"], r["start"]), F.lit(0)).alias("blanks"))
+    pieces = running(spans, F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte")), most, piece, "struct<from:int,bytes:int,blanks:int>")
+    end = F.array_max(F.transform(spans, lambda s: s["last"]))
+    return let(text.cast("binary"), lambda raw: F.concat(
+        F.array_join(F.transform(pieces, lambda p: F.concat(F.substring(raw, p["from"] + 1, p["bytes"]).cast("string"), F.repeat(F.lit(" "), p["blanks"]))), ""),
+        F.substring(raw, end + 1, F.octet_length(raw)).cast("string")))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED, allowed_strings: tuple[str, ...] = ()) -> DataFrame:
@@ -119,26 +159,24 @@ def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW,
 
     Offsets are code points of the whole text, end exclusive. The base kinds are ``assign``, ``access`` and ``hex``;
     ``entropy`` spans are added outside of them: runs of base64 characters ("=" at the end only), without what base
-    spans cover, that the allow-list (patterns, exact strings) doesn't hold, from the first to the last window as
-    random as the run's character class asks, or as the hex class asks where the window is hex of letters and
-    digits. Null and empty texts have none. A column of the added name is replaced; all others stay.
+    spans cover, from the first to the last window as random as the run's character class asks, or as the hex class
+    asks where the window is hex of letters and digits. Runs in which no letter stands beside a digit, and those that
+    the allow-list (patterns, exact strings) holds, are left out. Null and empty texts have none. Time and memory grow
+    with the text's length, whatever is in it. A column of the added name is replaced; all others stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = F.concat(matches(text, ASSIGN, 0, group=2, least=8), matches(text, ACCESS, 1), matches(text, HEX, 2))
-    suppressed = lambda c: F.reduce(F.array(*[F.lit(p) for p in allowed]), F.lit(False), lambda a, p: a | F.rlike(c, p)) | c.isin(*allowed_strings)
-    staged = docs.drop("secrets", "__base", "__some").withColumns({"__base": base, "__some": matches(text, CANDIDATE, 3)})
-    cut = lambda c: F.transform(F.array(_blanked(c, F.col("__base"))), lambda t: matches(t, CANDIDATE, 3))[0]
-    moved = lambda c: F.transform(cut(c), lambda p: F.struct((c["start"] + p["start"]).alias("start"), p["rank"].alias("rank"), (c["start"] + p["end"]).alias("end"), p["text"].alias("text")))
-    overlaps = lambda c: F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    pieces = F.flatten(F.transform("__some", lambda c: F.when(overlaps(c), moved(c)).otherwise(F.array(c)).cast(SPAN)))
-    staged = staged.withColumn("__some", F.when((F.size("__some") > 0) & (F.size("__base") > 0), pieces).otherwise(F.col("__some")))
-    candidates = F.filter("__some", lambda c: ~suppressed(c["text"]))
+    base = F.array_sort(F.concat(matches(text, ASSIGN, 0, group=2, least=8), matches(text, ACCESS, 1), matches(text, HEX, 2)))
+    held = lambda c: F.reduce(F.array(*[F.lit(p) for p in allowed]).cast("array<string>"), F.lit(False), lambda a, p: a | F.rlike(c, p)) | c.isin(*allowed_strings)
+    rest = F.when(F.size("__base") > 0, blanked(text, F.col("__base"))).otherwise(text)
+    staged = docs.drop("secrets", "__base", "__some").withColumn("__base", base).withColumn("__some", let(rest, lambda t: matches(t, CANDIDATE, 3)))
+    candidates = F.filter("__some", lambda c: c["text"].rlike(MIXED) & ~held(c["text"]))
 
     def narrowed(c: Column) -> Column:
-        part = random_part(c["text"], _class_bits(c["text"]), window)
-        return F.transform(F.array(part), lambda p: F.struct((c["start"] + p["first"]).alias("start"), F.when(p["first"] < 0, -1).otherwise(3).alias("rank"), (c["start"] + p["last"]).alias("end"), F.substring(c["text"], p["first"] + 1, p["last"] - p["first"]).alias("text")))[0]
+        return let(random_part(c["text"], _class_bits(c["text"]), window), lambda p: F.struct(
+            (c["start"] + p["first"]).alias("start"), F.when(p["first"] < 0, -1).otherwise(3).alias("rank"), (c["start"] + p["last"]).alias("end"),
+            (c["first"] + p["first"]).alias("first"), (c["first"] + p["last"]).alias("last"), F.substring(c["text"], p["first"] + 1, p["last"] - p["first"]).alias("text")))
 
-    random = F.when(F.size("__some") > 0, F.filter(F.transform(candidates, narrowed), lambda s: s["rank"] == 3).cast(SPAN)).otherwise(_none())
+    random = F.when(F.size("__some") > 0, F.filter(F.transform(candidates, narrowed), lambda s: s["rank"] == 3).cast(f"array<{SPAN}>")).otherwise(_none())
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.transform(F.array_sort(F.concat("__base", random)), lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["rank"] + 1).alias("kind"), s["end"].alias("end"), s["text"].alias("text")))
     return staged.withColumn("secrets", spans).drop("__base", "__some")

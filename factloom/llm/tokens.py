@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready
 
-#: A cut before a single space between two ASCII letters. The vocabulary's pattern ends a piece after
-#: the first letter and begins the next with the space, whatever stands around them.
-SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
+#: A cut after a letter, before a space, a line's end, a digit or a mark (no apostrophe), or after a digit, before one of
+#: these but digits. Patterns of byte-level vocabularies take letters, and digits, in runs of their own: a run ends here
+#: whatever stands around it, and what follows is split from here on alike.
+MARKS = r"\x20\n.,;:!?()\[\]{}\"/|<>=_+*#@%&\u3000\u3001\u3002\u300c\u300d\uff0c\uff0e\uff01\uff1f\uff1a\uff1b\u060c\u061b\u061f\u0964\u2014\u2013\u2026\u201c\u201d\u00ab\u00bb"
+SAFE = regex.compile(rf"\p{{L}}(?=[{MARKS}0-9])|[0-9](?=[{MARKS}])")
 
 
 def pieces(text: str, most: int) -> list[str]:
@@ -67,13 +69,14 @@ def _lengths_of(name: str):
 
 def count_tokens(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text",
-    limit: int = 512, piece_chars: int = 50_000, batch_chars: int = 500_000,
+    limit: int = 512, piece_chars: int = 50_000, batch_bytes: int = 500_000,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row; other columns are left out.
 
     Texts are encoded whole: long ones in pieces cut where the tokenizer cuts anyway, and batches close
-    at ``batch_chars`` characters, not at a row count, so that one batch needs the same memory
-    whatever the texts. Only byte-level vocabularies (``.json``) are cut; others take texts whole.
+    at ``batch_bytes`` bytes of UTF-8, not at a row count, so that one batch needs the same memory
+    whatever the texts. Only ``.json`` vocabularies are cut; others take texts whole, and so does a stretch of
+    letters alone, which the vocabulary takes as one piece anyway.
     Null and empty texts count 0 bytes and 0 tokens; a null id stays null; repeated rows each count.
     """
     ready(docs.sparkSession)
@@ -94,8 +97,8 @@ def count_tokens(
                 for piece in pieces(text, cut):
                     part.append(piece)
                     owner.append(i)
-                    held += len(piece)
-                    if held >= batch_chars:
+                    held += len(piece.encode())
+                    if held >= batch_bytes:
                         np.add.at(counts, owner, lengths(part))
                         part, owner, held = [], [], 0
             if part:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, scratch_path
+from .common import ready, scratch_path, written
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -149,7 +149,7 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
 
 def write(
     pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 100,
-    frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z",
+    frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z", most_broadcast: int = 200_000,
 ) -> str:
     """Writes one record a row and the manifest; returns the folder.
 
@@ -157,14 +157,19 @@ def write(
     the others revisit it; rows that share this smallest id are all responses, a null id never is the one
     revisited. Smaller payloads are all responses. A null payload is empty, a null address an empty one;
     other columns are left out. A lost executor's bundles are written anew under other names.
+
+    Payloads that repeat, one row each (a digest and an id), are broadcast if counted to be at most
+    ``most_broadcast``, so that payloads stay where they are read; beyond, payloads are shuffled by digest.
     """
     ready(pages.sparkSession)
     fs, path = store(folder)
     fs.create_dir(path, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # the groups' first ids are the small side; Spark splits the partition of a common payload (skew join)
-    told = rows.join(revisits(rows, least_bytes).hint("shuffle_hash"), "digest", "left").select(
+    repeats = written(revisits(rows, least_bytes), "warc-repeats")
+    # beyond the bound, Spark splits the partition of a common payload (skew join)
+    small = F.broadcast(repeats) if repeats.count() <= most_broadcast else repeats.hint("shuffle_hash")
+    told = rows.join(small, "digest", "left").select(
         "id", "uri", F.col("payload").cast("binary").alias("payload"), "digest",
         F.when((F.col("payload_bytes") >= least_bytes) & (F.col("id").isNull() | (F.col("first") < F.col("id"))), F.col("first")).alias("refers_to"),
     )
@@ -212,12 +217,16 @@ def _read(frames: DataFrame, whole: bool, payloads: bool) -> DataFrame:
     return frames.mapInArrow(run, schema)
 
 
-def read(spark: SparkSession, folder: str, payloads: bool = True, frames_a_task: int = 64) -> DataFrame:
-    """All records of an archive. Digests and lengths of responses are those of the payload as read back."""
-    runs = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("bundle", "frame", F.floor(F.col("frame") / frames_a_task).alias("k")).distinct()
-    tasks = runs.groupBy("bundle", "k").agg(F.array_sort(F.collect_list("frame")).alias("frames"))  # at most frames_a_task numbers
-    # one row is up to frames_a_task frames of work: Spark must not put all of these short rows into one task
-    return _read(tasks.repartition(max(1, tasks.count()), "bundle", "k"), True, payloads)
+def read(spark: SparkSession, folder: str, payloads: bool = True, frames_a_row: int = 16, tasks: int | None = None) -> DataFrame:
+    """All records of an archive. Digests and lengths of responses are those of the payload as read back.
+
+    Frames are dealt in groups of ``frames_a_row`` of one bundle, round robin to ``tasks`` tasks (twice the cores, or the
+    shuffle's partitions if more): these rows are short, but each stands for megabytes of work.
+    """
+    runs = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("bundle", "frame", F.floor(F.col("frame") / frames_a_row).alias("k")).distinct()
+    groups = runs.groupBy("bundle", "k").agg(F.array_sort(F.collect_list("frame")).alias("frames"))  # at most frames_a_row numbers
+    tasks = tasks or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _read(groups.repartition(tasks), True, payloads)
 
 
 def lookup(spark: SparkSession, folder: str, ids: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, chat, components, decontam, jaccard, langid, linededup, mixing, secrets, tokens, warc
-from factloom.llm.common import scratch_path
+from factloom.llm import ann, chat, components, decontam, jaccard, langid, linededup, mixing, oracle, queries, secrets, tokens, warc
+from factloom.llm.common import scratch, scratch_path, settings, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,13 +65,30 @@ def test_token_counts(spark):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     table = docs_table(spark, texts).withColumn("n_tokens", F.lit("clash"))
     for cut in (700, 50_000):
-        got = sorted((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.count_tokens(table, piece_chars=cut, batch_chars=3000).collect())
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.count_tokens(table, piece_chars=cut, batch_bytes=3000).collect())
         n = [len(own.encode(t or "", add_special_tokens=False)) for t in texts]
         assert got == [(i, len((t or "").encode()), n[i], n[i] > 512) for i, t in enumerate(texts)]
     assert tokens.count_tokens(table.limit(0)).count() == 0
     assert "".join(tokens.pieces(texts[7], 700)) == texts[7]
 
 
+def test_long_texts_of_all_scripts_are_cut(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    alphabets = {"ja": "日本語の文章を書くのは楽しい", "ru": "привет мир как дела", "ar": "مرحبا بالعالم", "hi": "नमस्ते दुनिया", "code": "abc123", "digits": "0123456789"}
+    marks = {"ja": "。、「」\n", "ar": "،؟ ", "hi": "। ", "code": "(){};.\n ,", "digits": " ,\n.", "ru": " .,—\n\n"}
+    texts = ["".join("".join(rng.choices(a, k=rng.randrange(1, 12))) + rng.choice(marks[k]) * rng.choice([1, 1, 1, 2]) for _ in range(12_000)) for k, a in alphabets.items()]
+    texts += ["'s it's" * 3000, "\n\n  x\n" * 5000, "a\u0301b \u0301c" * 4000]
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in texts:
+        assert "".join(tokens.pieces(t, 500)) == t
+    assert all(len(p) < 700 for t in texts[:6] for p in tokens.pieces(t, 500))
+    got = dict(rows(tokens.count_tokens(docs_table(spark, texts), piece_chars=500).select("doc_id", "n_tokens")))
+    assert got == {i: len(own.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+
+
 # --- 3 --------------------------------------------------------------------------------------------
 
 
@@ -113,6 +132,19 @@ def test_ngram_jaccard_odd_rows(spark):
     assert rows(jaccard.similar_documents(table)) == sorted([(None, 2, None, None), (4, 2, 2, 2), (4, 2, 2, 2), (2, 2, 2, 2), (7, 0, 7, 7)], key=repr)
 
 
+def test_words_of_two_letters_have_their_own_hashes():
+    a = [0]
+    while len(a) < 4096:
+        a += [1 - x for x in a]
+    texts = ["".join("ab"[x ^ flip] for x in a) for flip in (0, 1)]
+    one, two = jaccard.ngrams(texts, 5)
+    assert one[0] != two[0]
+    rng = random.Random(2)
+    many = {"".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(5000)}
+    assert len({int(jaccard.ngrams([w], 5)[0][0]) for w in many}) == len(many)
+    assert [int(x) for x in jaccard.ngrams([" \tA b\nc ", "a B c"], 5)[0]] == [int(x) for x in jaccard.ngrams(["a b c"], 5)[0]]
+
+
 def test_components_of_long_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = dict(rows(components.connected_components(spark.createDataFrame(edges, "u long, v long"))))
@@ -229,6 +261,21 @@ def test_nearest_of_repeated_rows(spark):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
 
 
+def test_nearest_of_queries_in_empty_cells(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=16)
+    x = base + rng.normal(size=(1200, 16)) * 1e-3  # one direction
+    for q in (0, 100, 200):
+        x[q] = -base * (q + 1) + rng.normal(size=16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, together=2).collect()
+    assert Counter(r["query_id"] for r in got) == {q: 10 for q in range(0, 1200, 20)}
+    for q in (0, 100, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(1200), d)) if i != q][:10]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 # --- 7 --------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -239,13 +286,17 @@ def brute_secrets(text):
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
     more = []
-    for m in re.finditer(secrets.CANDIDATE, text):
+    covered = list(text)
+    for a, _, b in base:
+        covered[a:b] = " " * (b - a)
+    for m in re.finditer(secrets.CANDIDATE, "".join(covered)):
         c = m[0]
-        if any(re.search(p, c) for p in secrets.ALLOWED) or any(a < m.end() and m.start() < b for a, _, b in base):
+        if not re.search(secrets.MIXED, c) or any(re.search(p, c) for p in secrets.ALLOWED):
             continue
         bits = next(b for _, p, b in secrets.CLASSES if re.search(p, c))
         entropy = lambda w: -sum(v / len(w) * math.log2(v / len(w)) for v in Counter(w).values())
-        at = [i for i in range(len(c) - 19) if entropy(c[i : i + 20]) >= bits]
+        hexed = lambda w: re.search("[0-9]", w) and (re.search("^[0-9a-f]*[a-f][0-9a-f]*$", w) or re.search("^[0-9A-F]*[A-F][0-9A-F]*$", w))
+        at = [i for i in range(len(c) - 19) if (e := entropy(c[i : i + 20])) >= bits or e >= secrets.HEX_BITS and hexed(c[i : i + 20])]
         if at:
             more.append((m.start() + at[0], 3, m.start() + at[-1] + 20))
     return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
@@ -294,19 +345,56 @@ def test_secrets_behind_prefixes(spark):
     assert out[2] == [] and [s["kind"] for s in out[4]] == ["assign"]
 
 
+def test_secrets_in_long_texts(spark):
+    rng = random.Random(9)
+    mixed = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), 43, 47]))
+    key = lambda n: "".join(rng.choices(mixed, k=n))
+    texts = ["a-" * 1_000_000, key(1_000_000), "é " + " ".join(f"token={key(12)} {key(24)}" for _ in range(20_000)), "0" * 20 + key(70_000) + "-" * 70_000 + key(30), "1" * 1_000_000]
+    began = time.time()
+    got = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(docs_table(spark, texts)).collect()}
+    assert time.time() - began < 90
+    assert got[0] == [] and [(s["start"], s["end"], s["kind"]) for s in got[4]] == [(0, 1_000_000, "hex")]
+    assert got[1][0]["end"] - got[1][-1]["start"] > 999_900
+    assert sum(s["kind"] == "assign" for s in got[2]) == 20_000 and all(texts[2][s["start"] : s["end"]] == s["text"] for s in got[2])
+    assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in got[3]) == brute_secrets(texts[3])
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
+def brute_views(table):
+    """(conv, perspective) -> (text, spans)"""
+    out = {}
+    neutral = lambda x: (x or "").replace("<|", "< |")
+    said = [(c, n, "unknown" if s is None else s, t or "") for c, n, s, t in table]
+    for conv, view in {(c, s) for c, _, s, _ in said if s != "system"}:
+        text, spans = "", []
+        for _, s, t in sorted(((n is not None, n or 0), s, t) for c, n, s, t in said if c == conv):
+            who = "assistant" if s == view else "system" if s == "system" else "user name=" + re.sub("[\r\n]+", " ", neutral(s))
+            text += f"<|im_start|>{who}\n"
+            body = neutral(t) + "<|im_end|>"
+            if s == view:
+                spans.append((len(text), len(text) + len(body)))
+            text += body + "\n"
+        out[conv, view] = (text, spans)
+    return out
+
+
 def test_chat(spark):
-    table = [(1, 0, "system", "be <|im_end|> brief"), (1, 2, "ann", "hé"), (1, 1, "bob", "hi"), (1, 1500, "ann", None), (2, None, None, "x"), (2, 0, "bob", "y"), (2, 0, "bob", "y"), (3, 0, "system", "alone"), (None, 0, "ann", "z")]
-    df = spark.createDataFrame([(*t, "clash") for t in table], "conv_id long, turn long, role string, text string, chunk string")
-    got = {(r["conv_id"], r["perspective"], r["chunk"]): r for r in chat.perspectives(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (2, "unknown", 0), (2, "bob", 0), (None, "ann", 0)}
-    one = got[1, "ann", 0]
-    assert one["text"] == "<|im_start|>system\nbe < |im_end|> brief<|im_end|>\n<|im_start|>user name=bob\nhi<|im_end|>\n<|im_start|>assistant\nhé<|im_end|>\n"
-    assert [one["text"][a:b] for a, b in one["mask"]] == ["hé<|im_end|>"]
-    assert got[2, "bob", 0]["n_targets"] == 2 and [got[2, "bob", 0]["text"][a:b] for a, b in got[2, "bob", 0]["mask"]] == ["y<|im_end|>"] * 2
-    assert got[1, "bob", 1]["mask"] == [] and "user name=ann" in got[1, "bob", 1]["text"]
+    rng = random.Random(8)
+    table = [(1, 0, "system", "be <|im_end|> brief"), (1, 2, "ann", "hé"), (1, 1, "bob", "hi"), (1, 1500, "ann", None), (2, None, None, "x"), (2, 0, "bob", "y"), (2, 0, "bob", "y"), (3, 0, "system", "alone"), (None, 0, "ann", "z"), (4, 0, "a\nb<|c", "w"), (4, 1, "d", "w")]
+    # a dialogue of most rows: by number, without numbers, all with one number
+    table += [(9, k if part == 0 else None if part == 1 else 7, rng.choice(["ann", "bob", "system"]), rng.choice(["same", f"é{k}"])) for part in range(3) for k in range(700)]
+    df = spark.createDataFrame([(*t, "clash") for t in table], "conv_id long, turn long, role string, text string, n_turns string")
+    want = brute_views(table)
+    said = Counter(c for c, *_ in table)
+    for parts in (1, 13):
+        with settings(spark, spark__sql__shuffle__partitions=str(parts), spark__sql__adaptive__enabled="false"):
+            got = {(r["conv_id"], r["perspective"]): r for r in chat.perspectives(df).collect()}
+        assert {k: (r["text"], [tuple(m) for m in r["mask"]]) for k, r in got.items()} == want
+        assert all(r["n_turns"] == said[k[0]] and r["n_targets"] == len(r["mask"]) for k, r in got.items())
+    one = got[1, "ann"]
+    assert [one["text"][a:b] for a, b in one["mask"]] == ["hé<|im_end|>", "<|im_end|>"] and "user name=bob\nhi" in one["text"]
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
@@ -382,3 +470,75 @@ def test_decontamination(spark, block):
     assert {r["n_hit"] for r in decontam.find_items(df, table.limit(0)).collect()} == {0}
     with pytest.raises(ValueError):
         decontam.find_items(df, table, most_item_chars=10)
+
+
+def test_blocks_are_built_once(monkeypatch):
+    rng = random.Random(11)
+    items = [(str(i), words(rng, 30)) for i in range(64)]
+    built = []
+    real = decontam.words
+    blocks = decontam._blocks(items, 1)
+    assert len(blocks) == 64
+    texts = [words(rng, 20) + " " + items[i % 64][1] for i in range(500)]
+    import ahocorasick
+
+    make = ahocorasick.Automaton
+    monkeypatch.setattr(ahocorasick, "Automaton", lambda *a: built.append(1) or make(*a))
+    got = decontam.scan_all(texts, blocks, 10)
+    assert len(built) == 64
+    assert all(r["items"] == [str(i % 64)] and r["n_hit"] >= 30 and r["n_words"] == len(real(t)) for i, (r, t) in enumerate(zip(got, texts, strict=True)))
+
+
+# --- SQL on odd rows, and helpers -----------------------------------------------------------------
+
+
+ODD = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (5, "a b c d e f"), (5, "other words stand here in this text"), (3, "other words stand here in this text"), (None, "a b c d e f"), (None, "one long line that many rows have\nx"),
+       (1, "one long line that many rows have"), (1, "one long line that many rows have"), (2, " ONE long line that many rows have\t\nlast"), (7, None), (8, ""), (8, " \n "), (None, None), (9, "held by null ids and nothing else 1"), (None, "only rows without an id hold this one"), (None, "only rows without an id hold this one"), (None, "only rows without an id hold this one")]
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op4_line_dedup", "op10_decontamination"])
+def test_sql_on_repeated_and_null_ids(spark, tmp_path, name):
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in ODD], DOCS)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "b c d e"), (2, None), (None, "Rows, have"), (30, "ONE long-line that many rows have x y z w")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.queries()[name](spark, str(tmp_path))
+    want = con.execute(oracle.oracle_sql()[name])
+    names = sorted(d[0] for d in want.description)
+    at = {d[0]: i for i, d in enumerate(want.description)}
+    assert sorted(got.columns) == names
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == sorted((tuple(r[at[c]] for c in names) for r in want.fetchall()), key=repr)
+    if name == "op4_line_dedup":
+        assert sorted(((i, n, d) for i, n, d, _ in brute_lines(ODD)), key=repr) == sorted(((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=repr)
+
+
+def test_runs_are_merged_without_exchange(spark):
+    rows = lambda n: spark.range(n).selectExpr("id AS h1", "id AS h2", "id AS doc")
+    runs = linededup.LineRuns(spark, fanout=9, buckets=4)
+    for n in (50, 60, 70):
+        runs.add(rows(n))
+    with settings(spark, **linededup.ORDERED, spark__sql__adaptive__enabled="false"):
+        plan = runs.counts()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert runs.counts().agg(F.sum("n")).first()[0] == 180
+        joined = runs.batch(rows(40))._jdf.queryExecution().executedPlan().toString()
+    # the batch alone is counted and dealt to the buckets
+    assert joined.count("Exchange") == 2 and "SortMergeJoin" in joined
+
+
+def test_scratch_goes(spark):
+    with scratch(spark):
+        path = scratch_path(spark, "t")
+        assert written(spark.range(3).toDF("x"), "t", path).count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(path).count()
+
+
+def test_archives_are_read_in_many_tasks(spark):
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "repeat(string(id), 300) AS html").repartition(10)
+    folder = warc.write(pages, scratch_path(spark, "t"), most_broadcast=0)
+    back = warc.read(spark, folder, payloads=False, tasks=16)
+    assert back.count() == 40
+    assert back.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
