@@ -23,6 +23,9 @@ HOISTED = ("FunctionDeclaration", "InterfaceDeclaration", "TypeAliasDeclaration"
 BRANCHES = (*LOOPS, "IfStatement", "ConditionalExpression", "CaseClause", "CatchClause")
 LOGICAL = ("AmpersandAmpersandToken", "BarBarToken")
 NUMBER_PARENTS = ("EnumMember", "LiteralType", "ElementAccessExpression", "VariableDeclaration", "PropertyAssignment", "ReturnStatement")
+WRAPPERS = ("AsExpression", "SatisfiesExpression", "ParenthesizedExpression")
+LITERALS = ("StringLiteral", "NoSubstitutionTemplateLiteral", "NumericLiteral", "PrefixUnaryExpression")
+TRIVIAL_NUMBERS = (0, 1, -1)
 DECLARATIONS = ("VariableDeclaration", "FunctionDeclaration", "Parameter", "ClassDeclaration", "PropertyDeclaration")
 COMPLEXITY = {"cyclomatic": 15, "lines": 150, "max_nesting": 4}
 
@@ -66,7 +69,7 @@ def banned_syntax(facts: Facts, options: dict) -> DataFrame:
 @CODE_RULES.rule("no-magic-numbers", "quality", "Numbers without a name", needs=("nodes",))
 def no_magic_numbers(facts: Facts, options: dict) -> DataFrame:
     nodes = with_parent(facts["nodes"].where((F.col("kind") == "NumericLiteral") | F.col("kind").isin(*NUMBER_PARENTS)))
-    hit = nodes.where((F.col("kind") == "NumericLiteral") & ~F.col("text").cast("double").isin([float(x) for x in options.get("ignored", (0, 1, 2))]) & F.col("parent_kind").isNull())
+    hit = nodes.where((F.col("kind") == "NumericLiteral") & ~F.col("text").try_cast("double").isin([float(x) for x in options.get("ignored", (0, 1, 2))]) & F.col("parent_kind").isNull())
     return found(hit, F.concat(F.lit("number "), F.col("text")))
 
 
@@ -77,8 +80,15 @@ def no_underscore_prefix(facts: Facts, options: dict) -> DataFrame:
 
 @CODE_RULES.rule("no-local-constants", "architecture", "Upper-case constants outside the constants folder", needs=("nodes",))
 def no_local_constants(facts: Facts, options: dict) -> DataFrame:
-    hit = facts["nodes"].where((F.col("kind") == "VariableDeclaration") & F.col("text").rlike("^[A-Z][A-Z0-9_]*$") & ~F.col("file").contains("/constants/"))
-    return found(hit, F.concat(F.lit("constant "), F.col("text")))
+    """Literals, be they wrapped in assertions or brackets; trivial numbers and empty texts stay where they are."""
+    nodes = facts["nodes"].where(~F.col("file").contains("/constants/"))
+    outer = F.try_element_at(F.filter("ancestors", lambda a: ~a["kind"].isin(*WRAPPERS)), F.lit(-1))
+    number = F.when(F.col("kind").isin("NumericLiteral", "PrefixUnaryExpression"), F.col("text").try_cast("double"))
+    trivial = number.isin([float(x) for x in options.get("trivialNumbers", TRIVIAL_NUMBERS)])
+    literal = F.col("kind").isin(*LITERALS) & ((F.col("kind") != "PrefixUnaryExpression") | F.col("text").rlike(r"^-[0-9.]+$"))
+    values = nodes.where(literal & ~F.coalesce(trivial, F.lit(False)) & (F.col("text") != "")).select("file", outer["id"].alias("node_id"))
+    named = nodes.where((F.col("kind") == "VariableDeclaration") & F.col("text").rlike("^[A-Z][A-Z0-9_]*$"))
+    return found(relations.covered(named, values, ["file", "node_id"]), F.concat(F.lit("constant "), F.col("text")))
 
 
 @CODE_RULES.rule("max-file-lines", "quality", "Files with too many lines", needs=("files",))
@@ -128,8 +138,10 @@ def self_import(facts: Facts, options: dict) -> DataFrame:
 
 @CODE_RULES.rule("duplicate-import", "architecture", "A module imported twice in a file", needs=("import_edges",))
 def duplicate_import(facts: Facts, options: dict) -> DataFrame:
+    """Imports of types and of values can't be one: a module with both in a file is left."""
     static = facts["import_edges"].where("NOT is_dynamic")
-    hit = relations.later_duplicates(static, ["src", "dst", "type_only"], ["line"])
+    mixed = static.groupBy("src", "dst").agg(F.bool_or("type_only").alias("some"), F.bool_and("type_only").alias("all")).where("some AND NOT all")
+    hit = relations.later_duplicates(relations.uncovered(static, mixed, ["src", "dst"]), ["src", "dst"], ["line"])
     return found(hit.select(F.col("src").alias("file"), "line", F.lit(1).alias("col"), "specifier"), F.concat(F.lit("again "), F.col("specifier")))
 
 
@@ -148,13 +160,17 @@ def unused_export(facts: Facts, options: dict) -> DataFrame:
     return _by_file(relations.uncovered(facts["exports"], used, ["file", "name"]), F.concat(F.lit("unused "), F.col("name")))
 
 
-@CODE_RULES.rule("no-duplicate-schema-export", "quality", "A schema name exported in several places", needs=("exports",))
+@CODE_RULES.rule("no-duplicate-schema-export", "quality", "A schema exported under one name in several places", needs=("nodes", "exports", "node_types", "types"))
 def no_duplicate_schema_export(facts: Facts, options: dict) -> DataFrame:
-    rows = facts["exports"].where(F.col("name").endswith("Schema"))
+    """A schema is what has parse and safeParse, whatever its name."""
+    schemas = facts["types"].where(F.exists("props", lambda p: p["name"] == "parse") & F.exists("props", lambda p: p["name"] == "safeParse")).select("type_id")
+    rows = facts["nodes"].where("kind = 'VariableDeclaration'").withColumn("name", F.col("text"))
     for part in options.get("ignorePaths", ()):
         rows = rows.where(~F.col("file").contains(part))
+    rows = relations.covered(rows.join(facts["node_types"], ["file", "node_id"]), schemas, ["type_id"])
+    rows = relations.covered(rows, facts["exports"], ["file", "name"])
     names = relations.duplicates(rows, ["name"], "file").select("name")
-    return _by_file(relations.covered(rows, names, ["name"]), F.concat(F.lit("also elsewhere: "), F.col("name")))
+    return found(relations.covered(rows, names, ["name"]), F.concat(F.lit("also elsewhere: "), F.col("name")))
 
 
 @CODE_RULES.rule("route-boundary", "architecture", "Imports from one route into another", needs=("import_edges",))
@@ -179,5 +195,5 @@ def no_client_server_only_import(facts: Facts, options: dict) -> DataFrame:
 def unnecessary_use_server(facts: Facts, options: dict) -> DataFrame:
     files = facts["files"]
     clients = files.where("directive = 'use client'").select(F.col("file").alias("node"))
-    used = graph.reachable(facts["import_edges"].where("NOT type_only"), clients).select(F.col("node").alias("file")).distinct()
+    used = graph.reach(facts["import_edges"].where("NOT type_only"), clients).select(F.col("node").alias("file"))
     return _by_file(relations.uncovered(files.where("directive = 'use server'"), used, ["file"]), "no client imports it")

@@ -271,13 +271,13 @@ def input_validation(facts: Facts, options: dict) -> DataFrame:
     return found(relations.uncovered(actions, own.union(through), ["file", "node_id"]), "check the input first")
 
 
-@CODE_RULES.rule("state-hooks-cluster", "quality", "Components with many states", needs=("nodes", "calls"))
+@CODE_RULES.rule("state-hooks-cluster", "quality", "Components with many states", needs=("nodes", "calls"), sub_ids={"": "state-cluster-count"})
 def state_hooks_cluster(facts: Facts, options: dict) -> DataFrame:
     many = facts["calls"].where("name = 'useState'").groupBy("file", F.col("caller_id").alias("node_id")).agg(F.count("*").alias("n")).where(F.col("n") >= options.get("stateClusterThreshold", 5))
     return found(at(facts, many), F.concat(F.col("n").cast("string"), F.lit(" states")))
 
 
-@CODE_RULES.rule("performance", "performance", "Blocking calls, long chains, expressions made anew in loops", sub_checks=3, needs=("nodes", "calls", "symbols"))
+@CODE_RULES.rule("performance", "performance", "Blocking calls, long chains, expressions made anew in loops", sub_checks=3, needs=("nodes", "calls", "symbols"), sub_ids={"long chain": "long-chain"})
 def performance(facts: Facts, options: dict) -> DataFrame:
     calls = at(facts, origins(facts))
     blocking = calls.where(F.col("name").endswith("Sync") & F.col("origin").startswith("pkg:"))
@@ -298,15 +298,13 @@ TAINTED = {
 
 
 def tainted_arguments(facts: Facts, calls: DataFrame) -> DataFrame:
-    """Calls whose first argument comes from a parameter: a fixpoint over definition-use edges, from the parameters on."""
+    """Calls whose first argument is or comes from a parameter: a mark for each node that parameters reach over
+    definition-use edges, whatever the number of parameters."""
     key = lambda node: F.concat_ws("#", node, F.col("file"))
     sinks = first_argument(facts, calls).withColumn("node", key(F.col("argument").cast("string")))
     edges = facts["def_use"].select(key(F.col("def_node").cast("string")).alias("src"), key(F.col("use_node").cast("string")).alias("dst"))
     sources = facts["nodes"].where(kind("Parameter")).select(key(F.col("node_id").cast("string")).alias("node"))
-    # walk back from the sinks, which are few, rather than forth from every parameter
-    reached = graph.reached_by(edges, sinks.select("node").distinct()).select(F.col("root").alias("sink"), "node")
-    hit = relations.covered(reached, sources, ["node"]).select(F.col("sink").alias("node")).distinct()
-    return relations.covered(sinks, hit, ["node"])
+    return relations.covered(sinks, graph.reach(edges, sources), ["node"])
 
 
 def _taint_rule(rule: str, description: str, option: str, names: Sequence[str], allowed: Sequence[str]) -> None:
@@ -327,7 +325,7 @@ for _rule, _about in TAINTED.items():
 @CODE_RULES.rule("no-unthrown-error", "quality", "Errors made and not thrown", needs=("nodes", "node_symbols", "symbols", "class_bases"))
 def no_unthrown_error(facts: Facts, options: dict) -> DataFrame:
     bases = facts["class_bases"].select(F.col("symbol_id").alias("src"), F.col("base_id").alias("dst"))
-    errors = graph.reached_by(bases, facts["symbols"].where("name = 'Error' AND origin = 'lib'").select(F.col("symbol_id").alias("node"))).select(F.col("node").alias("symbol_id")).distinct()
+    errors = graph.reach(graph.turned(bases), facts["symbols"].where("name = 'Error' AND origin = 'lib'").select(F.col("symbol_id").alias("node"))).select(F.col("node").alias("symbol_id"))
     made = with_parent(facts["nodes"]).where(kind("NewExpression") & (F.col("parent_kind") == "ExpressionStatement"))
     return found(relations.covered(made.join(facts["node_symbols"], ["file", "node_id"]), errors, ["symbol_id"]), "throw it")
 

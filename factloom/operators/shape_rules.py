@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..plans.rules import Facts
 from . import graph, relations
 from .code_rules import CODE_RULES, FUNCTIONS, found, inside, with_parent
-from .flow_rules import ANY, FLOWS, STRING, TYPED, UNKNOWN, _assignable, at, first_argument, has, operand_type, tainted_arguments, typed_nodes, with_type
+from .flow_rules import ANY, FLOWS, STRING, TYPED, UNKNOWN, _assignable, at, first_argument, has, operand_type, origins, tainted_arguments, typed_nodes, with_type
 from .syntax_rules import EQUALITY, PURE, each, kind, operator, with_children
 
 # Fixed values of the rules.
-HOOKS_WITH_DEPS = ("useEffect", "useLayoutEffect", "useCallback", "useMemo")
+HOOKS_WITH_DEPS = ("useEffect", "useCallback", "useMemo")
+STABLE_SETTER_HOOKS = ("useState", "useReducer", "useTransition", "useActionState")
+STABLE_VALUE_HOOKS = ("useRef", "useId")
+STABLE_LITERALS = ("NumericLiteral", "StringLiteral", "TrueKeyword", "FalseKeyword", "NullKeyword")
 MUTATING = ("push", "pop", "shift", "unshift", "splice", "sort", "reverse", "fill", "copyWithin")
-STABLE_SETTER = "^set[A-Z]"
 ROW_TYPES = r"InferSelectModel|\$inferSelect"
 
 
@@ -66,22 +68,40 @@ def promise_all_opportunity(facts: Facts, options: dict) -> DataFrame:
     return found(relations.uncovered(pairs, linked, ["file", "node_id"]), "await both at once")
 
 
-@CODE_RULES.rule("exhaustive-deps", "quality", "Hooks that use more than they list", needs=("nodes", "calls", "node_symbols"))
+def stable_symbols(facts: Facts, options: dict) -> DataFrame:
+    """(file, symbol_id) of what never changes between renders: second elements that setter hooks give, values of value
+    hooks, and constants of literals."""
+    nodes = facts["nodes"]
+    hooks = origins(facts).where("origin = 'pkg:react'").select("file", F.col("node_id").alias("call"), F.col("name").alias("hook"))
+    values = with_children(with_parent(nodes), "initializer").where(kind("VariableDeclaration"))
+    made = values.withColumn("call", F.col("initializer.id")).join(hooks, ["file", "call"])
+    setters = made.where(F.col("hook").isin(*options.get("stableSetterHooks", STABLE_SETTER_HOOKS))).select("file", F.col("node_id").alias("declared"))
+    second = nodes.where(kind("BindingElement") & (F.col("field") == "element") & (F.col("ord") == 1)).withColumn("declared", F.try_element_at("ancestors", F.lit(-2))["id"])
+    listed = nodes.where(kind("VariableDeclarationList") & F.col("text").startswith("const ")).select("file", F.col("node_id").alias("parent_id"))
+    stable = [
+        relations.covered(second, setters, ["file", "declared"]), made.where(F.col("hook").isin(*options.get("stableValueHooks", STABLE_VALUE_HOOKS))),
+        relations.covered(values.where(F.col("initializer.kind").isin(*STABLE_LITERALS)), listed, ["file", "parent_id"]),
+    ]
+    ids = stable[0].select("file", "node_id").union(stable[1].select("file", "node_id")).union(stable[2].select("file", "node_id"))
+    return ids.join(facts["node_symbols"], ["file", "node_id"]).select("file", "symbol_id").distinct()
+
+
+@CODE_RULES.rule("exhaustive-deps", "quality", "Hooks that use more than they list", needs=("nodes", "calls", "node_symbols", "symbols"))
 def exhaustive_deps(facts: Facts, options: dict) -> DataFrame:
-    """Symbols that the component declares and the callback uses, less those in the list; setters of state never change."""
-    nodes, calls = facts["nodes"], first_argument(facts, facts["calls"].where(F.col("name").isin(*options.get("hooksWithDeps", HOOKS_WITH_DEPS))))
+    """Symbols that the component declares and the callback uses, less those in the list and those that never change."""
+    nodes, hooks = facts["nodes"], origins(facts).where(F.col("name").isin(*options.get("hooksWithDeps", HOOKS_WITH_DEPS)) & (F.col("origin") == "pkg:react"))
     lists = nodes.where((F.col("field") == "argument") & (F.col("ord") == 1) & kind("ArrayLiteralExpression")).select("file", F.col("parent_id").alias("node_id"), F.col("node_id").alias("list"))
-    hooks = calls.join(lists, ["file", "node_id"]).select("file", "node_id", "line", "col", "caller_id", "argument", "list")
+    hooks = first_argument(facts, hooks).join(lists, ["file", "node_id"]).select("file", "node_id", "line", "col", "caller_id", "argument", "list")
     names = symbols_at(facts, nodes.where(kind("Identifier"))).select("file", F.explode("ancestors").alias("a"), F.col("text").alias("used"), "symbol_id").select("file", F.col("a.id").alias("around"), "used", "symbol_id")
-    declared = symbols_at(facts, nodes.where(kind("VariableDeclaration", "Parameter"))).select("file", owner_of().alias("caller_id"), "symbol_id").distinct()
-    used = hooks.join(names.withColumnRenamed("around", "argument"), ["file", "argument"]).where(~F.col("used").rlike(options.get("stableSetters", STABLE_SETTER)))
+    declared = symbols_at(facts, nodes.where(kind("VariableDeclaration", "Parameter", "BindingElement"))).select("file", owner_of().alias("caller_id"), "symbol_id").distinct()
+    used = relations.uncovered(hooks.join(names.withColumnRenamed("around", "argument"), ["file", "argument"]), stable_symbols(facts, options), ["file", "symbol_id"])
     own = relations.covered(used, declared, ["file", "caller_id", "symbol_id"])
     missing = own.join(names.select("file", F.col("around").alias("list"), "symbol_id"), ["file", "list", "symbol_id"], "left_anti")
     listed = missing.groupBy("file", "node_id", "line", "col").agg(F.array_join(F.array_sort(F.collect_set("used")), ", ").alias("names"))
     return found(listed, F.concat(F.lit("missing "), F.col("names")))
 
 
-@CODE_RULES.rule("narrow-param-type", "quality", "Parameters of which little is used", needs=(*TYPED, "node_symbols"))
+@CODE_RULES.rule("narrow-param-type", "quality", "Parameters of which little is used", needs=(*TYPED, "node_symbols"), sub_ids={"": "usage-ratio"})
 def narrow_param_type(facts: Facts, options: dict) -> DataFrame:
     nodes = facts["nodes"]
     wide = facts["types"].where(F.size("props") >= options.get("minProperties", 10)).select("type_id", F.size("props").alias("total"))
@@ -138,7 +158,7 @@ def prefer_literal_union(facts: Facts, options: dict) -> DataFrame:
     return found(rows.where((F.col("left_type.flags") == STRING) & (F.col("right.kind") == "StringLiteral") & ~F.col("right.text").isin("", "''", '""')), "make it a union of literals")
 
 
-@CODE_RULES.rule("zustand-patterns", "quality", "Store selectors that render too often", sub_checks=2, needs=("nodes",))
+@CODE_RULES.rule("zustand-patterns", "quality", "Store selectors that render too often", sub_checks=2, needs=("nodes",), sub_ids={"fields without shallow": "multi-field-selector-without-shallow"})
 def zustand_patterns(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(facts["nodes"], "expression", "argument").where(kind("CallExpression"))
     selector = F.col("argument.text")
@@ -166,7 +186,7 @@ def no_db_origin_client_boundary(facts: Facts, options: dict) -> DataFrame:
     types = facts["types"]
     inner = types.select(F.col("type_id").alias("src"), F.explode(F.concat(F.coalesce("members", F.array().cast("array<bigint>")), F.coalesce(F.transform("props", lambda p: p["type_id"]), F.array().cast("array<bigint>")))).alias("dst"))
     rows = types.where(F.col("shape").rlike(options.get("rowTypes", ROW_TYPES))).select(F.col("type_id").alias("node"))
-    holders = graph.reached_by(inner, rows).select(F.col("node").alias("type_id")).distinct()
+    holders = graph.reach(graph.turned(inner), rows).select(F.col("node").alias("type_id"))
     client = facts["files"].where("directive = 'use client'").select("file")
     first = relations.covered(facts["nodes"].where(kind("Parameter") & (F.col("ord") == 0)), client, ["file"]).join(facts["node_types"], ["file", "node_id"])
     return found(relations.covered(first, holders, ["type_id"]), "holds a database row")

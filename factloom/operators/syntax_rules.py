@@ -168,7 +168,7 @@ def no_useless_code(facts: Facts, options: dict) -> DataFrame:
     })
 
 
-@CODE_RULES.rule("no-implicit-coercion", "quality", "Values turned into other types unsaid", sub_checks=4, needs=("nodes",))
+@CODE_RULES.rule("no-implicit-coercion", "quality", "Values turned into other types unsaid", sub_checks=4, needs=("nodes",), sub_ids={"number by +": "plus-coercion", "string by +": "string-concat", "boolean by !!": "double-negation"})
 def no_implicit_coercion(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(with_parent(facts["nodes"]), "left", "operator", "right", "expression")
     nullish = lambda side: F.coalesce(F.col(f"{side}.kind") == "NullKeyword", F.lit(False)) | F.coalesce(F.col(f"{side}.text") == "undefined", F.lit(False))
@@ -234,7 +234,7 @@ def syntax(facts: Facts, options: dict) -> DataFrame:
     })
 
 
-@CODE_RULES.rule("typescript", "quality", "Types that switch checks off", sub_checks=6, needs=("nodes",))
+@CODE_RULES.rule("typescript", "quality", "Types that switch checks off", sub_checks=6, needs=("nodes",), sub_ids={"non-null assertion": "no-non-null-assertion", "explicit any": "no-explicit-any"})
 def typescript(facts: Facts, options: dict) -> DataFrame:
     rows = with_parent(with_children(facts["nodes"], "expression", "member", "heritage", "type"))
     return each(rows, {
@@ -247,7 +247,7 @@ def typescript(facts: Facts, options: dict) -> DataFrame:
     })
 
 
-@CODE_RULES.rule("react", "quality", "Components with a common slip", sub_checks=3, needs=("nodes",))
+@CODE_RULES.rule("react", "quality", "Components with a common slip", sub_checks=3, needs=("nodes",), sub_ids={"component in a component": "nested-component"})
 def react(facts: Facts, options: dict) -> DataFrame:
     nodes = facts["nodes"].where(F.col("file").endswith(".tsx"))
     rows = with_children(nodes, "expression", "argument", "modifier")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CATEGORIES = ("quality", "security", "architecture", "performance")
-DIAGNOSTIC = "rule string, file string, line int, column int, message string"
+DIAGNOSTIC = "rule string, sub_check string, file string, line int, column int, message string"
 Facts = dict[str, DataFrame]
 
 
@@ -23,6 +23,15 @@ class Rule:
     sub_checks: int = 1
     severity: str | None = None
     needs: tuple[str, ...] = ()
+    #: Ids of parts that can be switched by themselves, by the message of their findings ("": all of the rule's).
+    sub_ids: Mapping[str, str] = field(default_factory=dict)
+
+    def run(self, facts: Facts, options: dict) -> DataFrame:
+        found = self.check(facts, options).withColumn("rule", F.lit(self.id))
+        named = F.lit(None).cast("string")
+        for message, part in reversed(self.sub_ids.items()):
+            named = F.when(F.col("message") == message, part).otherwise(named) if message else F.lit(part)
+        return found.withColumn("sub_check", named).select("rule", "sub_check", "file", "line", "column", "message")
 
 
 class Registry:
@@ -31,12 +40,12 @@ class Registry:
     def __init__(self, rules: Iterable[Rule] = ()):
         self.rules = {r.id: r for r in rules}
 
-    def rule(self, id: str, category: str, description: str, sub_checks: int = 1, severity: str | None = None, needs: tuple[str, ...] = ()):
+    def rule(self, id: str, category: str, description: str, sub_checks: int = 1, severity: str | None = None, needs: tuple[str, ...] = (), sub_ids: Mapping[str, str] | None = None):
         if category not in CATEGORIES:
             raise ValueError(f"{category} is no category")
 
         def add(check):
-            self.rules[id] = Rule(id, category, description, check, sub_checks, severity, needs)
+            self.rules[id] = Rule(id, category, description, check, sub_checks, severity, needs, sub_ids or {})
             return check
 
         return add
@@ -51,12 +60,17 @@ class Registry:
         return spark.createDataFrame([(i, r.id, r.category, r.description, r.sub_checks, r.severity) for i, r in enumerate(self.rules.values())], "rule_ord int, rule string, category string, description string, sub_checks int, meta_severity string")
 
     def diagnostics(self, facts: Facts, options: dict | None = None) -> DataFrame:
-        """All findings of the rules whose relations are there. Rules are never multiplied by files: each is a query of its own."""
+        """All findings of the rules whose relations are there (``unable`` names the others). Rules are never multiplied by
+        files: each is a query of its own."""
         able = [r for r in self.rules.values() if set(r.needs) <= set(facts)]
         if not able:
             raise ValueError(f"no rule can work on {sorted(facts)}")
-        found = [r.check(facts, (options or {}).get(r.id, {})).withColumn("rule", F.lit(r.id)).select("rule", "file", "line", "column", "message") for r in able]
-        return reduce(DataFrame.unionByName, found)
+        return reduce(DataFrame.unionByName, [r.run(facts, (options or {}).get(r.id, {})) for r in able])
+
+    def unable(self, facts: Iterable[str]) -> dict[str, list[str]]:
+        """Rules that ``diagnostics`` leaves out of these facts, with the relations they lack."""
+        missing = {r.id: sorted(set(r.needs) - set(facts)) for r in self.rules.values()}
+        return {i: m for i, m in missing.items() if m}
 
 
 def merged_groups(groups: DataFrame) -> DataFrame:
@@ -79,9 +93,26 @@ def severities(rules: DataFrame, overrides: DataFrame, groups: DataFrame, defaul
 
 
 def without_disabled(found: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Findings but those that an override with files switches off: the file's path contains one of its texts."""
+    """Findings but those that an override with files switches off: the file's path contains one of its texts. An id is
+    a rule's, or rule:part for a part of it."""
     off = overrides.where((F.col("severity") == "off") & F.col("files").isNotNull()).select(F.col("rule").alias("off_rule"), F.explode("files").alias("part"))
-    return found.join(off, (F.col("rule") == F.col("off_rule")) & F.col("file").contains(F.col("part")), "left_anti")
+    same = F.col("rule") == F.col("off_rule")
+    if "sub_check" in found.columns:
+        same |= F.concat_ws(":", "rule", "sub_check") == F.col("off_rule")
+    return found.join(off, same & F.col("file").contains(F.col("part")), "left_anti")
+
+
+def disabled_parts(overrides: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id) of rule:part ids that are off everywhere: by a group that is off, or by an override that names no files."""
+    by_group = merged_groups(groups).where("severity = 'off'").select(F.explode("rules").alias("id"))
+    by_override = overrides.where((F.col("severity") == "off") & (F.col("files").isNull() | (F.size("files") == 0))).select(F.col("rule").alias("id"))
+    return by_group.union(by_override).where(F.col("id").contains(":")).distinct()
+
+
+def without_parts(found: DataFrame, overrides: DataFrame, groups: DataFrame) -> DataFrame:
+    """Findings but those of parts that are off everywhere. An override can't switch on what a group has off."""
+    off = F.broadcast(disabled_parts(overrides, groups))  # as many as the configuration names
+    return found.join(off, F.concat_ws(":", "rule", "sub_check") == F.col("id"), "left_anti")
 
 
 def lines_over(text: Column, most: int) -> Column:

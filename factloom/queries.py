@@ -236,13 +236,13 @@ def duplicated_constants(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT l_suppkey AS file, l_partkey AS symbol FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), u AS (SELECT DISTINCT l_partkey AS symbol, l_suppkey AS use_file FROM lineitem WHERE l_linenumber = 2),
-d AS (SELECT s_suppkey AS file, CAST(s_nationkey AS BIGINT) AS use_file FROM supplier WHERE s_suppkey < 5)
+d AS (SELECT s_suppkey AS file, CAST(s_nationkey AS BIGINT) AS use_file FROM supplier WHERE s_acctbal < 0)
 SELECT file AS def_file, symbol AS name, use_file FROM e JOIN u USING (symbol) WHERE file <> use_file UNION SELECT file, symbol, use_file FROM e JOIN d USING (file)""")
 def reference_index(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     exports = lines.where("l_linenumber = 1").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("symbol"), F.col("l_partkey").alias("name")).distinct()
     uses = lines.where("l_linenumber = 2").select(F.col("l_partkey").alias("symbol"), F.col("l_suppkey").alias("use_file")).distinct()
-    dynamic = table(spark, sf_dir, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").cast("long").alias("use_file"))
+    dynamic = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").cast("long").alias("use_file"))
     return relations.references(exports, uses, dynamic)
 
 
@@ -396,12 +396,12 @@ def import_cycles(spark, sf_dir):
 @query(STEPS + """f AS (SELECT src, dst FROM e WHERE dst NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')),
 p AS (SELECT c_custkey AS root, c_custkey AS node FROM customer WHERE c_nationkey = 0 UNION SELECT root, f.dst FROM p JOIN f ON p.node = f.src) SELECT root, node FROM p""")
 def reachability(spark, sf_dir):
-    return graph.reachable(_edges(spark, sf_dir), _customers(spark, sf_dir, "c_nationkey = 0"), _customers(spark, sf_dir, "c_mktsegment = 'BUILDING'")).select("root", "node")
+    return graph.reachable_pairs(_edges(spark, sf_dir), _customers(spark, sf_dir, "c_nationkey = 0"), _customers(spark, sf_dir, "c_mktsegment = 'BUILDING'"))
 
 
 @query(STEPS + """p AS (SELECT c_custkey AS root, c_custkey AS node FROM customer WHERE c_nationkey = 1 UNION SELECT root, e.src FROM p JOIN e ON p.node = e.dst) SELECT root, node FROM p""")
 def reverse_reachability(spark, sf_dir):
-    return graph.reached_by(_edges(spark, sf_dir), _customers(spark, sf_dir, "c_nationkey = 1")).select("root", "node")
+    return graph.reached_by(_edges(spark, sf_dir), _customers(spark, sf_dir, "c_nationkey = 1"))
 
 
 @query(STEPS + """p AS (SELECT c_custkey AS root, c_custkey AS node FROM customer WHERE c_nationkey = 2 UNION SELECT root, e.dst FROM p JOIN e ON p.node = e.src)

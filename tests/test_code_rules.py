@@ -3,46 +3,28 @@
 import pytest
 
 from factloom.operators.code_rules import CODE_RULES
-from factloom.sources.facts import SCHEMAS, empty
+from factloom.rule_queries import SCHEMAS, relations
+from factloom.sources.facts import empty
+
+FILES = ("src/a.tsx", "b.ts", "c.ts", "act.ts", "lone.ts", "e.ts", "m.ts", "o.ts", "app/p/q.ts", "schema/a.tsx", "schema/b.tsx")
 
 
 @pytest.fixture(scope="module")
 def facts(spark):
-    kinds = {}
-
-    def node(id_, parent, kind, field="child", ord_=0, line=1, text="", file="src/a.tsx"):
-        up = kinds.get((file, parent), [])
-        kinds[file, id_] = [*up, (id_, kind)]
-        return (file, id_, parent, kind, field, ord_, len(up), 0, 0, line, 1, text, up)
-
-    nodes = [
-        node(1, None, "SourceFile"), node(2, 1, "DebuggerStatement", line=2), node(3, 1, "FunctionDeclaration", line=3, text="_f"), node(4, 3, "Block", line=3),
-        node(5, 4, "ForStatement", "statement", 0, 4), node(6, 5, "RegularExpressionLiteral", line=5), node(7, 5, "ArrowFunction", line=6), node(8, 7, "RegularExpressionLiteral", line=6),
-        node(9, 4, "ReturnStatement", "statement", 1, 7), node(10, 4, "ExpressionStatement", "statement", 2, 8), node(11, 4, "ExpressionStatement", "statement", 3, 9), node(12, 10, "NumericLiteral", line=8, text="42"),
-        node(13, 9, "NumericLiteral", line=7, text="43"), node(14, 11, "NumericLiteral", line=9, text="1.0"), node(15, 4, "Block", line=10), node(16, 15, "ConditionalExpression", line=11), node(17, 16, "ConditionalExpression", line=12),
-        node(18, 1, "JsxText", line=13, text="it's"), node(19, 1, "VariableDeclaration", line=14, text="MAX_SIZE"), node(20, 17, "IfStatement", line=12), node(21, 20, "WhileStatement", line=12), node(22, 21, "IfStatement", line=12),
-    ]
-    files = [("src/a.tsx", "tsx", 9, "x\n" * 400, False, "use client"), ("b.ts", "ts", 1, "", False, None), ("act.ts", "ts", 1, "", False, "use server"), ("lone.ts", "ts", 1, "", False, "use server")]
-    edge = lambda a, b, line=1, types=False, dynamic=False: (a, b, f"./{b}", line, types, dynamic, False)
-    imports = [edge("src/a.tsx", "b.ts"), edge("b.ts", "server-only"), edge("b.ts", "c.ts"), edge("c.ts", "b.ts", 4), edge("c.ts", "d.ts"), edge("d.ts", "c.ts", types=True), edge("e.ts", "e.ts", 3),
-               edge("src/a.tsx", "act.ts"), edge("act.ts", "x.ts"), edge("src/a.tsx", "b.ts", 9), edge("app/p/q.ts", "app/r/s.ts", 2), edge("app/p/q.ts", "app/p/t.ts", 3)]
-    exports = [("b.ts", "used", "s1"), ("b.ts", "idle", "s2"), ("b.ts", "userSchema", "s3"), ("c.ts", "userSchema", "s4"), ("gen/d.ts", "otherSchema", "s5")]
-    refs = [("b.ts", "used", "src/a.tsx"), ("b.ts", "userSchema", "x"), ("c.ts", "userSchema", "x"), ("gen/d.ts", "otherSchema", "x")]
-    make = lambda rows, name: spark.createDataFrame(rows, SCHEMAS[name])
-    return {"nodes": make(nodes, "nodes"), "files": make(files, "files"), "import_edges": make(imports, "import_edges"), "exports": make(exports, "exports"), "refs": spark.createDataFrame(refs, "def_file string, name string, use_file string")}
+    return {k: v.cache() for k, v in relations(spark, tuple(SCHEMAS)).items()}
 
 
 WANT = {
-    "no-debug-code": {("src/a.tsx", 2)}, "banned-syntax": {("src/a.tsx", 10)}, "no-magic-numbers": {("src/a.tsx", 8)}, "no-underscore-prefix": {("src/a.tsx", 3)}, "no-local-constants": {("src/a.tsx", 14)},
+    "no-debug-code": {("src/a.tsx", 2)}, "banned-syntax": {("src/a.tsx", 10)}, "no-magic-numbers": {("src/a.tsx", 8)}, "no-underscore-prefix": {("src/a.tsx", 3)}, "no-local-constants": set(),
     "max-file-lines": {("src/a.tsx", 1)}, "no-unescaped-entities": {("src/a.tsx", 13)}, "readability": {("src/a.tsx", 12)}, "complexity": {("src/a.tsx", 3)},
-    "self-import": {("e.ts", 3)}, "duplicate-import": {("src/a.tsx", 9)}, "no-import-cycle": {("b.ts", 1), ("c.ts", 4), ("e.ts", 3)}, "unused-export": {("b.ts", 1)}, "no-duplicate-schema-export": {("b.ts", 1), ("c.ts", 1)},
+    "self-import": {("e.ts", 3)}, "duplicate-import": {("src/a.tsx", 9)}, "no-import-cycle": {("b.ts", 1), ("c.ts", 4), ("e.ts", 3)}, "unused-export": {("b.ts", 1), ("schema/a.tsx", 1)}, "no-duplicate-schema-export": {("schema/a.tsx", 3), ("schema/b.tsx", 6)},
     "route-boundary": {("app/p/q.ts", 2)}, "no-client-server-only-import": {("src/a.tsx", 1)}, "unnecessary-use-server": {("lone.ts", 1)},
 }
 
 
 @pytest.mark.parametrize("rule", sorted(WANT))
 def test_rule(facts, rule):
-    assert {(r["file"], r["line"]) for r in CODE_RULES.only([rule]).diagnostics(facts).collect()} == WANT[rule]
+    assert {(r["file"], r["line"]) for r in CODE_RULES.only([rule]).diagnostics(facts).collect() if r["file"] in FILES} == WANT[rule]
 
 
 def test_no_facts(spark, facts):

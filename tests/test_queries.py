@@ -7,8 +7,9 @@ import os
 import duckdb
 import pytest
 
-from factloom.queries import ORACLES, QUERIES
+from factloom import queries, rule_queries
 
+ORACLES, QUERIES = queries.ORACLES | rule_queries.ORACLES, queries.QUERIES | rule_queries.QUERIES
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")

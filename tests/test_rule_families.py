@@ -1,132 +1,15 @@
 """Rules over syntax, types, calls and flows: each has a file of its own with lines to find and lines to leave."""
 
-from dataclasses import dataclass, field
-
 import pytest
 
-from factloom.operators import shape_rules  # noqa: F401
 from factloom.operators.code_rules import CODE_RULES
-from factloom.sources.facts import SCHEMAS
-
-STR, NUM, BIG, OBJ, ANY, PROMISE, NULLABLE, UNION, MEMBER_A, MEMBER_B, BARE, WIDE, FUNC, ROW, HOLDER = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16
-TYPES = [
-    (STR, 4, "string", [], [], False, True), (NUM, 8, "number", [], [], False, True), (BIG, 64, "bigint", [], [], False, True), (OBJ, 524288, "{}", [], [], False, True), (ANY, 1, "any", [], [], False, True),
-    (PROMISE, 524288, "Promise", [], [], True, True), (NULLABLE, 1048576, "string | null", [STR, 12], [], False, True), (12, 65536, "null", [], [], False, True),
-    (UNION, 1048576, "'a' | 'b'", [MEMBER_A, MEMBER_B], [], False, True), (MEMBER_A, 128, "'a'", [], [], False, True), (MEMBER_B, 128, "'b'", [], [], False, True), (BARE, 524288, "Bare", [], [], False, False),
-    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True),
-]
-
-
-@dataclass
-class N:
-    kind: str
-    text: str = ""
-    role: str = "child"
-    line: int = 0
-    type: int | None = None
-    symbol: int | None = None
-    name: str | None = None  # to be referred to
-    kids: list = field(default_factory=list)
-    call: dict | None = None
-
-    def __call__(self, *kids):
-        self.kids = list(kids)
-        return self
-
-
-def binary(op, a, b, line, **more):
-    a, b = [x if isinstance(x, N) else N("Identifier", x) for x in (a, b)]
-    a.role, b.role = "left", "right"
-    return N("BinaryExpression", line=line, **more)(a, N(op, role="operator"), b)
-
-
-def call(line, name, *arguments, target=None, chain=None, role="child", to=None, **more):
-    for a in arguments:
-        a.role = "argument"
-    return N("CallExpression", role=role, line=line, name=to, call={"name": name, "chain": chain or [name], "target": target}, **more)(N("Identifier", ".".join(chain or [name]), "expression"), *arguments)
-
-
-def fn(text="", *kids, kind="FunctionDeclaration", **more):
-    return N(kind, text, **more)(*kids)
-
-
-STATEMENT = lambda k, line, *kids, **m: N(k, role="statement", line=line, **m)(*kids)
-TREES = {
-    "no-identical-binary-operands": [binary("MinusToken", "a", "a", 1), binary("MinusToken", "a", "b", 2), binary("PlusToken", "a", "a", 3)],
-    "no-collection-size-mischeck": [binary(op, N("PropertyAccessExpression", "x.length"), N("NumericLiteral", n), i) for i, (op, n) in enumerate([("GreaterThanEqualsToken", "0"), ("LessThanToken", "0"), ("GreaterThanToken", "0"), ("EqualsEqualsToken", "-1"), ("LessThanToken", "4")], 1)],
-    "jsx-no-useless-fragment": [N("JsxFragment", line=1)(N("JsxText", "  "), N("JsxElement")), N("JsxFragment", line=2)(N("JsxElement"), N("JsxElement")), N("JsxFragment", line=3)(N("JsxExpression"))],
-    "no-all-duplicated-branches": [N("IfStatement", line=1)(N("Block", "f()", "branch"), N("Block", "f()", "else")), N("IfStatement", line=2)(N("Block", "f()", "branch"), N("Block", "g()", "else")), N("IfStatement", line=3)(N("Block", "f()", "branch"), N("Block", "f()", "branch"))],
-    "error-handling": [N("CatchClause", "catch {}", line=1), N("CatchClause", "catch { // fine }", line=2), N("CatchClause", "catch", line=3)(STATEMENT("ThrowStatement", 4, N("NewExpression", line=4)(N("Identifier", "Error", "expression"), N("Identifier", "m", "argument"))), STATEMENT("ThrowStatement", 5, N("NewExpression", line=5)(N("Identifier", "Error", "expression"), N("Identifier", "m", "argument"), N("Identifier", "o", "argument"))))],
-    "no-empty-function": [fn("function f() {}", line=1), fn("function f() { g() }", STATEMENT("ExpressionStatement", 2), line=2), call(3, "f", fn("() => {}", kind="ArrowFunction", line=3)), N("VariableDeclaration", "v", line=4)(fn("() => {}", kind="ArrowFunction", line=4))],
-    "no-multiline-comments": [N("Comment", "/** a\n b */", line=1), N("Comment", "// a", line=2)],
-    "naming-convention": [N("VariableDeclaration", "NaN", line=1), N("VariableDeclaration", "loop", line=2), N("LabeledStatement", "loop", line=3), N("LabeledStatement", "other", line=4)],
-    "correctness": [binary("EqualsToken", "a", "a", 1), binary("EqualsEqualsEqualsToken", "a", "a", 2), N("WhileStatement", line=3)(STATEMENT("ReturnStatement", 3)), N("Block", line=20)(STATEMENT("BreakStatement", 20), STATEMENT("FunctionDeclaration", 21), STATEMENT("ExpressionStatement", 22), STATEMENT("ExpressionStatement", 23)), N("CatchClause", "catch (e) { throw e }", line=4)(N("ThrowStatement", "throw e", "statement", 4)), N("ArrayLiteralExpression", line=5)(N("OmittedExpression", line=5)),
-                    N("FinallyBlock", line=6)(N("ReturnStatement", line=7), N("AwaitExpression", line=8), fn("", N("ReturnStatement", line=9))), N("SetAccessor", line=10)(N("ReturnStatement", line=11)(N("Identifier", "x", "expression"))), binary("EqualsToken", "a", "b", 12)],
-    "logic": [N("IfStatement", line=1)(N("Identifier", "a", "condition"), N("IfStatement", role="else", line=2)(N("Identifier", "a", "condition"))), N("IfStatement", line=3)(N("TrueKeyword", "true", "condition")), N("Block", line=4)(*[STATEMENT("ExpressionStatement", 4 + k, binary("EqualsToken", N("ElementAccessExpression", e), N("NumericLiteral", "1"), 4 + k, role="expression")) for k, e in enumerate(["x[0]", "x[0]", "x[1]"], 1)])],
-    "no-deprecated-api": [N("PropertyAccessExpression", "x.__proto__", line=1), N("PropertyAccessExpression", "arguments.callee", line=2), binary("EqualsToken", N("PropertyAccessExpression", "A.prototype"), "b", 3), N("PropertyAccessExpression", "x.proto", line=4)],
-    "no-useless-code": [N("ComputedPropertyName", line=1)(N("StringLiteral", "a", "expression")), binary("PlusToken", N("StringLiteral", "a"), N("StringLiteral", "b"), 2), N("PropertyAssignment", line=3)(N("Identifier", "a", "name"), N("Identifier", "a", "initializer")), N("PropertyAssignment", line=4)(N("Identifier", "a", "name"), N("Identifier", "b", "initializer"))],
-    "no-implicit-coercion": [binary("EqualsEqualsToken", "a", "b", 1), binary("EqualsEqualsToken", "a", N("NullKeyword", "null"), 2), N("PrefixUnaryExpression", "+a", line=3)(N("PlusToken", role="operator"), N("Identifier", "a", "expression")), binary("PlusToken", N("StringLiteral", ""), "b", 4), N("PrefixUnaryExpression", "!!a", "condition", 5), N("PrefixUnaryExpression", "!!a", line=6)],
-    "safety": [fn("", N("ReturnStatement", line=1)(N("Identifier", "x", "expression")), kind="Constructor"), binary("MinusToken", N("PropertyAccessExpression", "a?.b"), "c", 2), call(3, "parseInt", N("Identifier", "x")), call(4, "parseInt", N("Identifier", "x"), N("NumericLiteral", "10")), call(5, "reject", N("StringLiteral", "no")), N("NewExpression", line=6)(fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction", line=6))],
-    "security": [N("JsxAttribute", "dangerouslySetInnerHTML", line=1), N("JsxAttribute", "href", line=2)(N("StringLiteral", " JavaScript:x", "initializer")), call(3, "write", chain=["document", "write"]), N("JsxAttribute", "href", line=4)(N("StringLiteral", "/a", "initializer"))],
-    "simplification": [N("IfStatement", line=1)(N("Block", "", "then")(STATEMENT("ReturnStatement", 1, N("Identifier", "x", "expression"))), N("Block", "", "else")), N("WhileStatement", line=2)(STATEMENT("ExpressionStatement", 2), STATEMENT("ContinueStatement", 3)), fn("f", STATEMENT("ReturnStatement", 4)), N("IfStatement", line=5)(N("Block", "", "then")(STATEMENT("IfStatement", 6))), N("ForStatement", line=7), N("ForStatement", line=8)(N("Identifier", "i", "initializer"))],
-    "syntax": [N("VariableDeclarationList", "var a", line=1), N("VariableDeclarationList", "let a", line=2), N("Identifier", "arguments", line=3), call(4, "pow", chain=["Math", "pow"]), call(5, "apply", N("NullKeyword", "null"), chain=["f", "apply"]), N("NewExpression", line=6)(N("Identifier", "RegExp", "expression"), N("StringLiteral", "a", "argument"))],
-    "typescript": [N("ThrowStatement", line=1)(N("StringLiteral", "x", "expression")), N("AsExpression", line=2)(N("AsExpression", role="expression", line=3)), N("InterfaceDeclaration", line=4), N("InterfaceDeclaration", line=5)(N("PropertySignature", role="member")), N("NonNullExpression", line=6), N("AnyKeyword", line=7)],
-    "react": [N("JsxSelfClosingElement", "<button />", line=1), N("JsxSelfClosingElement", "<button />", line=2)(N("JsxAttribute", "type")), call(3, "useEffect", fn("", N("AsyncKeyword"), kind="ArrowFunction")), call(4, "useEffect", fn("", kind="ArrowFunction")), fn("Outer", fn("Inner", line=6), fn("inner", line=7), line=5)],
-    "rules-of-hooks": [call(1, "useState"), fn("C", call(2, "useState"), N("ForStatement")(call(3, "useMemo")), N("IfStatement")(call(4, "useMemo")), call(5, "map", fn("", call(5, "useId"), kind="ArrowFunction")), N("IfStatement")(N("ReturnStatement")), call(6, "useRef"))],
-    "no-re-export": [N("ExportDeclaration", line=1)(N("StringLiteral", "./a", "module")), N("ExportDeclaration", line=2)],
-    "no-duplicated-constants": [N("VariableDeclaration", "LIMIT", line=1)(N("NumericLiteral", "5", "initializer")), N("VariableDeclaration", "LIMIT", line=2)(N("NumericLiteral", "6", "initializer"))],
-    "/constants/shared": [N("VariableDeclaration", "LIMIT", line=1)(N("NumericLiteral", "5", "initializer"))],
-    "await-non-thenable": [N("AwaitExpression", line=k)(N("Identifier", "x", "expression", type=t)) for k, t in enumerate([STR, PROMISE, ANY], 1)],
-    "no-floating-promises": [N("ExpressionStatement", line=1)(call(1, "f", role="expression", type=PROMISE)), N("ExpressionStatement", line=2)(call(2, "catch", role="expression", type=PROMISE, chain=["f", "catch"])), N("ExpressionStatement", line=3)(call(3, "f", role="expression", type=STR))],
-    "restrict-plus-operands": [binary("PlusToken", N("Identifier", "a", type=a), N("Identifier", "b", type=b), k) for k, (a, b) in enumerate([(STR, NUM), (NUM, NUM), (BIG, NUM), (NUM, STR)], 1)],
-    "restrict-template-expr": [N("TemplateSpan", line=k)(N("Identifier", "a", "expression", type=t)) for k, t in enumerate([OBJ, STR, ANY, NULLABLE], 1)],
-    "no-base-to-string": [N("PropertyAccessExpression", "x.toString", line=k)(N("Identifier", "x", "expression", type=t)) for k, t in enumerate([BARE, OBJ], 1)] + [binary("PlusToken", N("Identifier", "a", type=STR), N("Identifier", "b", type=BARE), 3)],
-    "prefer-nullish-coalescing": [binary("BarBarToken", N("Identifier", "a", type=NULLABLE), "b", 1), binary("BarBarToken", N("Identifier", "a", type=NULLABLE), "b", 2, role="condition"), binary("BarBarToken", N("Identifier", "a", type=STR), "b", 3)],
-    "unnecessary-type-assertion": [N("AsExpression", line=k, type=t)(N("Identifier", "a", "expression", type=STR)) for k, t in enumerate([STR, NUM, ANY], 1)],
-    "prefer-satisfies-over-as": [N("AsExpression", line=1, type=BARE)(N("ObjectLiteralExpression", "{}", "expression", type=OBJ)), N("AsExpression", line=2, type=OBJ)(N("ObjectLiteralExpression", "{}", "expression", type=OBJ))],
-    "exhaustive-switch": [N("SwitchStatement", line=k)(N("Identifier", "x", "expression", type=UNION), *[N("CaseClause")(N("StringLiteral", "", "expression", type=t)) for t in cases], *([N("DefaultClause")] if default else [])) for k, (cases, default) in enumerate([([MEMBER_A], False), ([MEMBER_A, MEMBER_B], False), ([MEMBER_A], True)], 1)],
-    "any-propagation": [N("VariableDeclaration", "a", line=1)(N("Identifier", "x", "initializer", type=ANY)), N("VariableDeclaration", "b", line=2)(call(2, "parse", role="initializer", type=ANY, chain=["JSON", "parse"])), N("ReturnStatement", line=3)(N("Identifier", "x", "expression", type=STR))],
-    "cache-primitive-args": [call(1, "cache", fn("", N("Parameter", "a", line=1, type=STR), N("Parameter", "b", line=2, type=OBJ), kind="ArrowFunction"))],
-    "deprecated-usage": [N("Identifier", "old", line=1, symbol=1), N("Identifier", "fine", line=2, symbol=2)],
-    "no-weak-crypto": [call(1, "createHash", N("StringLiteral", "MD5"), target=10), call(2, "createHash", N("StringLiteral", "sha256"), target=10), call(3, "createHash", N("StringLiteral", "md5"), target=2)],
-    "no-implied-eval": [call(1, "setTimeout", N("StringLiteral", "x()", type=STR), target=11), call(2, "setTimeout", N("Identifier", "f", type=OBJ), target=11), call(3, "setTimeout", N("StringLiteral", "x", type=STR), target=2)],
-    "no-client-data-fetch": [call(1, "fetch", N("StringLiteral", "/api/a"), target=11), call(2, "fetch", N("StringLiteral", "https://a"), target=11), call(3, "get", N("StringLiteral", "x"), target=12)],
-    "no-dynamic-sql": [call(1, "execute", N("Identifier", "x"), chain=["db", "execute"]), call(2, "execute", N("StringLiteral", "SELECT"), chain=["db", "execute"]), N("VariableDeclaration", "q", line=3)(N("TaggedTemplateExpression", "sql`x`", "initializer")), call(4, "execute", N("Identifier", "q"), chain=["db", "execute"])],
-    "no-db-antipatterns": [call(1, "transaction", chain=["db", "transaction"]), N("ForStatement")(N("AwaitExpression")(call(2, "from", chain=["db", "select", "from"]))), N("AwaitExpression")(call(3, "from", chain=["db", "select", "from"]))],
-    "missing-returning": [N("VariableDeclaration", "a")(N("AwaitExpression")(call(1, "values", chain=["db", "insert", "values"]))), N("VariableDeclaration", "b")(N("AwaitExpression")(call(2, "returning", chain=["db", "insert", "returning"]))), N("AwaitExpression")(call(3, "values", chain=["db", "insert", "values"]))],
-    "cache-caller-count": [N("VariableDeclaration", "a", line=1, symbol=20)(call(1, "cache", role="initializer")), N("VariableDeclaration", "b", line=2, symbol=21)(call(2, "cache", role="initializer")), call(3, "a", target=20), call(4, "b", target=21), call(5, "b", target=21)],
-    "effect-cleanup": [call(1, "useEffect", fn("", call(2, "setInterval"), call(3, "addEventListener"), fn("", call(4, "clearInterval"), kind="ArrowFunction"), kind="ArrowFunction")), call(5, "setInterval")],
-    "input-validation": [fn("bad", N("Parameter", "a", "parameter"), line=1), fn("own", N("Parameter", "a", "parameter"), call(2, "safeParse"), line=2), fn("through", N("Parameter", "a", "parameter"), call(3, "helper", target=30), line=3), fn("helper", call(4, "safeParse"), line=4, symbol=30), fn("hidden", N("Parameter", "a", "parameter"), line=5)],
-    "state-hooks-cluster": [fn("C", *[call(2, "useState") for _ in range(5)], line=1), fn("D", *[call(4, "useState") for _ in range(4)], line=3)],
-    "performance": [N("WhileStatement")(N("RegularExpressionLiteral", line=5)), call(1, "readSync", target=13), call(2, "readSync", target=2), call(3, "h", chain=list("abcdefgh"), target=2), call(4, "h", chain=list("abc"), target=2)],
-    **{rule: [fn("f", N("Parameter", "p", name="p"), N("Identifier", "v", name="v"), call(1, name, N("Identifier", "v", name="used"), target=target), call(2, name, N("StringLiteral", "x"), target=target), call(3, name, N("Identifier", "p", name="other"), target=2))]
-       for rule, name, target in [("no-child-process", "exec", 14), ("no-non-literal-fs-path", "readFile", 13), ("no-non-literal-regexp", "RegExp", 11), ("no-non-literal-require", "require", 11), ("no-ssrf", "fetch", 11)]},
-    "prefer-modern-api": [binary("GreaterThanToken", N("CallExpression", "a.indexOf(b)"), "-1", 1), binary("EqualsEqualsEqualsToken", N("CallExpression", "a.indexOf(b)"), "0", 2), N("DeleteExpression", line=3), call(4, "assign", N("ObjectLiteralExpression", "{}"), chain=["Object", "assign"]), call(5, "assign", N("Identifier", "x"), chain=["Object", "assign"]), N("ElementAccessExpression", "a.b[a.b.length - 1]", line=6), N("ElementAccessExpression", "a[b.length - 1]", line=7)],
-    "prefer-optional-chain": [binary("AmpersandAmpersandToken", "a", N("PropertyAccessExpression", "a.b"), 1), binary("AmpersandAmpersandToken", "a", N("PropertyAccessExpression", "ab.c"), 2), binary("AmpersandAmpersandToken", N("BinaryExpression", "a != null"), N("PropertyAccessExpression", "a.b"), 3)],
-    "promise-all-opportunity": [N("Block")(STATEMENT("VariableStatement", 1, N("VariableDeclaration", "a", symbol=50)(N("AwaitExpression"))), STATEMENT("VariableStatement", 2, N("VariableDeclaration", "b", symbol=51)(N("AwaitExpression")(N("Identifier", "a", symbol=50)))), STATEMENT("ExpressionStatement", 3, N("AwaitExpression")), STATEMENT("ExpressionStatement", 4)),
-                                N("TryStatement")(N("Block")(STATEMENT("ExpressionStatement", 5, N("AwaitExpression")), STATEMENT("ExpressionStatement", 6, N("AwaitExpression"))))],
-    "exhaustive-deps": [fn("C", N("Parameter", "p", symbol=60), N("VariableDeclaration", "q", symbol=61), N("VariableDeclaration", "setQ", symbol=62),
-                           call(1, "useEffect", fn("", N("Identifier", "p", symbol=60), N("Identifier", "q", symbol=61), N("Identifier", "setQ", symbol=62), N("Identifier", "g", symbol=63), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "p", symbol=60))),
-                           call(2, "useMemo", fn("", N("Identifier", "p", symbol=60), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "p", symbol=60))), call(3, "useEffect", fn("", N("Identifier", "q", symbol=61), kind="ArrowFunction")))],
-    "narrow-param-type": [fn("f", N("Parameter", "a", line=1, symbol=70, type=WIDE), N("PropertyAccessExpression", "a.p1")(N("Identifier", "a", "expression", symbol=70))), fn("g", N("Parameter", "b", line=2, symbol=71, type=WIDE), N("PropertyAccessExpression", "b.p1")(N("Identifier", "b", "expression", symbol=71)), call(2, "h", N("Identifier", "b", symbol=71))), fn("h", N("Parameter", "c", line=3, symbol=72, type=OBJ))],
-    "no-async-client-component": [fn("Page", N("AsyncKeyword", role="modifier"), line=1), fn("Plain", line=2), fn("Hidden", N("AsyncKeyword", role="modifier"), line=3)],
-    "no-misused-promises": [call(1, "forEach", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction")), call(2, "forEach", fn("", kind="ArrowFunction")), call(3, "map", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction"))],
-    "no-redundant-zod-parse": [call(1, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=STR), call(2, "parse", N("Identifier", "a", type=ANY), chain=["Schema", "parse"], type=STR), call(3, "parse", N("Identifier", "a", type=STR), chain=["Schema", "catch", "parse"], type=STR), call(4, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=NUM)],
-    "unbranded-type-consistency": [N("Parameter", "userId", line=1, type=STR), N("Parameter", "user", line=2, type=STR), N("Parameter", "userId", line=3, type=NUM)],
-    "prefer-literal-union": [binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", "x"), 1), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=UNION), N("StringLiteral", "x"), 2), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", ""), 3)],
-    "zustand-patterns": [call(1, "useShallow", N("ArrowFunction", "(s) => s.a")), call(2, "useAppStore", N("ArrowFunction", "(s) => ({ a: s.a, b: s.b })")), call(3, "useAppStore", N("ArrowFunction", "(s) => s.a"))],
-    "prop-drilling": [fn("A", *[N("Parameter", f"p{k}", symbol=80 + k, type=FUNC if k < 2 else STR) for k in range(4)], *[N("JsxExpression")(N("Identifier", f"p{k}", symbol=80 + k)) for k in range(4)], line=1),
-                      fn("B", *[N("Parameter", f"p{k}", symbol=90 + k, type=FUNC) for k in range(4)], *[N("JsxExpression")(N("Identifier", f"p{k}", symbol=90 + k)) for k in range(4)], N("CallExpression")(N("Identifier", "p0", symbol=90)), line=2)],
-    "no-db-origin-client-boundary": [fn("A", N("Parameter", "a", "parameter", 1, type=HOLDER)), fn("B", N("Parameter", "a", "parameter", 2, type=OBJ)), fn("C", N("Parameter", "a", "parameter", 3, type=OBJ), N("Parameter", "b", "parameter", 4, type=ROW))],
-    "type-precision": [fn("f", N("Parameter", "a")(N("UnionType", line=1)(N("LiteralType", role="literal"), N("LiteralType", role="literal")))), N("InterfaceDeclaration", line=2)(N("IndexSignature", role="member"), N("PropertySignature", role="member")), N("InterfaceDeclaration", line=3)(N("PropertySignature", role="member")),
-                       N("Parameter", "xs", line=4, symbol=95)(N("ArrayType", role="type")), N("Parameter", "ys", line=5, symbol=96)(N("ArrayType", role="type")), N("PropertyAccessExpression", "ys.push")(N("Identifier", "ys", "expression", symbol=96))],
-    "app/page": [fn("Page", N("Parameter", "params", name="p"), N("Identifier", "v", name="v"), call(1, "parse", N("Identifier", "v", name="used"), chain=["S", "parse"]), call(2, "safeParse", N("Identifier", "p", name="other"), chain=["S", "safeParse"]))],
-    "no-unthrown-error": [N("ExpressionStatement")(N("NewExpression", line=1, symbol=41)), N("ThrowStatement")(N("NewExpression", line=2, symbol=41)), N("ExpressionStatement")(N("NewExpression", line=3, symbol=2))],
-}
+from factloom.rule_queries import SCHEMAS, relations
+
+
 FINDS = {
     "no-identical-binary-operands": [1], "no-collection-size-mischeck": [1, 2, 4], "jsx-no-useless-fragment": [1], "no-all-duplicated-branches": [1], "error-handling": [1, 4], "no-empty-function": [1], "no-multiline-comments": [1],
     "naming-convention": [1, 3], "correctness": [1, 2, 3, 4, 5, 7, 8, 11, 22], "logic": [1, 3, 5], "no-deprecated-api": [1, 2, 3], "no-useless-code": [1, 2, 3], "no-implicit-coercion": [1, 3, 4, 5], "safety": [1, 2, 3, 5, 6],
-    "security": [1, 2, 3], "simplification": [1, 3, 4, 5, 7], "syntax": [1, 3, 4, 5, 6], "typescript": [1, 2, 4, 6, 7], "react": [1, 3, 6], "rules-of-hooks": [1, 3, 4, 5, 6], "no-re-export": [1], "no-duplicated-constants": [1],
+    "security": [1, 2, 3], "simplification": [1, 3, 4, 5, 7], "syntax": [1, 3, 4, 5, 6], "typescript": [1, 2, 4, 6, 7], "react": [1, 3, 6], "rules-of-hooks": [1, 3, 4, 5, 6], "no-re-export": [1], "no-duplicated-constants": [1], "no-local-constants": [1, 3, 7],
     "await-non-thenable": [1], "no-floating-promises": [1], "restrict-plus-operands": [1, 3, 4], "restrict-template-expr": [1], "no-base-to-string": [1, 3], "prefer-nullish-coalescing": [1], "unnecessary-type-assertion": [1],
     "prefer-satisfies-over-as": [1], "exhaustive-switch": [1], "any-propagation": [1], "cache-primitive-args": [2], "deprecated-usage": [1], "no-weak-crypto": [1], "no-implied-eval": [1], "no-client-data-fetch": [1, 3],
     "no-dynamic-sql": [1], "no-db-antipatterns": [1, 2], "missing-returning": [1], "cache-caller-count": [1], "effect-cleanup": [3], "input-validation": [1], "state-hooks-cluster": [1], "performance": [1, 3, 5],
@@ -134,43 +17,10 @@ FINDS = {
     "prefer-modern-api": [1, 2, 3, 4, 6], "prefer-optional-chain": [1, 3], "promise-all-opportunity": [3], "exhaustive-deps": [1], "narrow-param-type": [1], "no-async-client-component": [1], "no-misused-promises": [1],
     "no-redundant-zod-parse": [1], "unbranded-type-consistency": [1], "prefer-literal-union": [1], "zustand-patterns": [1, 2], "prop-drilling": [1], "no-db-origin-client-boundary": [1], "type-precision": [1, 2, 4],
 }
-OWNERS = ("FunctionDeclaration", "ArrowFunction", "Constructor")
-
 
 @pytest.fixture(scope="module")
 def facts(spark):
-    rows = {k: [] for k in ("nodes", "node_types", "node_symbols", "calls", "def_use", "files")}
-    for rule, tops in TREES.items():
-        file, names, count = f"{rule}.tsx", {}, 0
-        rows["files"].append((file, "tsx", 1, "", False, "use server" if rule in ("missing-returning", "input-validation", "no-ssrf") else "use client" if rule in ("no-async-client-component", "no-db-origin-client-boundary") else None))
-
-        def visit(n, parent, up, ord_):
-            nonlocal count
-            count += 1
-            me = count
-            rows["nodes"].append((file, me, parent, n.kind, n.role, ord_, len(up), me, me, n.line, 1, n.text, up))
-            names.setdefault(n.name, me)
-            if n.type:
-                rows["node_types"].append((file, me, n.type))
-            if n.symbol:
-                rows["node_symbols"].append((file, me, n.symbol))
-            if n.call:
-                owner = [i for i, k in up if k in OWNERS]
-                rows["calls"].append((file, me, owner[-1] if owner else None, n.call["target"], n.call["name"], n.call["chain"]))
-            seen = {}
-            for kid in n.kids:
-                visit(kid, me, [*up, (me, n.kind)], seen.get(kid.role, 0))
-                seen[kid.role] = seen.get(kid.role, 0) + 1
-
-        visit(N("SourceFile")(*tops), None, [], 0)
-        if "used" in names:  # p flows to v, v to the argument
-            rows["def_use"] += [(file, names["v"], names["p"], "assign"), (file, names["used"], names["v"], "use"), (file, names["other"], names["p"], "use")]
-    origin = {10: "pkg:crypto", 11: "lib", 12: "pkg:axios", 13: "pkg:fs", 14: "pkg:child_process", 2: "local", 20: "local", 21: "local", 30: "local", 41: "local"}
-    symbols = [(1, "old", 0, "x.ts", 9, "local", ["deprecated"]), (40, "Error", 0, "lib.d.ts", 0, "lib", []), *[(i, f"s{i}", 0, "x.ts", i, o, []) for i, o in origin.items()]]
-    tokens = [f"t{k}" for k in range(60)]
-    blocks = [("a.ts", "f", 1, 12, tokens), ("b.ts", "f", 2, 12, tokens), ("c.ts", "near", 3, 12, [*tokens[:57], "x", *tokens[58:]]), ("d.ts", "alike", 4, 12, [*tokens[:55], "y", "z", "w", "v", "u"]), ("e.ts", "twice", 5, 12, ["q", "r", "s"]), ("e.ts", "twice", 9, 12, ["q", "r", "s"]), ("g.ts", "short", 6, 1, tokens), ("h.ts", "none", 7, 12, [])]
-    rows |= {"symbols": symbols, "types": TYPES, "assignable": [(STR, STR)], "class_bases": [(41, 40)], "blocks": blocks, "exports": [("input-validation.tsx", x, "s") for x in ("bad", "own", "through", "helper")] + [("no-async-client-component.tsx", x, "s") for x in ("Page", "Plain")]}
-    return {k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()}
+    return {k: v.cache() for k, v in relations(spark, tuple(SCHEMAS)).items() if k != "refs"}
 
 
 @pytest.mark.parametrize("rule", sorted(FINDS))
