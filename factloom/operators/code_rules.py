@@ -6,6 +6,7 @@ Every rule is one query; ``CODE_RULES.diagnostics(facts, options)`` unites those
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ WRAPPERS = ("AsExpression", "SatisfiesExpression", "ParenthesizedExpression")
 LITERALS = ("StringLiteral", "NoSubstitutionTemplateLiteral", "NumericLiteral", "PrefixUnaryExpression")
 TRIVIAL_NUMBERS = (0, 1, -1)
 DECLARATIONS = ("VariableDeclaration", "FunctionDeclaration", "Parameter", "ClassDeclaration", "PropertyDeclaration")
-COMPLEXITY = {"cyclomatic": 15, "lines": 150, "max_nesting": 4}
+COMPLEXITY = {"cyclomatic": 15, "lines": 150, "max_nesting": 4, "statements": 25, "parameters": 4, "callbacks": 3}
 
 
 def found(rows: DataFrame, message: str | Column) -> DataFrame:
@@ -56,14 +57,20 @@ def no_debug_code(facts: Facts, options: dict) -> DataFrame:
     return found(facts["nodes"].where("kind = 'DebuggerStatement'"), "debugger statement")
 
 
-@CODE_RULES.rule("banned-syntax", "quality", "Void, labels, bare blocks, deletion of names", sub_checks=4, needs=("nodes",))
+@CODE_RULES.rule("banned-syntax", "quality", "Void, labels, bare blocks, broken and octal strings, deletion of names, globals assigned", sub_checks=7, needs=("nodes", "node_symbols", "symbols"))
 def banned_syntax(facts: Facts, options: dict) -> DataFrame:
     nodes = with_parent(facts["nodes"])
-    what = (
-        F.when(F.col("kind") == "VoidExpression", "void operator").when(F.col("kind") == "LabeledStatement", "label")
-        .when((F.col("kind") == "Block") & (F.col("parent_kind") == "Block"), "block in a block")
-        .when((F.col("kind") == "Identifier") & (F.col("parent_kind") == "DeleteExpression"), "deletion of a name"))
-    return found(nodes.withColumn("what", what).where("what IS NOT NULL"), F.col("what"))
+    text = F.when(F.col("kind") == "StringLiteral", F.col("text"))
+    what = F.array_compact(F.array(
+        F.when(F.col("kind") == "VoidExpression", "void operator"), F.when(F.col("kind") == "LabeledStatement", "label"),
+        F.when((F.col("kind") == "Block") & (F.col("parent_kind") == "Block"), "block in a block"), F.when(text.rlike(r"\\\r?\n"), "line broken in a string"), F.when(text.rlike(r"\\[1-7]"), "octal escape"),
+        F.when((F.col("kind") == "Identifier") & (F.col("parent_kind") == "DeleteExpression"), "deletion of a name")))
+    said = found(nodes.withColumn("what", F.explode(what)), F.col("what"))
+    libs = facts["symbols"].where("origin = 'lib'").select("symbol_id", "name")
+    written = nodes.where("kind = 'Identifier' AND field = 'left'").join(facts["node_symbols"], ["file", "node_id"]).join(libs, "symbol_id").select("file", F.col("parent_id").alias("node_id"), "name")
+    assigned = facts["nodes"].where("kind = 'EqualsToken' AND field = 'operator'").select("file", F.col("parent_id").alias("node_id"))
+    hit = relations.covered(facts["nodes"].where("kind = 'BinaryExpression'"), assigned, ["file", "node_id"]).join(written, ["file", "node_id"])
+    return said.unionByName(found(hit, F.concat(F.lit("global assigned: "), F.col("name"))))
 
 
 @CODE_RULES.rule("no-magic-numbers", "quality", "Numbers without a name", needs=("nodes",))
@@ -102,15 +109,16 @@ def no_unescaped_entities(facts: Facts, options: dict) -> DataFrame:
     return found(facts["nodes"].where((F.col("kind") == "JsxText") & F.col("file").endswith(".tsx") & (mark != "")), F.concat(F.lit("escape "), mark))
 
 
-@CODE_RULES.rule("readability", "quality", "Nested ternaries, switches and templates", sub_checks=3, needs=("nodes",))
+@CODE_RULES.rule("readability", "quality", "Nested ternaries, switches and templates, literals asserted, aliases of this", sub_checks=5, needs=("nodes",))
 def readability(facts: Facts, options: dict) -> DataFrame:
     nested = lambda kind: (F.col("kind") == kind) & F.exists("ancestors", lambda a: a["kind"] == kind)
-    what = F.when((F.col("kind") == "ConditionalExpression") & (F.col("parent_kind") == "ConditionalExpression"), "nested ternary").when(nested("SwitchStatement"), "nested switch").when(nested("TemplateExpression"), "nested template")
-    return found(with_parent(facts["nodes"]).withColumn("what", what).where("what IS NOT NULL"), F.col("what"))
-
-
-def regexp_in_loop(facts: Facts) -> DataFrame:
-    return found(facts["nodes"].where((F.col("kind") == "RegularExpressionLiteral") & inside("ancestors", LOOPS, FUNCTIONS)), "make it once, before the loop")
+    child = lambda role, name: facts["nodes"].where((F.col("field") == role) & (F.col("ord") == 0)).select("file", F.col("parent_id").alias("node_id"), F.struct("kind", "text").alias(name))
+    rows = with_parent(facts["nodes"]).join(child("initializer", "value"), ["file", "node_id"], "left").join(child("expression", "inner"), ["file", "node_id"], "left").join(child("type", "asserted"), ["file", "node_id"], "left")
+    same = (F.col("inner.kind") == "StringLiteral") & (F.col("asserted.kind") == "LiteralType") & (F.col("inner.text") == F.col("asserted.text"))
+    what = (
+        F.when((F.col("kind") == "ConditionalExpression") & (F.col("parent_kind") == "ConditionalExpression"), "nested ternary").when(nested("SwitchStatement"), "nested switch").when(nested("TemplateExpression"), "nested template")
+        .when((F.col("kind") == "AsExpression") & same, "use as const").when((F.col("kind") == "VariableDeclaration") & (F.col("value.kind") == "ThisKeyword"), "alias of this"))
+    return found(rows.withColumn("what", what).where("what IS NOT NULL"), F.col("what"))
 
 
 def unreachable_code(facts: Facts) -> DataFrame:
@@ -118,17 +126,27 @@ def unreachable_code(facts: Facts) -> DataFrame:
     return found(relations.first_after(statements, ["file", "parent_id"], ["ord"], F.col("kind").isin(*TERMINATORS)), "never reached")
 
 
-@CODE_RULES.rule("complexity", "quality", "Functions over a threshold", sub_checks=3, needs=("nodes",))
+@CODE_RULES.rule("complexity", "quality", "Functions over a threshold", sub_checks=6, needs=("nodes",))
 def complexity(facts: Facts, options: dict) -> DataFrame:
-    nodes = facts["nodes"]
+    nodes, limits = facts["nodes"], COMPLEXITY | options
     functions = F.filter("ancestors", lambda a: a["kind"].isin(*FUNCTIONS))
     owner = F.struct("file", F.try_element_at(functions, F.lit(-1))["id"].alias("node_id"))
     level = F.size(F.filter("ancestors", lambda a: a["kind"].isin(*BRANCHES)))
     owned = nodes.withColumns({"owner": owner, "end_line": F.col("line"), "level": level}).where("owner.node_id IS NOT NULL")
     per = metrics.complexity(owned, "owner", BRANCHES, LOGICAL, FUNCTIONS, depth="level")
-    limits = COMPLEXITY | options
-    over = relations.thresholds(per, "owner", {m: (F.col(m), most) for m, most in limits.items()})
-    return found(over.select("owner.file", "owner.node_id", "metric").join(nodes, ["file", "node_id"]), F.col("metric"))
+    over = [relations.thresholds(per, "owner", {m: (F.col(m), limits[m]) for m in ("cyclomatic", "lines", "max_nesting")}).select("owner.file", "owner.node_id", "metric")]
+    parts = nodes.groupBy("file", F.col("parent_id").alias("node_id")).agg(F.count_if(F.col("field") == "statement").alias("statements"), F.count_if(F.col("field") == "parameter").alias("parameters"))
+    heads = relations.covered(parts, nodes.where(F.col("kind").isin(*FUNCTIONS)), ["file", "node_id"])
+    for m in ("statements", "parameters"):
+        over.append(heads.where(F.col(m) > limits[m]).select("file", "node_id", F.lit(m).alias("metric")))
+    # a callback is a function that a call holds; its depth in a function around it counts those between
+    back = lambda a, parent: a.isin("ArrowFunction", "FunctionExpression") & (parent == "CallExpression")
+    chain = F.transform("ancestors", lambda a, i: F.struct(a["id"].alias("id"), a["kind"].alias("kind"), back(a["kind"], F.try_element_at("ancestors", i)["kind"]).alias("back")))
+    calls = with_parent(nodes).where(back(F.col("kind"), F.col("parent_kind"))).withColumn("chain", chain)
+    inner = calls.select("file", F.explode(F.transform("chain", lambda a, i: F.struct(a["id"].alias("id"), (1 + F.size(F.filter(F.slice("chain", i + 2, F.size("chain")), lambda b: F.coalesce(b["back"], F.lit(False))))).alias("depth")))).alias("a"))
+    deep = inner.groupBy("file", F.col("a.id").alias("node_id")).agg(F.max("a.depth").alias("depth")).where(F.col("depth") > limits["callbacks"])
+    over.append(relations.covered(deep, nodes.where(F.col("kind").isin(*FUNCTIONS)), ["file", "node_id"]).select("file", "node_id", F.lit("callbacks").alias("metric")))
+    return found(reduce(DataFrame.unionByName, over).join(nodes, ["file", "node_id"]), F.col("metric"))
 
 
 @CODE_RULES.rule("self-import", "architecture", "Files that import themselves", needs=("import_edges",))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rules import Facts
 from . import graph, relations, similarity
-from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, regexp_in_loop, with_parent
+from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, with_parent
 from .syntax_rules import kind, operator, with_children
 
 # Type flags, as the public compiler interface has them.
@@ -29,6 +30,11 @@ FS_PATH_METHODS = (
 )
 EVAL_FUNCTIONS = ("eval", "setTimeout", "setInterval", "execScript", "Function")
 CLEANUP = {"addEventListener": "removeEventListener", "setInterval": "clearInterval", "setTimeout": "clearTimeout", "observe": "disconnect", "on": "off"}
+SYNC_IO = (
+    "readFileSync", "writeFileSync", "appendFileSync", "mkdirSync", "rmdirSync", "unlinkSync", "renameSync", "copyFileSync", "statSync", "existsSync", "accessSync", "readdirSync",
+)
+GROWING = ("push", "unshift", "splice")
+ARRAY_SHAPE = r"\[\]$|^(readonly )?(Array|ReadonlyArray)<|^\["
 DB_METHODS = ("select", "insert", "update", "delete")
 
 
@@ -277,11 +283,29 @@ def state_hooks_cluster(facts: Facts, options: dict) -> DataFrame:
     return found(at(facts, many), F.concat(F.col("n").cast("string"), F.lit(" states")))
 
 
-@CODE_RULES.rule("performance", "performance", "Blocking calls, long chains, expressions made anew in loops", sub_checks=3, needs=("nodes", "calls", "symbols"), sub_ids={"long chain": "long-chain"})
+@CODE_RULES.rule("performance", "performance", "Blocking calls, patterns made in loops, long chains, arrays changed or cut where they are read, barrel imports", sub_checks=6,
+                 needs=("nodes", "calls", "symbols", "node_types", "types", "import_edges"), sub_ids={"long chain": "long-chain", "import through an index": "no-barrel-import"})
 def performance(facts: Facts, options: dict) -> DataFrame:
-    calls = at(facts, origins(facts))
-    blocking = calls.where(F.col("name").endswith("Sync") & F.col("origin").startswith("pkg:"))
-    return regexp_in_loop(facts).unionByName(found(blocking, "blocks")).unionByName(found(calls.where((F.size("chain") - 1 > options.get("maxChainDepth", 6)) & (F.col("origin") == "local")), "long chain"))
+    nodes, calls = facts["nodes"], at(facts, origins(facts))
+    patterns = with_children(nodes, "expression").where(kind("NewExpression") & (F.col("expression.text") == "RegExp") & inside("ancestors", LOOPS, FUNCTIONS))
+    blocking = calls.where(F.col("name").isin(*options.get("syncIo", SYNC_IO)) & F.col("origin").startswith("pkg:"))
+    chains = calls.where((F.size("chain") - 1 > options.get("maxChainDepth", 6)) & (F.col("origin") == "local"))
+    arrays = facts["node_types"].join(facts["types"].where(F.col("shape").rlike(ARRAY_SHAPE)), "type_id").select("file", "node_id")
+    # the nearest function around is given to map or filter of an array
+    owner = F.try_element_at(F.filter("ancestors", lambda a: a["kind"].isin("ArrowFunction", "FunctionExpression")), F.lit(-1))["id"]
+    changed = calls.where(F.col("name").isin(*GROWING) & (F.size("chain") > 1)).withColumn("owner", owner)
+    given = nodes.where(kind("ArrowFunction", "FunctionExpression")).select("file", F.col("node_id").alias("owner"), F.col("parent_id").alias("call"))
+    over = facts["calls"].where(F.col("name").isin("map", "filter") & (F.size("chain") > 1)).select("file", F.col("node_id").alias("call"))
+    receivers = relations.covered(nodes.where("field = 'receiver'"), arrays, ["file", "node_id"]).select("file", F.col("parent_id").alias("call"))
+    grown = relations.covered(changed, relations.covered(relations.covered(given, over, ["file", "call"]), receivers, ["file", "call"]), ["file", "owner"])
+    cut = with_children(nodes, "expression").where(kind("ElementAccessExpression") & (F.col("field") == "expression")).withColumn("node", F.col("expression.id"))
+    cut = relations.covered(cut, arrays.withColumnRenamed("node_id", "node"), ["file", "node"]).select("file", F.col("parent_id").alias("node_id"))
+    deleted = relations.covered(nodes.where(kind("DeleteExpression")), cut, ["file", "node_id"])
+    barrels = facts["import_edges"].where(F.col("specifier").startswith(".") & F.col("dst").rlike(r"(^|[/\\\\])index\.[tj]sx?$")).select(F.col("src").alias("file"), "line", F.lit(1).alias("col"))
+    parts = {
+        "make it once, before the loop": patterns, "blocks": blocking, "long chain": chains, "array changed in a callback": grown, "hole in an array": deleted, "import through an index": barrels,
+    }
+    return reduce(DataFrame.unionByName, [found(df, m) for m, df in parts.items()])
 
 
 # --- flows ------------------------------------------------------------------------------------------

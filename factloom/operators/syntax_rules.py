@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +136,7 @@ def correctness(facts: Facts, options: dict) -> DataFrame:
     }))
 
 
-@CODE_RULES.rule("logic", "quality", "Conditions and writes without effect", sub_checks=3, needs=("nodes",))
+@CODE_RULES.rule("logic", "quality", "Conditions, writes and values without effect", sub_checks=5, needs=("nodes", "node_symbols", "node_types", "types"))
 def logic(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(facts["nodes"], "condition", "left", "operator", "right", "else")
     inner = rows.where(kind("IfStatement")).select("file", F.col("node_id").alias("next_id"), F.col("condition.text").alias("next_text"))
@@ -145,7 +147,10 @@ def logic(facts: Facts, options: dict) -> DataFrame:
     writes = rows.where(operator("EqualsToken") & (F.col("left.kind") == "ElementAccessExpression") & (F.col("field") == "expression")).select("file", F.col("parent_id").alias("node_id"), F.col("left.text").alias("element"))
     statements = facts["nodes"].where(F.col("field") == "statement").join(writes, ["file", "node_id"], "left")
     dead = relations.repeated_next(statements, ["file", "parent_id"], ["ord"], F.col("element"))
-    return again.unionByName(fixed).unionByName(found(dead, "written again at once"))
+    numbers = facts["node_types"].join(facts["types"].where(F.col("flags").bitwiseAND(F.lit(8 | 256)) != 0), "type_id").select("file", F.col("node_id").alias("side"))
+    shown = with_parent(rows).where(operator("AmpersandAmpersandToken") & (F.col("field") == "expression") & (F.col("parent_kind") == "JsxExpression")).withColumn("side", F.col("left.id"))
+    leaks = found(relations.covered(shown, numbers, ["file", "side"]), "0 is shown")
+    return again.unionByName(fixed).unionByName(found(dead, "written again at once")).unionByName(leaks).unionByName(found(dead_initial_values(facts), "first value never used"))
 
 
 @CODE_RULES.rule("no-deprecated-api", "quality", "Old ways to prototypes and callers", sub_checks=3, needs=("nodes",))
@@ -158,12 +163,14 @@ def no_deprecated_api(facts: Facts, options: dict) -> DataFrame:
     })
 
 
-@CODE_RULES.rule("no-useless-code", "quality", "Code that can be said shorter", sub_checks=3, needs=("nodes",))
+@CODE_RULES.rule("no-useless-code", "quality", "Code that can be said shorter", sub_checks=4, needs=("nodes",))
 def no_useless_code(facts: Facts, options: dict) -> DataFrame:
-    rows = with_children(facts["nodes"], "name", "expression", "initializer", "left", "operator", "right")
+    rows = with_children(facts["nodes"], "name", "expression", "initializer", "left", "operator", "right", "argument")
+    receiver = F.regexp_extract("expression.text", r"^(\w+)\.\w+\.(call|apply)$", 1)
     return each(rows, {
         "literal as a computed key": kind("ComputedPropertyName") & F.col("expression.kind").isin("StringLiteral", "NumericLiteral"),
         "literals joined": operator("PlusToken") & (F.col("left.kind") == "StringLiteral") & (F.col("right.kind") == "StringLiteral"),
+        "called by its receiver": kind("CallExpression") & (F.col("argument.kind") == "Identifier") & (F.col("argument.text") == receiver),
         "name said twice": kind("PropertyAssignment") & (F.col("initializer.kind") == "Identifier") & (F.col("name.text") == F.col("initializer.text")),
     })
 
@@ -181,18 +188,124 @@ def no_implicit_coercion(facts: Facts, options: dict) -> DataFrame:
     })
 
 
-@CODE_RULES.rule("safety", "quality", "Calls and functions with a common slip", sub_checks=4, needs=("nodes",))
+ARRAY_CALLBACKS = ("map", "filter", "find", "findIndex", "every", "some", "reduce", "flatMap")
+ASSIGNMENTS = (
+    "EqualsToken", "PlusEqualsToken", "MinusEqualsToken", "AsteriskEqualsToken", "SlashEqualsToken", "PercentEqualsToken", "AmpersandEqualsToken", "BarEqualsToken", "CaretEqualsToken",
+    "BarBarEqualsToken", "AmpersandAmpersandEqualsToken", "QuestionQuestionEqualsToken",
+)
+
+
+def written_symbols(facts: Facts, tokens: tuple[str, ...] | None = ASSIGNMENTS) -> DataFrame:
+    """Identifiers that are written to, with their symbols and ancestors: left of an assignment (of any binary operator, if
+    ``tokens`` is None) or operand of a unary operator."""
+    rows = with_children(facts["nodes"], "operator")
+    left = rows.where(kind("BinaryExpression") & (F.lit(True) if tokens is None else F.col("operator.kind").isin(*tokens))).select("file", F.col("node_id").alias("parent_id"), F.lit("left").alias("field"))
+    operand = rows.where(kind("PrefixUnaryExpression", "PostfixUnaryExpression")).select("file", F.col("node_id").alias("parent_id"), F.lit("expression").alias("field"))
+    named = facts["nodes"].where(kind("Identifier")).join(facts["node_symbols"], ["file", "node_id"])
+    return named.join(left.union(operand), ["file", "parent_id", "field"], "left_semi")
+
+
+def _loops_and_callbacks(facts: Facts, options: dict) -> DataFrame:
+    nodes, symbols = facts["nodes"], facts["node_symbols"]
+    rows = with_children(with_parent(nodes), "expression", "argument", "left", "operator", "right", "modifier", "statement")
+    # values returned by the function that a promise is made with
+    made = rows.where(kind("NewExpression") & (F.col("expression.text") == "Promise") & F.col("argument.kind").isin("ArrowFunction", "FunctionExpression")).select("file", F.col("argument.id").alias("parent_id"))
+    returned = relations.covered(rows.where(kind("ReturnStatement") & (F.col("field") == "statement") & F.col("expression").isNotNull()), made, ["file", "parent_id"])
+    # a variable from elsewhere takes what is awaited: others may have written it meanwhile
+    late = rows.where(operator("EqualsToken") & (F.col("left.kind") == "Identifier") & (F.col("right.kind") == "AwaitExpression")).withColumn("named", F.col("left.id"))
+    late = late.join(symbols.select("file", F.col("node_id").alias("named"), "symbol_id"), ["file", "named"])
+    declared = nodes.where(kind("VariableDeclaration", "Parameter")).join(symbols, ["file", "node_id"]).select("file", "symbol_id", F.col("parent_id").alias("declared_in"))
+    late = late.join(declared, ["file", "symbol_id"]).where(~F.exists("ancestors", lambda a: a["id"] == F.col("declared_in")))
+    # loops on a name that nothing within writes
+    loops = rows.where(kind("WhileStatement", "DoStatement") & (F.col("expression.kind") == "Identifier")).withColumn("named", F.col("expression.id")).join(symbols.select("file", F.col("node_id").alias("named"), "symbol_id"), ["file", "named"])
+    writes = written_symbols(facts, None).select("file", "symbol_id", F.explode("ancestors").alias("a")).select("file", "symbol_id", F.col("a.id").alias("node_id"))
+    still = relations.uncovered(loops, writes, ["file", "symbol_id", "node_id"])
+    # functions given to array methods that return nothing
+    method = F.substring_index("expression.text", ".", -1)
+    given = rows.where(kind("CallExpression") & (F.col("expression.kind") == "PropertyAccessExpression") & method.isin(*options.get("arrayCallbackMethods", ARRAY_CALLBACKS))).select("file", F.col("argument.id").alias("node_id"))
+    owner = F.try_element_at(F.filter("ancestors", lambda a: a["kind"].isin(*FUNCTIONS)), F.lit(-1))["id"]
+    returns = nodes.where(kind("ReturnStatement")).select("file", owner.alias("node_id"))
+    empty = relations.covered(rows.where(kind("ArrowFunction", "FunctionExpression") & (F.col("n_statement") > 0) & (F.coalesce(F.col("modifier.kind"), F.lit("")) != "AsyncKeyword")), given, ["file", "node_id"])
+    parts = {"value returned by an executor": returned, "outer variable takes what is awaited": late, "loop condition never changes": still, "callback returns nothing": relations.uncovered(empty, returns, ["file", "node_id"])}
+    return reduce(DataFrame.unionByName, [found(df, m) for m, df in parts.items()])
+
+
+def adjacent(facts: Facts) -> DataFrame:
+    """Statements with the one before each (prev_id, prev_kind), and what a statement that declares one variable declares
+    (declared: id, symbol_id, kind and text of the value, line, col), for the statement itself and for the one before."""
+    w = Window.partitionBy("file", "parent_id").orderBy("ord")
+    values = with_children(facts["nodes"], "initializer").where(kind("VariableDeclaration")).join(facts["node_symbols"], ["file", "node_id"], "left")
+    one = values.groupBy("file", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("declares"), F.first(F.struct(F.col("node_id").alias("id"), "symbol_id", "initializer", "line", "col")).alias("declared")).where("declares = 1").drop("declares")
+    rows = facts["nodes"].where(F.col("field") == "statement").join(one, ["file", "node_id"], "left")
+    before = F.lag(F.struct("node_id", "kind", "line", "col", "declared")).over(w)
+    return rows.withColumn("before", before)
+
+
+def _after_declaration(facts: Facts, after: str) -> DataFrame:
+    """Statements of a kind that follow a statement that declares one variable with a value; expr is their expression's node."""
+    rows = adjacent(facts).where((F.col("kind") == after) & (F.col("before.kind") == "VariableStatement") & F.col("before.declared.initializer").isNotNull())
+    inner = facts["nodes"].where((F.col("field") == "expression") & (F.col("ord") == 0)).select("file", F.col("parent_id").alias("node_id"), F.struct(F.col("node_id").alias("id"), "kind").alias("expr"))
+    return rows.join(inner, ["file", "node_id"])
+
+
+def _named(facts: Facts, rows: DataFrame, node: Column) -> DataFrame:
+    """Rows in which a node is an identifier of the variable declared before."""
+    names = facts["nodes"].where(kind("Identifier")).join(facts["node_symbols"], ["file", "node_id"]).select(F.col("file").alias("f"), F.col("node_id").alias("i"), F.col("symbol_id").alias("s"))
+    return rows.join(names, (F.col("file") == F.col("f")) & (node == F.col("i")) & (F.col("before.declared.symbol_id") == F.col("s"))).drop("f", "i", "s")
+
+
+def dead_initial_values(facts: Facts) -> DataFrame:
+    """Statements whose variable the next one sets again, without use of it."""
+    rows = _after_declaration(facts, "ExpressionStatement").withColumn("assigned", F.col("expr.id"))
+    assigns = with_children(facts["nodes"], "left", "operator", "right").where(operator("EqualsToken")).select("file", F.col("node_id").alias("assigned"), F.col("left.id").alias("left_id"), F.col("right.id").alias("right_id"))
+    rows = _named(facts, rows.join(assigns, ["file", "assigned"]), F.col("left_id")).withColumn("symbol_id", F.col("before.declared.symbol_id"))
+    uses = facts["nodes"].where(kind("Identifier")).join(facts["node_symbols"], ["file", "node_id"])
+    inside_right = uses.select("file", "symbol_id", F.explode(F.concat(F.transform("ancestors", lambda a: a["id"]), F.array("node_id"))).alias("right_id"))
+    return relations.uncovered(rows, inside_right, ["file", "symbol_id", "right_id"]).select("file", "before.line", "before.col")
+
+
+def short_bodies(facts: Facts) -> DataFrame:
+    """Bodies that can be shorter: constructors that add nothing, true and false returned one by one, variables returned at
+    once, objects filled at once."""
+    nodes = facts["nodes"]
+    rows = with_children(nodes, "parameter", "statement", "expression")
+    calls = with_children(nodes, "expression").where(kind("CallExpression") & (F.col("expression.kind") == "SuperKeyword")).select("file", F.col("parent_id").alias("first_id"))
+    bare = rows.where(kind("Constructor") & (F.col("n_parameter") == 0)).withColumn("first_id", F.col("statement.id"))
+    useless = bare.where("n_statement = 0").unionByName(relations.covered(bare.where((F.col("n_statement") == 1) & (F.col("statement.kind") == "ExpressionStatement")), calls, ["file", "first_id"]))
+    truth = rows.where(kind("ReturnStatement")).select("file", F.col("node_id").alias("at"), F.col("expression.kind").alias("value"))
+    ifs = with_children(nodes, "then", "else").where(kind("IfStatement") & F.col("else").isNull()).select("file", F.col("node_id").alias("if_id"), F.col("then.id").alias("block"), F.col("then.kind").alias("block_kind"))
+    inner = nodes.where((F.col("field") == "statement") & (F.col("ord") == 0)).select("file", F.col("parent_id").alias("block"), F.col("node_id").alias("first_in"))
+    yes = ifs.join(inner, ["file", "block"], "left").withColumn("at", F.when(F.col("block_kind") == "Block", F.col("first_in")).otherwise(F.col("block"))).join(truth.where("value = 'TrueKeyword'"), ["file", "at"]).select("file", "if_id")
+    no = adjacent(facts).where((F.col("before.kind") == "IfStatement") & (F.col("kind") == "ReturnStatement")).withColumn("at", F.col("node_id")).join(truth.where("value = 'FalseKeyword'"), ["file", "at"]).withColumn("if_id", F.col("before.node_id"))
+    booleans = relations.covered(no, yes, ["file", "if_id"]).select("file", "before.line", "before.col")
+    returned = _named(facts, _after_declaration(facts, "ReturnStatement"), F.col("expr.id")).select("file", "before.line", "before.col")
+    fields = with_children(nodes, "left").where(kind("BinaryExpression") & (F.col("left.kind") == "PropertyAccessExpression")).select("file", F.col("node_id").alias("expr_id"), F.col("left.id").alias("access"))
+    roots = nodes.where((F.col("field") == "expression") & (F.col("ord") == 0)).select("file", F.col("parent_id").alias("access"), F.col("node_id").alias("root"))
+    empty = _after_declaration(facts, "ExpressionStatement").where((F.col("before.declared.initializer.kind") == "ObjectLiteralExpression") & (F.col("before.declared.initializer.text") == "{}")).withColumn("expr_id", F.col("expr.id"))
+    filled = _named(facts, empty.join(fields, ["file", "expr_id"]).join(roots, ["file", "access"]), F.col("root")).select("file", "before.declared.line", "before.declared.col")
+    parts = {"constructor that adds nothing": useless, "true and false returned one by one": booleans, "variable returned at once": returned, "object filled at once": filled}
+    return reduce(DataFrame.unionByName, [found(df, m) for m, df in parts.items()])
+
+
+def never_reassigned(facts: Facts) -> DataFrame:
+    """Variables declared by let, with a value, that nothing writes again."""
+    lists = facts["nodes"].where(kind("VariableDeclarationList") & F.col("text").startswith("let ")).select("file", F.col("node_id").alias("parent_id"))
+    values = with_children(facts["nodes"], "initializer").where(kind("VariableDeclaration") & F.col("initializer").isNotNull()).join(facts["node_symbols"], ["file", "node_id"])
+    return relations.uncovered(relations.covered(values, lists, ["file", "parent_id"]), written_symbols(facts), ["file", "symbol_id"])
+
+
+@CODE_RULES.rule("safety", "quality", "Calls and functions with a common slip", sub_checks=9, needs=("nodes", "node_symbols"))
 def safety(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(with_parent(facts["nodes"]), "expression", "argument", "left", "operator", "right", "modifier")
     call = lambda name: kind("CallExpression") & (F.col("expression.text") == name)
     optional = lambda side: F.coalesce(F.col(f"{side}.text").contains("?."), F.lit(False))
-    return each(rows, {
+    return _loops_and_callbacks(facts, options).unionByName(each(rows, {
         "value returned by a constructor": kind("ReturnStatement") & F.col("expression").isNotNull() & inside("ancestors", ("Constructor",), ("FunctionDeclaration", "FunctionExpression", "ArrowFunction", "MethodDeclaration")),
         "optional chain in arithmetic": operator("PlusToken", "MinusToken", "AsteriskToken", "SlashToken", "PercentToken") & (optional("left") | optional("right")),
         "parseInt without a radix": call("parseInt") & (F.col("n_argument") == 1),
         "rejected with no error": call("reject") & F.col("argument.kind").isin("StringLiteral", "NumericLiteral", "TemplateExpression", "ObjectLiteralExpression"),
         "async executor": kind("ArrowFunction", "FunctionExpression") & (F.col("parent_kind") == "NewExpression") & (F.col("modifier.kind") == "AsyncKeyword"),
-    })
+    }))
 
 
 @CODE_RULES.rule("security", "security", "Markup and addresses from values", sub_checks=3, needs=("nodes",))
@@ -205,33 +318,40 @@ def security(facts: Facts, options: dict) -> DataFrame:
     })
 
 
-@CODE_RULES.rule("simplification", "quality", "Statements that can go", sub_checks=5, needs=("nodes",))
+@CODE_RULES.rule("simplification", "quality", "Statements that can go", sub_checks=8, needs=("nodes", "node_symbols"))
 def simplification(facts: Facts, options: dict) -> DataFrame:
     nodes = facts["nodes"]
     last = F.lead("node_id").over(Window.partitionBy("file", "parent_id", "field").orderBy("ord")).isNull()
     placed = with_parent(nodes).withColumn("last", last)
     blocks = nodes.where(F.col("field") == "statement").groupBy("file", F.col("parent_id").alias("then_id")).agg(F.count("*").alias("held"), F.max_by("kind", "ord").alias("then_last"))
     rows = with_children(placed, "then", "expression", "initializer", "incrementor", "else").withColumn("then_id", F.col("then.id")).join(blocks, ["file", "then_id"], "left")
-    return each(rows, {
+    return short_bodies(facts).unionByName(each(rows, {
         "else after an exit": kind("IfStatement") & F.col("then_last").isin(*EXITS) & F.col("else").isNotNull(),
         "continue at the end": kind("ContinueStatement") & F.col("last") & (F.col("field") == "statement") & F.col("parent_kind").isin(*LOOPS),
         "empty return at the end": kind("ReturnStatement") & F.col("last") & (F.col("field") == "statement") & F.col("expression").isNull() & F.col("parent_kind").isin(*FUNCTIONS),
         "one if in another": kind("IfStatement") & (F.col("held") == 1) & (F.col("then_last") == "IfStatement") & F.col("else").isNull(),
         "for as a while": kind("ForStatement") & F.col("initializer").isNull() & F.col("incrementor").isNull(),
-    })
+    }))
 
 
-@CODE_RULES.rule("syntax", "quality", "Old syntax", sub_checks=5, needs=("nodes",))
+@CODE_RULES.rule("syntax", "quality", "Old syntax", sub_checks=8, needs=("nodes", "node_symbols", "node_types", "types"))
 def syntax(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(facts["nodes"], "expression", "argument")
+    second = facts["nodes"].where((F.col("field") == "argument") & (F.col("ord") == 1) & kind("NumericLiteral") & F.col("text").isin("2", "8", "16")).select("file", F.col("parent_id").alias("node_id"))
+    numbers = relations.covered(rows.where(kind("CallExpression") & (F.col("expression.text") == "parseInt") & (F.col("n_argument") == 2)), second, ["file", "node_id"])
+    plain = facts["node_types"].join(facts["types"].where((F.col("flags").bitwiseAND(F.lit(4 | 128)) != 0)), "type_id").select("file", F.col("node_id").alias("side"))
+    sides = with_parent(with_children(facts["nodes"], "left", "operator", "right")).where(operator("PlusToken") & ~((F.col("left.kind") == "StringLiteral") & (F.col("right.kind") == "StringLiteral")))
+    sides = sides.where(~F.coalesce(F.col("parent_kind").isin("TemplateExpression", "NoSubstitutionTemplateLiteral"), F.lit(False)))
+    joined = relations.covered(sides.withColumn("side", F.explode(F.array("left.id", "right.id"))), plain, ["file", "side"]).dropDuplicates(["file", "node_id"])
     call = lambda name: kind("CallExpression", "NewExpression") & (F.col("expression.text") == name)
-    return each(rows, {
+    more = found(never_reassigned(facts), "use const").unionByName(found(joined, "use a template")).unionByName(found(numbers, "use a number literal"))
+    return more.unionByName(each(rows, {
         "var": kind("VariableDeclarationList") & F.col("text").startswith("var "),
         "arguments": kind("Identifier") & (F.col("text") == "arguments"),
         "Math.pow": call("Math.pow"),
         "apply without this": kind("CallExpression") & F.col("expression.text").endswith(".apply") & (F.col("argument.kind") == "NullKeyword"),
         "RegExp of a literal": call("RegExp") & (F.col("argument.kind") == "StringLiteral"),
-    })
+    }))
 
 
 @CODE_RULES.rule("typescript", "quality", "Types that switch checks off", sub_checks=6, needs=("nodes",), sub_ids={"non-null assertion": "no-non-null-assertion", "explicit any": "no-explicit-any"})

@@ -98,6 +98,17 @@ def _in(values) -> str:
 
 #: Derived relations: (relations needed, SQL).
 DERIVED = {
+    # statements that declare one variable with a value, and the statement after each
+    "declared_before": ("nodes node_symbols", """declared_before AS (
+  SELECT s.*, d.node_id AS decl_id, d.line AS decl_line, d.col AS decl_col, y.symbol_id, v.kind AS value_kind, v.text AS value FROM (
+    SELECT file, node_id, kind, line, col, lead(node_id) OVER w AS next_id, lead(kind) OVER w AS next_kind FROM nodes WHERE field = 'statement' WINDOW w AS (PARTITION BY file, parent_id ORDER BY ord)) s
+  JOIN nodes d ON d.file = s.file AND d.parent_id = s.node_id AND d.kind = 'VariableDeclaration' JOIN node_symbols y ON y.file = d.file AND y.node_id = d.node_id JOIN nodes v ON v.file = d.file AND v.parent_id = d.node_id AND v.field = 'initializer'
+  WHERE s.kind = 'VariableStatement' AND (SELECT count(*) FROM nodes o WHERE o.file = s.file AND o.parent_id = s.node_id AND o.kind = 'VariableDeclaration') = 1)"""),
+    # identifiers that are written to; by: the binary operator, null for unary ones
+    "writes": ("nodes node_symbols", """writes AS (
+  SELECT i.file, i.node_id, y.symbol_id, o.kind AS by FROM nodes i JOIN node_symbols y ON y.file = i.file AND y.node_id = i.node_id JOIN nodes p ON p.file = i.file AND p.node_id = i.parent_id
+  LEFT JOIN nodes o ON o.file = p.file AND o.parent_id = p.node_id AND o.field = 'operator' AND p.kind = 'BinaryExpression'
+  WHERE i.kind = 'Identifier' AND ((p.kind = 'BinaryExpression' AND i.field = 'left') OR (p.kind IN ('PrefixUnaryExpression', 'PostfixUnaryExpression') AND i.field = 'expression')))"""),
     # all ancestors, the parent at distance 1
     "up": ("nodes", """up AS (
   SELECT c.file, c.node_id, p.node_id AS anc, p.kind, 1 AS dist FROM nodes c JOIN nodes p ON c.file = p.file AND c.parent_id = p.node_id
@@ -168,8 +179,11 @@ SIDES = children("left", "operator", "right")
 C, S = code_rules, syntax_rules
 BODIES: dict[str, str] = {
     "no-debug-code": "SELECT file, line, col, 'debugger statement' FROM nodes WHERE kind = 'DebuggerStatement'",
-    "banned-syntax": f"""SELECT * FROM (SELECT n.file, n.line, n.col, CASE WHEN n.kind = 'VoidExpression' THEN 'void operator' WHEN n.kind = 'LabeledStatement' THEN 'label'
-  WHEN n.kind = 'Block' AND p.kind = 'Block' THEN 'block in a block' WHEN n.kind = 'Identifier' AND p.kind = 'DeleteExpression' THEN 'deletion of a name' END AS what FROM nodes n{PARENT}) WHERE what IS NOT NULL""",
+    "banned-syntax": checks(f"nodes n{PARENT}", {
+        "void operator": "n.kind = 'VoidExpression'", "label": "n.kind = 'LabeledStatement'", "block in a block": "n.kind = 'Block' AND p.kind = 'Block'",
+        "line broken in a string": "n.kind = 'StringLiteral' AND (contains(n.text, '\\' || chr(10)) OR contains(n.text, '\\' || chr(13) || chr(10)))", "octal escape": "n.kind = 'StringLiteral' AND regexp_matches(n.text, '\\\\[1-7]')",
+        "deletion of a name": "n.kind = 'Identifier' AND p.kind = 'DeleteExpression'"}) + f""" UNION ALL SELECT n.file, n.line, n.col, 'global assigned: ' || s.name FROM {SIDES} JOIN node_symbols y ON y.file = n.file AND y.node_id = k_left.node_id JOIN symbols s ON s.symbol_id = y.symbol_id
+  WHERE {binary('EqualsToken')} AND k_left.kind = 'Identifier' AND s.origin = 'lib'""",
     "no-magic-numbers": f"SELECT n.file, n.line, n.col, 'number ' || n.text FROM nodes n{PARENT} WHERE n.kind = 'NumericLiteral' AND TRY_CAST(n.text AS DOUBLE) NOT IN (0, 1, 2) AND coalesce(p.kind, '') NOT IN {_in((*C.NUMBER_PARENTS, 'NumericLiteral'))}",
     "no-underscore-prefix": f"SELECT file, line, col, 'name ' || text FROM nodes WHERE kind IN {_in(C.DECLARATIONS)} AND regexp_matches(text, '^_.+')",
     "no-local-constants": f"""SELECT n.file, n.line, n.col, 'constant ' || n.text FROM nodes n WHERE n.kind = 'VariableDeclaration' AND regexp_matches(n.text, '^[A-Z][A-Z0-9_]*$') AND NOT contains(n.file, '/constants/')
@@ -180,12 +194,19 @@ BODIES: dict[str, str] = {
     "no-unescaped-entities": """SELECT file, line, col, 'escape ' || regexp_extract(text, '[>"''}]') FROM nodes WHERE kind = 'JsxText' AND suffix(file, '.tsx') AND regexp_extract(text, '[>"''}]') <> ''""",
     "readability": f"""SELECT * FROM (SELECT n.file, n.line, n.col, CASE WHEN n.kind = 'ConditionalExpression' AND p.kind = 'ConditionalExpression' THEN 'nested ternary'
   WHEN n.kind IN ('SwitchStatement', 'TemplateExpression') AND EXISTS (SELECT 1 FROM up u WHERE u.file = n.file AND u.node_id = n.node_id AND u.kind = n.kind)
-  THEN CASE n.kind WHEN 'SwitchStatement' THEN 'nested switch' ELSE 'nested template' END END AS what FROM nodes n{PARENT}) WHERE what IS NOT NULL""",
-    "complexity": f"""SELECT n.file, n.line, n.col, m.metric FROM nodes n JOIN (
+  THEN CASE n.kind WHEN 'SwitchStatement' THEN 'nested switch' ELSE 'nested template' END
+  WHEN n.kind = 'AsExpression' AND k_expression.kind = 'StringLiteral' AND k_type.kind = 'LiteralType' AND k_type.text = k_expression.text THEN 'use as const'
+  WHEN n.kind = 'VariableDeclaration' AND k_initializer.kind = 'ThisKeyword' THEN 'alias of this' END AS what FROM {children('initializer', 'expression', 'type')}{PARENT}) WHERE what IS NOT NULL""",
+    "complexity": f"""WITH b AS (SELECT n.file, n.node_id FROM nodes n{PARENT} WHERE n.kind IN ('ArrowFunction', 'FunctionExpression') AND p.kind = 'CallExpression')
+  SELECT n.file, n.line, n.col, m.metric FROM nodes n JOIN (
   SELECT file, fn, unnest(['cyclomatic', 'lines', 'max_nesting']) AS metric, unnest([cyclomatic, lines, nesting]) AS value, unnest([15, 150, 4]) AS most FROM (
     SELECT c.file, o.fn, 1 + count(*) FILTER (c.kind IN {_in((*C.BRANCHES, *C.LOGICAL))}) AS cyclomatic, max(c.line) - min(c.line) + 1 AS lines,
            coalesce(max(1 + (SELECT count(*) FROM up u WHERE u.file = c.file AND u.node_id = c.node_id AND u.kind IN {_in(C.BRANCHES)})) FILTER (c.kind IN {_in(C.BRANCHES)}), 0) AS nesting
-    FROM nodes c JOIN owner o ON c.file = o.file AND c.node_id = o.node_id GROUP BY c.file, o.fn)) m ON n.file = m.file AND n.node_id = m.fn WHERE m.value > m.most""",
+    FROM nodes c JOIN owner o ON c.file = o.file AND c.node_id = o.node_id GROUP BY c.file, o.fn)) m ON n.file = m.file AND n.node_id = m.fn WHERE m.value > m.most
+  UNION ALL SELECT n.file, n.line, n.col, 'statements' FROM nodes n WHERE n.kind IN {_in(FUNCTIONS)} AND {count_of('statement')} > 25
+  UNION ALL SELECT n.file, n.line, n.col, 'parameters' FROM nodes n WHERE n.kind IN {_in(FUNCTIONS)} AND {count_of('parameter')} > 4
+  UNION ALL SELECT n.file, n.line, n.col, 'callbacks' FROM nodes n WHERE n.kind IN {_in(FUNCTIONS)} AND 3 < (SELECT max(1 + (SELECT count(*) FROM up v JOIN b o ON o.file = v.file AND o.node_id = v.anc WHERE v.file = u.file AND v.node_id = u.node_id AND v.dist < u.dist))
+    FROM up u JOIN b ON b.file = u.file AND b.node_id = u.node_id WHERE u.file = n.file AND u.anc = n.node_id)""",
     "self-import": "SELECT src, line, 1, 'imports itself' FROM import_edges WHERE src = dst",
     "duplicate-import": """SELECT src, line, 1, 'again ' || specifier FROM (SELECT *, row_number() OVER w AS k FROM import_edges i WHERE NOT is_dynamic
   AND NOT EXISTS (SELECT 1 FROM import_edges o WHERE o.src = i.src AND o.dst = i.dst AND NOT o.is_dynamic AND o.type_only <> i.type_only) WINDOW w AS (PARTITION BY src, dst ORDER BY line)) WHERE k > 1""",
@@ -234,11 +255,17 @@ BODIES: dict[str, str] = {
   UNION ALL SELECT n.file, n.line, n.col, 'the condition never changes' FROM {children('condition')} WHERE n.kind IN ('IfStatement', 'ConditionalExpression') AND k_condition.kind IN ('TrueKeyword', 'FalseKeyword')
   UNION ALL SELECT file, line, col, 'written again at once' FROM (SELECT s.*, lead(element) OVER (PARTITION BY s.file, s.parent_id ORDER BY s.ord) AS after FROM (
     SELECT s.file, s.parent_id, s.ord, s.line, s.col, w.element FROM nodes s LEFT JOIN (SELECT n.file, n.parent_id, k_left.text AS element FROM {SIDES} WHERE {binary('EqualsToken')} AND k_left.kind = 'ElementAccessExpression' AND n.field = 'expression') w
-      ON w.file = s.file AND w.parent_id = s.node_id WHERE s.field = 'statement') s) WHERE element = after""",
+      ON w.file = s.file AND w.parent_id = s.node_id WHERE s.field = 'statement') s) WHERE element = after
+  UNION ALL SELECT n.file, n.line, n.col, '0 is shown' FROM {SIDES}{PARENT} JOIN node_types nt ON nt.file = n.file AND nt.node_id = k_left.node_id JOIN types t ON t.type_id = nt.type_id WHERE {binary('AmpersandAmpersandToken')} AND n.field = 'expression' AND p.kind = 'JsxExpression' AND t.flags & 264 <> 0
+  UNION ALL SELECT d.file, d.line, d.col, 'first value never used' FROM declared_before d JOIN nodes e ON e.file = d.file AND e.parent_id = d.next_id AND e.field = 'expression' AND e.kind = 'BinaryExpression' JOIN nodes o ON o.file = e.file AND o.parent_id = e.node_id AND o.field = 'operator' AND o.kind = 'EqualsToken'
+    JOIN nodes l ON l.file = e.file AND l.parent_id = e.node_id AND l.field = 'left' AND l.kind = 'Identifier' JOIN node_symbols y ON y.file = l.file AND y.node_id = l.node_id AND y.symbol_id = d.symbol_id JOIN nodes r ON r.file = e.file AND r.parent_id = e.node_id AND r.field = 'right'
+    WHERE d.next_kind = 'ExpressionStatement' AND NOT EXISTS (SELECT 1 FROM node_symbols z JOIN nodes i ON i.file = z.file AND i.node_id = z.node_id AND i.kind = 'Identifier' WHERE z.file = d.file AND z.symbol_id = d.symbol_id
+      AND (i.node_id = r.node_id OR EXISTS (SELECT 1 FROM up u WHERE u.file = i.file AND u.node_id = i.node_id AND u.anc = r.node_id)))""",
     "no-deprecated-api": checks(children("left", "operator"), {
         "__proto__": "n.kind = 'PropertyAccessExpression' AND suffix(n.text, '.__proto__')", "arguments.caller or callee": "n.kind = 'PropertyAccessExpression' AND n.text IN ('arguments.caller', 'arguments.callee')",
         "prototype replaced": f"{binary('EqualsToken')} AND suffix(k_left.text, '.prototype')"}),
-    "no-useless-code": checks(children("name", "expression", "initializer", "left", "operator", "right"), {
+    "no-useless-code": checks(children("name", "expression", "initializer", "left", "operator", "right", "argument"), {
+        "called by its receiver": "n.kind = 'CallExpression' AND k_argument.kind = 'Identifier' AND regexp_matches(k_expression.text, '^\\w+\\.\\w+\\.(call|apply)$') AND split_part(k_expression.text, '.', 1) = k_argument.text",
         "literal as a computed key": "n.kind = 'ComputedPropertyName' AND k_expression.kind IN ('StringLiteral', 'NumericLiteral')", "literals joined": f"{binary('PlusToken')} AND k_left.kind = 'StringLiteral' AND k_right.kind = 'StringLiteral'",
         "name said twice": "n.kind = 'PropertyAssignment' AND k_initializer.kind = 'Identifier' AND k_name.text = k_initializer.text"}),
     "no-implicit-coercion": checks(children("left", "operator", "right", "expression"), {
@@ -251,7 +278,15 @@ BODIES: dict[str, str] = {
         "optional chain in arithmetic": f"{binary('PlusToken', 'MinusToken', 'AsteriskToken', 'SlashToken', 'PercentToken')} AND (contains(coalesce(k_left.text, ''), '?.') OR contains(coalesce(k_right.text, ''), '?.'))",
         "parseInt without a radix": f"n.kind = 'CallExpression' AND k_expression.text = 'parseInt' AND {count_of('argument')} = 1",
         "rejected with no error": "n.kind = 'CallExpression' AND k_expression.text = 'reject' AND k_argument.kind IN ('StringLiteral', 'NumericLiteral', 'TemplateExpression', 'ObjectLiteralExpression')",
-        "async executor": "n.kind IN ('ArrowFunction', 'FunctionExpression') AND p.kind = 'NewExpression' AND k_modifier.kind = 'AsyncKeyword'"}),
+        "async executor": "n.kind IN ('ArrowFunction', 'FunctionExpression') AND p.kind = 'NewExpression' AND k_modifier.kind = 'AsyncKeyword'"}) + f"""
+  UNION ALL SELECT n.file, n.line, n.col, 'value returned by an executor' FROM {children('expression')}{PARENT} JOIN nodes q ON q.file = p.file AND q.node_id = p.parent_id AND q.kind = 'NewExpression' JOIN nodes e ON e.file = q.file AND e.parent_id = q.node_id AND e.field = 'expression' AND e.text = 'Promise'
+    WHERE n.kind = 'ReturnStatement' AND n.field = 'statement' AND k_expression.kind IS NOT NULL AND p.kind IN ('ArrowFunction', 'FunctionExpression') AND p.field = 'argument' AND p.ord = 0
+  UNION ALL SELECT n.file, n.line, n.col, 'outer variable takes what is awaited' FROM {SIDES} JOIN node_symbols y ON y.file = n.file AND y.node_id = k_left.node_id JOIN node_symbols z ON z.file = y.file AND z.symbol_id = y.symbol_id JOIN nodes d ON d.file = z.file AND d.node_id = z.node_id AND d.kind IN ('VariableDeclaration', 'Parameter')
+    WHERE {binary('EqualsToken')} AND k_left.kind = 'Identifier' AND k_right.kind = 'AwaitExpression' AND NOT EXISTS (SELECT 1 FROM up u WHERE u.file = n.file AND u.node_id = n.node_id AND u.anc = d.parent_id)
+  UNION ALL SELECT n.file, n.line, n.col, 'loop condition never changes' FROM {children('expression')} JOIN node_symbols y ON y.file = n.file AND y.node_id = k_expression.node_id WHERE n.kind IN ('WhileStatement', 'DoStatement') AND k_expression.kind = 'Identifier'
+    AND NOT EXISTS (SELECT 1 FROM writes w JOIN up u ON u.file = w.file AND u.node_id = w.node_id WHERE w.file = n.file AND w.symbol_id = y.symbol_id AND u.anc = n.node_id)
+  UNION ALL SELECT n.file, n.line, n.col, 'callback returns nothing' FROM {children('modifier')}{PARENT} JOIN nodes e ON e.file = p.file AND e.parent_id = p.node_id AND e.field = 'expression' AND e.kind = 'PropertyAccessExpression' WHERE n.kind IN ('ArrowFunction', 'FunctionExpression') AND n.field = 'argument' AND n.ord = 0
+    AND p.kind = 'CallExpression' AND split_part(e.text, '.', -1) IN {_in(S.ARRAY_CALLBACKS)} AND {count_of('statement')} > 0 AND coalesce(k_modifier.kind, '') <> 'AsyncKeyword' AND NOT EXISTS (SELECT 1 FROM nodes r JOIN owner o ON o.file = r.file AND o.node_id = r.node_id WHERE r.file = n.file AND r.kind = 'ReturnStatement' AND o.fn = n.node_id)""",
     "security": checks(children("expression", "initializer"), {
         "markup from a value": "n.kind = 'JsxAttribute' AND starts_with(n.text, 'dangerouslySetInnerHTML') AND coalesce(k_initializer.kind, '') <> 'StringLiteral'",
         "address that runs code": "n.kind = 'JsxAttribute' AND regexp_matches(n.text, '^(href|src|action|formAction)\\b') AND regexp_matches(k_initializer.text, '(?i)^\\s*(javascript|data|vbscript):')",
@@ -263,10 +298,24 @@ BODIES: dict[str, str] = {
     CASE WHEN kind = 'IfStatement' AND held = 1 AND then_last = 'IfStatement' AND other IS NULL THEN 'one if in another' END,
     CASE WHEN kind = 'ForStatement' AND init IS NULL AND incr IS NULL THEN 'for as a while' END], lambda m: m IS NOT NULL))
   FROM (SELECT n.*, p.kind AS parent_kind, k_else.kind AS other, k_expression.kind AS value, k_initializer.kind AS init, k_incrementor.kind AS incr, t.held, t.last_kind AS then_last, own.last_ord
-    FROM {children('then', 'expression', 'initializer', 'incrementor', 'else')}{PARENT} LEFT JOIN b t ON t.file = n.file AND t.parent_id = k_then.node_id LEFT JOIN b own ON own.file = n.file AND own.parent_id = n.parent_id)""",
+    FROM {children('then', 'expression', 'initializer', 'incrementor', 'else')}{PARENT} LEFT JOIN b t ON t.file = n.file AND t.parent_id = k_then.node_id LEFT JOIN b own ON own.file = n.file AND own.parent_id = n.parent_id)
+  UNION ALL SELECT n.file, n.line, n.col, 'constructor that adds nothing' FROM {children('statement')} WHERE n.kind = 'Constructor' AND {count_of('parameter')} = 0 AND ({count_of('statement')} = 0 OR ({count_of('statement')} = 1 AND k_statement.kind = 'ExpressionStatement'
+    AND EXISTS (SELECT 1 FROM nodes c JOIN nodes s ON s.file = c.file AND s.parent_id = c.node_id AND s.field = 'expression' AND s.kind = 'SuperKeyword' WHERE c.file = n.file AND c.parent_id = k_statement.node_id AND c.kind = 'CallExpression')))
+  UNION ALL SELECT n.file, n.line, n.col, 'true and false returned one by one' FROM {children('then', 'else')} JOIN nodes r ON r.file = n.file AND r.kind = 'ReturnStatement' AND (r.node_id = k_then.node_id OR (k_then.kind = 'Block' AND r.parent_id = k_then.node_id AND r.field = 'statement' AND r.ord = 0))
+    JOIN nodes t ON t.file = r.file AND t.parent_id = r.node_id AND t.field = 'expression' AND t.kind = 'TrueKeyword' JOIN nodes q ON q.file = n.file AND q.parent_id = n.parent_id AND q.field = 'statement' AND q.ord = n.ord + 1 AND q.kind = 'ReturnStatement'
+    JOIN nodes f ON f.file = q.file AND f.parent_id = q.node_id AND f.field = 'expression' AND f.kind = 'FalseKeyword' WHERE n.kind = 'IfStatement' AND n.field = 'statement' AND k_else.kind IS NULL
+  UNION ALL SELECT d.file, d.line, d.col, 'variable returned at once' FROM declared_before d JOIN nodes i ON i.file = d.file AND i.parent_id = d.next_id AND i.field = 'expression' AND i.kind = 'Identifier' JOIN node_symbols y ON y.file = i.file AND y.node_id = i.node_id AND y.symbol_id = d.symbol_id WHERE d.next_kind = 'ReturnStatement'
+  UNION ALL SELECT d.file, d.decl_line, d.decl_col, 'object filled at once' FROM declared_before d JOIN nodes e ON e.file = d.file AND e.parent_id = d.next_id AND e.field = 'expression' AND e.kind = 'BinaryExpression' JOIN nodes a ON a.file = e.file AND a.parent_id = e.node_id AND a.field = 'left' AND a.kind = 'PropertyAccessExpression'
+    JOIN nodes i ON i.file = a.file AND i.parent_id = a.node_id AND i.field = 'expression' AND i.kind = 'Identifier' JOIN node_symbols y ON y.file = i.file AND y.node_id = i.node_id AND y.symbol_id = d.symbol_id WHERE d.next_kind = 'ExpressionStatement' AND d.value_kind = 'ObjectLiteralExpression' AND d.value = '{{}}'""",
     "syntax": checks(children("expression", "argument"), {
         "var": "n.kind = 'VariableDeclarationList' AND starts_with(n.text, 'var ')", "arguments": "n.kind = 'Identifier' AND n.text = 'arguments'", "Math.pow": "n.kind IN ('CallExpression', 'NewExpression') AND k_expression.text = 'Math.pow'",
-        "apply without this": "n.kind = 'CallExpression' AND suffix(k_expression.text, '.apply') AND k_argument.kind = 'NullKeyword'", "RegExp of a literal": "n.kind IN ('CallExpression', 'NewExpression') AND k_expression.text = 'RegExp' AND k_argument.kind = 'StringLiteral'"}),
+        "apply without this": "n.kind = 'CallExpression' AND suffix(k_expression.text, '.apply') AND k_argument.kind = 'NullKeyword'", "RegExp of a literal": "n.kind IN ('CallExpression', 'NewExpression') AND k_expression.text = 'RegExp' AND k_argument.kind = 'StringLiteral'"}) + f"""
+  UNION ALL SELECT n.file, n.line, n.col, 'use const' FROM {children('initializer')}{PARENT} JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id WHERE n.kind = 'VariableDeclaration' AND k_initializer.kind IS NOT NULL AND p.kind = 'VariableDeclarationList' AND starts_with(p.text, 'let ')
+    AND NOT EXISTS (SELECT 1 FROM writes w WHERE w.file = n.file AND w.symbol_id = y.symbol_id AND (w.by IS NULL OR w.by IN {_in(S.ASSIGNMENTS)}))
+  UNION ALL SELECT n.file, n.line, n.col, 'use a template' FROM {SIDES}{PARENT} WHERE {binary('PlusToken')} AND NOT (k_left.kind = 'StringLiteral' AND k_right.kind = 'StringLiteral') AND coalesce(p.kind, '') NOT IN ('TemplateExpression', 'NoSubstitutionTemplateLiteral')
+    AND EXISTS (SELECT 1 FROM node_types nt JOIN types t ON t.type_id = nt.type_id WHERE nt.file = n.file AND nt.node_id IN (k_left.node_id, k_right.node_id) AND t.flags & 132 <> 0)
+  UNION ALL SELECT n.file, n.line, n.col, 'use a number literal' FROM {children('expression')} WHERE n.kind = 'CallExpression' AND k_expression.text = 'parseInt' AND {count_of('argument')} = 2
+    AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = n.file AND a.parent_id = n.node_id AND a.field = 'argument' AND a.ord = 1 AND a.kind = 'NumericLiteral' AND a.text IN ('2', '8', '16'))""",
     "typescript": checks(children("expression", "type") + PARENT, {
         "catch of any": "n.kind = 'VariableDeclaration' AND p.kind = 'CatchClause' AND k_type.kind = 'AnyKeyword'", "a string thrown": "n.kind = 'ThrowStatement' AND k_expression.kind IN ('StringLiteral', 'TemplateExpression')",
         "double assertion": "n.kind = 'AsExpression' AND k_expression.kind = 'AsExpression'", "empty interface": f"n.kind = 'InterfaceDeclaration' AND {count_of('member')} = 0 AND {count_of('heritage')} = 0",
@@ -349,9 +398,17 @@ BODIES |= {
   AND NOT EXISTS (SELECT 1 FROM own WHERE own.file = n.file AND own.fn = n.node_id)
   AND NOT EXISTS (SELECT 1 FROM calls c JOIN node_symbols y ON y.symbol_id = c.target_symbol JOIN own ON own.file = y.file AND own.fn = y.node_id WHERE c.file = n.file AND c.caller_id = n.node_id)""",
     "state-hooks-cluster": "SELECT n.file, n.line, n.col, k || ' states' FROM nodes n JOIN (SELECT file, caller_id, count(*) AS k FROM calls WHERE name = 'useState' GROUP BY ALL HAVING count(*) >= 5) c ON c.file = n.file AND c.caller_id = n.node_id",
-    "performance": f"""SELECT n.file, n.line, n.col, 'make it once, before the loop' FROM nodes n WHERE n.kind = 'RegularExpressionLiteral' AND {near(LOOPS)}
-  UNION ALL SELECT n.file, n.line, n.col, 'blocks' FROM origin c JOIN nodes n ON n.file = c.file AND n.node_id = c.node_id WHERE suffix(c.name, 'Sync') AND starts_with(c.origin, 'pkg:')
-  UNION ALL SELECT n.file, n.line, n.col, 'long chain' FROM origin c JOIN nodes n ON n.file = c.file AND n.node_id = c.node_id WHERE len(c.chain) > 7 AND c.origin = 'local'""",
+    "performance": f"""WITH arrays AS (SELECT nt.file, nt.node_id FROM node_types nt JOIN types t ON t.type_id = nt.type_id WHERE suffix(t.shape, '[]') OR starts_with(t.shape, '[') OR regexp_matches(t.shape, '^(readonly )?(Array|ReadonlyArray)<')),
+  inner_fn AS (SELECT file, node_id, arg_min(anc, dist) AS fn FROM up WHERE kind IN ('ArrowFunction', 'FunctionExpression') GROUP BY ALL)
+  SELECT n.file, n.line, n.col, 'make it once, before the loop' FROM {children('expression')} WHERE n.kind = 'NewExpression' AND k_expression.text = 'RegExp' AND {near(LOOPS)}
+  UNION ALL SELECT n.file, n.line, n.col, 'blocks' FROM origin c JOIN nodes n ON n.file = c.file AND n.node_id = c.node_id WHERE c.name IN {_in(T.SYNC_IO)} AND starts_with(c.origin, 'pkg:')
+  UNION ALL SELECT n.file, n.line, n.col, 'long chain' FROM origin c JOIN nodes n ON n.file = c.file AND n.node_id = c.node_id WHERE len(c.chain) > 7 AND c.origin = 'local'
+  UNION ALL SELECT n.file, n.line, n.col, 'array changed in a callback' FROM calls c JOIN nodes n ON n.file = c.file AND n.node_id = c.node_id JOIN inner_fn f ON f.file = n.file AND f.node_id = n.node_id JOIN nodes g ON g.file = f.file AND g.node_id = f.fn
+    JOIN calls o ON o.file = g.file AND o.node_id = g.parent_id AND o.name IN ('map', 'filter') AND len(o.chain) > 1 WHERE c.name IN ('push', 'unshift', 'splice') AND len(c.chain) > 1
+    AND EXISTS (SELECT 1 FROM nodes r JOIN arrays a ON a.file = r.file AND a.node_id = r.node_id WHERE r.file = o.file AND r.parent_id = o.node_id AND r.field = 'receiver')
+  UNION ALL SELECT n.file, n.line, n.col, 'hole in an array' FROM nodes n JOIN nodes e ON e.file = n.file AND e.parent_id = n.node_id AND e.kind = 'ElementAccessExpression' AND e.field = 'expression' JOIN nodes x ON x.file = e.file AND x.parent_id = e.node_id AND x.field = 'expression'
+    JOIN arrays a ON a.file = x.file AND a.node_id = x.node_id WHERE n.kind = 'DeleteExpression'
+  UNION ALL SELECT src, line, 1, 'import through an index' FROM import_edges WHERE starts_with(specifier, '.') AND regexp_matches(dst, '(^|/)index\\.[tj]sx?$')""",
     **{rule: tainted(names, allowed, f" AND c.file IN {SERVER}" if rule == "no-ssrf" else "") for rule, (_, _, names, allowed) in T.TAINTED.items()},
     "no-unthrown-error": f"""WITH RECURSIVE e AS (SELECT symbol_id FROM symbols WHERE name = 'Error' AND origin = 'lib' UNION SELECT b.symbol_id FROM class_bases b JOIN e ON e.symbol_id = b.base_id)
   SELECT n.file, n.line, n.col, 'throw it' FROM nodes n{PARENT} JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id WHERE n.kind = 'NewExpression' AND p.kind = 'ExpressionStatement' AND y.symbol_id IN (SELECT symbol_id FROM e)""",

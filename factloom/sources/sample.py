@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-STR, NUM, BIG, OBJ, ANY, PROMISE, NULLABLE, UNION, MEMBER_A, MEMBER_B, BARE, WIDE, FUNC, ROW, HOLDER, SCHEMA = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 17
+STR, NUM, BIG, OBJ, ANY, PROMISE, NULLABLE, UNION, MEMBER_A, MEMBER_B, BARE, WIDE, FUNC, ROW, HOLDER, SCHEMA, LIST = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18
 REACT = 15  # symbol of the framework's hooks
 TYPES = [
     (STR, 4, "string", [], [], False, True), (NUM, 8, "number", [], [], False, True), (BIG, 64, "bigint", [], [], False, True), (OBJ, 524288, "{}", [], [], False, True), (ANY, 1, "any", [], [], False, True),
     (PROMISE, 524288, "Promise", [], [], True, True), (NULLABLE, 1048576, "string | null", [STR, 12], [], False, True), (12, 65536, "null", [], [], False, True),
     (UNION, 1048576, "'a' | 'b'", [MEMBER_A, MEMBER_B], [], False, True), (MEMBER_A, 128, "'a'", [], [], False, True), (MEMBER_B, 128, "'b'", [], [], False, True), (BARE, 524288, "Bare", [], [], False, False),
-    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True), (SCHEMA, 524288, "Schema", [], [("parse", FUNC), ("safeParse", FUNC)], False, True),
+    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True), (SCHEMA, 524288, "Schema", [], [("parse", FUNC), ("safeParse", FUNC)], False, True), (LIST, 524288, "string[]", [], [], False, True),
 ]
 
 
@@ -38,8 +38,8 @@ def binary(op, a, b, line, **more):
 
 
 def call(line, name, *arguments, target=None, chain=None, role="child", to=None, **more):
-    for a in arguments:
-        a.role = "argument"
+    for k, a in enumerate(arguments):
+        a.role = "receiver" if name == "map" and k == 1 else "argument"
     return N("CallExpression", role=role, line=line, name=to, call={"name": name, "chain": chain or [name], "target": target}, **more)(N("Identifier", ".".join(chain or [name]), "expression"), *arguments)
 
 
@@ -53,7 +53,21 @@ def state(value, value_symbol, setter, setter_symbol):
 
 
 STATEMENT = lambda k, line, *kids, **m: N(k, role="statement", line=line, **m)(*kids)
+def declares(line, name, value, symbol, role="statement"):
+    value.role = "initializer"
+    return N("VariableStatement", role=role, line=line)(N("VariableDeclaration", name, line=line, symbol=symbol)(value))
+
+
+def assigns(line, left, right, role="statement"):
+    return N("ExpressionStatement", role=role, line=line)(binary("EqualsToken", left, right, line, role="expression"))
+
+
+I = lambda name, symbol, role="child": N("Identifier", name, role, symbol=symbol)  # noqa: E731, E741
 TREES = {
+    "banned-syntax": [N("VoidExpression", line=1), N("LabeledStatement", "again", line=2), N("StringLiteral", "a\\\nb", line=3), N("StringLiteral", "\\101", line=4), N("StringLiteral", "plain", line=5), N("DeleteExpression", line=6)(N("Identifier", "x", line=6)), binary("EqualsToken", I("window", 11), "x", 7), binary("EqualsToken", I("own", 2), "x", 8)],
+    "complexity": [fn("few", *[STATEMENT("ExpressionStatement", 2) for _ in range(25)], *[N("Parameter", f"p{k}", "parameter") for k in range(4)], line=1), fn("long", *[STATEMENT("ExpressionStatement", 4) for _ in range(26)], line=3), fn("wide", *[N("Parameter", f"p{k}", "parameter") for k in range(5)], line=5),
+                   fn("deep", call(7, "a", fn("", call(7, "b", fn("", call(7, "c", fn("", call(7, "d", fn("", kind="ArrowFunction", line=8)), kind="ArrowFunction", line=7)), kind="ArrowFunction", line=7)), kind="ArrowFunction", line=7)), line=6)],
+    "readability": [N("AsExpression", line=1)(N("StringLiteral", "a", "expression"), N("LiteralType", "a", "type")), N("AsExpression", line=2)(N("StringLiteral", "a", "expression"), N("LiteralType", "b", "type")), N("VariableDeclaration", "self", line=3)(N("ThisKeyword", "this", "initializer")), N("SwitchStatement")(N("SwitchStatement", line=4)), N("TemplateExpression")(N("TemplateExpression", line=5))],
     "no-identical-binary-operands": [binary("MinusToken", "a", "a", 1), binary("MinusToken", "a", "b", 2), binary("PlusToken", "a", "a", 3)],
     "no-collection-size-mischeck": [binary(op, N("PropertyAccessExpression", "x.length"), N("NumericLiteral", n), i) for i, (op, n) in enumerate([("GreaterThanEqualsToken", "0"), ("LessThanToken", "0"), ("GreaterThanToken", "0"), ("EqualsEqualsToken", "-1"), ("LessThanToken", "4")], 1)],
     "jsx-no-useless-fragment": [N("JsxFragment", line=1)(N("JsxText", "  "), N("JsxElement")), N("JsxFragment", line=2)(N("JsxElement"), N("JsxElement")), N("JsxFragment", line=3)(N("JsxExpression"))],
@@ -64,14 +78,25 @@ TREES = {
     "naming-convention": [N("VariableDeclaration", "NaN", line=1), N("VariableDeclaration", "loop", line=2), N("LabeledStatement", "loop", line=3), N("LabeledStatement", "other", line=4)],
     "correctness": [binary("EqualsToken", "a", "a", 1), binary("EqualsEqualsEqualsToken", "a", "a", 2), N("WhileStatement", line=3)(STATEMENT("ReturnStatement", 3)), N("Block", line=20)(STATEMENT("BreakStatement", 20), STATEMENT("FunctionDeclaration", 21), STATEMENT("ExpressionStatement", 22), STATEMENT("ExpressionStatement", 23)), N("CatchClause", "catch (e) { throw e }", line=4)(N("ThrowStatement", "throw e", "statement", 4)), N("ArrayLiteralExpression", line=5)(N("OmittedExpression", line=5)),
                     N("FinallyBlock", line=6)(N("ReturnStatement", line=7), N("AwaitExpression", line=8), fn("", N("ReturnStatement", line=9))), N("SetAccessor", line=10)(N("ReturnStatement", line=11)(N("Identifier", "x", "expression"))), binary("EqualsToken", "a", "b", 12)],
-    "logic": [N("IfStatement", line=1)(N("Identifier", "a", "condition"), N("IfStatement", role="else", line=2)(N("Identifier", "a", "condition"))), N("IfStatement", line=3)(N("TrueKeyword", "true", "condition")), N("Block", line=4)(*[STATEMENT("ExpressionStatement", 4 + k, binary("EqualsToken", N("ElementAccessExpression", e), N("NumericLiteral", "1"), 4 + k, role="expression")) for k, e in enumerate(["x[0]", "x[0]", "x[1]"], 1)])],
+    "logic": [N("IfStatement", line=1)(N("Identifier", "a", "condition"), N("IfStatement", role="else", line=2)(N("Identifier", "a", "condition"))), N("IfStatement", line=3)(N("TrueKeyword", "true", "condition")), N("Block", line=4)(*[STATEMENT("ExpressionStatement", 4 + k, binary("EqualsToken", N("ElementAccessExpression", e), N("NumericLiteral", "1"), 4 + k, role="expression")) for k, e in enumerate(["x[0]", "x[0]", "x[1]"], 1)]), N("JsxExpression", line=10)(binary("AmpersandAmpersandToken", N("Identifier", "n", type=NUM), N("JsxElement"), 10, role="expression")), N("JsxExpression", line=11)(binary("AmpersandAmpersandToken", N("Identifier", "s", type=STR), N("JsxElement"), 11, role="expression")),
+              N("Block")(declares(12, "v", N("NumericLiteral", "1"), 100), assigns(13, I("v", 100), N("NumericLiteral", "2")), declares(14, "w", N("NumericLiteral", "1"), 101), assigns(15, I("w", 101), N("CallExpression", "f(w)")(I("w", 101))), declares(16, "u", N("NumericLiteral", "1"), 102), assigns(17, I("z", 103), N("NumericLiteral", "2")))],
     "no-deprecated-api": [N("PropertyAccessExpression", "x.__proto__", line=1), N("PropertyAccessExpression", "arguments.callee", line=2), binary("EqualsToken", N("PropertyAccessExpression", "A.prototype"), "b", 3), N("PropertyAccessExpression", "x.proto", line=4)],
-    "no-useless-code": [N("ComputedPropertyName", line=1)(N("StringLiteral", "a", "expression")), binary("PlusToken", N("StringLiteral", "a"), N("StringLiteral", "b"), 2), N("PropertyAssignment", line=3)(N("Identifier", "a", "name"), N("Identifier", "a", "initializer")), N("PropertyAssignment", line=4)(N("Identifier", "a", "name"), N("Identifier", "b", "initializer"))],
+    "no-useless-code": [N("ComputedPropertyName", line=1)(N("StringLiteral", "a", "expression")), binary("PlusToken", N("StringLiteral", "a"), N("StringLiteral", "b"), 2), N("PropertyAssignment", line=3)(N("Identifier", "a", "name"), N("Identifier", "a", "initializer")), N("PropertyAssignment", line=4)(N("Identifier", "a", "name"), N("Identifier", "b", "initializer")), call(5, "call", N("Identifier", "o"), N("Identifier", "x"), chain=["o", "f", "call"]), call(6, "apply", N("Identifier", "p"), chain=["o", "f", "apply"])],
     "no-implicit-coercion": [binary("EqualsEqualsToken", "a", "b", 1), binary("EqualsEqualsToken", "a", N("NullKeyword", "null"), 2), N("PrefixUnaryExpression", "+a", line=3)(N("PlusToken", role="operator"), N("Identifier", "a", "expression")), binary("PlusToken", N("StringLiteral", ""), "b", 4), N("PrefixUnaryExpression", "!!a", "condition", 5), N("PrefixUnaryExpression", "!!a", line=6)],
-    "safety": [fn("", N("ReturnStatement", line=1)(N("Identifier", "x", "expression")), kind="Constructor"), binary("MinusToken", N("PropertyAccessExpression", "a?.b"), "c", 2), call(3, "parseInt", N("Identifier", "x")), call(4, "parseInt", N("Identifier", "x"), N("NumericLiteral", "10")), call(5, "reject", N("StringLiteral", "no")), N("NewExpression", line=6)(fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction", line=6))],
+    "safety": [fn("", N("ReturnStatement", line=1)(N("Identifier", "x", "expression")), kind="Constructor"), binary("MinusToken", N("PropertyAccessExpression", "a?.b"), "c", 2), call(3, "parseInt", N("Identifier", "x")), call(4, "parseInt", N("Identifier", "x"), N("NumericLiteral", "10")), call(5, "reject", N("StringLiteral", "no")), N("NewExpression", line=6)(fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction", line=6)), N("NewExpression", line=10)(N("Identifier", "Promise", "expression"), fn("", STATEMENT("ReturnStatement", 11, N("Identifier", "x", "expression")), STATEMENT("ReturnStatement", 12), kind="ArrowFunction", role="argument")),
+               N("VariableDeclarationList", "let outer")(N("VariableDeclaration", "outer", symbol=130)), fn("f", STATEMENT("ExpressionStatement", 13, binary("EqualsToken", I("outer", 130), N("AwaitExpression"), 13, role="expression"))), N("Block")(N("VariableDeclaration", "near", symbol=131), binary("EqualsToken", I("near", 131), N("AwaitExpression"), 14)),
+               N("WhileStatement", line=15)(I("go", 132, "expression"), N("Block", role="statement")), N("WhileStatement", line=16)(I("go", 133, "expression"), N("Block", role="statement")(binary("EqualsToken", I("go", 133), "x", 16))),
+               N("CallExpression", line=17)(N("PropertyAccessExpression", "xs.map", "expression"), fn("", STATEMENT("ExpressionStatement", 17, fn("", STATEMENT("ReturnStatement", 17), kind="ArrowFunction")), kind="ArrowFunction", role="argument", line=17)),
+               N("CallExpression", line=18)(N("PropertyAccessExpression", "xs.map", "expression"), fn("", STATEMENT("IfStatement", 18, STATEMENT("ReturnStatement", 18)), kind="ArrowFunction", role="argument", line=18)), N("CallExpression", line=19)(N("PropertyAccessExpression", "xs.forEach", "expression"), fn("", STATEMENT("ExpressionStatement", 19), kind="ArrowFunction", role="argument", line=19))],
     "security": [N("JsxAttribute", "dangerouslySetInnerHTML", line=1), N("JsxAttribute", "href", line=2)(N("StringLiteral", " JavaScript:x", "initializer")), call(3, "write", chain=["document", "write"]), N("JsxAttribute", "href", line=4)(N("StringLiteral", "/a", "initializer"))],
-    "simplification": [N("IfStatement", line=1)(N("Block", "", "then")(STATEMENT("ReturnStatement", 1, N("Identifier", "x", "expression"))), N("Block", "", "else")), N("WhileStatement", line=2)(STATEMENT("ExpressionStatement", 2), STATEMENT("ContinueStatement", 3)), fn("f", STATEMENT("ReturnStatement", 4)), N("IfStatement", line=5)(N("Block", "", "then")(STATEMENT("IfStatement", 6))), N("ForStatement", line=7), N("ForStatement", line=8)(N("Identifier", "i", "initializer"))],
-    "syntax": [N("VariableDeclarationList", "var a", line=1), N("VariableDeclarationList", "let a", line=2), N("Identifier", "arguments", line=3), call(4, "pow", chain=["Math", "pow"]), call(5, "apply", N("NullKeyword", "null"), chain=["f", "apply"]), N("NewExpression", line=6)(N("Identifier", "RegExp", "expression"), N("StringLiteral", "a", "argument"))],
+    "simplification": [N("IfStatement", line=1)(N("Block", "", "then")(STATEMENT("ReturnStatement", 1, N("Identifier", "x", "expression"))), N("Block", "", "else")), N("WhileStatement", line=2)(STATEMENT("ExpressionStatement", 2), STATEMENT("ContinueStatement", 3)), fn("f", STATEMENT("ReturnStatement", 4)), N("IfStatement", line=5)(N("Block", "", "then")(STATEMENT("IfStatement", 6))), N("ForStatement", line=7), N("ForStatement", line=8)(N("Identifier", "i", "initializer")), fn("", kind="Constructor", line=10), fn("", STATEMENT("ExpressionStatement", 11, N("CallExpression", role="expression", line=11)(N("SuperKeyword", role="expression"))), kind="Constructor", line=11), fn("", N("Parameter", "p", "parameter"), kind="Constructor", line=12),
+                       N("Block")(N("IfStatement", role="statement", line=13)(N("Block", "", "then")(STATEMENT("ReturnStatement", 13, N("TrueKeyword", "true", "expression")))), STATEMENT("ReturnStatement", 14, N("FalseKeyword", "false", "expression"))),
+                       N("Block")(N("IfStatement", role="statement", line=15)(STATEMENT("ReturnStatement", 15, N("TrueKeyword", "true", "expression"))), STATEMENT("ReturnStatement", 16, N("FalseKeyword", "false", "expression"))),
+                       N("Block")(declares(17, "x", N("CallExpression", "f()"), 110), STATEMENT("ReturnStatement", 18, I("x", 110, "expression"))), N("Block")(declares(19, "x", N("CallExpression", "f()"), 111), STATEMENT("ReturnStatement", 20, I("y", 112, "expression"))),
+                       N("Block")(declares(21, "o", N("ObjectLiteralExpression", "{}"), 113), STATEMENT("ExpressionStatement", 22, binary("EqualsToken", N("PropertyAccessExpression", "o.a")(I("o", 113, "expression")), "b", 22, role="expression")))],
+    "syntax": [N("VariableDeclarationList", "var a", line=1), N("VariableDeclarationList", "let a", line=2), N("Identifier", "arguments", line=3), call(4, "pow", chain=["Math", "pow"]), call(5, "apply", N("NullKeyword", "null"), chain=["f", "apply"]), N("NewExpression", line=6)(N("Identifier", "RegExp", "expression"), N("StringLiteral", "a", "argument")), N("VariableDeclarationList", "let a = 1, b = 2")(N("VariableDeclaration", "a", line=7, symbol=120)(N("NumericLiteral", "1", "initializer")), N("VariableDeclaration", "b", line=8, symbol=121)(N("NumericLiteral", "2", "initializer"))), N("PostfixUnaryExpression", "b++", line=9)(I("b", 121, "expression")),
+               binary("PlusToken", N("Identifier", "s", type=STR), N("Identifier", "n", type=NUM), 10), binary("PlusToken", N("StringLiteral", "a", type=STR), N("StringLiteral", "b", type=STR), 11), binary("PlusToken", N("Identifier", "n", type=NUM), N("Identifier", "n", type=NUM), 12),
+               call(13, "parseInt", N("StringLiteral", "11"), N("NumericLiteral", "2"), target=11), call(14, "parseInt", N("StringLiteral", "11"), N("NumericLiteral", "10"), target=11)],
     "typescript": [N("ThrowStatement", line=1)(N("StringLiteral", "x", "expression")), N("AsExpression", line=2)(N("AsExpression", role="expression", line=3)), N("InterfaceDeclaration", line=4), N("InterfaceDeclaration", line=5)(N("PropertySignature", role="member")), N("NonNullExpression", line=6), N("AnyKeyword", line=7)],
     "react": [N("JsxSelfClosingElement", "<button />", line=1), N("JsxSelfClosingElement", "<button />", line=2)(N("JsxAttribute", "type")), call(3, "useEffect", fn("", N("AsyncKeyword"), kind="ArrowFunction")), call(4, "useEffect", fn("", kind="ArrowFunction")), fn("Outer", fn("Inner", line=6), fn("inner", line=7), line=5)],
     "rules-of-hooks": [call(1, "useState"), fn("C", call(2, "useState"), N("ForStatement")(call(3, "useMemo")), N("IfStatement")(call(4, "useMemo")), call(5, "map", fn("", call(5, "useId"), kind="ArrowFunction")), N("IfStatement")(N("ReturnStatement")), call(6, "useRef"))],
@@ -105,7 +130,9 @@ TREES = {
     "effect-cleanup": [call(1, "useEffect", fn("", call(2, "setInterval"), call(3, "addEventListener"), fn("", call(4, "clearInterval"), kind="ArrowFunction"), kind="ArrowFunction")), call(5, "setInterval")],
     "input-validation": [fn("bad", N("Parameter", "a", "parameter"), line=1), fn("own", N("Parameter", "a", "parameter"), call(2, "safeParse"), line=2), fn("through", N("Parameter", "a", "parameter"), call(3, "helper", target=30), line=3), fn("helper", call(4, "safeParse"), line=4, symbol=30), fn("hidden", N("Parameter", "a", "parameter"), line=5)],
     "state-hooks-cluster": [fn("C", *[call(2, "useState") for _ in range(5)], line=1), fn("D", *[call(4, "useState") for _ in range(4)], line=3)],
-    "performance": [N("WhileStatement")(N("RegularExpressionLiteral", line=5)), call(1, "readSync", target=13), call(2, "readSync", target=2), call(3, "h", chain=list("abcdefgh"), target=2), call(4, "h", chain=list("abc"), target=2)],
+    "performance": [N("WhileStatement")(N("NewExpression", line=5)(N("Identifier", "RegExp", "expression")), N("RegularExpressionLiteral", line=6)), call(1, "readFileSync", target=13), call(2, "readFileSync", target=2), call(3, "h", chain=list("abcdefgh"), target=2), call(4, "h", chain=list("abc"), target=2),
+                    call(7, "map", fn("", call(8, "push", chain=["ys", "push"]), kind="ArrowFunction"), N("Identifier", "xs", type=LIST), chain=["xs", "map"]), call(9, "map", fn("", call(10, "push", chain=["ys", "push"]), kind="ArrowFunction"), N("Identifier", "q", type=OBJ), chain=["q", "map"]),
+                    N("DeleteExpression", line=11)(N("ElementAccessExpression", "xs[0]", "expression")(N("Identifier", "xs", "expression", type=LIST))), N("DeleteExpression", line=12)(N("ElementAccessExpression", "o[0]", "expression")(N("Identifier", "o", "expression", type=OBJ)))],
     **{rule: [fn("f", N("Parameter", "p", name="p"), N("Identifier", "v", name="v"), call(1, name, N("Identifier", "v", name="used"), target=target), call(2, name, N("StringLiteral", "x"), target=target), call(3, name, N("Identifier", "p", name="other"), target=2))]
        for rule, name, target in [("no-child-process", "exec", 14), ("no-non-literal-fs-path", "readFile", 13), ("no-non-literal-regexp", "RegExp", 11), ("no-non-literal-require", "require", 11), ("no-ssrf", "fetch", 11)]},
     "prefer-modern-api": [binary("GreaterThanToken", N("CallExpression", "a.indexOf(b)"), "-1", 1), binary("EqualsEqualsEqualsToken", N("CallExpression", "a.indexOf(b)"), "0", 2), N("DeleteExpression", line=3), call(4, "assign", N("ObjectLiteralExpression", "{}"), chain=["Object", "assign"]), call(5, "assign", N("Identifier", "x"), chain=["Object", "assign"]), N("ElementAccessExpression", "a.b[a.b.length - 1]", line=6), N("ElementAccessExpression", "a[b.length - 1]", line=7)],
@@ -195,7 +222,7 @@ def sample() -> dict[str, list[tuple]]:
     edge = lambda a, b, line=1, types=False, dynamic=False: (a, b, f"./{b}", line, types, dynamic, False)
     imports = [
         edge("src/a.tsx", "b.ts"), edge("b.ts", "server-only"), edge("b.ts", "c.ts"), edge("c.ts", "b.ts", 4), edge("c.ts", "d.ts"), edge("d.ts", "c.ts", types=True), edge("e.ts", "e.ts", 3), edge("src/a.tsx", "act.ts"), edge("act.ts", "x.ts"),
-        edge("src/a.tsx", "b.ts", 9), edge("app/p/q.ts", "app/r/s.ts", 2), edge("app/p/q.ts", "app/p/t.ts", 3), edge("m.ts", "n.ts", 1), edge("m.ts", "n.ts", 2), edge("m.ts", "n.ts", 3, types=True), edge("o.ts", "n.ts", 1, dynamic=True), edge("o.ts", "n.ts", 2),
+        edge("src/a.tsx", "b.ts", 9), edge("app/p/q.ts", "app/r/s.ts", 2), edge("app/p/q.ts", "app/p/t.ts", 3), edge("m.ts", "n.ts", 1), edge("m.ts", "n.ts", 2), edge("m.ts", "n.ts", 3, types=True), edge("o.ts", "n.ts", 1, dynamic=True), edge("o.ts", "n.ts", 2), edge("m.ts", "lib/index.ts", 4), edge("m.ts", "lib/indexes.ts", 5),
     ]
     exports = [("b.ts", "used", "s1"), ("b.ts", "idle", "s2"), *[(f"schema/{f}.tsx", n, "s3") for f in "ab" for n in ("user", "nameSchema")], ("schema/b.tsx", "alone", "s4"), ("schema/a.tsx", "hidden", "s5")]
     exports += [("input-validation.tsx", x, "s") for x in ("bad", "own", "through", "helper")] + [("no-async-client-component.tsx", x, "s") for x in ("Page", "Plain")]
