@@ -32,7 +32,9 @@ COMPLEXITY = {"cyclomatic": 15, "lines": 150, "max_nesting": 4, "statements": 25
 
 
 def found(rows: DataFrame, message: str | Column) -> DataFrame:
-    return rows.select("file", "line", F.col("col").alias("column"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+    """Findings with the number of their node, null if the rows name none."""
+    node = F.col("node_id") if "node_id" in rows.columns else F.lit(None).cast("long").alias("node_id")
+    return rows.select("file", "line", F.col("col").alias("column"), (F.lit(message) if isinstance(message, str) else message).alias("message"), node)
 
 
 def with_parent(nodes: DataFrame) -> DataFrame:

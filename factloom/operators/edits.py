@@ -21,7 +21,12 @@ def accepted(edits: Column) -> Column:
 
 def apply_edits(text: Column, kept: Column) -> Column:
     """The text after accepted edits, which come from its end to its start."""
-    return F.aggregate(kept, text, lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["new_text"], F.substring(t, e["start"] + e["length"] + 1, F.length(t))))
+    ordered = F.reverse(kept)
+    end = lambda e: e["start"] + e["length"]
+    before = F.concat(F.array(F.lit(0)), F.transform(ordered, end))
+    pieces = F.transform(ordered, lambda e, i: F.concat(F.substring(text, F.element_at(before, i + 1) + 1, e["start"] - F.element_at(before, i + 1)), e["new_text"]))
+    # each stretch between two edits is cut once; the whole text is not copied for each edit
+    return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(before, -1) + 1, F.length(text)))
 
 
 def fix(files: DataFrame, edits: DataFrame, key: str = "file", text: str = "content") -> DataFrame:

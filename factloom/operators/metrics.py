@@ -29,5 +29,5 @@ def tags(rows: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
 def coverage(tagged: DataFrame) -> DataFrame:
     """Share of the tagged rows that has each tag."""
     some = tagged.where(F.size("tags") > 0)
-    whole = some.count()
-    return some.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).select("tag", "n", F.round(100.0 * F.col("n") / whole, 1).alias("pct"))
+    own = some.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return own.join(F.broadcast(some.agg(F.count("*").alias("whole")))).select("tag", "n", F.round(100.0 * F.col("n") / F.col("whole"), 1).alias("pct"))  # one row

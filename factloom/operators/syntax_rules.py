@@ -261,7 +261,7 @@ def dead_initial_values(facts: Facts) -> DataFrame:
     rows = _named(facts, rows.join(assigns, ["file", "assigned"]), F.col("left_id")).withColumn("symbol_id", F.col("before.declared.symbol_id"))
     uses = facts["nodes"].where(kind("Identifier")).join(facts["node_symbols"], ["file", "node_id"])
     inside_right = uses.select("file", "symbol_id", F.explode(F.concat(F.transform("ancestors", lambda a: a["id"]), F.array("node_id"))).alias("right_id"))
-    return relations.uncovered(rows, inside_right, ["file", "symbol_id", "right_id"]).select("file", "before.line", "before.col")
+    return relations.uncovered(rows, inside_right, ["file", "symbol_id", "right_id"]).select("file", F.col("before.node_id").alias("node_id"), "before.line", "before.col")
 
 
 def short_bodies(facts: Facts) -> DataFrame:
@@ -277,12 +277,12 @@ def short_bodies(facts: Facts) -> DataFrame:
     inner = nodes.where((F.col("field") == "statement") & (F.col("ord") == 0)).select("file", F.col("parent_id").alias("block"), F.col("node_id").alias("first_in"))
     yes = ifs.join(inner, ["file", "block"], "left").withColumn("at", F.when(F.col("block_kind") == "Block", F.col("first_in")).otherwise(F.col("block"))).join(truth.where("value = 'TrueKeyword'"), ["file", "at"]).select("file", "if_id")
     no = adjacent(facts).where((F.col("before.kind") == "IfStatement") & (F.col("kind") == "ReturnStatement")).withColumn("at", F.col("node_id")).join(truth.where("value = 'FalseKeyword'"), ["file", "at"]).withColumn("if_id", F.col("before.node_id"))
-    booleans = relations.covered(no, yes, ["file", "if_id"]).select("file", "before.line", "before.col")
-    returned = _named(facts, _after_declaration(facts, "ReturnStatement"), F.col("expr.id")).select("file", "before.line", "before.col")
+    booleans = relations.covered(no, yes, ["file", "if_id"]).select("file", F.col("before.node_id").alias("node_id"), "before.line", "before.col")
+    returned = _named(facts, _after_declaration(facts, "ReturnStatement"), F.col("expr.id")).select("file", F.col("before.node_id").alias("node_id"), "before.line", "before.col")
     fields = with_children(nodes, "left").where(kind("BinaryExpression") & (F.col("left.kind") == "PropertyAccessExpression")).select("file", F.col("node_id").alias("expr_id"), F.col("left.id").alias("access"))
     roots = nodes.where((F.col("field") == "expression") & (F.col("ord") == 0)).select("file", F.col("parent_id").alias("access"), F.col("node_id").alias("root"))
     empty = _after_declaration(facts, "ExpressionStatement").where((F.col("before.declared.initializer.kind") == "ObjectLiteralExpression") & (F.col("before.declared.initializer.text") == "{}")).withColumn("expr_id", F.col("expr.id"))
-    filled = _named(facts, empty.join(fields, ["file", "expr_id"]).join(roots, ["file", "access"]), F.col("root")).select("file", "before.declared.line", "before.declared.col")
+    filled = _named(facts, empty.join(fields, ["file", "expr_id"]).join(roots, ["file", "access"]), F.col("root")).select("file", F.col("before.declared.id").alias("node_id"), "before.declared.line", "before.declared.col")
     parts = {"constructor that adds nothing": useless, "true and false returned one by one": booleans, "variable returned at once": returned, "object filled at once": filled}
     return reduce(DataFrame.unionByName, [found(df, m) for m, df in parts.items()])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import percent
+from ..functions.text import html_escape, percent
 
 
 def by_rule(found: DataFrame) -> DataFrame:
@@ -18,8 +18,11 @@ def by_file(found: DataFrame) -> DataFrame:
 
 
 def totals(found: DataFrame, rules: DataFrame) -> DataFrame:
-    checks = rules.agg(F.sum(F.coalesce("sub_checks", F.lit(1)))).first()[0]
-    return found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.lit(checks or 0).alias("sub_checks"))
+    """Errors, warnings, checks of the rules and, if findings carry edits (``fix``), how many can be fixed."""
+    counted = found.agg(
+        F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), *([F.count_if(F.size("fix") > 0).alias("fixable")] if "fix" in found.columns else []))
+    checks = rules.agg(F.coalesce(F.sum(F.coalesce("sub_checks", F.lit(1))), F.lit(0)).alias("sub_checks"))
+    return counted.join(F.broadcast(checks))  # one row beside one row
 
 
 def category_scores(found: DataFrame, rules: DataFrame, files: int) -> DataFrame:
@@ -72,4 +75,26 @@ def as_lines(found: DataFrame) -> DataFrame:
 
 
 def as_json(found: DataFrame) -> DataFrame:
+    """One object a finding, for ``write.text``."""
     return found.select(F.to_json(F.struct("rule", "severity", "file", "line", "column", "message")).alias("value"))
+
+
+def json_head(found: DataFrame, rules: DataFrame, files: int) -> DataFrame:
+    """One object with the counts of a report: files, rules, checks, errors, warnings."""
+    counts = totals(found, rules).join(F.broadcast(rules.agg(F.count("*").alias("n"))))
+    return counts.select(F.to_json(F.struct(F.lit(files).alias("files"), F.col("n").alias("rules"), F.col("sub_checks").alias("checks"), "errors", "warnings")).alias("value"))
+
+
+def as_html(found: DataFrame) -> DataFrame:
+    """Rows of a table, one a finding, texts escaped."""
+    cells = [F.concat(F.lit("<td>"), html_escape(F.col(c).cast("string")), F.lit("</td>")) for c in ("severity", "rule", "file", "line", "column", "message")]
+    return found.select(F.concat(F.lit('<tr class="'), html_escape(F.col("severity")), F.lit('">'), *cells, F.lit("</tr>")).alias("value"))
+
+
+def spilled(found: DataFrame, folder: str, most: int = 300) -> DataFrame | None:
+    """The findings as JSON lines if there are fewer than ``most``; else they are written to the folder, task by task, and
+    nothing is returned. Only ``most`` rows are looked at to decide."""
+    if most > 0 and found.limit(most).count() >= most:
+        as_json(found).write.text(folder)
+        return None
+    return as_json(found)

@@ -26,6 +26,11 @@ class Rule:
     #: Ids of parts that can be switched by themselves, by the message of their findings ("": all of the rule's).
     sub_ids: Mapping[str, str] = field(default_factory=dict)
 
+    def located(self, facts: Facts, options: dict) -> DataFrame:
+        """Findings with the number of their node (node_id), null where the check names none."""
+        found = self.check(facts, options)
+        return found if "node_id" in found.columns else found.withColumn("node_id", F.lit(None).cast("long"))
+
     def run(self, facts: Facts, options: dict) -> DataFrame:
         found = self.check(facts, options).withColumn("rule", F.lit(self.id))
         named = F.lit(None).cast("string")

@@ -190,7 +190,9 @@ def body_hashes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.text_hash(F.col("p_name")).alias("body_hash"))
 
 
-@query()
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(props, '"[^"]*"|''[^'']*''|[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+(?:\\.[0-9]+)?')) AS t FROM events)
+SELECT CASE WHEN left(t, 1) IN (chr(34), chr(39)) THEN '$STR' WHEN regexp_matches(t, '^[0-9]') THEN '$NUM' WHEN t IN ('true', 'false') THEN '$BOOL'
+  WHEN t IN ('null', 'undefined') THEN '$NULL' ELSE '$ID' END AS token, count(*) AS n FROM t GROUP BY ALL""")
 def token_kinds(spark, sf_dir):
     tokens = table(spark, sf_dir, "events").select(F.explode(tx.normalised_tokens(F.col("props"))).alias("token"))
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
@@ -413,7 +415,10 @@ def taint_to_sink(spark, sf_dir):
 # --- edits and scans --------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey, s, n, row_number() OVER (PARTITION BY l_orderkey ORDER BY s DESC, n DESC) AS k FROM (SELECT l_orderkey, CAST(l_partkey % 40 AS INTEGER) AS s, CAST(l_quantity % 9 AS INTEGER) AS n FROM lineitem)),
+r AS (SELECT l_orderkey, s AS low, 1 AS k, 1 AS accepted FROM e WHERE k = 1
+UNION ALL SELECT r.l_orderkey, CASE WHEN e.s + e.n <= low THEN e.s ELSE low END, r.k + 1, accepted + CASE WHEN e.s + e.n <= low THEN 1 ELSE 0 END FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.k = r.k + 1)
+SELECT l_orderkey, CAST(max(k) AS INTEGER) AS proposed, CAST(max(accepted) AS INTEGER) AS accepted FROM r GROUP BY l_orderkey""")
 def accepted_edits(spark, sf_dir):
     found = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 40).cast("int").alias("start"), (F.col("l_quantity") % 9).cast("int").alias("length"), F.lit("").alias("new_text"))
     own = found.groupBy("l_orderkey").agg(F.collect_list(F.struct("start", "length", "new_text")).cast(edits.EDIT).alias("edits"))
@@ -433,7 +438,34 @@ def scan_union(spark, sf_dir):
     return files.together(events.where("event_type = 'error'").select("user_id"), events.where("event_type = 'purchase'").select("user_id"))
 
 
-@query("SELECT page_id, split_part(url, '?', 1) AS path, regexp_matches(split_part(url, '?', 1), '/en/') AND NOT regexp_matches(split_part(url, '?', 1), '/6[^/]*(/|$)') AS ignored FROM pages")
+@query("""WITH p AS (SELECT page_id, split_part(url, '?', 1) AS path FROM pages)
+SELECT page_id, path, regexp_matches(path, '/en/') OR (regexp_matches(path, '/[4-6][^/]*$') AND NOT regexp_matches(path, '/6[^/]*$')) OR suffix(path, '#top') AS ignored FROM p""")
 def ignored_pages(spark, sf_dir):
     path = F.split_part("url", F.lit("?"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), files.ignored(path, ["en/", "!6*"]).alias("ignored"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), files.ignored(path, ["en/", "[4-6]*", "!6*", "# a note", "*\\#top"]).alias("ignored"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('fr', 'es') AND n_chars > 500")
+def branch_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    changes = docs.where("lang IN ('de', 'fr', 'es') AND n_chars > 500").select("doc_id")
+    return files.branch(changes, docs.where("lang <> 'de'"), "doc_id")
+
+
+@query("""WITH f AS (SELECT page_id, regexp_replace(split_part(split_part(url, '?', 1), '//', 2), '\\.', '/') AS file FROM pages)
+SELECT DISTINCT file FROM f WHERE page_id % 7 = 0 OR (starts_with(file, 'www/') AND suffix(file, '.html') AND NOT regexp_matches(file, '/en/'))""")
+def listed_files(spark, sf_dir):
+    address = F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("//"), F.lit(2))
+    host = F.substring_index(address, ".", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(host, F.lit("/"), F.substring(address, F.length(host) + 2, F.length(address))).alias("file"))
+    return files.listed(pages.select("file"), pages.where("page_id % 7 = 0"), ["www"], ["html"], ["en/"])
+
+
+@query(FOUND + """SELECT '{"files":' || (SELECT count(*) FROM documents) || ',"rules":3,"checks":4,"errors":' || count(*) FILTER (severity = 'error') || ',"warnings":' || count(*) FILTER (severity = 'warning') || '}' AS value FROM found""")
+def json_report_head(spark, sf_dir):
+    return report.json_head(diagnostics(spark, sf_dir), TEXT_RULES.table(spark), table(spark, sf_dir, "documents").count())
+
+
+@query(FOUND + """SELECT '<tr class="' || severity || '"><td>' || severity || '</td><td>' || rule || '</td><td>' || file || '</td><td>1</td><td>1</td><td>' || message || '</td></tr>' AS value FROM found""")
+def html_rows(spark, sf_dir):
+    return report.as_html(diagnostics(spark, sf_dir))

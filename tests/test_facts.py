@@ -137,3 +137,26 @@ def test_entry_registers_matching_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ignore_classes_escapes_and_folders(spark):
+    df = spark.createDataFrame([(p,) for p in ["a1.ts", "ab.ts", "a/keep.ts", "out/keep.ts", "out/sub/keep.ts", "!x", "#y", "b c", "lib/out/keep.ts", "x^.ts", "deep/a2.ts"]], "p string")
+    got = {r[0] for r in df.where(files.ignored(F.col("p"), ["a[0-9].ts", "out/", "!keep.ts", "\\!x", "\\#y", "b?c   ", "x[^a-z].ts"])).collect()}
+    assert got == {"a1.ts", "deep/a2.ts", "out/keep.ts", "out/sub/keep.ts", "lib/out/keep.ts", "!x", "#y", "b c", "x^.ts"}
+    assert {r[0] for r in df.where(files.ignored(F.col("p"), ["[!a]*.ts"])).collect()} == {"a/keep.ts", "out/keep.ts", "out/sub/keep.ts", "lib/out/keep.ts", "x^.ts"}
+
+
+def test_spilled_report(spark, tmp_path):
+    found = spark.range(10).selectExpr("'r' AS rule", "'error' AS severity", "string(id) AS file", "1 AS line", "1 AS column", "'<m>' AS message")
+    assert report.spilled(found, f"{tmp_path}/a", 11).count() == 10 and not (tmp_path / "a").exists()
+    assert report.spilled(found, f"{tmp_path}/b", 10) is None and spark.read.text(f"{tmp_path}/b").count() == 10
+    assert "&lt;m&gt;" in report.as_html(found).first()[0]
+
+
+def test_edits_keep_what_is_between(spark):
+    df = spark.createDataFrame([("f", "héllo wörld and more")], "file string, content string")
+    rows_ = [("f", 0, 5, "bye"), ("f", 6, 5, ""), ("f", 16, 4, "less"), ("f", 20, 0, "!")]
+    out = edits.fix(df, spark.createDataFrame(rows_, "file string, start int, length int, new_text string")).first()
+    assert (out["content"], out["applied"], out["rejected"]) == ("bye  and less!", 4, 0)
+    none = edits.fix(df, spark.createDataFrame([], "file string, start int, length int, new_text string")).first()
+    assert none["content"] == "héllo wörld and more"

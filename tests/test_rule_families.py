@@ -2,6 +2,7 @@
 
 import pytest
 
+from factloom.operators import edits, fixes
 from factloom.operators.code_rules import CODE_RULES
 from factloom.rule_queries import SCHEMAS, relations
 
@@ -57,3 +58,40 @@ def test_only_rules_with_relations(facts):
 @pytest.mark.parametrize("rule", ["logic", "restrict-plus-operands", "no-child-process", "syntactic-clone", "rules-of-hooks", "exhaustive-switch"])
 def test_empty_relations(facts, rule):
     assert CODE_RULES.only([rule]).diagnostics({k: v.limit(0) for k, v in facts.items()}).count() == 0
+
+
+def test_fixes_correct_their_findings(spark):
+    """Facts of a text, written by hand: what is proposed, applied, gives the corrected text."""
+    text = "debugger; a == b; parseInt(x); +y; throw 'no'; void 0;"
+    at = lambda part: (text.index(part), text.index(part) + len(part))
+    nodes, kids = [], [0]
+
+    def node(kind, part, parent=None, role="child", ord_=0, shown=None):
+        kids[0] += 1
+        start, end = at(part)
+        nodes.append(("f.ts", kids[0], parent, kind, role, ord_, 0, start, end, 1, start, part if shown is None else shown, []))
+        return kids[0]
+
+    node("DebuggerStatement", "debugger;")
+    both = node("BinaryExpression", "a == b")
+    node("Identifier", "a ", both, "left"), node("EqualsEqualsToken", "==", both, "operator"), node("Identifier", "b;", both, "right")
+    call = node("CallExpression", "parseInt(x)")
+    node("Identifier", "parseInt", call, "expression"), node("Identifier", "x", call, "argument")
+    plus = node("PrefixUnaryExpression", "+y")
+    node("PlusToken", "+", plus, "operator"), node("Identifier", "y", plus, "expression")
+    node("StringLiteral", "'no'", node("ThrowStatement", "throw 'no';"), "expression")
+    node("NumericLiteral", "0", node("VoidExpression", "void 0"), "expression")
+    facts = {k: relations(spark, (k,))[k].limit(0) for k in SCHEMAS if k not in ("refs", "nodes")} | {"nodes": spark.createDataFrame(nodes, SCHEMAS["nodes"])}
+    rules = CODE_RULES.only(["no-debug-code", "no-implicit-coercion", "safety", "typescript", "banned-syntax"])
+    table = spark.createDataFrame([("f.ts", text)], "file string, content string")
+    out = edits.fix(table, fixes.proposed(rules, facts)).first()
+    assert out["content"] == " a === b; parseInt(x, 10); Number(y); throw new Error('no'); undefined;" and out["rejected"] == 0
+    assert fixes.proposed(CODE_RULES.only(["self-import"]), facts).count() == 0
+
+
+def test_each_fix_names_a_rule():
+    assert {f.rule for f in fixes.FIXES} <= set(CODE_RULES.rules)
+
+
+def test_rules_without_their_relations_are_named():
+    assert CODE_RULES.unable(["blocks"])["no-debug-code"] == ["nodes"] and "syntactic-clone" not in CODE_RULES.unable(["blocks"])
