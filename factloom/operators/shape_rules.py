@@ -158,15 +158,25 @@ def prefer_literal_union(facts: Facts, options: dict) -> DataFrame:
     return found(rows.where((F.col("left_type.flags") == STRING) & (F.col("right.kind") == "StringLiteral") & ~F.col("right.text").isin("", "''", '""')), "make it a union of literals")
 
 
-@CODE_RULES.rule("zustand-patterns", "quality", "Store selectors that render too often", sub_checks=2, needs=("nodes",), sub_ids={"fields without shallow": "multi-field-selector-without-shallow"})
+@CODE_RULES.rule("zustand-patterns", "quality", "Store selectors that render too often, and effects that read a store once", sub_checks=3, needs=("nodes",), sub_ids={"fields without shallow": "multi-field-selector-without-shallow"})
 def zustand_patterns(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(facts["nodes"], "expression", "argument").where(kind("CallExpression"))
     selector = F.col("argument.text")
     fields = F.size(F.split(F.regexp_extract(selector, r"=>\s*\(\{([^}]*)\}", 1), ","))
-    return each(rows, {
+    # an effect that runs once reads a store; calls of its actions are no reads
+    store = r"^use\w*Store$"
+    lists = facts["nodes"].where((F.col("field") == "argument") & (F.col("ord") == 1) & kind("ArrayLiteralExpression")).select("file", F.col("parent_id").alias("node_id"), F.col("node_id").alias("list"))
+    filled = facts["nodes"].select("file", F.col("parent_id").alias("list")).distinct()
+    effects = relations.uncovered(rows.where((F.col("expression.text") == "useEffect") & F.col("argument.kind").isin("ArrowFunction", "FunctionExpression")).join(lists, ["file", "node_id"]), filled, ["file", "list"])
+    up = lambda k: F.try_element_at("ancestors", F.lit(-k))["kind"]
+    action = F.coalesce((up(1) == "CallExpression") & (up(2) == "PropertyAccessExpression") & (up(3) == "CallExpression"), F.lit(False))
+    states = facts["nodes"].where(kind("PropertyAccessExpression") & F.col("text").rlike(r"^use\w*Store\.getState$") & ~action)
+    reads = states.select("file", "ancestors").unionByName(rows.where(F.col("expression.text").rlike(store)).select("file", "ancestors")).select("file", F.explode("ancestors").alias("a")).select("file", F.col("a.id").alias("callback"))
+    once = relations.covered(effects.withColumn("callback", F.col("argument.id")), reads, ["file", "callback"])
+    return found(once, "store read once").unionByName(each(rows, {
         "shallow for one field": (F.col("expression.text") == "useShallow") & selector.rlike(r"^\(?\w+\)?\s*=>\s*\w+\.\w+$"),
         "fields without shallow": F.col("expression.text").rlike(r"^use\w*Store$") & (F.col("argument.kind") == "ArrowFunction") & (fields >= options.get("multiFieldMin", 2)),
-    })
+    }))
 
 
 @CODE_RULES.rule("prop-drilling", "quality", "Components that pass on what they don't use", needs=("nodes", "node_symbols", "node_types", "types"))

@@ -119,12 +119,30 @@ def naming_convention(facts: Facts, options: dict) -> DataFrame:
     return restricted.unionByName(found(labels, F.concat(F.lit("label "), F.col("text"))))
 
 
-@CODE_RULES.rule("correctness", "quality", "Assignments, comparisons and exits that can't be meant", sub_checks=9, needs=("nodes",))
+def _written_wrongly(facts: Facts) -> DataFrame:
+    """Parameters that are written to, and functions in loops that use a variable declared by let outside of them."""
+    nodes, symbols = facts["nodes"], facts["node_symbols"]
+    parameters = nodes.where(kind("Parameter")).join(symbols, ["file", "node_id"]).select("file", "symbol_id")
+    steps = nodes.where(kind("PlusPlusToken", "MinusMinusToken") & (F.col("field") == "operator")).select("file", "parent_id")
+    written = written_symbols(facts)
+    by_step = relations.covered(written.where(F.col("field") == "expression"), steps, ["file", "parent_id"])
+    names = relations.covered(written.where(F.col("field") == "left").unionByName(by_step), parameters, ["file", "symbol_id"]).select("file", F.col("parent_id").alias("node_id"), F.col("text").alias("name")).distinct()
+    again = found(nodes.join(names, ["file", "node_id"]), F.concat(F.lit("parameter set: "), F.col("name")))
+    lists = nodes.where(kind("VariableDeclarationList") & F.col("text").startswith("let ")).select("file", F.col("node_id").alias("parent_id"))
+    loose = relations.covered(nodes.where(kind("VariableDeclaration")), lists, ["file", "parent_id"]).join(symbols, ["file", "node_id"]).select("file", "symbol_id", F.transform("ancestors", lambda a: a["id"]).alias("declared_in"))
+    functions = nodes.where(kind("ArrowFunction", "FunctionExpression") & inside("ancestors", LOOPS, FUNCTIONS))
+    uses = with_parent(nodes).where(kind("Identifier") & (F.coalesce("parent_kind", F.lit("")) != "PropertyAccessExpression")).join(symbols, ["file", "node_id"])
+    within_function = uses.select("file", "symbol_id", F.explode("ancestors").alias("a")).select("file", "symbol_id", F.col("a.id").alias("around"))
+    captures = within_function.join(loose, ["file", "symbol_id"]).where(~F.array_contains("declared_in", F.col("around"))).select("file", F.col("around").alias("node_id"))
+    return again.unionByName(found(relations.covered(functions, captures, ["file", "node_id"]), "function of a loop uses a variable that changes"))
+
+
+@CODE_RULES.rule("correctness", "quality", "Assignments, comparisons and exits that can't be meant", sub_checks=11, needs=("nodes", "node_symbols"))
 def correctness(facts: Facts, options: dict) -> DataFrame:
     rows = with_parent(with_children(facts["nodes"], "left", "operator", "right", "statement", "expression"))
     same = F.col("left.text") == F.col("right.text")
     in_finally = within("FinallyBlock")
-    return unreachable_code(facts).unionByName(each(rows, {
+    return unreachable_code(facts).unionByName(_written_wrongly(facts)).unionByName(each(rows, {
         "assigned to itself": operator("EqualsToken") & same & F.col("left.kind").isin(*PURE),
         "compared with itself": operator(*EQUALITY) & same & F.col("left.kind").isin(*PURE),
         "loop of one round": kind(*LOOPS) & F.col("statement.kind").isin("ReturnStatement", "ThrowStatement", "BreakStatement"),
@@ -354,17 +372,59 @@ def syntax(facts: Facts, options: dict) -> DataFrame:
     }))
 
 
-@CODE_RULES.rule("typescript", "quality", "Types that switch checks off", sub_checks=6, needs=("nodes",), sub_ids={"non-null assertion": "no-non-null-assertion", "explicit any": "no-explicit-any"})
+COLLECTIONS = r"\[\]$|^\[|^(readonly )?(Array|ReadonlyArray|Map|Set|WeakMap|WeakSet|ReadonlyMap|ReadonlySet)<"
+SCOPES = ("FunctionDeclaration", "ArrowFunction", "FunctionExpression", "MethodDeclaration", "SourceFile")
+
+
+def _typed_slips(facts: Facts) -> DataFrame:
+    """What needs types: annotations that say nothing new, properties of what may be null, functions that return any unsaid, and
+    indexes into what has none; and variables that hide others."""
+    nodes = facts["nodes"]
+    typed = facts["node_types"].join(facts["types"], "type_id")
+    side = lambda role: typed.select("file", F.col("node_id").alias(f"{role}_id"), F.struct("type_id", "flags", "members", "shape", "props").alias(f"{role}_type"))
+    rows = with_children(with_parent(nodes), "type", "initializer", "expression", "argument")
+    of = lambda df, role: df.withColumn(f"{role}_id", F.col(f"{role}.id")).join(side(role), ["file", f"{role}_id"])
+    said = of(of(rows.where(kind("VariableDeclaration")), "type"), "initializer")
+    said = said.where((F.col("type_type.type_id") == F.col("initializer_type.type_id")) & (F.col("type_type.flags").bitwiseAND(F.lit(4 | 8 | 16)) != 0))
+    nothing = facts["types"].where(F.col("flags").bitwiseAND(F.lit(32768 | 65536)) != 0).select("type_id")
+    unions = facts["types"].select("type_id", F.explode("members").alias("member"))
+    nullable = nothing.union(relations.covered(unions, nothing.withColumnRenamed("type_id", "member"), ["member"]).select("type_id")).distinct()
+    chained = nodes.where(F.col("text").contains("?.") & kind("PropertyAccessExpression", "ElementAccessExpression", "CallExpression")).select("file", F.col("node_id").alias("around"))
+    opened = of(rows.where(kind("PropertyAccessExpression") & ~F.col("text").contains("?.") & ~F.coalesce(F.col("parent_kind").isin("IfStatement", "ConditionalExpression"), F.lit(False))), "expression")
+    opened = relations.covered(opened.where(F.col("expression_type.flags").bitwiseAND(F.lit(3)) == 0).withColumn("type_id", F.col("expression_type.type_id")), nullable, ["type_id"])
+    guarded = relations.covered(opened.withColumn("around", F.explode(F.transform("ancestors", lambda a: a["id"]))), chained, ["file", "around"]).select("file", "node_id")
+    opened = relations.uncovered(opened, guarded, ["file", "node_id"])
+    returns = typed.where(F.col("flags").bitwiseAND(F.lit(1)) != 0).select("file", "node_id")
+    unsaid = relations.covered(rows.where(kind("FunctionDeclaration", "MethodDeclaration") & (F.col("text") != "") & F.col("type").isNull()), returns, ["file", "node_id"])
+    literals = F.lit(128 | 256)
+    keys = typed.join(unions.join(facts["types"].select(F.col("type_id").alias("member"), (F.col("flags").bitwiseAND(literals) != 0).alias("literal")), "member").groupBy("type_id").agg(F.bool_and("literal").alias("all_literal")), "type_id", "left")
+    keys = keys.select("file", F.col("node_id").alias("argument_id"), ((F.col("flags").bitwiseAND(literals) != 0) | F.coalesce("all_literal", F.lit(False))).alias("fixed"))
+    indexed = of(rows.where(kind("ElementAccessExpression") & ~F.col("argument.kind").isin("StringLiteral", "NumericLiteral")), "expression").withColumn("argument_id", F.col("argument.id")).join(keys, ["file", "argument_id"], "left")
+    t = "expression_type"
+    indexed = indexed.where((F.col(f"{t}.flags").bitwiseAND(F.lit(3)) == 0) & ~F.col(f"{t}.shape").rlike(COLLECTIONS) & ~F.col(f"{t}.shape").rlike(r"\[\w+: (string|number)\]") & (F.size(f"{t}.members") == 0))
+    indexed = indexed.where(~((F.size(f"{t}.props") > 0) & F.coalesce("fixed", F.lit(False))))
+    # scopes around a variable, the nearest last; one of that name in a scope further out is hidden
+    scopes = F.transform(F.filter("ancestors", lambda a: a["kind"].isin(*SCOPES)), lambda a: a["id"])
+    names = nodes.where(kind("VariableDeclaration", "Parameter") & (F.col("text") != "")).select("file", "node_id", "line", "col", "kind", "text", scopes.alias("scopes"))
+    inner = names.where(kind("VariableDeclaration")).withColumn("scope", F.explode(F.slice("scopes", F.lit(1), F.greatest(F.size("scopes") - 1, F.lit(0)))))
+    outer = names.select("file", "text", F.try_element_at("scopes", F.lit(-1)).alias("scope"))
+    hidden = relations.covered(inner, outer, ["file", "text", "scope"]).dropDuplicates(["file", "node_id"])
+    parts = {"type said without need": said, "may be null here": opened, "returns any unsaid": unsaid, "no index signature": indexed, "hides an outer variable": hidden}
+    return reduce(DataFrame.unionByName, [found(df, m) for m, df in parts.items()])
+
+
+@CODE_RULES.rule("typescript", "quality", "Types that switch checks off or are missing", sub_checks=11, needs=("nodes", "node_types", "types"),
+                 sub_ids={"non-null assertion": "no-non-null-assertion", "explicit any": "no-explicit-any", "type said without need": "no-inferrable-types", "may be null here": "null-check", "no index signature": "unsafe-index"})
 def typescript(facts: Facts, options: dict) -> DataFrame:
     rows = with_parent(with_children(facts["nodes"], "expression", "member", "heritage", "type"))
-    return each(rows, {
+    return _typed_slips(facts).unionByName(each(rows, {
         "catch of any": kind("VariableDeclaration") & (F.col("parent_kind") == "CatchClause") & (F.col("type.kind") == "AnyKeyword"),
         "a string thrown": kind("ThrowStatement") & F.col("expression.kind").isin("StringLiteral", "TemplateExpression"),
         "double assertion": kind("AsExpression") & (F.col("expression.kind") == "AsExpression"),
         "empty interface": kind("InterfaceDeclaration") & (F.col("n_member") == 0) & (F.col("n_heritage") == 0),
         "non-null assertion": kind("NonNullExpression"),
         "explicit any": kind("AnyKeyword") & (F.coalesce(F.col("parent_kind"), F.lit("")) != "CatchClause"),
-    })
+    }))
 
 
 @CODE_RULES.rule("react", "quality", "Components with a common slip", sub_checks=3, needs=("nodes",), sub_ids={"component in a component": "nested-component"})
@@ -399,9 +459,16 @@ def rules_of_hooks(facts: Facts, options: dict) -> DataFrame:
     return found(placed.withColumn("reason", reason).where("reason IS NOT NULL"), F.concat(F.lit("hook "), F.col("reason")))
 
 
-@CODE_RULES.rule("no-re-export", "quality", "Exports of what another file defines", needs=("nodes",))
+@CODE_RULES.rule("no-re-export", "quality", "Exports of what another file defines", needs=("nodes", "node_symbols", "symbols"))
 def no_re_export(facts: Facts, options: dict) -> DataFrame:
-    return each(with_children(facts["nodes"], "module"), {"export from another module": kind("ExportDeclaration") & F.col("module").isNotNull()})
+    """``export … from``, a finding for each name or one for all; and names that were imported before."""
+    exports = with_children(facts["nodes"], "module", "specifier").where(kind("ExportDeclaration"))
+    names = facts["nodes"].where((F.col("field") == "specifier") & kind("ExportSpecifier"))
+    sources = exports.select("file", F.col("node_id").alias("parent_id"), F.col("module").isNotNull().alias("from_module"))
+    named = names.join(sources, ["file", "parent_id"])
+    foreign = named.where("NOT from_module").join(facts["node_symbols"], ["file", "node_id"]).join(facts["symbols"].select("symbol_id", "decl_file"), "symbol_id").where("decl_file <> file")
+    whole = found(exports.where(F.col("module").isNotNull() & (F.col("n_specifier") == 0)), "export from another module")
+    return whole.unionByName(found(named.where("from_module"), F.concat(F.lit("export from another module: "), F.col("text")))).unionByName(found(foreign, F.concat(F.lit("imported and exported: "), F.col("text"))))
 
 
 @CODE_RULES.rule("no-duplicated-constants", "architecture", "Local constants that the constants folder has", needs=("nodes",))

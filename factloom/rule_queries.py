@@ -114,6 +114,7 @@ DERIVED = {
   SELECT c.file, c.node_id, p.node_id AS anc, p.kind, 1 AS dist FROM nodes c JOIN nodes p ON c.file = p.file AND c.parent_id = p.node_id
   UNION ALL
   SELECT u.file, u.node_id, p.node_id, p.kind, u.dist + 1 FROM up u JOIN nodes c ON u.file = c.file AND u.anc = c.node_id JOIN nodes p ON c.file = p.file AND c.parent_id = p.node_id)"""),
+    "scope": ("up", f"scope AS (SELECT file, node_id, arg_min(anc, dist) AS sc FROM up WHERE kind IN {_in(syntax_rules.SCOPES)} GROUP BY ALL)"),
     "owner": ("up", f"owner AS (SELECT file, node_id, arg_min(anc, dist) AS fn, min(dist) AS fn_dist FROM up WHERE kind IN {_in(FUNCTIONS)} GROUP BY ALL)"),
     "typed": ("node_types types", """typed AS (
   SELECT nt.file, nt.node_id, t.type_id, t.flags | coalesce((SELECT bit_or(m.flags) FROM types m WHERE list_contains(t.members, m.type_id)), 0) AS flags,
@@ -249,7 +250,14 @@ BODIES: dict[str, str] = {
         "exit in finally": f"n.kind IN ('ReturnStatement', 'ThrowStatement') AND {near(['FinallyBlock'])}",
         "await in finally": f"n.kind = 'AwaitExpression' AND {near(['FinallyBlock'])}",
         "value returned by a setter": f"n.kind = 'ReturnStatement' AND k_expression.kind IS NOT NULL AND {near(['SetAccessor'])}",
-    }),
+    }) + f"""
+  UNION ALL SELECT DISTINCT p.file, p.line, p.col, 'parameter set: ' || i.text FROM writes w JOIN nodes i ON i.file = w.file AND i.node_id = w.node_id JOIN nodes p ON p.file = i.file AND p.node_id = i.parent_id
+    WHERE (w.by IN {_in(S.ASSIGNMENTS)} OR (w.by IS NULL AND EXISTS (SELECT 1 FROM nodes o WHERE o.file = p.file AND o.parent_id = p.node_id AND o.field = 'operator' AND o.kind IN ('PlusPlusToken', 'MinusMinusToken'))))
+    AND EXISTS (SELECT 1 FROM node_symbols y JOIN nodes q ON q.file = y.file AND q.node_id = y.node_id AND q.kind = 'Parameter' WHERE y.file = w.file AND y.symbol_id = w.symbol_id)
+  UNION ALL SELECT n.file, n.line, n.col, 'function of a loop uses a variable that changes' FROM nodes n WHERE n.kind IN ('ArrowFunction', 'FunctionExpression') AND {near(LOOPS)} AND EXISTS (
+    SELECT 1 FROM up u JOIN nodes i ON i.file = u.file AND i.node_id = u.node_id AND i.kind = 'Identifier' JOIN nodes ip ON ip.file = i.file AND ip.node_id = i.parent_id AND ip.kind <> 'PropertyAccessExpression' JOIN node_symbols y ON y.file = i.file AND y.node_id = i.node_id
+    JOIN node_symbols z ON z.file = y.file AND z.symbol_id = y.symbol_id JOIN nodes d ON d.file = z.file AND d.node_id = z.node_id AND d.kind = 'VariableDeclaration' JOIN nodes l ON l.file = d.file AND l.node_id = d.parent_id AND l.kind = 'VariableDeclarationList' AND starts_with(l.text, 'let ')
+    WHERE u.file = n.file AND u.anc = n.node_id AND NOT EXISTS (SELECT 1 FROM up v WHERE v.file = d.file AND v.node_id = d.node_id AND v.anc = n.node_id))""",
     "logic": f"""SELECT n.file, n.line, n.col, 'the next condition is the same' FROM {children('condition', 'else')} JOIN nodes c ON c.file = n.file AND c.parent_id = k_else.node_id AND c.field = 'condition' AND c.ord = 0
     WHERE n.kind = 'IfStatement' AND k_else.kind = 'IfStatement' AND c.text = k_condition.text
   UNION ALL SELECT n.file, n.line, n.col, 'the condition never changes' FROM {children('condition')} WHERE n.kind IN ('IfStatement', 'ConditionalExpression') AND k_condition.kind IN ('TrueKeyword', 'FalseKeyword')
@@ -319,7 +327,18 @@ BODIES: dict[str, str] = {
     "typescript": checks(children("expression", "type") + PARENT, {
         "catch of any": "n.kind = 'VariableDeclaration' AND p.kind = 'CatchClause' AND k_type.kind = 'AnyKeyword'", "a string thrown": "n.kind = 'ThrowStatement' AND k_expression.kind IN ('StringLiteral', 'TemplateExpression')",
         "double assertion": "n.kind = 'AsExpression' AND k_expression.kind = 'AsExpression'", "empty interface": f"n.kind = 'InterfaceDeclaration' AND {count_of('member')} = 0 AND {count_of('heritage')} = 0",
-        "non-null assertion": "n.kind = 'NonNullExpression'", "explicit any": "n.kind = 'AnyKeyword' AND coalesce(p.kind, '') <> 'CatchClause'"}),
+        "non-null assertion": "n.kind = 'NonNullExpression'", "explicit any": "n.kind = 'AnyKeyword' AND coalesce(p.kind, '') <> 'CatchClause'"}) + f"""
+  UNION ALL SELECT n.file, n.line, n.col, 'type said without need' FROM {children('type', 'initializer')} JOIN node_types a ON a.file = n.file AND a.node_id = k_type.node_id JOIN node_types b ON b.file = n.file AND b.node_id = k_initializer.node_id AND b.type_id = a.type_id JOIN types t ON t.type_id = a.type_id
+    WHERE n.kind = 'VariableDeclaration' AND t.flags & 28 <> 0
+  UNION ALL SELECT n.file, n.line, n.col, 'may be null here' FROM {children('expression')}{PARENT} JOIN typed x ON x.file = n.file AND x.node_id = k_expression.node_id JOIN types t ON t.type_id = x.type_id WHERE n.kind = 'PropertyAccessExpression' AND NOT contains(n.text, '?.')
+    AND coalesce(p.kind, '') NOT IN ('IfStatement', 'ConditionalExpression') AND x.flags & 98304 <> 0 AND t.flags & 3 = 0
+    AND NOT EXISTS (SELECT 1 FROM up u JOIN nodes c ON c.file = u.file AND c.node_id = u.anc WHERE u.file = n.file AND u.node_id = n.node_id AND contains(c.text, '?.') AND c.kind IN ('PropertyAccessExpression', 'ElementAccessExpression', 'CallExpression'))
+  UNION ALL SELECT n.file, n.line, n.col, 'returns any unsaid' FROM {children('type')} JOIN node_types nt ON nt.file = n.file AND nt.node_id = n.node_id JOIN types t ON t.type_id = nt.type_id WHERE n.kind IN ('FunctionDeclaration', 'MethodDeclaration') AND n.text <> '' AND k_type.kind IS NULL AND t.flags & 1 <> 0
+  UNION ALL SELECT n.file, n.line, n.col, 'no index signature' FROM {children('expression', 'argument')} JOIN node_types nt ON nt.file = n.file AND nt.node_id = k_expression.node_id JOIN types t ON t.type_id = nt.type_id WHERE n.kind = 'ElementAccessExpression' AND k_argument.kind NOT IN ('StringLiteral', 'NumericLiteral')
+    AND t.flags & 3 = 0 AND len(t.members) = 0 AND NOT (suffix(t.shape, '[]') OR starts_with(t.shape, '[') OR regexp_matches(t.shape, '^(readonly )?(Array|ReadonlyArray|Map|Set|WeakMap|WeakSet|ReadonlyMap|ReadonlySet)<')) AND NOT regexp_matches(t.shape, '\\[\\w+: (string|number)\\]')
+    AND NOT (len(t.props) > 0 AND EXISTS (SELECT 1 FROM node_types kt JOIN types k ON k.type_id = kt.type_id WHERE kt.file = n.file AND kt.node_id = k_argument.node_id AND (k.flags & 384 <> 0 OR (len(k.members) > 0 AND NOT EXISTS (SELECT 1 FROM types m WHERE list_contains(k.members, m.type_id) AND m.flags & 384 = 0)))))
+  UNION ALL SELECT n.file, n.line, n.col, 'hides an outer variable' FROM nodes n JOIN scope s ON s.file = n.file AND s.node_id = n.node_id WHERE n.kind = 'VariableDeclaration' AND n.text <> '' AND EXISTS (SELECT 1 FROM nodes o JOIN scope os ON os.file = o.file AND os.node_id = o.node_id JOIN up u ON u.file = n.file AND u.node_id = s.sc AND u.anc = os.sc
+    WHERE o.file = n.file AND o.text = n.text AND o.kind IN ('VariableDeclaration', 'Parameter'))""",
     "react": f"""SELECT n.file, n.line, n.col, 'button without a type' FROM nodes n WHERE suffix(n.file, '.tsx') AND n.kind IN ('JsxOpeningElement', 'JsxSelfClosingElement') AND regexp_matches(n.text, '^<?button\\b')
     AND NOT EXISTS (SELECT 1 FROM nodes a WHERE a.file = n.file AND a.parent_id = n.node_id AND a.kind = 'JsxAttribute' AND regexp_matches(a.text, '^type\\b'))
   UNION ALL SELECT n.file, n.line, n.col, 'async effect' FROM {children('expression', 'argument')} WHERE suffix(n.file, '.tsx') AND n.kind = 'CallExpression' AND k_expression.text = 'useEffect' AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = n.file AND a.parent_id = k_argument.node_id AND a.kind = 'AsyncKeyword')
@@ -331,7 +350,10 @@ BODIES: dict[str, str] = {
   r AS (SELECT n.file, o.fn, min(n.start) AS returned FROM nodes n JOIN owner o ON o.file = n.file AND o.node_id = n.node_id WHERE n.kind = 'ReturnStatement' AND {near(['IfStatement'])} GROUP BY ALL)
   SELECT file, line, col, 'hook ' || what FROM (SELECT h.file, h.line, h.col, CASE WHEN h.fn IS NULL THEN 'at module level' WHEN callback THEN 'in a callback' WHEN looped THEN 'in a loop' WHEN guarded THEN 'under a condition'
     WHEN r.returned < h.start THEN 'after a return' END AS what FROM h LEFT JOIN r ON r.file = h.file AND r.fn = h.fn) WHERE what IS NOT NULL""",
-    "no-re-export": f"SELECT n.file, n.line, n.col, 'export from another module' FROM {children('module')} WHERE n.kind = 'ExportDeclaration' AND k_module.kind IS NOT NULL",
+    "no-re-export": f"""SELECT n.file, n.line, n.col, 'export from another module' FROM {children('module')} WHERE n.kind = 'ExportDeclaration' AND k_module.kind IS NOT NULL AND {count_of('specifier')} = 0
+  UNION ALL SELECT n.file, n.line, n.col, CASE WHEN m.kind IS NULL THEN 'imported and exported: ' ELSE 'export from another module: ' END || n.text FROM nodes n JOIN nodes p ON p.file = n.file AND p.node_id = n.parent_id AND p.kind = 'ExportDeclaration'
+    LEFT JOIN nodes m ON m.file = p.file AND m.parent_id = p.node_id AND m.field = 'module' LEFT JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id LEFT JOIN symbols s ON s.symbol_id = y.symbol_id
+    WHERE n.kind = 'ExportSpecifier' AND n.field = 'specifier' AND (m.kind IS NOT NULL OR s.decl_file <> n.file)""",
     "no-duplicated-constants": f"""WITH c AS (SELECT n.file, n.line, n.col, n.text, k_initializer.text AS value, k_initializer.kind AS value_kind, contains(n.file, '/constants/') AS shared FROM {children('initializer')}
     WHERE n.kind = 'VariableDeclaration' AND k_initializer.kind IN ('StringLiteral', 'NumericLiteral'))
   SELECT c.file, c.line, c.col, 'same as in ' || min(s.file) FROM c JOIN c s ON s.shared AND s.text = c.text AND s.value = c.value AND s.value_kind = c.value_kind WHERE NOT c.shared GROUP BY c.file, c.line, c.col""",
@@ -454,7 +476,13 @@ BODIES |= {
     "prefer-literal-union": f"""SELECT n.file, n.line, n.col, 'make it a union of literals' FROM {TYPED_SIDES} WHERE {binary('EqualsEqualsEqualsToken', 'ExclamationEqualsEqualsToken')} AND a.flags = {T.STRING} AND k_right.kind = 'StringLiteral' AND k_right.text NOT IN ('', '''''', '""')""",
     "zustand-patterns": checks(children("expression", "argument"), {
         "shallow for one field": "n.kind = 'CallExpression' AND k_expression.text = 'useShallow' AND regexp_matches(k_argument.text, '^\\(?\\w+\\)?\\s*=>\\s*\\w+\\.\\w+$')",
-        "fields without shallow": "n.kind = 'CallExpression' AND regexp_matches(k_expression.text, '^use\\w*Store$') AND k_argument.kind = 'ArrowFunction' AND len(string_split(regexp_extract(k_argument.text, '=>\\s*\\(\\{([^}]*)\\}', 1), ',')) >= 2"}),
+        "fields without shallow": "n.kind = 'CallExpression' AND regexp_matches(k_expression.text, '^use\\w*Store$') AND k_argument.kind = 'ArrowFunction' AND len(string_split(regexp_extract(k_argument.text, '=>\\s*\\(\\{([^}]*)\\}', 1), ',')) >= 2"}) + f"""
+  UNION ALL SELECT n.file, n.line, n.col, 'store read once' FROM {children('expression', 'argument')} JOIN nodes l ON l.file = n.file AND l.parent_id = n.node_id AND l.field = 'argument' AND l.ord = 1 AND l.kind = 'ArrayLiteralExpression'
+    WHERE n.kind = 'CallExpression' AND k_expression.text = 'useEffect' AND k_argument.kind IN ('ArrowFunction', 'FunctionExpression') AND NOT EXISTS (SELECT 1 FROM nodes e WHERE e.file = l.file AND e.parent_id = l.node_id) AND EXISTS (
+      SELECT 1 FROM up u JOIN nodes r ON r.file = u.file AND r.node_id = u.node_id LEFT JOIN nodes x ON x.file = r.file AND x.parent_id = r.node_id AND x.field = 'expression' AND x.ord = 0
+        LEFT JOIN nodes a ON a.file = r.file AND a.node_id = r.parent_id LEFT JOIN nodes b ON b.file = a.file AND b.node_id = a.parent_id LEFT JOIN nodes c ON c.file = b.file AND c.node_id = b.parent_id
+      WHERE u.file = n.file AND u.anc = k_argument.node_id AND ((r.kind = 'CallExpression' AND regexp_matches(x.text, '^use\\w*Store$'))
+        OR (r.kind = 'PropertyAccessExpression' AND regexp_matches(r.text, '^use\\w*Store\\.getState$') AND NOT coalesce(a.kind = 'CallExpression' AND b.kind = 'PropertyAccessExpression' AND c.kind = 'CallExpression', FALSE))))""",
     "prop-drilling": """WITH q AS (SELECT n.file, o.fn, y.symbol_id, nt.type_id FROM nodes n JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id LEFT JOIN owner o ON o.file = n.file AND o.node_id = n.node_id LEFT JOIN node_types nt ON nt.file = n.file AND nt.node_id = n.node_id WHERE n.kind IN ('Parameter', 'BindingElement')),
   i AS (SELECT n.file, y.symbol_id FROM nodes n JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id LEFT JOIN nodes p ON p.file = n.file AND p.node_id = n.parent_id WHERE n.kind = 'Identifier' GROUP BY ALL HAVING bool_and(coalesce(p.kind = 'JsxExpression', FALSE)))
   SELECT n.file, n.line, n.col, k || ' passed on' FROM nodes n JOIN (SELECT q.file, q.fn, count(*) AS k, count(*) FILTER (contains(t.shape, '=>')) AS callables FROM q JOIN i ON i.file = q.file AND i.symbol_id = q.symbol_id LEFT JOIN types t ON t.type_id = q.type_id GROUP BY ALL) d

@@ -3,7 +3,8 @@
 A node's field is its role in its parent (left, right, operator, expression, condition, initializer, argument, statement,
 branch, else, member, name, type), ord its place among those of the role; its text is a name, a literal's value, or the
 source. A call's chain holds the names from the root to the called one. Edges of def_use run also from the parts of an
-expression to the whole. Types of unions and intersections list their members.
+expression to the whole. Types of unions and intersections list their members;
+a function's own type in node_types is what it returns.
 """
 
 from __future__ import annotations

@@ -77,7 +77,9 @@ TREES = {
     "no-multiline-comments": [N("Comment", "/** a\n b */", line=1), N("Comment", "// a", line=2)],
     "naming-convention": [N("VariableDeclaration", "NaN", line=1), N("VariableDeclaration", "loop", line=2), N("LabeledStatement", "loop", line=3), N("LabeledStatement", "other", line=4)],
     "correctness": [binary("EqualsToken", "a", "a", 1), binary("EqualsEqualsEqualsToken", "a", "a", 2), N("WhileStatement", line=3)(STATEMENT("ReturnStatement", 3)), N("Block", line=20)(STATEMENT("BreakStatement", 20), STATEMENT("FunctionDeclaration", 21), STATEMENT("ExpressionStatement", 22), STATEMENT("ExpressionStatement", 23)), N("CatchClause", "catch (e) { throw e }", line=4)(N("ThrowStatement", "throw e", "statement", 4)), N("ArrayLiteralExpression", line=5)(N("OmittedExpression", line=5)),
-                    N("FinallyBlock", line=6)(N("ReturnStatement", line=7), N("AwaitExpression", line=8), fn("", N("ReturnStatement", line=9))), N("SetAccessor", line=10)(N("ReturnStatement", line=11)(N("Identifier", "x", "expression"))), binary("EqualsToken", "a", "b", 12)],
+                    N("FinallyBlock", line=6)(N("ReturnStatement", line=7), N("AwaitExpression", line=8), fn("", N("ReturnStatement", line=9))), N("SetAccessor", line=10)(N("ReturnStatement", line=11)(N("Identifier", "x", "expression"))), binary("EqualsToken", "a", "b", 12), fn("f", N("Parameter", "a", "parameter", symbol=140), binary("PlusEqualsToken", I("a", 140), "b", 30), N("PostfixUnaryExpression", "a++", line=31)(N("PlusPlusToken", role="operator"), I("a", 140, "expression")), N("PrefixUnaryExpression", "!a", line=32)(N("ExclamationToken", role="operator"), I("a", 140, "expression"))),
+                    N("VariableDeclarationList", "let k = 0")(N("VariableDeclaration", "k", symbol=141)), N("VariableDeclarationList", "const c = 0")(N("VariableDeclaration", "c", symbol=142)),
+                    N("ForStatement")(fn("", I("k", 141), kind="ArrowFunction", line=33), fn("", I("c", 142), kind="ArrowFunction", line=34), fn("", N("VariableDeclarationList", "let own")(N("VariableDeclaration", "own", symbol=143)), I("own", 143), kind="ArrowFunction", line=35))],
     "logic": [N("IfStatement", line=1)(N("Identifier", "a", "condition"), N("IfStatement", role="else", line=2)(N("Identifier", "a", "condition"))), N("IfStatement", line=3)(N("TrueKeyword", "true", "condition")), N("Block", line=4)(*[STATEMENT("ExpressionStatement", 4 + k, binary("EqualsToken", N("ElementAccessExpression", e), N("NumericLiteral", "1"), 4 + k, role="expression")) for k, e in enumerate(["x[0]", "x[0]", "x[1]"], 1)]), N("JsxExpression", line=10)(binary("AmpersandAmpersandToken", N("Identifier", "n", type=NUM), N("JsxElement"), 10, role="expression")), N("JsxExpression", line=11)(binary("AmpersandAmpersandToken", N("Identifier", "s", type=STR), N("JsxElement"), 11, role="expression")),
               N("Block")(declares(12, "v", N("NumericLiteral", "1"), 100), assigns(13, I("v", 100), N("NumericLiteral", "2")), declares(14, "w", N("NumericLiteral", "1"), 101), assigns(15, I("w", 101), N("CallExpression", "f(w)")(I("w", 101))), declares(16, "u", N("NumericLiteral", "1"), 102), assigns(17, I("z", 103), N("NumericLiteral", "2")))],
     "no-deprecated-api": [N("PropertyAccessExpression", "x.__proto__", line=1), N("PropertyAccessExpression", "arguments.callee", line=2), binary("EqualsToken", N("PropertyAccessExpression", "A.prototype"), "b", 3), N("PropertyAccessExpression", "x.proto", line=4)],
@@ -97,10 +99,15 @@ TREES = {
     "syntax": [N("VariableDeclarationList", "var a", line=1), N("VariableDeclarationList", "let a", line=2), N("Identifier", "arguments", line=3), call(4, "pow", chain=["Math", "pow"]), call(5, "apply", N("NullKeyword", "null"), chain=["f", "apply"]), N("NewExpression", line=6)(N("Identifier", "RegExp", "expression"), N("StringLiteral", "a", "argument")), N("VariableDeclarationList", "let a = 1, b = 2")(N("VariableDeclaration", "a", line=7, symbol=120)(N("NumericLiteral", "1", "initializer")), N("VariableDeclaration", "b", line=8, symbol=121)(N("NumericLiteral", "2", "initializer"))), N("PostfixUnaryExpression", "b++", line=9)(I("b", 121, "expression")),
                binary("PlusToken", N("Identifier", "s", type=STR), N("Identifier", "n", type=NUM), 10), binary("PlusToken", N("StringLiteral", "a", type=STR), N("StringLiteral", "b", type=STR), 11), binary("PlusToken", N("Identifier", "n", type=NUM), N("Identifier", "n", type=NUM), 12),
                call(13, "parseInt", N("StringLiteral", "11"), N("NumericLiteral", "2"), target=11), call(14, "parseInt", N("StringLiteral", "11"), N("NumericLiteral", "10"), target=11)],
-    "typescript": [N("ThrowStatement", line=1)(N("StringLiteral", "x", "expression")), N("AsExpression", line=2)(N("AsExpression", role="expression", line=3)), N("InterfaceDeclaration", line=4), N("InterfaceDeclaration", line=5)(N("PropertySignature", role="member")), N("NonNullExpression", line=6), N("AnyKeyword", line=7)],
+    "typescript": [N("ThrowStatement", line=1)(N("StringLiteral", "x", "expression")), N("AsExpression", line=2)(N("AsExpression", role="expression", line=3)), N("InterfaceDeclaration", line=4), N("InterfaceDeclaration", line=5)(N("PropertySignature", role="member")), N("NonNullExpression", line=6), N("AnyKeyword", line=7), N("VariableDeclaration", "n", line=20)(N("NumberKeyword", "number", "type", type=NUM), N("NumericLiteral", "1", "initializer", type=NUM)), N("VariableDeclaration", "m", line=21)(N("NumberKeyword", "number", "type", type=NUM), N("StringLiteral", "1", "initializer", type=STR)),
+                   N("PropertyAccessExpression", "x.y", line=22)(N("Identifier", "x", "expression", type=NULLABLE)), N("PropertyAccessExpression", "x?.y", line=23)(N("Identifier", "x", "expression", type=NULLABLE)), N("IfStatement")(N("PropertyAccessExpression", "x.y", line=24)(N("Identifier", "x", "expression", type=NULLABLE))),
+                   N("CallExpression", "f?.(x.y)")(N("PropertyAccessExpression", "x.y", line=25)(N("Identifier", "x", "expression", type=NULLABLE))), fn("loose", line=26, type=ANY), fn("told", N("AnyKeyword", "any", "type", line=27), line=27, type=ANY), fn("strict", line=28, type=STR),
+                   N("ElementAccessExpression", "o[k]", line=29)(N("Identifier", "o", "expression", type=BARE), N("Identifier", "k", "argument", type=STR)), N("ElementAccessExpression", "xs[k]", line=30)(N("Identifier", "xs", "expression", type=LIST), N("Identifier", "k", "argument", type=NUM)),
+                   N("ElementAccessExpression", "w[k]", line=31)(N("Identifier", "w", "expression", type=WIDE), N("Identifier", "k", "argument", type=UNION)), N("ElementAccessExpression", "w[k]", line=32)(N("Identifier", "w", "expression", type=WIDE), N("Identifier", "k", "argument", type=STR)),
+                   fn("outer", N("Parameter", "shade", "parameter"), fn("inner", N("VariableDeclaration", "shade", line=33), N("VariableDeclaration", "fresh", line=34)), fn("sister", N("VariableDeclaration", "fresh", line=35)))],
     "react": [N("JsxSelfClosingElement", "<button />", line=1), N("JsxSelfClosingElement", "<button />", line=2)(N("JsxAttribute", "type")), call(3, "useEffect", fn("", N("AsyncKeyword"), kind="ArrowFunction")), call(4, "useEffect", fn("", kind="ArrowFunction")), fn("Outer", fn("Inner", line=6), fn("inner", line=7), line=5)],
     "rules-of-hooks": [call(1, "useState"), fn("C", call(2, "useState"), N("ForStatement")(call(3, "useMemo")), N("IfStatement")(call(4, "useMemo")), call(5, "map", fn("", call(5, "useId"), kind="ArrowFunction")), N("IfStatement")(N("ReturnStatement")), call(6, "useRef"))],
-    "no-re-export": [N("ExportDeclaration", line=1)(N("StringLiteral", "./a", "module")), N("ExportDeclaration", line=2)],
+    "no-re-export": [N("ExportDeclaration", line=1)(N("StringLiteral", "./a", "module")), N("ExportDeclaration", line=2), N("ExportDeclaration", line=3)(N("StringLiteral", "./a", "module"), N("ExportSpecifier", "a", "specifier", 4), N("ExportSpecifier", "b", "specifier", 5)), N("ExportDeclaration", line=6)(N("ExportSpecifier", "old", "specifier", 7, symbol=1), N("ExportSpecifier", "own", "specifier", 8, symbol=150))],
     "no-duplicated-constants": [N("VariableDeclaration", "LIMIT", line=1)(N("NumericLiteral", "5", "initializer")), N("VariableDeclaration", "LIMIT", line=2)(N("NumericLiteral", "6", "initializer"))],
     "no-local-constants": [N("VariableDeclaration", "MAX_SIZE", line=1)(N("NumericLiteral", "5", "initializer")), N("VariableDeclaration", "ONE", line=2)(N("NumericLiteral", "1.0", "initializer")), N("VariableDeclaration", "NAME", line=3)(N("AsExpression", "'a' as const", "initializer")(N("StringLiteral", "a", "expression"))),
                            N("VariableDeclaration", "EMPTY", line=4)(N("StringLiteral", "", "initializer")), N("VariableDeclaration", "TABLE", line=5)(N("ObjectLiteralExpression", "{}", "initializer")), N("VariableDeclaration", "below", line=6)(N("NumericLiteral", "7", "initializer")),
@@ -150,7 +157,8 @@ TREES = {
     "no-redundant-zod-parse": [call(1, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=STR), call(2, "parse", N("Identifier", "a", type=ANY), chain=["Schema", "parse"], type=STR), call(3, "parse", N("Identifier", "a", type=STR), chain=["Schema", "catch", "parse"], type=STR), call(4, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=NUM)],
     "unbranded-type-consistency": [N("Parameter", "userId", line=1, type=STR), N("Parameter", "user", line=2, type=STR), N("Parameter", "userId", line=3, type=NUM)],
     "prefer-literal-union": [binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", "x"), 1), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=UNION), N("StringLiteral", "x"), 2), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", ""), 3)],
-    "zustand-patterns": [call(1, "useShallow", N("ArrowFunction", "(s) => s.a")), call(2, "useAppStore", N("ArrowFunction", "(s) => ({ a: s.a, b: s.b })")), call(3, "useAppStore", N("ArrowFunction", "(s) => s.a"))],
+    "zustand-patterns": [call(1, "useShallow", N("ArrowFunction", "(s) => s.a")), call(2, "useAppStore", N("ArrowFunction", "(s) => ({ a: s.a, b: s.b })")), call(3, "useAppStore", N("ArrowFunction", "(s) => s.a")), call(5, "useEffect", fn("", N("PropertyAccessExpression", "useAppStore.getState"), kind="ArrowFunction"), N("ArrayLiteralExpression")), call(6, "useEffect", fn("", N("CallExpression")(N("PropertyAccessExpression", "useAppStore.getState().reset")(N("CallExpression")(N("PropertyAccessExpression", "useAppStore.getState")))), kind="ArrowFunction"), N("ArrayLiteralExpression")),
+                         call(7, "useEffect", fn("", call(8, "useAppStore"), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "dep"))), call(9, "useEffect", fn("", call(10, "useAppStore"), kind="ArrowFunction"), N("ArrayLiteralExpression"))],
     "prop-drilling": [fn("A", *[N("Parameter", f"p{k}", symbol=80 + k, type=FUNC if k < 2 else STR) for k in range(4)], *[N("JsxExpression")(N("Identifier", f"p{k}", symbol=80 + k)) for k in range(4)], line=1),
                       fn("B", *[N("Parameter", f"p{k}", symbol=90 + k, type=FUNC) for k in range(4)], *[N("JsxExpression")(N("Identifier", f"p{k}", symbol=90 + k)) for k in range(4)], N("CallExpression")(N("Identifier", "p0", symbol=90)), line=2)],
     "no-db-origin-client-boundary": [fn("A", N("Parameter", "a", "parameter", 1, type=HOLDER)), fn("B", N("Parameter", "a", "parameter", 2, type=OBJ)), fn("C", N("Parameter", "a", "parameter", 3, type=OBJ), N("Parameter", "b", "parameter", 4, type=ROW))],
@@ -229,7 +237,8 @@ def sample() -> dict[str, list[tuple]]:
     exports += [("extract.tsx", x, "s") for x in ("load", "save", "brief", "Level", "User", "LIMIT")]
     refs = [("b.ts", "used", "src/a.tsx"), *[(f, n, "x") for f, n, _ in exports if f not in ("b.ts", "schema/a.tsx")]]
     origin = {10: "pkg:crypto", 11: "lib", 12: "pkg:axios", 13: "pkg:fs", 14: "pkg:child_process", REACT: "pkg:react", 2: "local", 20: "local", 21: "local", **{i: "local" for i in (30, 31, 34, 41)}, 32: "pkg:orm", 33: "local"}
-    symbols = [(1, "old", 0, "x.ts", 9, "local", ["deprecated"]), (40, "Error", 0, "lib.d.ts", 0, "lib", []), *[(i, f"s{i}", 0, "node_modules/orm/index.ts" if o == "pkg:orm" else "x.ts", i, o, []) for i, o in origin.items()]]
+    own_symbols = [(150, "own", 0, "no-re-export.tsx", 1, "local", [])]
+    symbols = [*own_symbols, (1, "old", 0, "x.ts", 9, "local", ["deprecated"]), (40, "Error", 0, "lib.d.ts", 0, "lib", []), *[(i, f"s{i}", 0, "node_modules/orm/index.ts" if o == "pkg:orm" else "x.ts", i, o, []) for i, o in origin.items()]]
     tokens = [f"t{k}" for k in range(60)]
     blocks = [
         ("a.ts", "f", 1, 12, tokens), ("b.ts", "f", 2, 12, tokens), ("c.ts", "near", 3, 12, [*tokens[:57], "x", *tokens[58:]]), ("d.ts", "alike", 4, 12, [*tokens[:55], "y", "z", "w", "v", "u"]), ("e.ts", "twice", 5, 12, ["q", "r", "s"]),
