@@ -277,10 +277,42 @@ def input_validation(facts: Facts, options: dict) -> DataFrame:
     return found(relations.uncovered(actions, own.union(through), ["file", "node_id"]), "check the input first")
 
 
-@CODE_RULES.rule("state-hooks-cluster", "quality", "Components with many states", needs=("nodes", "calls"), sub_ids={"": "state-cluster-count"})
+DOM_SHAPE = r"HTML\w*Element|SVG\w*Element|^Element\b|^Node\b"
+
+
+@CODE_RULES.rule("state-hooks-cluster", "quality", "States that are one: many in a function, flags beside refs, several that may be null, a status beside data", sub_checks=4,
+                 needs=("nodes", "calls", "symbols", "node_types", "types", "node_symbols"),
+                 sub_ids={"many states": "state-cluster-count", "flag beside a ref": "boolean-with-coupled-ref", "several may be null": "multiple-nullable-state", "status beside data": "status-plus-nullable"})
 def state_hooks_cluster(facts: Facts, options: dict) -> DataFrame:
-    many = facts["calls"].where("name = 'useState'").groupBy("file", F.col("caller_id").alias("node_id")).agg(F.count("*").alias("n")).where(F.col("n") >= options.get("stateClusterThreshold", 5))
-    return found(at(facts, many), F.concat(F.col("n").cast("string"), F.lit(" states")))
+    """The type of a hook's call is that of its state. A flag is beside a ref where one callback sets both."""
+    nodes, types = facts["nodes"], facts["types"]
+    parts = types.select("type_id", F.explode("members").alias("member")).join(types.select(F.col("type_id").alias("member"), F.col("flags").alias("part")), "member")
+    has_part = lambda bits: F.bool_or(F.col("part").bitwiseAND(F.lit(bits)) != 0)
+    only = lambda bits: F.bool_and(F.col("part").bitwiseAND(F.lit(bits)) != 0)
+    parts = parts.groupBy("type_id").agg(has_part(NULL | UNDEFINED).alias("nullable"), has_part(OBJECT).alias("data"), only(STRING_LITERAL).alias("status"), only(BOOLEAN_LITERAL).alias("flags_only"))
+    kinds = facts["node_types"].join(types.select("type_id", "flags", "shape"), "type_id").join(parts, "type_id", "left").drop("type_id")
+    declared = origins(facts).where("origin = 'pkg:react'").select("file", "node_id", F.col("caller_id").alias("fn"), "name").join(
+        nodes.where(F.col("field") == "initializer").select("file", "node_id", "line", "col", "start", F.col("parent_id").alias("declared")), ["file", "node_id"]).join(kinds, ["file", "node_id"], "left").where("fn IS NOT NULL")
+    states = declared.where("name = 'useState'").withColumn("flag", has("flags", BOOLEAN) | F.coalesce("flags_only", F.lit(False)))
+    first = lambda rows: rows.groupBy("file", "fn").agg(F.min(F.struct("start", "node_id", "line", "col")).alias("f"), F.count("*").alias("n"))
+    at_first = lambda rows: rows.select("file", "f.node_id", "f.line", "f.col")
+    many = at_first(first(states).where(F.col("n") >= options.get("stateClusterThreshold", 5)))
+    nulls = at_first(first(states.where("nullable")).where("n >= 2"))
+    data = states.where("nullable AND data").select("file", "fn").distinct()
+    status = relations.covered(states.where("status"), data, ["file", "fn"])
+    # callbacks that call a flag's setter and write a ref of the same function
+    second = nodes.where(kind("BindingElement") & (F.col("ord") == 1) & (F.col("field") == "element")).withColumn("declared", F.try_element_at("ancestors", F.lit(-2))["id"]).join(facts["node_symbols"], ["file", "node_id"]).select("file", "declared", "symbol_id")
+    setters = states.where("flag").select("file", "fn", "declared").join(second, ["file", "declared"]).select("file", "fn", F.col("symbol_id").alias("target_symbol"))
+    refs = declared.where((F.col("name") == "useRef") & ~F.coalesce(F.col("shape").rlike(DOM_SHAPE), F.lit(False)))
+    refs = refs.select("file", "fn", F.col("declared").alias("node_id")).join(facts["node_symbols"], ["file", "node_id"]).select("file", "fn", "symbol_id")
+    callbacks = lambda rows: rows.select("file", "fn", F.explode(F.filter("ancestors", lambda a: a["kind"].isin("ArrowFunction", "FunctionExpression"))).alias("a")).select("file", "fn", F.col("a.id").alias("callback")).where("callback <> fn").distinct()
+    set_in = callbacks(at(facts, facts["calls"].join(setters, ["file", "target_symbol"])))
+    roots = nodes.where(kind("Identifier") & (F.col("field") == "expression")).join(facts["node_symbols"], ["file", "node_id"]).join(refs, ["file", "symbol_id"]).select("file", F.col("parent_id").alias("left_id"), "fn")
+    written = with_children(nodes, "left", "operator").where(operator("EqualsToken") & F.col("left.text").endswith(".current")).withColumn("left_id", F.col("left.id")).join(roots, ["file", "left_id"])
+    both = relations.covered(set_in, callbacks(written), ["file", "fn", "callback"]).select("file", "fn").distinct()
+    flags = at_first(first(relations.covered(states.where("flag"), both, ["file", "fn"])))
+    parts = {"many states": many, "several may be null": nulls, "status beside data": status, "flag beside a ref": flags}
+    return reduce(DataFrame.unionByName, [found(df, m) for m, df in parts.items()])
 
 
 @CODE_RULES.rule("performance", "performance", "Blocking calls, patterns made in loops, long chains, arrays changed or cut where they are read, barrel imports", sub_checks=6,

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..plans.rules import Facts
 from . import graph, relations
 from .code_rules import CODE_RULES, FUNCTIONS, found, inside, with_parent
-from .flow_rules import ANY, FLOWS, STRING, TYPED, UNKNOWN, _assignable, at, first_argument, has, operand_type, origins, tainted_arguments, typed_nodes, with_type
+from .flow_rules import ANY, FLOWS, OBJECT, STRING, TYPED, UNKNOWN, _assignable, at, first_argument, has, operand_type, origins, tainted_arguments, typed_nodes, with_type
 from .syntax_rules import EQUALITY, PURE, each, kind, operator, with_children
 
+INTERSECTION = 2097152  # type flag
 # Fixed values of the rules.
 HOOKS_WITH_DEPS = ("useEffect", "useCallback", "useMemo")
 STABLE_SETTER_HOOKS = ("useState", "useReducer", "useTransition", "useActionState")
@@ -101,17 +102,23 @@ def exhaustive_deps(facts: Facts, options: dict) -> DataFrame:
     return found(listed, F.concat(F.lit("missing "), F.col("names")))
 
 
-@CODE_RULES.rule("narrow-param-type", "quality", "Parameters of which little is used", needs=(*TYPED, "node_symbols"), sub_ids={"": "usage-ratio"})
+@CODE_RULES.rule("narrow-param-type", "quality", "Parameters of which little is used", sub_checks=2, needs=(*TYPED, "node_symbols"), sub_ids={"few of a partial type": "partial-type-param", "few of a wide type": "usage-ratio"})
 def narrow_param_type(facts: Facts, options: dict) -> DataFrame:
-    nodes = facts["nodes"]
-    wide = facts["types"].where(F.size("props") >= options.get("minProperties", 10)).select("type_id", F.size("props").alias("total"))
-    parameters = symbols_at(facts, nodes.where(kind("Parameter")).join(facts["node_types"], ["file", "node_id"]).join(wide, "type_id"))
+    nodes, types = facts["nodes"], facts["types"]
     uses = symbols_at(facts, with_parent(nodes).where(kind("Identifier") & (F.coalesce("field", F.lit("")) != "name")))
     reads = with_children(nodes, "expression").where(kind("PropertyAccessExpression")).select("file", F.col("expression.id").alias("node_id"), F.substring_index("text", ".", -1).alias("prop"))
     passed = uses.join(reads.select("file", "node_id"), ["file", "node_id"], "left_anti").select("file", "symbol_id")
     counted = uses.join(reads, ["file", "node_id"]).groupBy("file", "symbol_id").agg(F.count_distinct("prop").alias("used"))
-    hit = relations.uncovered(parameters.join(counted, ["file", "symbol_id"]), passed, ["file", "symbol_id"])
-    return found(hit.where(F.col("used") < options.get("usageThreshold", 0.25) * F.col("total")), F.concat_ws(" of ", F.col("used").cast("string"), F.col("total").cast("string")))
+    parameters = relations.uncovered(symbols_at(facts, nodes.where(kind("Parameter"))).join(counted, ["file", "symbol_id"]), passed, ["file", "symbol_id"])
+    wide = types.where(F.size("props") >= options.get("minProperties", 10)).select("type_id", F.size("props").alias("total"))
+    few = parameters.join(facts["node_types"], ["file", "node_id"]).join(wide, "type_id").where(F.col("used") < options.get("usageThreshold", 0.25) * F.col("total"))
+    # Partial<T>: a reference with T as its argument
+    partial = nodes.where(kind("TypeReference") & (F.col("field") == "type") & (F.col("text") == "Partial")).select("file", F.col("node_id").alias("partial"), F.col("parent_id").alias("node_id"))
+    inner = nodes.where(F.col("field") == "typeArgument").select("file", F.col("parent_id").alias("partial"), F.col("node_id").alias("argument")).join(facts["node_types"].withColumnRenamed("node_id", "argument"), ["file", "argument"])
+    inner = inner.join(types.select("type_id", F.size("props").alias("total")), "type_id").select("file", "partial", "total")
+    some = parameters.join(partial.join(inner, ["file", "partial"]), ["file", "node_id"]).where((F.col("used") <= options.get("partialPickMaxFields", 5)) & (F.col("used") < F.col("total")))
+    whole = relations.uncovered(few, some, ["file", "node_id"])  # a finding of the one kind leaves out the other
+    return found(whole, "few of a wide type").unionByName(found(some, "few of a partial type"))
 
 
 @CODE_RULES.rule("no-async-client-component", "quality", "Client components that are async", needs=("nodes", "files", "exports"))
@@ -146,10 +153,27 @@ def no_redundant_zod_parse(facts: Facts, options: dict) -> DataFrame:
     return found(_assignable(facts, pairs).where("forth"), "it has this type")
 
 
-@CODE_RULES.rule("unbranded-type-consistency", "quality", "Ids that are plain strings", needs=TYPED)
+CONTAINER_KEY_METHODS = ("set", "get", "has", "add", "delete")
+KEYED = r"^(Map|Set)<string[,>]"
+
+
+@CODE_RULES.rule("unbranded-type-consistency", "quality", "Ids that are plain strings, and branded keys of containers of plain ones", sub_checks=3, needs=(*TYPED, "calls"),
+                 sub_ids={"branded key of a container": "container-key", "branded key of a record": "record-key"})
 def unbranded_type_consistency(facts: Facts, options: dict) -> DataFrame:
-    named = facts["nodes"].where(kind("Parameter", "PropertySignature", "VariableDeclaration") & F.col("text").rlike("[a-z]Id$") & ~F.col("text").isin(*options.get("externalIdNames", ())))
-    return found(with_type(named, typed_nodes(facts), F.col("node_id"), "own").where(F.col("own.flags") == STRING), F.concat(F.lit("plain string "), F.col("text")))
+    """A branded string is an intersection of a string and an object."""
+    nodes, types, typed = facts["nodes"], facts["types"], typed_nodes(facts)
+    named = nodes.where(kind("Parameter", "PropertySignature", "VariableDeclaration") & F.col("text").rlike("[a-z]Id$") & ~F.col("text").isin(*options.get("externalIdNames", ())))
+    ids = found(with_type(named, typed, F.col("node_id"), "own").where(F.col("own.flags") == STRING), F.concat(F.lit("plain string "), F.col("text")))
+    parts = types.where(F.col("flags").bitwiseAND(F.lit(INTERSECTION)) != 0).select("type_id", F.explode("members").alias("member")).join(types.select(F.col("type_id").alias("member"), F.col("flags").alias("part")), "member")
+    branded = parts.groupBy("type_id").agg(F.bool_or(has("part", STRING)).alias("s"), F.bool_or(has("part", OBJECT)).alias("o")).where("s AND o").select("type_id")
+    keys = relations.covered(facts["node_types"], branded, ["type_id"]).select("file", "node_id")
+    shaped = lambda pattern: relations.covered(facts["node_types"], types.where(F.col("shape").rlike(pattern)), ["type_id"]).select("file", "node_id")
+    calls = first_argument(facts, facts["calls"].where(F.col("name").isin(*CONTAINER_KEY_METHODS) & (F.size("chain") > 1)))
+    held = relations.covered(nodes.where(F.col("field") == "receiver"), shaped(KEYED), ["file", "node_id"]).select("file", F.col("parent_id").alias("node_id"))
+    containers = relations.covered(relations.covered(calls, keys.withColumnRenamed("node_id", "argument"), ["file", "argument"]), held, ["file", "node_id"])
+    rows = with_children(nodes, "expression", "argument").where(kind("ElementAccessExpression")).withColumns({"of": F.col("expression.id"), "key": F.col("argument.id")})
+    records = relations.covered(relations.covered(rows, keys.withColumnRenamed("node_id", "key"), ["file", "key"]), shaped(r"\[\w+: string\]|^Record<string,").withColumnRenamed("node_id", "of"), ["file", "of"])
+    return ids.unionByName(found(containers, "branded key of a container")).unionByName(found(records, "branded key of a record"))
 
 
 @CODE_RULES.rule("prefer-literal-union", "quality", "Plain strings compared with literals", needs=TYPED)

@@ -419,7 +419,20 @@ BODIES |= {
   SELECT n.file, n.line, n.col, 'check the input first' FROM nodes n WHERE n.kind = 'FunctionDeclaration' AND {count_of('parameter')} > 0 AND n.file IN {SERVER} AND EXISTS (SELECT 1 FROM exports x WHERE x.file = n.file AND x.name = n.text)
   AND NOT EXISTS (SELECT 1 FROM own WHERE own.file = n.file AND own.fn = n.node_id)
   AND NOT EXISTS (SELECT 1 FROM calls c JOIN node_symbols y ON y.symbol_id = c.target_symbol JOIN own ON own.file = y.file AND own.fn = y.node_id WHERE c.file = n.file AND c.caller_id = n.node_id)""",
-    "state-hooks-cluster": "SELECT n.file, n.line, n.col, k || ' states' FROM nodes n JOIN (SELECT file, caller_id, count(*) AS k FROM calls WHERE name = 'useState' GROUP BY ALL HAVING count(*) >= 5) c ON c.file = n.file AND c.caller_id = n.node_id",
+    "state-hooks-cluster": f"""WITH k AS (SELECT t.type_id, t.flags, t.shape, (SELECT bool_or(m.flags & 98304 <> 0) FROM types m WHERE list_contains(t.members, m.type_id)) AS nullable, (SELECT bool_or(m.flags & 524288 <> 0) FROM types m WHERE list_contains(t.members, m.type_id)) AS data,
+      (SELECT bool_and(m.flags & 128 <> 0) FROM types m WHERE list_contains(t.members, m.type_id)) AS status, (SELECT bool_and(m.flags & 512 <> 0) FROM types m WHERE list_contains(t.members, m.type_id)) AS flags_only FROM types t),
+  h AS (SELECT c.file, c.node_id, c.caller_id AS fn, c.name, n.line, n.col, n.start, n.parent_id AS declared, k.nullable, k.data, k.status, k.shape, coalesce(k.flags & 16 <> 0, FALSE) OR coalesce(k.flags_only, FALSE) AS flag
+    FROM origin c JOIN nodes n ON n.file = c.file AND n.node_id = c.node_id AND n.field = 'initializer' LEFT JOIN node_types nt ON nt.file = c.file AND nt.node_id = c.node_id LEFT JOIN k ON k.type_id = nt.type_id WHERE c.origin = 'pkg:react' AND c.caller_id IS NOT NULL),
+  s AS (SELECT * FROM h WHERE name = 'useState'),
+  setter AS (SELECT s.file, s.fn, y.symbol_id FROM s JOIN nodes p ON p.file = s.file AND p.parent_id = s.declared AND p.kind = 'ArrayBindingPattern' JOIN nodes e ON e.file = p.file AND e.parent_id = p.node_id AND e.kind = 'BindingElement' AND e.ord = 1 JOIN node_symbols y ON y.file = e.file AND y.node_id = e.node_id WHERE s.flag),
+  ref AS (SELECT h.file, h.fn, y.symbol_id FROM h JOIN node_symbols y ON y.file = h.file AND y.node_id = h.declared WHERE h.name = 'useRef' AND NOT coalesce(regexp_matches(h.shape, 'HTML\\w*Element|SVG\\w*Element|^Element\\b|^Node\\b'), FALSE)),
+  both_set AS (SELECT DISTINCT t.file, t.fn FROM setter t JOIN calls c ON c.file = t.file AND c.target_symbol = t.symbol_id JOIN up u ON u.file = c.file AND u.node_id = c.node_id AND u.kind IN ('ArrowFunction', 'FunctionExpression') AND u.anc <> t.fn
+    JOIN ref r ON r.file = t.file AND r.fn = t.fn JOIN node_symbols y ON y.file = r.file AND y.symbol_id = r.symbol_id JOIN nodes i ON i.file = y.file AND i.node_id = y.node_id AND i.field = 'expression' JOIN nodes l ON l.file = i.file AND l.node_id = i.parent_id AND l.field = 'left' AND suffix(l.text, '.current')
+    JOIN nodes o ON o.file = l.file AND o.parent_id = l.parent_id AND o.field = 'operator' AND o.kind = 'EqualsToken' JOIN up v ON v.file = l.file AND v.node_id = l.parent_id AND v.anc = u.anc)
+  SELECT file, arg_min(line, start), arg_min(col, start), 'many states' FROM s GROUP BY file, fn HAVING count(*) >= 5
+  UNION ALL SELECT file, arg_min(line, start), arg_min(col, start), 'several may be null' FROM s WHERE nullable GROUP BY file, fn HAVING count(*) >= 2
+  UNION ALL SELECT file, line, col, 'status beside data' FROM s WHERE status AND EXISTS (SELECT 1 FROM s d WHERE d.file = s.file AND d.fn = s.fn AND d.nullable AND d.data)
+  UNION ALL SELECT s.file, arg_min(line, start), arg_min(col, start), 'flag beside a ref' FROM s JOIN both_set b ON b.file = s.file AND b.fn = s.fn WHERE s.flag GROUP BY s.file, s.fn""",
     "performance": f"""WITH arrays AS (SELECT nt.file, nt.node_id FROM node_types nt JOIN types t ON t.type_id = nt.type_id WHERE suffix(t.shape, '[]') OR starts_with(t.shape, '[') OR regexp_matches(t.shape, '^(readonly )?(Array|ReadonlyArray)<')),
   inner_fn AS (SELECT file, node_id, arg_min(anc, dist) AS fn FROM up WHERE kind IN ('ArrowFunction', 'FunctionExpression') GROUP BY ALL)
   SELECT n.file, n.line, n.col, 'make it once, before the loop' FROM {children('expression')} WHERE n.kind = 'NewExpression' AND k_expression.text = 'RegExp' AND {near(LOOPS)}
@@ -460,11 +473,13 @@ BODIES |= {
   SELECT h.file, h.line, h.col, 'missing ' || string_agg(DISTINCT s.text, ', ' ORDER BY s.text) FROM hook h JOIN seen s ON s.file = h.file AND s.anc = h.fn
   WHERE (h.file, h.caller_id, s.symbol_id) IN (SELECT (file, fn, symbol_id) FROM declared) AND (h.file, s.symbol_id) NOT IN (SELECT (file, symbol_id) FROM fixed) AND (h.file, h.listed, s.symbol_id) NOT IN (SELECT (file, anc, symbol_id) FROM seen)
   GROUP BY h.file, h.node_id, h.line, h.col""",
-    "narrow-param-type": """WITH q AS (SELECT n.*, y.symbol_id, len(t.props) AS total FROM nodes n JOIN node_types nt ON nt.file = n.file AND nt.node_id = n.node_id JOIN types t ON t.type_id = nt.type_id JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id WHERE n.kind = 'Parameter' AND len(t.props) >= 10),
-  i AS (SELECT n.file, y.symbol_id, CASE WHEN p.kind = 'PropertyAccessExpression' AND n.field = 'expression' AND n.ord = 0 THEN split_part(p.text, '.', -1) END AS prop FROM nodes n JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id LEFT JOIN nodes p ON p.file = n.file AND p.node_id = n.parent_id
-    WHERE n.kind = 'Identifier' AND coalesce(n.field, '') <> 'name'),
-  k AS (SELECT file, symbol_id, count(DISTINCT prop) AS used FROM i GROUP BY ALL HAVING count(*) = count(prop))
-  SELECT q.file, q.line, q.col, k.used || ' of ' || q.total FROM q JOIN k ON k.file = q.file AND k.symbol_id = q.symbol_id WHERE k.used < 0.25 * q.total""",
+    "narrow-param-type": """WITH i AS (SELECT n.file, y.symbol_id, CASE WHEN p.kind = 'PropertyAccessExpression' AND n.field = 'expression' AND n.ord = 0 THEN split_part(p.text, '.', -1) END AS prop FROM nodes n JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id
+    LEFT JOIN nodes p ON p.file = n.file AND p.node_id = n.parent_id WHERE n.kind = 'Identifier' AND coalesce(n.field, '') <> 'name'),
+  q AS (SELECT n.file, n.node_id, n.line, n.col, k.used FROM nodes n JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id JOIN (SELECT file, symbol_id, count(DISTINCT prop) AS used FROM i GROUP BY ALL HAVING count(*) = count(prop)) k ON k.file = y.file AND k.symbol_id = y.symbol_id WHERE n.kind = 'Parameter'),
+  fewer AS (SELECT q.* FROM q JOIN nodes r ON r.file = q.file AND r.parent_id = q.node_id AND r.field = 'type' AND r.kind = 'TypeReference' AND r.text = 'Partial' JOIN nodes a ON a.file = r.file AND a.parent_id = r.node_id AND a.field = 'typeArgument' JOIN node_types nt ON nt.file = a.file AND nt.node_id = a.node_id
+    JOIN types t ON t.type_id = nt.type_id WHERE q.used <= 5 AND q.used < len(t.props))
+  SELECT file, line, col, 'few of a partial type' FROM fewer UNION ALL SELECT q.file, q.line, q.col, 'few of a wide type' FROM q JOIN node_types nt ON nt.file = q.file AND nt.node_id = q.node_id JOIN types t ON t.type_id = nt.type_id WHERE len(t.props) >= 10 AND q.used < 0.25 * len(t.props)
+    AND NOT EXISTS (SELECT 1 FROM fewer f WHERE f.file = q.file AND f.node_id = q.node_id)""",
     "no-async-client-component": """SELECT n.file, n.line, n.col, 'async component' FROM nodes n WHERE n.kind = 'FunctionDeclaration' AND suffix(n.file, '.tsx') AND regexp_matches(n.text, '^[A-Z]') AND n.file IN (SELECT file FROM files WHERE directive = 'use client')
   AND EXISTS (SELECT 1 FROM exports x WHERE x.file = n.file AND x.name = n.text) AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = n.file AND a.parent_id = n.node_id AND a.kind = 'AsyncKeyword' AND a.field = 'modifier')""",
     "no-misused-promises": f"SELECT n.file, n.line, n.col, 'not awaited by ' || c.name FROM {ARGUMENT} WHERE c.name IN ('useEffect', 'forEach') AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = g.file AND a.parent_id = g.node_id AND a.kind = 'AsyncKeyword' AND a.field = 'modifier')",
@@ -472,7 +487,13 @@ BODIES |= {
     AND (q.node_id = g.node_id OR q.node_id IN (SELECT f.origin_node FROM flow f WHERE f.file = g.file AND f.node = g.node_id)))""",
     "no-redundant-zod-parse": f"""SELECT n.file, n.line, n.col, 'it has this type' FROM {ARGUMENT}{type_of('g', 'x')}{type_of('n', 'y')} WHERE c.name IN ('parse', 'safeParse') AND NOT list_contains(c.chain, 'catch') AND c.chain[1] <> 'JSON' AND c.file NOT IN {SERVER}
   AND coalesce(x.flags & 3, 0) = 0 AND (x.type_id, y.type_id) IN (SELECT (a, b) FROM fits)""",
-    "unbranded-type-consistency": f"SELECT n.file, n.line, n.col, 'plain string ' || n.text FROM nodes n JOIN typed t ON t.file = n.file AND t.node_id = n.node_id WHERE n.kind IN ('Parameter', 'PropertySignature', 'VariableDeclaration') AND regexp_matches(n.text, '[a-z]Id$') AND t.flags = {T.STRING}",
+    "unbranded-type-consistency": f"""WITH b AS (SELECT nt.file, nt.node_id FROM node_types nt JOIN types t ON t.type_id = nt.type_id WHERE t.flags & 2097152 <> 0 AND EXISTS (SELECT 1 FROM types m WHERE list_contains(t.members, m.type_id) AND m.flags & 4 <> 0)
+    AND EXISTS (SELECT 1 FROM types m WHERE list_contains(t.members, m.type_id) AND m.flags & 524288 <> 0))
+  SELECT n.file, n.line, n.col, 'plain string ' || n.text FROM nodes n JOIN typed t ON t.file = n.file AND t.node_id = n.node_id WHERE n.kind IN ('Parameter', 'PropertySignature', 'VariableDeclaration') AND regexp_matches(n.text, '[a-z]Id$') AND t.flags = {T.STRING}
+  UNION ALL SELECT n.file, n.line, n.col, 'branded key of a container' FROM calls c JOIN nodes n ON n.file = c.file AND n.node_id = c.node_id JOIN nodes g ON g.file = n.file AND g.parent_id = n.node_id AND g.field = 'argument' AND g.ord = 0 JOIN b ON b.file = g.file AND b.node_id = g.node_id
+    WHERE c.name IN {_in(H.CONTAINER_KEY_METHODS)} AND len(c.chain) > 1 AND EXISTS (SELECT 1 FROM nodes r JOIN node_types nt ON nt.file = r.file AND nt.node_id = r.node_id JOIN types t ON t.type_id = nt.type_id WHERE r.file = n.file AND r.parent_id = n.node_id AND r.field = 'receiver' AND regexp_matches(t.shape, '^(Map|Set)<string[,>]'))
+  UNION ALL SELECT n.file, n.line, n.col, 'branded key of a record' FROM {children('expression', 'argument')} JOIN b ON b.file = n.file AND b.node_id = k_argument.node_id JOIN node_types nt ON nt.file = n.file AND nt.node_id = k_expression.node_id JOIN types t ON t.type_id = nt.type_id
+    WHERE n.kind = 'ElementAccessExpression' AND (regexp_matches(t.shape, '\\[\\w+: string\\]') OR starts_with(t.shape, 'Record<string,'))""",
     "prefer-literal-union": f"""SELECT n.file, n.line, n.col, 'make it a union of literals' FROM {TYPED_SIDES} WHERE {binary('EqualsEqualsEqualsToken', 'ExclamationEqualsEqualsToken')} AND a.flags = {T.STRING} AND k_right.kind = 'StringLiteral' AND k_right.text NOT IN ('', '''''', '""')""",
     "zustand-patterns": checks(children("expression", "argument"), {
         "shallow for one field": "n.kind = 'CallExpression' AND k_expression.text = 'useShallow' AND regexp_matches(k_argument.text, '^\\(?\\w+\\)?\\s*=>\\s*\\w+\\.\\w+$')",

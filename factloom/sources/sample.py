@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-STR, NUM, BIG, OBJ, ANY, PROMISE, NULLABLE, UNION, MEMBER_A, MEMBER_B, BARE, WIDE, FUNC, ROW, HOLDER, SCHEMA, LIST = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18
+STR, NUM, BIG, OBJ, ANY, PROMISE, NULLABLE, UNION, MEMBER_A, MEMBER_B, BARE, WIDE, FUNC, ROW, HOLDER, SCHEMA, LIST, BRAND, KEYS, RECORD, FLAG = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22
 REACT = 15  # symbol of the framework's hooks
 TYPES = [
     (STR, 4, "string", [], [], False, True), (NUM, 8, "number", [], [], False, True), (BIG, 64, "bigint", [], [], False, True), (OBJ, 524288, "{}", [], [], False, True), (ANY, 1, "any", [], [], False, True),
     (PROMISE, 524288, "Promise", [], [], True, True), (NULLABLE, 1048576, "string | null", [STR, 12], [], False, True), (12, 65536, "null", [], [], False, True),
     (UNION, 1048576, "'a' | 'b'", [MEMBER_A, MEMBER_B], [], False, True), (MEMBER_A, 128, "'a'", [], [], False, True), (MEMBER_B, 128, "'b'", [], [], False, True), (BARE, 524288, "Bare", [], [], False, False),
-    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True), (SCHEMA, 524288, "Schema", [], [("parse", FUNC), ("safeParse", FUNC)], False, True), (LIST, 524288, "string[]", [], [], False, True),
+    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True), (SCHEMA, 524288, "Schema", [], [("parse", FUNC), ("safeParse", FUNC)], False, True), (LIST, 524288, "string[]", [], [], False, True), (BRAND, 2097152, "UserId", [STR, OBJ], [], False, True), (KEYS, 524288, "Map<string, number>", [], [], False, True), (RECORD, 524288, "{ [k: string]: number }", [], [], False, True), (FLAG, 16, "boolean", [], [], False, True), (23, 1048576, "Bare | null", [BARE, 12], [], False, True),
 ]
 
 
@@ -47,9 +47,9 @@ def fn(text="", *kids, kind="FunctionDeclaration", **more):
     return N(kind, text, **more)(*kids)
 
 
-def state(value, value_symbol, setter, setter_symbol):
+def state(value, value_symbol, setter, setter_symbol, line=0, type=None):
     pattern = N("ArrayBindingPattern", role="name")(N("BindingElement", value, "element", symbol=value_symbol), N("BindingElement", setter, "element", symbol=setter_symbol))
-    return N("VariableDeclaration")(pattern, call(0, "useState", target=REACT, role="initializer"))
+    return N("VariableDeclaration")(pattern, call(line, "useState", target=REACT, role="initializer", type=type))
 
 
 STATEMENT = lambda k, line, *kids, **m: N(k, role="statement", line=line, **m)(*kids)
@@ -136,7 +136,10 @@ TREES = {
     "cache-caller-count": [N("VariableDeclaration", "a", line=1, symbol=20)(call(1, "cache", role="initializer")), N("VariableDeclaration", "b", line=2, symbol=21)(call(2, "cache", role="initializer")), call(3, "a", target=20), call(4, "b", target=21), call(5, "b", target=21)],
     "effect-cleanup": [call(1, "useEffect", fn("", call(2, "setInterval"), call(3, "addEventListener"), fn("", call(4, "clearInterval"), kind="ArrowFunction"), kind="ArrowFunction")), call(5, "setInterval")],
     "input-validation": [fn("bad", N("Parameter", "a", "parameter"), line=1), fn("own", N("Parameter", "a", "parameter"), call(2, "safeParse"), line=2), fn("through", N("Parameter", "a", "parameter"), call(3, "helper", target=30), line=3), fn("helper", call(4, "safeParse"), line=4, symbol=30), fn("hidden", N("Parameter", "a", "parameter"), line=5)],
-    "state-hooks-cluster": [fn("C", *[call(2, "useState") for _ in range(5)], line=1), fn("D", *[call(4, "useState") for _ in range(4)], line=3)],
+    "state-hooks-cluster": [fn("C", *[state("a", None, "setA", None, 2 + k) for k in range(5)], line=1), fn("D", *[state("a", None, "setA", None, 8) for _ in range(4)], line=7), fn("E", state("a", None, "setA", None, 11, NULLABLE), state("b", None, "setB", None, 12, NULLABLE), line=10),
+                            fn("F", state("s", None, "setS", None, 15, UNION), state("d", None, "setD", None, 16, 23), line=14), fn("G", state("s", None, "setS", None, 18, UNION), state("d", None, "setD", None, 19, STR), line=17),
+                            fn("H", state("on", 170, "setOn", 171, 21, FLAG), N("VariableDeclaration", "id", symbol=172)(call(22, "useRef", target=REACT, role="initializer", type=NUM)), fn("", call(23, "setOn", target=171), binary("EqualsToken", N("PropertyAccessExpression", "id.current")(I("id", 172, "expression")), "x", 24), kind="ArrowFunction"), line=20),
+                            fn("K", state("on", 173, "setOn", 174, 26, FLAG), N("VariableDeclaration", "id", symbol=175)(call(27, "useRef", target=REACT, role="initializer", type=NUM)), fn("", call(28, "setOn", target=174), kind="ArrowFunction"), fn("", binary("EqualsToken", N("PropertyAccessExpression", "id.current")(I("id", 175, "expression")), "x", 29), kind="ArrowFunction"), line=25)],
     "performance": [N("WhileStatement")(N("NewExpression", line=5)(N("Identifier", "RegExp", "expression")), N("RegularExpressionLiteral", line=6)), call(1, "readFileSync", target=13), call(2, "readFileSync", target=2), call(3, "h", chain=list("abcdefgh"), target=2), call(4, "h", chain=list("abc"), target=2),
                     call(7, "map", fn("", call(8, "push", chain=["ys", "push"]), kind="ArrowFunction"), N("Identifier", "xs", type=LIST), chain=["xs", "map"]), call(9, "map", fn("", call(10, "push", chain=["ys", "push"]), kind="ArrowFunction"), N("Identifier", "q", type=OBJ), chain=["q", "map"]),
                     N("DeleteExpression", line=11)(N("ElementAccessExpression", "xs[0]", "expression")(N("Identifier", "xs", "expression", type=LIST))), N("DeleteExpression", line=12)(N("ElementAccessExpression", "o[0]", "expression")(N("Identifier", "o", "expression", type=OBJ)))],
@@ -151,11 +154,12 @@ TREES = {
                            call(1, "useEffect", fn("", *[N("Identifier", x, symbol=y) for x, y in [("p", 60), ("q", 61), ("setR", 62), ("r", 64), ("ref", 65), ("k", 66), ("g", 63)]], kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "p", symbol=60)), target=REACT),
                            call(2, "useMemo", fn("", N("Identifier", "p", symbol=60), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "p", symbol=60)), target=REACT), call(3, "useEffect", fn("", N("Identifier", "q", symbol=61), kind="ArrowFunction"), target=REACT),
                            call(4, "useLayoutEffect", fn("", N("Identifier", "q", symbol=61), kind="ArrowFunction"), N("ArrayLiteralExpression"), target=REACT), call(5, "useEffect", fn("", N("Identifier", "q", symbol=61), kind="ArrowFunction"), N("ArrayLiteralExpression"), target=2))],
-    "narrow-param-type": [fn("f", N("Parameter", "a", line=1, symbol=70, type=WIDE), N("PropertyAccessExpression", "a.p1")(N("Identifier", "a", "expression", symbol=70))), fn("g", N("Parameter", "b", line=2, symbol=71, type=WIDE), N("PropertyAccessExpression", "b.p1")(N("Identifier", "b", "expression", symbol=71)), call(2, "h", N("Identifier", "b", symbol=71))), fn("h", N("Parameter", "c", line=3, symbol=72, type=OBJ))],
+    "narrow-param-type": [fn("f", N("Parameter", "a", line=1, symbol=70, type=WIDE), N("PropertyAccessExpression", "a.p1")(N("Identifier", "a", "expression", symbol=70))), fn("g", N("Parameter", "b", line=2, symbol=71, type=WIDE), N("PropertyAccessExpression", "b.p1")(N("Identifier", "b", "expression", symbol=71)), call(2, "h", N("Identifier", "b", symbol=71))), fn("h", N("Parameter", "c", line=3, symbol=72, type=OBJ)), fn("i", N("Parameter", "d", line=4, symbol=160)(N("TypeReference", "Partial", "type")(N("TypeReference", "Wide", "typeArgument", type=WIDE))), N("PropertyAccessExpression", "d.p1")(I("d", 160, "expression"))), fn("j", N("Parameter", "e", line=5, symbol=161, type=WIDE)(N("TypeReference", "Partial", "type")(N("TypeReference", "Wide", "typeArgument", type=WIDE))), *[N("PropertyAccessExpression", f"e.p{k}")(I("e", 161, "expression")) for k in range(6)])],
     "no-async-client-component": [fn("Page", N("AsyncKeyword", role="modifier"), line=1), fn("Plain", line=2), fn("Hidden", N("AsyncKeyword", role="modifier"), line=3)],
     "no-misused-promises": [call(1, "forEach", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction")), call(2, "forEach", fn("", kind="ArrowFunction")), call(3, "map", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction"))],
     "no-redundant-zod-parse": [call(1, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=STR), call(2, "parse", N("Identifier", "a", type=ANY), chain=["Schema", "parse"], type=STR), call(3, "parse", N("Identifier", "a", type=STR), chain=["Schema", "catch", "parse"], type=STR), call(4, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=NUM)],
-    "unbranded-type-consistency": [N("Parameter", "userId", line=1, type=STR), N("Parameter", "user", line=2, type=STR), N("Parameter", "userId", line=3, type=NUM)],
+    "unbranded-type-consistency": [N("Parameter", "userId", line=1, type=STR), N("Parameter", "user", line=2, type=STR), N("Parameter", "userId", line=3, type=NUM), call(4, "set", N("Identifier", "k", type=BRAND), chain=["m", "set"]), N("CallExpression", line=5, call={"name": "get", "chain": ["m", "get"], "target": None})(N("Identifier", "m", "receiver", type=KEYS), N("Identifier", "k", "argument", type=BRAND)),
+                                   N("CallExpression", line=6, call={"name": "get", "chain": ["m", "get"], "target": None})(N("Identifier", "m", "receiver", type=KEYS), N("Identifier", "k", "argument", type=STR)), N("ElementAccessExpression", "r[k]", line=7)(N("Identifier", "r", "expression", type=RECORD), N("Identifier", "k", "argument", type=BRAND)), N("ElementAccessExpression", "r[k]", line=8)(N("Identifier", "r", "expression", type=BARE), N("Identifier", "k", "argument", type=BRAND))],
     "prefer-literal-union": [binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", "x"), 1), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=UNION), N("StringLiteral", "x"), 2), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", ""), 3)],
     "zustand-patterns": [call(1, "useShallow", N("ArrowFunction", "(s) => s.a")), call(2, "useAppStore", N("ArrowFunction", "(s) => ({ a: s.a, b: s.b })")), call(3, "useAppStore", N("ArrowFunction", "(s) => s.a")), call(5, "useEffect", fn("", N("PropertyAccessExpression", "useAppStore.getState"), kind="ArrowFunction"), N("ArrayLiteralExpression")), call(6, "useEffect", fn("", N("CallExpression")(N("PropertyAccessExpression", "useAppStore.getState().reset")(N("CallExpression")(N("PropertyAccessExpression", "useAppStore.getState")))), kind="ArrowFunction"), N("ArrayLiteralExpression")),
                          call(7, "useEffect", fn("", call(8, "useAppStore"), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "dep"))), call(9, "useEffect", fn("", call(10, "useAppStore"), kind="ArrowFunction"), N("ArrayLiteralExpression"))],
