@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..plans.rules import Facts
 from . import graph, relations
 from .code_rules import CODE_RULES, FUNCTIONS, found, inside, with_parent
-from .flow_rules import ANY, FLOWS, OBJECT, STRING, TYPED, UNKNOWN, _assignable, at, first_argument, has, operand_type, origins, tainted_arguments, typed_nodes, with_type
+from .flow_rules import (
+    ANY, BOOLEAN_LITERAL, BOOLEANS, FLOWS, NULL, NUMBER_LITERAL, NUMBERS, OBJECT, STRING, STRING_LITERAL, STRINGS, TYPED, UNDEFINED, UNKNOWN, _assignable, at, first_argument, has, operand_type, origins, tainted_arguments, typed_nodes, with_type
+)
 from .syntax_rules import EQUALITY, PURE, each, kind, operator, with_children
 
 INTERSECTION = 2097152  # type flag
@@ -226,7 +228,48 @@ def no_db_origin_client_boundary(facts: Facts, options: dict) -> DataFrame:
     return found(relations.covered(first, holders, ["type_id"]), "holds a database row")
 
 
-@CODE_RULES.rule("type-precision", "quality", "Types that can be said more precisely", sub_checks=3, needs=("nodes", "node_symbols"))
+def _annotations(facts: Facts) -> DataFrame:
+    """Annotated object literals: of Partial or Record, whose keys are known, or of a type that satisfies can check."""
+    nodes = facts["nodes"]
+    rows = with_children(nodes, "type", "initializer").where(kind("VariableDeclaration") & (F.col("type.kind") == "TypeReference") & (F.col("initializer.kind") == "ObjectLiteralExpression"))
+    keys = nodes.where(F.col("field") == "property").groupBy("file", F.col("parent_id").alias("literal")).agg(F.count("*").alias("keys"))
+    rows = rows.withColumns({"literal": F.col("initializer.id"), "annotation": F.col("type.id"), "name": F.col("type.text")}).join(keys, ["file", "literal"]).select("file", "parent_id", "literal", "annotation", "name", "keys")
+    own = facts["node_types"].join(facts["types"].select("type_id", "flags", F.size("props").alias("total")), "type_id")
+    arguments = nodes.where((F.col("field") == "typeArgument") & (F.col("ord") == 0)).join(own, ["file", "node_id"]).select("file", F.col("parent_id").alias("annotation"), "flags", "total")
+    counts = nodes.where(F.col("field") == "typeArgument").groupBy("file", F.col("parent_id").alias("annotation")).agg(F.count("*").alias("arguments"))
+    known = rows.join(arguments, ["file", "annotation"]).join(counts, ["file", "annotation"])
+    partial = known.where("name = 'Partial' AND arguments = 1 AND keys < total")
+    record = known.where((F.col("name") == "Record") & (F.col("arguments") == 2) & has("flags", STRING) & (F.col("keys") >= 2))
+    constant = nodes.where(kind("VariableDeclarationList") & F.col("text").startswith("const ")).select("file", F.col("node_id").alias("parent_id"))
+    typed = lambda name: facts["node_types"].select("file", F.col("node_id").alias(name), F.col("type_id").alias("a" if name == "literal" else "b"))
+    other = relations.covered(rows.where((F.col("keys") >= 2) & ~F.col("name").isin("Partial", "Record")), constant, ["file", "parent_id"]).join(typed("literal"), ["file", "literal"]).join(typed("annotation"), ["file", "annotation"])
+    fit = _assignable(facts, other).where("forth")
+    at_type = lambda df: nodes.join(df.select("file", F.col("annotation").alias("node_id")), ["file", "node_id"])
+    return found(at_type(partial), "pick the keys").unionByName(found(at_type(record), "name the keys")).unionByName(found(at_type(fit), "use satisfies"))
+
+
+def _known_checks(facts: Facts) -> DataFrame:
+    """Checks whose result the types tell: of a type, of null, and of a property where the union has a mark of its own."""
+    nodes, types = facts["nodes"], facts["types"]
+    strict = ("EqualsEqualsEqualsToken", "ExclamationEqualsEqualsToken")
+    rows = with_children(nodes, "left", "operator", "right").withColumn("side", F.col("left.id"))
+    operands = nodes.where(kind("Identifier") & (F.col("field") == "expression")).select("file", F.col("parent_id").alias("side"), F.col("node_id").alias("operand"))
+    own = facts["node_types"].join(types.where(F.size("members") == 0).select("type_id", "flags"), "type_id").select("file", F.col("node_id").alias("operand"), "flags")
+    asked = rows.where(operator(*strict) & (F.col("left.kind") == "TypeOfExpression") & (F.col("right.kind") == "StringLiteral")).join(operands, ["file", "side"]).join(own, ["file", "operand"])
+    told = F.when(F.col("right.text") == "string", has("flags", STRINGS)).when(F.col("right.text") == "number", has("flags", NUMBERS)).when(F.col("right.text") == "boolean", has("flags", BOOLEANS)).otherwise(F.lit(False))
+    checked = rows.where(operator(*EQUALITY) & F.col("right.kind").isin("NullKeyword", "UndefinedKeyword") & (F.col("left.kind") == "Identifier"))
+    never = with_type(checked, typed_nodes(facts), F.col("side"), "own").where(F.col("own").isNotNull() & ~has("own.flags", ANY | UNKNOWN | NULL | UNDEFINED))
+    # a property of a literal type in every member of a union
+    parts = types.where(F.size("members") > 1).select("type_id", F.size("members").alias("n"), F.explode("members").alias("member"))
+    props = types.select(F.col("type_id").alias("member"), F.explode("props").alias("p")).select("member", F.col("p.name").alias("prop"), F.col("p.type_id").alias("of"))
+    literal = types.where(F.col("flags").bitwiseAND(F.lit(STRING_LITERAL | NUMBER_LITERAL | BOOLEAN_LITERAL)) != 0).select(F.col("type_id").alias("of"))
+    marked = parts.join(relations.covered(props, literal, ["of"]), "member").groupBy("type_id", "n", "prop").agg(F.count_distinct("member").alias("has")).where("has = n").select("type_id").distinct()
+    marked = relations.covered(facts["node_types"], marked, ["type_id"]).select("file", F.col("node_id").alias("object"))
+    inside_ = relations.covered(rows.where(operator("InKeyword") & (F.col("left.kind") == "StringLiteral")).withColumn("object", F.col("right.id")), marked, ["file", "object"])
+    return found(asked.where(told), "type known").unionByName(found(never, "never null")).unionByName(found(inside_, "use the union's mark"))
+
+
+@CODE_RULES.rule("type-precision", "quality", "Types and checks that can be said more precisely", sub_checks=9, needs=("nodes", "node_symbols", "node_types", "types", "assignable"), sub_ids={"never null": "redundant-nullcheck"})
 def type_precision(facts: Facts, options: dict) -> DataFrame:
     nodes = facts["nodes"]
     rows = with_children(with_parent(nodes), "type", "literal")
@@ -236,4 +279,4 @@ def type_precision(facts: Facts, options: dict) -> DataFrame:
     changed = symbols_at(facts, nodes.where(kind("Identifier"))).select("file", F.col("parent_id").alias("node_id"), "symbol_id").join(
         nodes.where(kind("PropertyAccessExpression") & F.substring_index("text", ".", -1).isin(*options.get("mutatingArrayMethods", MUTATING))).select("file", "node_id"), ["file", "node_id"]).select("file", "symbol_id")
     arrays = symbols_at(facts, with_children(nodes, "type").where(kind("Parameter") & (F.col("type.kind") == "ArrayType")))
-    return simple.unionByName(mixed).unionByName(found(relations.uncovered(arrays, changed, ["file", "symbol_id"]), "make the array readonly"))
+    return _annotations(facts).unionByName(_known_checks(facts)).unionByName(simple).unionByName(mixed).unionByName(found(relations.uncovered(arrays, changed, ["file", "symbol_id"]), "make the array readonly"))

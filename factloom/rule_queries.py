@@ -511,7 +511,19 @@ BODIES |= {
     "no-db-origin-client-boundary": """WITH RECURSIVE inner_type AS (SELECT type_id AS holder, unnest(list_concat(members, list_transform(props, lambda q: q.id))) AS held FROM types),
   h AS (SELECT type_id FROM types WHERE regexp_matches(shape, 'InferSelectModel|\\$inferSelect') UNION SELECT i.holder FROM inner_type i JOIN h ON h.type_id = i.held)
   SELECT n.file, n.line, n.col, 'holds a database row' FROM nodes n JOIN node_types nt ON nt.file = n.file AND nt.node_id = n.node_id WHERE n.kind = 'Parameter' AND n.ord = 0 AND n.file IN (SELECT file FROM files WHERE directive = 'use client') AND nt.type_id IN (SELECT type_id FROM h)""",
-    "type-precision": f"""SELECT n.file, n.line, n.col, 'name the union' FROM nodes n{PARENT} WHERE n.kind = 'UnionType' AND {count_of('literal')} >= 2 AND p.kind = 'Parameter'
+    "type-precision": f"""WITH v AS (SELECT n.file, n.parent_id, k_type.node_id AS annotation, k_type.text AS name, k_type.line, k_type.col, k_initializer.node_id AS literal, (SELECT count(*) FROM nodes c WHERE c.file = n.file AND c.parent_id = k_initializer.node_id AND c.field = 'property') AS keys,
+      (SELECT count(*) FROM nodes c WHERE c.file = n.file AND c.parent_id = k_type.node_id AND c.field = 'typeArgument') AS arguments FROM {children('type', 'initializer')} WHERE n.kind = 'VariableDeclaration' AND k_type.kind = 'TypeReference' AND k_initializer.kind = 'ObjectLiteralExpression'),
+  g AS (SELECT v.*, t.flags, len(t.props) AS total FROM v JOIN nodes a ON a.file = v.file AND a.parent_id = v.annotation AND a.field = 'typeArgument' AND a.ord = 0 JOIN node_types nt ON nt.file = a.file AND nt.node_id = a.node_id JOIN types t ON t.type_id = nt.type_id)
+  SELECT file, line, col, 'pick the keys' FROM g WHERE name = 'Partial' AND arguments = 1 AND keys > 0 AND keys < total
+  UNION ALL SELECT file, line, col, 'name the keys' FROM g WHERE name = 'Record' AND arguments = 2 AND flags & 4 <> 0 AND keys >= 2
+  UNION ALL SELECT v.file, v.line, v.col, 'use satisfies' FROM v JOIN nodes l ON l.file = v.file AND l.node_id = v.parent_id AND l.kind = 'VariableDeclarationList' AND starts_with(l.text, 'const ') JOIN node_types x ON x.file = v.file AND x.node_id = v.literal JOIN node_types y ON y.file = v.file AND y.node_id = v.annotation
+    WHERE v.keys >= 2 AND v.name NOT IN ('Partial', 'Record') AND (x.type_id, y.type_id) IN (SELECT (a, b) FROM fits)
+  UNION ALL SELECT n.file, n.line, n.col, 'type known' FROM {SIDES} JOIN nodes i ON i.file = n.file AND i.parent_id = k_left.node_id AND i.field = 'expression' AND i.kind = 'Identifier' JOIN node_types nt ON nt.file = i.file AND nt.node_id = i.node_id JOIN types t ON t.type_id = nt.type_id
+    WHERE {binary('EqualsEqualsEqualsToken', 'ExclamationEqualsEqualsToken')} AND k_left.kind = 'TypeOfExpression' AND k_right.kind = 'StringLiteral' AND len(t.members) = 0 AND t.flags & CASE k_right.text WHEN 'string' THEN {T.STRINGS} WHEN 'number' THEN {T.NUMBERS} WHEN 'boolean' THEN {T.BOOLEANS} ELSE 0 END <> 0
+  UNION ALL SELECT n.file, n.line, n.col, 'never null' FROM {SIDES} JOIN typed x ON x.file = n.file AND x.node_id = k_left.node_id WHERE {binary(*S.EQUALITY)} AND k_right.kind IN ('NullKeyword', 'UndefinedKeyword') AND k_left.kind = 'Identifier' AND x.flags & {T.ANY | T.UNKNOWN | T.NULL | T.UNDEFINED} = 0
+  UNION ALL SELECT n.file, n.line, n.col, 'use the union''s mark' FROM {SIDES} JOIN node_types nt ON nt.file = n.file AND nt.node_id = k_right.node_id JOIN types t ON t.type_id = nt.type_id WHERE {binary('InKeyword')} AND k_left.kind = 'StringLiteral' AND len(t.members) > 1
+    AND EXISTS (SELECT 1 FROM (SELECT m.type_id AS m, unnest(m.props) AS q FROM types m WHERE list_contains(t.members, m.type_id)) z JOIN types l ON l.type_id = z.q.id AND l.flags & 896 <> 0 GROUP BY z.q.name HAVING count(DISTINCT z.m) = len(t.members))
+  UNION ALL SELECT n.file, n.line, n.col, 'name the union' FROM nodes n{PARENT} WHERE n.kind = 'UnionType' AND {count_of('literal')} >= 2 AND p.kind = 'Parameter'
   UNION ALL SELECT n.file, n.line, n.col, 'index signature beside names' FROM nodes n WHERE n.kind IN ('InterfaceDeclaration', 'TypeLiteral') AND (SELECT count(*) FILTER (c.kind = 'IndexSignature') > 0 AND count(*) FILTER (c.kind = 'PropertySignature') > 0 FROM nodes c WHERE c.file = n.file AND c.parent_id = n.node_id AND c.field = 'member')
   UNION ALL SELECT n.file, n.line, n.col, 'make the array readonly' FROM {children('type')} JOIN node_symbols y ON y.file = n.file AND y.node_id = n.node_id WHERE n.kind = 'Parameter' AND k_type.kind = 'ArrayType' AND NOT EXISTS (
     SELECT 1 FROM node_symbols z JOIN nodes i ON i.file = z.file AND i.node_id = z.node_id AND i.kind = 'Identifier' JOIN nodes q ON q.file = i.file AND q.node_id = i.parent_id AND q.kind = 'PropertyAccessExpression'

@@ -10,7 +10,7 @@ TYPES = [
     (STR, 4, "string", [], [], False, True), (NUM, 8, "number", [], [], False, True), (BIG, 64, "bigint", [], [], False, True), (OBJ, 524288, "{}", [], [], False, True), (ANY, 1, "any", [], [], False, True),
     (PROMISE, 524288, "Promise", [], [], True, True), (NULLABLE, 1048576, "string | null", [STR, 12], [], False, True), (12, 65536, "null", [], [], False, True),
     (UNION, 1048576, "'a' | 'b'", [MEMBER_A, MEMBER_B], [], False, True), (MEMBER_A, 128, "'a'", [], [], False, True), (MEMBER_B, 128, "'b'", [], [], False, True), (BARE, 524288, "Bare", [], [], False, False),
-    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True), (SCHEMA, 524288, "Schema", [], [("parse", FUNC), ("safeParse", FUNC)], False, True), (LIST, 524288, "string[]", [], [], False, True), (BRAND, 2097152, "UserId", [STR, OBJ], [], False, True), (KEYS, 524288, "Map<string, number>", [], [], False, True), (RECORD, 524288, "{ [k: string]: number }", [], [], False, True), (FLAG, 16, "boolean", [], [], False, True), (23, 1048576, "Bare | null", [BARE, 12], [], False, True),
+    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True), (SCHEMA, 524288, "Schema", [], [("parse", FUNC), ("safeParse", FUNC)], False, True), (LIST, 524288, "string[]", [], [], False, True), (BRAND, 2097152, "UserId", [STR, OBJ], [], False, True), (KEYS, 524288, "Map<string, number>", [], [], False, True), (RECORD, 524288, "{ [k: string]: number }", [], [], False, True), (FLAG, 16, "boolean", [], [], False, True), (23, 1048576, "Bare | null", [BARE, 12], [], False, True), (24, 524288, "A", [], [("kind", MEMBER_A)], False, True), (25, 524288, "B", [], [("kind", MEMBER_B), ("b", STR)], False, True), (26, 1048576, "A | B", [24, 25], [], False, True),
 ]
 
 
@@ -167,7 +167,11 @@ TREES = {
                       fn("B", *[N("Parameter", f"p{k}", symbol=90 + k, type=FUNC) for k in range(4)], *[N("JsxExpression")(N("Identifier", f"p{k}", symbol=90 + k)) for k in range(4)], N("CallExpression")(N("Identifier", "p0", symbol=90)), line=2)],
     "no-db-origin-client-boundary": [fn("A", N("Parameter", "a", "parameter", 1, type=HOLDER)), fn("B", N("Parameter", "a", "parameter", 2, type=OBJ)), fn("C", N("Parameter", "a", "parameter", 3, type=OBJ), N("Parameter", "b", "parameter", 4, type=ROW))],
     "type-precision": [fn("f", N("Parameter", "a")(N("UnionType", line=1)(N("LiteralType", role="literal"), N("LiteralType", role="literal")))), N("InterfaceDeclaration", line=2)(N("IndexSignature", role="member"), N("PropertySignature", role="member")), N("InterfaceDeclaration", line=3)(N("PropertySignature", role="member")),
-                       N("Parameter", "xs", line=4, symbol=95)(N("ArrayType", role="type")), N("Parameter", "ys", line=5, symbol=96)(N("ArrayType", role="type")), N("PropertyAccessExpression", "ys.push")(N("Identifier", "ys", "expression", symbol=96))],
+                       N("Parameter", "xs", line=4, symbol=95)(N("ArrayType", role="type")), N("Parameter", "ys", line=5, symbol=96)(N("ArrayType", role="type")), N("PropertyAccessExpression", "ys.push")(N("Identifier", "ys", "expression", symbol=96)), *[N("VariableDeclarationList", "const x")(N("VariableDeclaration", "x", line=line)(N("TypeReference", name, "type", line, type=BARE)(*[N("TypeReference", "T", "typeArgument", type=t) for t in arguments]), N("ObjectLiteralExpression", "{…}", "initializer", type=given)(*[N("PropertyAssignment", f"p{k}", "property") for k in range(keys)])))
+                         for line, name, arguments, keys, given in [(10, "Partial", [WIDE], 3, OBJ), (11, "Partial", [SCHEMA], 2, OBJ), (12, "Record", [STR, NUM], 2, OBJ), (13, "Record", [NUM, NUM], 2, OBJ), (14, "Bare", [], 2, BARE), (15, "Bare", [], 1, BARE), (16, "Bare", [], 2, OBJ)]],
+                       *[binary("EqualsEqualsEqualsToken", N("TypeOfExpression", "typeof v")(N("Identifier", "v", "expression", type=t)), N("StringLiteral", name), line) for line, t, name in [(20, STR, "string"), (21, NUM, "string"), (22, NULLABLE, "string"), (23, FLAG, "boolean")]],
+                       binary("ExclamationEqualsToken", N("Identifier", "v", type=STR), N("NullKeyword", "null"), 24), binary("ExclamationEqualsToken", N("Identifier", "v", type=NULLABLE), N("NullKeyword", "null"), 25), binary("EqualsEqualsEqualsToken", N("Identifier", "v", type=ANY), N("UndefinedKeyword", "undefined"), 26),
+                       binary("InKeyword", N("StringLiteral", "a"), N("Identifier", "o", type=26), 27), binary("InKeyword", N("StringLiteral", "a"), N("Identifier", "o", type=23), 28)],
     "extract": [
         fn("load", STATEMENT("VariableStatement", 2, call(2, "from", N("Identifier", "users", symbol=31), chain=["db", "select", "from"], target=32), text='const a = db.from(users, "x", 12.5)'), STATEMENT("ExpressionStatement", 3, call(3, "helper", target=30), text="helper(`t`)"),
            STATEMENT("ReturnStatement", 4, fn("", call(4, "verifySession", target=33), kind="ArrowFunction"), text="return () => verifySession('q')"), line=1),

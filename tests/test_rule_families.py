@@ -17,7 +17,7 @@ FINDS = {
     "no-dynamic-sql": [1], "no-db-antipatterns": [1, 2], "missing-returning": [1], "cache-caller-count": [1], "effect-cleanup": [3], "input-validation": [1], "state-hooks-cluster": [2, 11, 15, 21], "performance": [1, 3, 5, 8, 11],
     "no-child-process": [1], "no-non-literal-fs-path": [1], "no-non-literal-regexp": [1], "no-non-literal-require": [1], "no-ssrf": [1], "no-unthrown-error": [1],
     "prefer-modern-api": [1, 2, 3, 4, 6], "prefer-optional-chain": [1, 3], "promise-all-opportunity": [3], "exhaustive-deps": [1], "narrow-param-type": [1, 4], "no-async-client-component": [1], "no-misused-promises": [1],
-    "no-redundant-zod-parse": [1], "unbranded-type-consistency": [1, 5, 7], "prefer-literal-union": [1], "zustand-patterns": [1, 2, 5, 9], "prop-drilling": [1], "no-db-origin-client-boundary": [1], "type-precision": [1, 2, 4],
+    "no-redundant-zod-parse": [1], "unbranded-type-consistency": [1, 5, 7], "prefer-literal-union": [1], "zustand-patterns": [1, 2, 5, 9], "prop-drilling": [1], "no-db-origin-client-boundary": [1], "type-precision": [1, 2, 4, 10, 12, 14, 20, 23, 24, 27],
 }
 
 @pytest.fixture(scope="module")
