@@ -427,7 +427,36 @@ def typescript(facts: Facts, options: dict) -> DataFrame:
     }))
 
 
-@CODE_RULES.rule("react", "quality", "Components with a common slip", sub_checks=3, needs=("nodes",), sub_ids={"component in a component": "nested-component"})
+STATE_HOOKS = ("useState", "useReducer", "useTransition", "useActionState")
+SAFE_VALUES = ("NewExpression", "TrueKeyword", "FalseKeyword", "NullKeyword")
+
+
+def _states_set_in_effects(facts: Facts, options: dict) -> DataFrame:
+    """Calls of a state's setter in an effect's own body, unless the effect runs once, or what is set is a constant or comes
+    from what the effect depends on."""
+    nodes, calls, named = facts["nodes"], facts["calls"], facts["node_symbols"]
+    hooks = relations.covered(calls, facts["symbols"].where("origin = 'pkg:react'").select(F.col("symbol_id").alias("target_symbol")), ["target_symbol"])
+    argument = lambda k, name: nodes.where((F.col("field") == "argument") & (F.col("ord") == k)).select("file", F.col("parent_id").alias("node_id"), F.col("node_id").alias(name), F.col("kind").alias(f"{name}_kind"))
+    held = nodes.select("file", F.col("parent_id").alias("list")).where("list IS NOT NULL").distinct().withColumn("filled", F.lit(True))
+    effects = hooks.where((F.col("name") == "useEffect") & F.col("file").endswith(".tsx")).select("file", "node_id").join(argument(0, "callback"), ["file", "node_id"]).join(argument(1, "list"), ["file", "node_id"], "left").join(held, ["file", "list"], "left")
+    once = (F.col("list_kind") == "ArrayLiteralExpression") & F.col("filled").isNull()
+    effects = effects.where(F.col("callback_kind").isin("ArrowFunction", "FunctionExpression") & ~F.coalesce(once, F.lit(False))).select("file", "callback", "list")
+    states = hooks.where(F.col("name").isin(*options.get("stateHooks", STATE_HOOKS))).select("file", "node_id").join(nodes.where("field = 'initializer'").select("file", "node_id", F.col("parent_id").alias("declared")), ["file", "node_id"])
+    second = nodes.where(kind("BindingElement") & (F.col("ord") == 1)).withColumn("declared", F.try_element_at("ancestors", F.lit(-2))["id"]).join(named, ["file", "node_id"])
+    setters = relations.covered(second, states, ["file", "declared"]).select("file", F.col("symbol_id").alias("target_symbol"))
+    sets = relations.covered(calls, setters, ["file", "target_symbol"]).select("file", "node_id", F.col("caller_id").alias("callback")).join(effects, ["file", "callback"]).join(argument(0, "given"), ["file", "node_id"], "left")
+    sets = sets.join(held.withColumnRenamed("list", "given"), ["file", "given"], "left")
+    empty = (F.col("given_kind") == "ArrayLiteralExpression") & F.col("filled").isNull()
+    sets = sets.where(~F.coalesce(F.col("given_kind").isin(*SAFE_VALUES) | empty, F.lit(False)))
+    names = nodes.where(kind("Identifier")).join(named, ["file", "node_id"])
+    chains = nodes.where(kind("PropertyAccessExpression")).select("file", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("list"))
+    wanted = names.select("file", F.col("parent_id").alias("list"), "symbol_id").unionByName(names.where("field = 'expression'").join(chains, ["file", "parent_id"]).select("file", "list", "symbol_id"))
+    uses = names.select("file", "symbol_id", F.explode(F.concat(F.transform("ancestors", lambda a: a["id"]), F.array("node_id"))).alias("given"))
+    guarded = sets.select("file", "node_id", "list", "given").join(uses, ["file", "given"]).join(wanted, ["file", "list", "symbol_id"], "left_semi").select("file", "node_id")
+    return nodes.join(relations.uncovered(sets, guarded, ["file", "node_id"]).select("file", "node_id"), ["file", "node_id"])
+
+
+@CODE_RULES.rule("react", "quality", "Components with a common slip", sub_checks=4, needs=("nodes", "calls", "symbols", "node_symbols"), sub_ids={"component in a component": "nested-component"})
 def react(facts: Facts, options: dict) -> DataFrame:
     nodes = facts["nodes"].where(F.col("file").endswith(".tsx"))
     rows = with_children(nodes, "expression", "argument", "modifier")
@@ -439,7 +468,7 @@ def react(facts: Facts, options: dict) -> DataFrame:
     names = nodes.where(component).select("file", F.col("node_id").alias("outer"))
     held = nodes.where(component).withColumn("outer", F.explode(F.transform("ancestors", lambda a: a["id"])))
     nested = relations.covered(held, names, ["file", "outer"]).dropDuplicates(["file", "node_id"])
-    return found(buttons, "button without a type").unionByName(found(relations.covered(effects, asynchronous, ["file", "id"]), "async effect")).unionByName(found(nested, "component in a component"))
+    return found(buttons, "button without a type").unionByName(found(relations.covered(effects, asynchronous, ["file", "id"]), "async effect")).unionByName(found(nested, "component in a component")).unionByName(found(_states_set_in_effects(facts, options), "state set in an effect"))
 
 
 @CODE_RULES.rule("rules-of-hooks", "quality", "Hooks that are not called each time", needs=("nodes",))

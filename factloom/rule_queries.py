@@ -343,7 +343,17 @@ BODIES: dict[str, str] = {
     AND NOT EXISTS (SELECT 1 FROM nodes a WHERE a.file = n.file AND a.parent_id = n.node_id AND a.kind = 'JsxAttribute' AND regexp_matches(a.text, '^type\\b'))
   UNION ALL SELECT n.file, n.line, n.col, 'async effect' FROM {children('expression', 'argument')} WHERE suffix(n.file, '.tsx') AND n.kind = 'CallExpression' AND k_expression.text = 'useEffect' AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = n.file AND a.parent_id = k_argument.node_id AND a.kind = 'AsyncKeyword')
   UNION ALL SELECT n.file, n.line, n.col, 'component in a component' FROM nodes n WHERE suffix(n.file, '.tsx') AND n.kind = 'FunctionDeclaration' AND regexp_matches(n.text, '^[A-Z]') AND EXISTS (
-    SELECT 1 FROM up u JOIN nodes o ON o.file = u.file AND o.node_id = u.anc WHERE u.file = n.file AND u.node_id = n.node_id AND o.kind = 'FunctionDeclaration' AND regexp_matches(o.text, '^[A-Z]'))""",
+    SELECT 1 FROM up u JOIN nodes o ON o.file = u.file AND o.node_id = u.anc WHERE u.file = n.file AND u.node_id = n.node_id AND o.kind = 'FunctionDeclaration' AND regexp_matches(o.text, '^[A-Z]'))
+  UNION ALL SELECT n.file, n.line, n.col, 'state set in an effect' FROM origin e JOIN nodes cb ON cb.file = e.file AND cb.parent_id = e.node_id AND cb.field = 'argument' AND cb.ord = 0 AND cb.kind IN ('ArrowFunction', 'FunctionExpression')
+    LEFT JOIN nodes l ON l.file = e.file AND l.parent_id = e.node_id AND l.field = 'argument' AND l.ord = 1 JOIN calls c ON c.file = e.file AND c.caller_id = cb.node_id JOIN nodes n ON n.file = c.file AND n.node_id = c.node_id
+    LEFT JOIN nodes g ON g.file = c.file AND g.parent_id = c.node_id AND g.field = 'argument' AND g.ord = 0
+    WHERE e.origin = 'pkg:react' AND e.name = 'useEffect' AND suffix(e.file, '.tsx') AND NOT (coalesce(l.kind, '') = 'ArrayLiteralExpression' AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.file = l.file AND x.parent_id = l.node_id))
+    AND EXISTS (SELECT 1 FROM origin s JOIN nodes si ON si.file = s.file AND si.node_id = s.node_id AND si.field = 'initializer' JOIN nodes pt ON pt.file = si.file AND pt.parent_id = si.parent_id AND pt.kind = 'ArrayBindingPattern' JOIN nodes b ON b.file = pt.file AND b.parent_id = pt.node_id AND b.kind = 'BindingElement' AND b.ord = 1
+      JOIN node_symbols y ON y.file = b.file AND y.node_id = b.node_id WHERE s.origin = 'pkg:react' AND s.name IN {_in(S.STATE_HOOKS)} AND s.file = c.file AND y.symbol_id = c.target_symbol)
+    AND coalesce(g.kind, '') NOT IN ('NewExpression', 'TrueKeyword', 'FalseKeyword', 'NullKeyword') AND NOT (coalesce(g.kind, '') = 'ArrayLiteralExpression' AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.file = g.file AND x.parent_id = g.node_id))
+    AND NOT EXISTS (SELECT 1 FROM nodes i JOIN node_symbols y ON y.file = i.file AND y.node_id = i.node_id JOIN node_symbols z ON z.file = y.file AND z.symbol_id = y.symbol_id JOIN nodes d ON d.file = z.file AND d.node_id = z.node_id AND d.kind = 'Identifier' LEFT JOIN nodes dp ON dp.file = d.file AND dp.node_id = d.parent_id
+      WHERE i.file = g.file AND i.kind = 'Identifier' AND (i.node_id = g.node_id OR EXISTS (SELECT 1 FROM up u WHERE u.file = i.file AND u.node_id = i.node_id AND u.anc = g.node_id))
+      AND (d.parent_id = l.node_id OR (dp.kind = 'PropertyAccessExpression' AND d.field = 'expression' AND dp.parent_id = l.node_id)))""",
     "rules-of-hooks": f"""WITH h AS (SELECT n.*, o.fn, (SELECT u.kind = 'CallExpression' FROM up u WHERE u.file = n.file AND u.node_id = n.node_id AND u.dist = o.fn_dist + 1) AS callback,
       {near(LOOPS)} AS looped, {near(['IfStatement', 'ConditionalExpression', 'SwitchStatement'])} AS guarded
     FROM {children('expression')} LEFT JOIN owner o ON o.file = n.file AND o.node_id = n.node_id WHERE n.kind = 'CallExpression' AND regexp_matches(k_expression.text, '^(React\\.)?use[A-Z]\\w*$')),

@@ -105,7 +105,10 @@ TREES = {
                    N("ElementAccessExpression", "o[k]", line=29)(N("Identifier", "o", "expression", type=BARE), N("Identifier", "k", "argument", type=STR)), N("ElementAccessExpression", "xs[k]", line=30)(N("Identifier", "xs", "expression", type=LIST), N("Identifier", "k", "argument", type=NUM)),
                    N("ElementAccessExpression", "w[k]", line=31)(N("Identifier", "w", "expression", type=WIDE), N("Identifier", "k", "argument", type=UNION)), N("ElementAccessExpression", "w[k]", line=32)(N("Identifier", "w", "expression", type=WIDE), N("Identifier", "k", "argument", type=STR)),
                    fn("outer", N("Parameter", "shade", "parameter"), fn("inner", N("VariableDeclaration", "shade", line=33), N("VariableDeclaration", "fresh", line=34)), fn("sister", N("VariableDeclaration", "fresh", line=35)))],
-    "react": [N("JsxSelfClosingElement", "<button />", line=1), N("JsxSelfClosingElement", "<button />", line=2)(N("JsxAttribute", "type")), call(3, "useEffect", fn("", N("AsyncKeyword"), kind="ArrowFunction")), call(4, "useEffect", fn("", kind="ArrowFunction")), fn("Outer", fn("Inner", line=6), fn("inner", line=7), line=5)],
+    "react": [N("JsxSelfClosingElement", "<button />", line=1), N("JsxSelfClosingElement", "<button />", line=2)(N("JsxAttribute", "type")), call(3, "useEffect", fn("", N("AsyncKeyword"), kind="ArrowFunction")), call(4, "useEffect", fn("", kind="ArrowFunction")), fn("Outer", fn("Inner", line=6), fn("inner", line=7), line=5), fn("Own", state("v", 180, "setV", 181), N("VariableDeclaration", "p", symbol=182),
+               call(10, "useEffect", fn("", call(11, "setV", I("q", 183), target=181), call(12, "setV", N("NullKeyword", "null"), target=181), call(13, "setV", N("ArrayLiteralExpression"), target=181), fn("", call(14, "setV", I("q", 183), target=181), kind="ArrowFunction"), kind="ArrowFunction"), target=REACT),
+               call(15, "useEffect", fn("", call(16, "setV", N("CallExpression")(I("p", 182)), target=181), call(17, "setV", N("ArrayLiteralExpression")(I("q", 183)), target=181), kind="ArrowFunction"), N("ArrayLiteralExpression")(I("p", 182)), target=REACT),
+               call(18, "useEffect", fn("", call(19, "setV", I("q", 183), target=181), kind="ArrowFunction"), N("ArrayLiteralExpression"), target=REACT), line=9)],
     "rules-of-hooks": [call(1, "useState"), fn("C", call(2, "useState"), N("ForStatement")(call(3, "useMemo")), N("IfStatement")(call(4, "useMemo")), call(5, "map", fn("", call(5, "useId"), kind="ArrowFunction")), N("IfStatement")(N("ReturnStatement")), call(6, "useRef"))],
     "no-re-export": [N("ExportDeclaration", line=1)(N("StringLiteral", "./a", "module")), N("ExportDeclaration", line=2), N("ExportDeclaration", line=3)(N("StringLiteral", "./a", "module"), N("ExportSpecifier", "a", "specifier", 4), N("ExportSpecifier", "b", "specifier", 5)), N("ExportDeclaration", line=6)(N("ExportSpecifier", "old", "specifier", 7, symbol=1), N("ExportSpecifier", "own", "specifier", 8, symbol=150))],
     "no-duplicated-constants": [N("VariableDeclaration", "LIMIT", line=1)(N("NumericLiteral", "5", "initializer")), N("VariableDeclaration", "LIMIT", line=2)(N("NumericLiteral", "6", "initializer"))],
