@@ -5,82 +5,17 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import remove, scratch, scratch_path, settings, shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none and all of it runs on this machine (tests), a temporary folder takes its place,
-    for the life of the session. On a cluster that is an error.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        conf = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-_scopes: list[str] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[str]:
-    """A folder for what is written inside, deleted at the end: results must be written elsewhere before."""
-    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    _scopes.append(folder)
-    try:
-        yield folder
-    finally:
-        _scopes.remove(folder)
-        remove(spark, folder)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{_scopes[-1] if _scopes else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    path = path or scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Settings of the session (with __ for dots) for as long as the block runs; actions must be inside."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 _shipped: set[str] = set()
 
 
