@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, written
+from .common import ready, remove, scratch_path, written
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -280,7 +280,8 @@ def similar_documents(
     spark = docs.sparkSession
     ready(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sets = written(_sets(source, n), "jaccard-sets")
+    sets_path = scratch_path(spark, "jaccard-sets")
+    sets = written(_sets(source, n), "jaccard-sets", sets_path)
     order = spark.sparkContext.broadcast(_order(sets.where("gram IS NOT NULL"), most_frequent))
     rows = sets.where("c1 IS NOT NULL").drop("gram", "times")
     sketches = [f"s{k}" for k in range(SKETCH)]
@@ -295,14 +296,15 @@ def similar_documents(
 
     by_gram = Window.partitionBy("gram")
 
-    def listed(prefixes: DataFrame, tag: str) -> DataFrame:
-        """(gram, doc, n, pos, times) of n-grams in two or more sets. Copies are one row before the first shuffle of a task's
-        rows and one row after it; lists are counted by partial sums and then joined, which Spark splits where a list is long."""
-        sets = written(prefixes.groupBy("gram", "c1", "n").agg(F.min("pos").alias("pos")), f"{tag}-sets")
-        times = sets.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
-        return sets.join(times, "gram").join(classes.select("c1", "n", F.col("node").alias("doc")), ["c1", "n"]).select("gram", "doc", "n", "pos", "times")
+    def listed(prefixes: DataFrame, tag: str) -> tuple[DataFrame, str]:
+        """(gram, doc, n, pos, times) of n-grams in two or more sets, and where it is. One shuffle, by n-gram, for both
+        counts and the merge of copies, which are a row a batch of texts."""
+        many = lambda rows: rows.withColumn("times", F.count("*").over(by_gram)).where("times > 1")
+        met = many(prefixes).groupBy("gram", "c1", "n").agg(F.min("pos").alias("pos"))  # most n-grams are in one place and go first
+        path = scratch_path(spark, tag)
+        return written(many(met).join(classes.select("c1", "n", F.col("node").alias("doc")), ["c1", "n"]).select("gram", "doc", "n", "pos", "times"), tag, path), path
 
-    lists = written(listed(_prefixes(source.where("doc IS NOT NULL"), order, n, percent), "jaccard-prefixes"), "jaccard-lists")
+    lists, first_path = listed(_prefixes(source.where("doc IS NOT NULL"), order, n, percent), "jaccard-lists")
     # Two sets that share n-grams of long lists only in their prefixes are both in such a list. So the sets in them
     # take prefixes in another order, with these n-grams last, and the long lists go.
     frequent = sets.where("gram IS NOT NULL").select("gram", "times").union(lists.where((F.col("times") >= long_list) & (F.col("gram") >= 0)).groupBy("gram").agg(F.max("times").alias("times")))
@@ -310,7 +312,10 @@ def similar_documents(
     crowded = lists.where(F.col("times") >= long_list).select(F.col("doc").alias("node")).distinct().join(classes.select("node", "rep"), "node").select(F.col("rep").alias("doc")).distinct()
     moved = source.join(_few(crowded, broadcast_rows), "doc", "left_semi").select("doc", "text")
     moved = _prefixes(moved, again, n, percent).withColumn("gram", F.xxhash64("gram", F.lit("again")))
-    lists = written(lists.where(F.col("times") < long_list).unionByName(listed(moved, "jaccard-moved")), "jaccard-lists-again")
+    longer, moved_path = listed(moved, "jaccard-moved")
+    lists = written(lists.where(F.col("times") < long_list).unionByName(longer), "jaccard-lists-again")
+    for path in (sets_path, first_path, moved_path):  # read for the last time
+        remove(spark, path)
 
     # the leader of a list: whose n-grams the most others have, for its size
     score = lists.groupBy("doc").agg((F.sum("times") / F.first("n")).alias("score"))
