@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.rules import Facts
 from . import graph, relations, similarity
 from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, with_parent
-from .syntax_rules import kind, operator, with_children
+from .syntax_rules import boolean_context, kind, operator, with_children
 
 # Type flags, as the public compiler interface has them.
 ANY, UNKNOWN, STRING, NUMBER, BOOLEAN, BIGINT = 1, 2, 4, 8, 16, 64
@@ -124,7 +124,7 @@ def no_base_to_string(facts: Facts, options: dict) -> DataFrame:
 
 @CODE_RULES.rule("prefer-nullish-coalescing", "quality", "Defaults by || where ?? is meant", needs=TYPED)
 def prefer_nullish_coalescing(facts: Facts, options: dict) -> DataFrame:
-    rows = operand_type(facts, ["left"], operator("BarBarToken") & (F.coalesce("field", F.lit("")) != "condition"))
+    rows = relations.uncovered(operand_type(facts, ["left"], operator("BarBarToken")), boolean_context(facts["nodes"]), ["file", "node_id"])
     return found(rows.where(has("left_type.flags", NULL | UNDEFINED) & ~has("left_type.flags", BOOLEANS)), "use ??")
 
 

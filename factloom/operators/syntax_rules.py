@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import Facts
-from . import relations
+from . import graph, relations
 from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, unreachable_code, with_parent
 
 # Fixed values of the rules.
@@ -193,6 +193,18 @@ def no_useless_code(facts: Facts, options: dict) -> DataFrame:
     })
 
 
+def boolean_context(nodes: DataFrame) -> DataFrame:
+    """(file, node_id) of nodes that stand in a condition: conditions themselves, and down from them through ||, &&, ! and
+    brackets. A mark a node, by a walk over these edges."""
+    rows = with_children(with_parent(nodes), "operator")
+    key = lambda node: F.concat_ws("#", F.col(node).cast("string"), "file")
+    roots = rows.where((F.col("field") == "condition") | ((F.col("field") == "expression") & F.col("parent_kind").isin("WhileStatement", "DoStatement"))).select(key("node_id").alias("node"))
+    through = rows.where(operator("BarBarToken", "AmpersandAmpersandToken") | kind("ParenthesizedExpression") | (kind("PrefixUnaryExpression") & (F.col("text").startswith("!") | F.coalesce(F.col("operator.kind") == "ExclamationToken", F.lit(False)))))
+    inner = nodes.where(F.col("field").isin("left", "right", "expression")).join(through.select("file", F.col("node_id").alias("parent_id")), ["file", "parent_id"])
+    marked = graph.reach(inner.select(key("parent_id").alias("src"), key("node_id").alias("dst")), roots)
+    return marked.select(F.substring_index("node", "#", 1).cast("long").alias("node_id"), F.expr("substring(node, instr(node, '#') + 1)").alias("file"))
+
+
 @CODE_RULES.rule("no-implicit-coercion", "quality", "Values turned into other types unsaid", sub_checks=4, needs=("nodes",), sub_ids={"number by +": "plus-coercion", "string by +": "string-concat", "boolean by !!": "double-negation"})
 def no_implicit_coercion(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(with_parent(facts["nodes"]), "left", "operator", "right", "expression")
@@ -202,8 +214,7 @@ def no_implicit_coercion(facts: Facts, options: dict) -> DataFrame:
         "loose equality": operator("EqualsEqualsToken", "ExclamationEqualsToken") & ~nullish("left") & ~nullish("right"),
         "number by +": kind("PrefixUnaryExpression") & (F.col("operator.kind") == "PlusToken") & (F.col("expression.kind") != "NumericLiteral"),
         "string by +": operator("PlusToken") & (F.coalesce(blank("left"), F.lit(False)) | F.coalesce(blank("right"), F.lit(False))),
-        "boolean by !!": kind("PrefixUnaryExpression") & F.col("text").startswith("!!") & (F.col("field") == "condition"),
-    })
+    }).unionByName(found(relations.covered(rows.where(kind("PrefixUnaryExpression") & F.col("text").startswith("!!")), boolean_context(facts["nodes"]), ["file", "node_id"]), "boolean by !!"))
 
 
 ARRAY_CALLBACKS = ("map", "filter", "find", "findIndex", "every", "some", "reduce", "flatMap")

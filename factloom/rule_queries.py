@@ -114,6 +114,11 @@ DERIVED = {
   SELECT c.file, c.node_id, p.node_id AS anc, p.kind, 1 AS dist FROM nodes c JOIN nodes p ON c.file = p.file AND c.parent_id = p.node_id
   UNION ALL
   SELECT u.file, u.node_id, p.node_id, p.kind, u.dist + 1 FROM up u JOIN nodes c ON u.file = c.file AND u.anc = c.node_id JOIN nodes p ON c.file = p.file AND c.parent_id = p.node_id)"""),
+    # what stands in a condition, also behind ||, &&, ! and brackets
+    "conditional": ("nodes", """conditional AS (
+  SELECT n.file, n.node_id FROM nodes n LEFT JOIN nodes p ON p.file = n.file AND p.node_id = n.parent_id WHERE n.field = 'condition' OR (n.field = 'expression' AND p.kind IN ('WhileStatement', 'DoStatement'))
+  UNION SELECT n.file, n.node_id FROM conditional c JOIN nodes p ON p.file = c.file AND p.node_id = c.node_id JOIN nodes n ON n.file = p.file AND n.parent_id = p.node_id AND n.field IN ('left', 'right', 'expression') LEFT JOIN nodes o ON o.file = p.file AND o.parent_id = p.node_id AND o.field = 'operator'
+  WHERE p.kind = 'ParenthesizedExpression' OR (p.kind = 'BinaryExpression' AND o.kind IN ('BarBarToken', 'AmpersandAmpersandToken')) OR (p.kind = 'PrefixUnaryExpression' AND (starts_with(p.text, '!') OR o.kind = 'ExclamationToken')))"""),
     "scope": ("up", f"scope AS (SELECT file, node_id, arg_min(anc, dist) AS sc FROM up WHERE kind IN {_in(syntax_rules.SCOPES)} GROUP BY ALL)"),
     "owner": ("up", f"owner AS (SELECT file, node_id, arg_min(anc, dist) AS fn, min(dist) AS fn_dist FROM up WHERE kind IN {_in(FUNCTIONS)} GROUP BY ALL)"),
     "typed": ("node_types types", """typed AS (
@@ -280,7 +285,7 @@ BODIES: dict[str, str] = {
         "loose equality": f"{binary('EqualsEqualsToken', 'ExclamationEqualsToken')} AND coalesce(k_left.kind, '') <> 'NullKeyword' AND coalesce(k_right.kind, '') <> 'NullKeyword' AND coalesce(k_left.text, '') <> 'undefined' AND coalesce(k_right.text, '') <> 'undefined'",
         "number by +": "n.kind = 'PrefixUnaryExpression' AND k_operator.kind = 'PlusToken' AND k_expression.kind <> 'NumericLiteral'",
         "string by +": f"""{binary('PlusToken')} AND ((k_left.kind = 'StringLiteral' AND k_left.text IN ('', '''''', '""')) OR (k_right.kind = 'StringLiteral' AND k_right.text IN ('', '''''', '""')))""",
-        "boolean by !!": "n.kind = 'PrefixUnaryExpression' AND starts_with(n.text, '!!') AND n.field = 'condition'"}),
+        "boolean by !!": "n.kind = 'PrefixUnaryExpression' AND starts_with(n.text, '!!') AND (n.file, n.node_id) IN (SELECT (file, node_id) FROM conditional)"}),
     "safety": checks(children("expression", "argument", "left", "operator", "right", "modifier") + PARENT, {
         "value returned by a constructor": f"n.kind = 'ReturnStatement' AND k_expression.kind IS NOT NULL AND {near(['Constructor'], ('FunctionDeclaration', 'FunctionExpression', 'ArrowFunction', 'MethodDeclaration'))}",
         "optional chain in arithmetic": f"{binary('PlusToken', 'MinusToken', 'AsteriskToken', 'SlashToken', 'PercentToken')} AND (contains(coalesce(k_left.text, ''), '?.') OR contains(coalesce(k_right.text, ''), '?.'))",
@@ -396,7 +401,7 @@ BODIES |= {
     "restrict-template-expr": f"SELECT n.file, n.line, n.col, 'no plain text form' FROM {EXPRESSION} WHERE n.kind = 'TemplateSpan' AND x.type_id IS NOT NULL AND x.flags & {T.STRINGS | T.NUMBERS | T.BOOLEANS | T.BIGINTS | T.ANY} = 0",
     "no-base-to-string": f"""SELECT n.file, n.line, n.col, 'no text of its own' FROM {TYPED_SIDES}{child('expression')}{type_of('k_expression', 'x')} WHERE (({binary('PlusToken')}) OR (n.kind = 'PropertyAccessExpression' AND suffix(n.text, '.toString')))
   AND (coalesce(NOT a.own_to_string AND a.flags & {T.OBJECT} <> 0, FALSE) OR coalesce(NOT b.own_to_string AND b.flags & {T.OBJECT} <> 0, FALSE) OR (n.kind <> 'BinaryExpression' AND coalesce(NOT x.own_to_string AND x.flags & {T.OBJECT} <> 0, FALSE)))""",
-    "prefer-nullish-coalescing": f"SELECT n.file, n.line, n.col, 'use ??' FROM {TYPED_SIDES} WHERE {binary('BarBarToken')} AND coalesce(n.field, '') <> 'condition' AND a.flags & {T.NULL | T.UNDEFINED} <> 0 AND a.flags & {T.BOOLEANS} = 0",
+    "prefer-nullish-coalescing": f"SELECT n.file, n.line, n.col, 'use ??' FROM {TYPED_SIDES} WHERE {binary('BarBarToken')} AND (n.file, n.node_id) NOT IN (SELECT (file, node_id) FROM conditional) AND a.flags & {T.NULL | T.UNDEFINED} <> 0 AND a.flags & {T.BOOLEANS} = 0",
     "unnecessary-type-assertion": f"SELECT n.file, n.line, n.col, 'it has this type' FROM {ASSERTED} AND {BOTH_WAYS}",
     "prefer-satisfies-over-as": f"SELECT n.file, n.line, n.col, 'use satisfies' FROM {ASSERTED} AND k_expression.kind IN ('ObjectLiteralExpression', 'ArrayLiteralExpression') AND NOT {BOTH_WAYS}",
     "exhaustive-switch": f"""SELECT n.file, n.line, n.col, 'cases are missing' FROM {EXPRESSION} JOIN types t ON t.type_id = x.type_id WHERE n.kind = 'SwitchStatement' AND len(t.members) > 1

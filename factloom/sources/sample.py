@@ -84,7 +84,7 @@ TREES = {
               N("Block")(declares(12, "v", N("NumericLiteral", "1"), 100), assigns(13, I("v", 100), N("NumericLiteral", "2")), declares(14, "w", N("NumericLiteral", "1"), 101), assigns(15, I("w", 101), N("CallExpression", "f(w)")(I("w", 101))), declares(16, "u", N("NumericLiteral", "1"), 102), assigns(17, I("z", 103), N("NumericLiteral", "2")))],
     "no-deprecated-api": [N("PropertyAccessExpression", "x.__proto__", line=1), N("PropertyAccessExpression", "arguments.callee", line=2), binary("EqualsToken", N("PropertyAccessExpression", "A.prototype"), "b", 3), N("PropertyAccessExpression", "x.proto", line=4)],
     "no-useless-code": [N("ComputedPropertyName", line=1)(N("StringLiteral", "a", "expression")), binary("PlusToken", N("StringLiteral", "a"), N("StringLiteral", "b"), 2), N("PropertyAssignment", line=3)(N("Identifier", "a", "name"), N("Identifier", "a", "initializer")), N("PropertyAssignment", line=4)(N("Identifier", "a", "name"), N("Identifier", "b", "initializer")), call(5, "call", N("Identifier", "o"), N("Identifier", "x"), chain=["o", "f", "call"]), call(6, "apply", N("Identifier", "p"), chain=["o", "f", "apply"])],
-    "no-implicit-coercion": [binary("EqualsEqualsToken", "a", "b", 1), binary("EqualsEqualsToken", "a", N("NullKeyword", "null"), 2), N("PrefixUnaryExpression", "+a", line=3)(N("PlusToken", role="operator"), N("Identifier", "a", "expression")), binary("PlusToken", N("StringLiteral", ""), "b", 4), N("PrefixUnaryExpression", "!!a", "condition", 5), N("PrefixUnaryExpression", "!!a", line=6)],
+    "no-implicit-coercion": [binary("EqualsEqualsToken", "a", "b", 1), binary("EqualsEqualsToken", "a", N("NullKeyword", "null"), 2), N("PrefixUnaryExpression", "+a", line=3)(N("PlusToken", role="operator"), N("Identifier", "a", "expression")), binary("PlusToken", N("StringLiteral", ""), "b", 4), N("PrefixUnaryExpression", "!!a", "condition", 5), N("PrefixUnaryExpression", "!!a", line=6), N("IfStatement")(binary("AmpersandAmpersandToken", N("PrefixUnaryExpression", "!!a", line=7), N("ParenthesizedExpression", "(!!b)")(N("PrefixUnaryExpression", "!!b", "expression", 8)), 7, role="condition")), N("IfStatement")(binary("PlusToken", N("PrefixUnaryExpression", "!!a", line=9), "b", 9, role="condition"))],
     "safety": [fn("", N("ReturnStatement", line=1)(N("Identifier", "x", "expression")), kind="Constructor"), binary("MinusToken", N("PropertyAccessExpression", "a?.b"), "c", 2), call(3, "parseInt", N("Identifier", "x")), call(4, "parseInt", N("Identifier", "x"), N("NumericLiteral", "10")), call(5, "reject", N("StringLiteral", "no")), N("NewExpression", line=6)(fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction", line=6)), N("NewExpression", line=10)(N("Identifier", "Promise", "expression"), fn("", STATEMENT("ReturnStatement", 11, N("Identifier", "x", "expression")), STATEMENT("ReturnStatement", 12), kind="ArrowFunction", role="argument")),
                N("VariableDeclarationList", "let outer")(N("VariableDeclaration", "outer", symbol=130)), fn("f", STATEMENT("ExpressionStatement", 13, binary("EqualsToken", I("outer", 130), N("AwaitExpression"), 13, role="expression"))), N("Block")(N("VariableDeclaration", "near", symbol=131), binary("EqualsToken", I("near", 131), N("AwaitExpression"), 14)),
                N("WhileStatement", line=15)(I("go", 132, "expression"), N("Block", role="statement")), N("WhileStatement", line=16)(I("go", 133, "expression"), N("Block", role="statement")(binary("EqualsToken", I("go", 133), "x", 16))),
@@ -123,7 +123,7 @@ TREES = {
     "restrict-plus-operands": [binary("PlusToken", N("Identifier", "a", type=a), N("Identifier", "b", type=b), k) for k, (a, b) in enumerate([(STR, NUM), (NUM, NUM), (BIG, NUM), (NUM, STR)], 1)],
     "restrict-template-expr": [N("TemplateSpan", line=k)(N("Identifier", "a", "expression", type=t)) for k, t in enumerate([OBJ, STR, ANY, NULLABLE], 1)],
     "no-base-to-string": [N("PropertyAccessExpression", "x.toString", line=k)(N("Identifier", "x", "expression", type=t)) for k, t in enumerate([BARE, OBJ], 1)] + [binary("PlusToken", N("Identifier", "a", type=STR), N("Identifier", "b", type=BARE), 3)],
-    "prefer-nullish-coalescing": [binary("BarBarToken", N("Identifier", "a", type=NULLABLE), "b", 1), binary("BarBarToken", N("Identifier", "a", type=NULLABLE), "b", 2, role="condition"), binary("BarBarToken", N("Identifier", "a", type=STR), "b", 3)],
+    "prefer-nullish-coalescing": [binary("BarBarToken", N("Identifier", "a", type=NULLABLE), "b", 1), binary("BarBarToken", N("Identifier", "a", type=NULLABLE), "b", 2, role="condition"), binary("BarBarToken", N("Identifier", "a", type=STR), "b", 3), N("WhileStatement")(N("PrefixUnaryExpression", "!(a || b)", "expression")(N("ParenthesizedExpression", "(a || b)", "expression")(binary("BarBarToken", N("Identifier", "a", type=NULLABLE), "b", 4, role="expression"))))],
     "unnecessary-type-assertion": [N("AsExpression", line=k, type=t)(N("Identifier", "a", "expression", type=STR)) for k, t in enumerate([STR, NUM, ANY], 1)],
     "prefer-satisfies-over-as": [N("AsExpression", line=1, type=BARE)(N("ObjectLiteralExpression", "{}", "expression", type=OBJ)), N("AsExpression", line=2, type=OBJ)(N("ObjectLiteralExpression", "{}", "expression", type=OBJ))],
     "exhaustive-switch": [N("SwitchStatement", line=k)(N("Identifier", "x", "expression", type=UNION), *[N("CaseClause")(N("StringLiteral", "", "expression", type=t)) for t in cases], *([N("DefaultClause")] if default else [])) for k, (cases, default) in enumerate([([MEMBER_A], False), ([MEMBER_A, MEMBER_B], False), ([MEMBER_A], True)], 1)],
