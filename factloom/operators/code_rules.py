@@ -27,7 +27,8 @@ NUMBER_PARENTS = ("EnumMember", "LiteralType", "ElementAccessExpression", "Varia
 WRAPPERS = ("AsExpression", "SatisfiesExpression", "ParenthesizedExpression")
 LITERALS = ("StringLiteral", "NoSubstitutionTemplateLiteral", "NumericLiteral", "PrefixUnaryExpression")
 TRIVIAL_NUMBERS = (0, 1, -1)
-DECLARATIONS = ("VariableDeclaration", "FunctionDeclaration", "Parameter", "ClassDeclaration", "PropertyDeclaration")
+DECLARATIONS = ("VariableDeclaration", "FunctionDeclaration", "Parameter", "BindingElement", "MethodDeclaration", "PropertyDeclaration")
+PROPERTIES = ("PropertyAssignment", "ShorthandPropertyAssignment")
 COMPLEXITY = {"cyclomatic": 15, "lines": 150, "max_nesting": 4, "statements": 25, "parameters": 4, "callbacks": 3}
 
 
@@ -82,9 +83,16 @@ def no_magic_numbers(facts: Facts, options: dict) -> DataFrame:
     return found(hit, F.concat(F.lit("number "), F.col("text")))
 
 
-@CODE_RULES.rule("no-underscore-prefix", "quality", "Declared names that begin with an underscore", needs=("nodes",))
+@CODE_RULES.rule("no-underscore-prefix", "quality", "Declared names that begin with an underscore", needs=("nodes", "contexts", "types"))
 def no_underscore_prefix(facts: Facts, options: dict) -> DataFrame:
-    return found(facts["nodes"].where(F.col("kind").isin(*DECLARATIONS) & F.col("text").rlike("^_.+")), F.concat(F.lit("name "), F.col("text")))
+    """Properties of a literal are left if the type that is expected there has them."""
+    named = facts["nodes"].where(F.col("text").rlike("^_.+"))
+    types = facts["types"]
+    props = types.select("type_id", F.explode("props").alias("p")).select("type_id", F.col("p.name").alias("text"))
+    inner = types.select("type_id", F.explode("members").alias("member")).join(props.withColumnRenamed("type_id", "member"), "member").select("type_id", "text")
+    expected = facts["contexts"].join(props.union(inner), "type_id").select("file", F.col("node_id").alias("parent_id"), "text")
+    free = relations.uncovered(named.where(F.col("kind").isin(*PROPERTIES)), expected, ["file", "parent_id", "text"])
+    return found(named.where(F.col("kind").isin(*DECLARATIONS)).unionByName(free), F.concat(F.lit("name "), F.col("text")))
 
 
 @CODE_RULES.rule("no-local-constants", "architecture", "Upper-case constants outside the constants folder", needs=("nodes",))

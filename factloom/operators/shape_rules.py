@@ -123,20 +123,40 @@ def narrow_param_type(facts: Facts, options: dict) -> DataFrame:
     return found(whole, "few of a wide type").unionByName(found(some, "few of a partial type"))
 
 
-@CODE_RULES.rule("no-async-client-component", "quality", "Client components that are async", needs=("nodes", "files", "exports"))
+def element_types(types: DataFrame) -> DataFrame:
+    """(type_id) of rendered elements, by their properties type, props and key, and of what holds such a type as a member
+    (unions, and promises, which list what they give)."""
+    own = types.where(F.size(F.array_intersect(F.transform("props", lambda p: p["name"]), F.array(F.lit("type"), F.lit("props"), F.lit("key")))) == 3).select("type_id")
+    held = types.select("type_id", F.explode("members").alias("member"))
+    one = relations.covered(held, own.withColumnRenamed("type_id", "member"), ["member"]).select("type_id")
+    two = relations.covered(held, one.withColumnRenamed("type_id", "member"), ["member"]).select("type_id")
+    return own.union(one).union(two).distinct()
+
+
+@CODE_RULES.rule("no-async-client-component", "quality", "Client components that are async", needs=("nodes", "files", "exports", "node_types", "types"))
 def no_async_client_component(facts: Facts, options: dict) -> DataFrame:
+    """Exported async functions that return elements, declared or as a value."""
+    nodes = facts["nodes"]
     client = facts["files"].where("directive = 'use client'").select("file")
-    rows = with_children(facts["nodes"], "modifier").where(kind("FunctionDeclaration") & F.col("file").endswith(".tsx") & F.col("text").rlike("^[A-Z]"))
-    asynchronous = facts["nodes"].where(kind("AsyncKeyword") & (F.col("field") == "modifier")).select("file", F.col("parent_id").alias("node_id"))
-    exported = relations.covered(relations.covered(rows, client, ["file"]), facts["exports"].select("file", F.col("name").alias("text")), ["file", "text"])
-    return found(relations.covered(exported, asynchronous, ["file", "node_id"]), "async component")
+    asynchronous = nodes.where(kind("AsyncKeyword") & (F.col("field") == "modifier")).select("file", F.col("parent_id").alias("function"))
+    functions = relations.covered(relations.covered(asynchronous.join(facts["node_types"].withColumnRenamed("node_id", "function"), ["file", "function"]), element_types(facts["types"]), ["type_id"]), client, ["file"]).select("file", "function")
+    rows = with_children(nodes, "initializer").where(F.col("file").endswith(".tsx"))
+    declared = rows.where(kind("FunctionDeclaration")).withColumn("function", F.col("node_id")).unionByName(
+        rows.where(kind("VariableDeclaration") & F.col("initializer.kind").isin("ArrowFunction", "FunctionExpression")).withColumn("function", F.col("initializer.id")))
+    exported = relations.covered(declared, facts["exports"].select("file", F.col("name").alias("text")), ["file", "text"])
+    return found(relations.covered(exported, functions, ["file", "function"]), "async component")
 
 
-@CODE_RULES.rule("no-misused-promises", "quality", "Async functions where nobody waits", needs=("nodes", "calls"))
+@CODE_RULES.rule("no-misused-promises", "quality", "Async functions where nobody waits", needs=("nodes", "calls", "symbols", "contexts", "types"))
 def no_misused_promises(facts: Facts, options: dict) -> DataFrame:
+    """First arguments whose place expects a function without a result, and those of effects."""
     asynchronous = facts["nodes"].where(kind("AsyncKeyword") & (F.col("field") == "modifier")).select("file", F.col("parent_id").alias("argument"))
-    calls = first_argument(facts, facts["calls"].where(F.col("name").isin(*options.get("voidCallbacks", ("useEffect", "forEach")))))
-    return found(relations.covered(calls, asynchronous, ["file", "argument"]), F.concat(F.lit("not awaited by "), F.col("name")))
+    calls = first_argument(facts, origins(facts)).where(F.col("argument_kind").isin("ArrowFunction", "FunctionExpression"))
+    calls = relations.covered(calls, asynchronous, ["file", "argument"])
+    void = relations.covered(facts["contexts"], facts["types"].where(F.col("shape").rlike(r"=>\s*void$")), ["type_id"]).select("file", F.col("node_id").alias("argument"))
+    effects = calls.where((F.col("name") == "useEffect") & F.col("origin").startswith("pkg:"))
+    others = relations.uncovered(relations.covered(calls, void, ["file", "argument"]), effects.select("file", "node_id"), ["file", "node_id"])
+    return found(effects.unionByName(others), F.concat(F.lit("not awaited by "), F.col("name")))
 
 
 @CODE_RULES.rule("no-page-params-unsafe-parse", "security", "Address parameters of pages parsed without a catch", needs=FLOWS)
@@ -178,10 +198,32 @@ def unbranded_type_consistency(facts: Facts, options: dict) -> DataFrame:
     return ids.unionByName(found(containers, "branded key of a container")).unionByName(found(records, "branded key of a record"))
 
 
-@CODE_RULES.rule("prefer-literal-union", "quality", "Plain strings compared with literals", needs=TYPED)
+@CODE_RULES.rule("prefer-literal-union", "quality", "Plain strings compared with literals", needs=(*TYPED, "node_symbols", "symbols", "contexts"))
 def prefer_literal_union(facts: Facts, options: dict) -> DataFrame:
-    rows = operand_type(facts, ["left", "right"], operator("EqualsEqualsEqualsToken", "ExclamationEqualsEqualsToken"))
-    return found(rows.where((F.col("left_type.flags") == STRING) & (F.col("right.kind") == "StringLiteral") & ~F.col("right.text").isin("", "''", '""')), "make it a union of literals")
+    """Left are names from elsewhere, and guards in whose branch the value goes where literals are expected: as an
+    argument, or as the result of a function that returns such."""
+    nodes, types = facts["nodes"], facts["types"]
+    rows = with_children(nodes, "left", "operator", "right").where(operator("EqualsEqualsEqualsToken", "ExclamationEqualsEqualsToken") & ((F.col("left.kind") == "StringLiteral") != (F.col("right.kind") == "StringLiteral")))
+    on_left = F.col("left.kind") == "StringLiteral"
+    rows = rows.withColumns({"literal": F.when(on_left, F.col("left")).otherwise(F.col("right")), "operand": F.when(on_left, F.col("right")).otherwise(F.col("left"))})
+    plain = types.where((F.col("flags") == STRING) & (F.size("members") == 0)).select("type_id")
+    strings = relations.covered(facts["node_types"], plain, ["type_id"]).select("file", F.col("node_id").alias("operand_id"))
+    rows = relations.covered(rows.where(~F.col("literal.text").isin("", "''", '""')).withColumn("operand_id", F.col("operand.id")), strings, ["file", "operand_id"])
+    foreign = relations.covered(facts["node_symbols"], facts["symbols"].where((F.col("origin") == "lib") | F.col("origin").startswith("pkg:")), ["symbol_id"]).select("file", F.col("node_id").alias("operand_id"))
+    rows = relations.uncovered(rows, foreign, ["file", "operand_id"])
+    # identifiers that go where literals are expected, with the branches around them
+    own = types.where(F.col("flags").bitwiseAND(F.lit(STRING_LITERAL)) != 0).select("type_id")
+    inner = relations.covered(types.select("type_id", F.explode("members").alias("member")), own.withColumnRenamed("type_id", "member"), ["member"]).select("type_id")
+    narrow = own.union(inner).distinct()
+    given = relations.covered(nodes.where(kind("Identifier") & (F.col("field") == "argument")), relations.covered(facts["contexts"], narrow, ["type_id"]), ["file", "node_id"])
+    returning = relations.covered(facts["node_types"], narrow, ["type_id"]).select("file", F.col("node_id").alias("owner"))
+    returned = relations.covered(with_parent(nodes).where(kind("Identifier") & (F.col("field") == "expression") & (F.col("parent_kind") == "ReturnStatement")).withColumn("owner", owner_of()), returning, ["file", "owner"])
+    fed = given.select("file", "node_id", "ancestors").unionByName(returned.select("file", "node_id", "ancestors")).join(facts["node_symbols"], ["file", "node_id"]).select("file", "symbol_id", F.explode("ancestors").alias("a")).select("file", "symbol_id", F.col("a.id").alias("branch"))
+    branches = nodes.where(F.col("field") == "then").select("file", F.col("parent_id").alias("guard"), F.col("node_id").alias("branch"))
+    nearest = F.try_element_at(F.filter("ancestors", lambda a: a["kind"].isin("IfStatement", *FUNCTIONS)), F.lit(-1))
+    guarded = rows.where((F.col("operand.kind") == "Identifier") & (nearest["kind"] == "IfStatement")).withColumn("guard", nearest["id"]).join(facts["node_symbols"].select("file", F.col("node_id").alias("operand_id"), "symbol_id"), ["file", "operand_id"])
+    narrowed = relations.covered(guarded.join(branches, ["file", "guard"]), fed, ["file", "symbol_id", "branch"]).select("file", "node_id")
+    return found(relations.uncovered(rows, narrowed, ["file", "node_id"]), "make it a union of literals")
 
 
 @CODE_RULES.rule("zustand-patterns", "quality", "Store selectors that render too often, and effects that read a store once", sub_checks=3, needs=("nodes",), sub_ids={"fields without shallow": "multi-field-selector-without-shallow"})

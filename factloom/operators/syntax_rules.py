@@ -337,14 +337,25 @@ def safety(facts: Facts, options: dict) -> DataFrame:
     }))
 
 
-@CODE_RULES.rule("security", "security", "Markup and addresses from values", sub_checks=3, needs=("nodes",))
+@CODE_RULES.rule("security", "security", "Markup, addresses and keys from values", sub_checks=4, needs=("nodes", "node_types", "types"))
 def security(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(facts["nodes"], "expression", "initializer")
-    return each(rows, {
+    nodes, types = facts["nodes"], facts["types"]
+    # keys of objects that have no index signature, which may be any text
+    accesses = with_children(nodes, "expression", "argument").where(kind("ElementAccessExpression") & (F.col("field") == "left"))
+    accesses = accesses.where(~F.col("argument.kind").isin("StringLiteral", "NumericLiteral", "NoSubstitutionTemplateLiteral", "PropertyAccessExpression")).withColumns({"object": F.col("expression.id"), "key": F.col("argument.id")})
+    indexed = relations.covered(facts["node_types"], types.where(F.col("shape").rlike(COLLECTIONS) | F.col("shape").rlike(INDEXED)), ["type_id"]).select("file", F.col("node_id").alias("object"))
+    parts = types.select("type_id", F.explode("members").alias("member")).join(types.select(F.col("type_id").alias("member"), (F.col("flags").bitwiseAND(F.lit(128 | 256)) != 0).alias("literal")), "member").groupBy("type_id").agg(F.bool_and("literal").alias("all")).where("all").select("type_id")
+    fixed = types.where(F.col("flags").bitwiseAND(F.lit(128 | 256)) != 0).select("type_id").union(parts)
+    fixed = relations.covered(facts["node_types"], fixed, ["type_id"]).select("file", F.col("node_id").alias("key"))
+    names = relations.covered(accesses.where(F.col("argument.kind") == "Identifier"), fixed, ["file", "key"]).select("file", "node_id")
+    loose = relations.uncovered(relations.uncovered(accesses, indexed, ["file", "object"]), names, ["file", "node_id"]).select("file", F.col("parent_id").alias("node_id"))
+    assigned = with_children(nodes, "operator").where(operator(*ASSIGNMENTS))
+    return found(relations.covered(assigned, loose, ["file", "node_id"]), "key from a value").unionByName(each(rows, {
         "markup from a value": kind("JsxAttribute") & F.col("text").startswith("dangerouslySetInnerHTML") & (F.coalesce(F.col("initializer.kind"), F.lit("")) != "StringLiteral"),
         "address that runs code": kind("JsxAttribute") & F.col("text").rlike(r"^(href|src|action|formAction)\b") & F.col("initializer.text").rlike(DANGEROUS_URL),
         "document.write": kind("CallExpression") & F.col("expression.text").rlike(r"^document\.write(ln)?$"),
-    })
+    }))
 
 
 @CODE_RULES.rule("simplification", "quality", "Statements that can go", sub_checks=8, needs=("nodes", "node_symbols"))
@@ -384,6 +395,7 @@ def syntax(facts: Facts, options: dict) -> DataFrame:
 
 
 COLLECTIONS = r"\[\]$|^\[|^(readonly )?(Array|ReadonlyArray|Map|Set|WeakMap|WeakSet|ReadonlyMap|ReadonlySet)<"
+INDEXED = r"\[\w+: (string|number)\]|^Record<"
 SCOPES = ("FunctionDeclaration", "ArrowFunction", "FunctionExpression", "MethodDeclaration", "SourceFile")
 
 

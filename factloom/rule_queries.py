@@ -74,6 +74,7 @@ COLUMNS = {
     "refs": {"def_file": "VARCHAR", "name": "VARCHAR", "use_file": "VARCHAR"},
     "import_edges": {"src": "VARCHAR", "dst": "VARCHAR", "specifier": "VARCHAR", "line": "INTEGER", "type_only": "BOOLEAN", "is_dynamic": "BOOLEAN", "external": "BOOLEAN"},
     "node_types": {"file": "VARCHAR", "node_id": "BIGINT", "type_id": "BIGINT"},
+    "contexts": {"file": "VARCHAR", "node_id": "BIGINT", "type_id": "BIGINT"},
     "node_symbols": {"file": "VARCHAR", "node_id": "BIGINT", "symbol_id": "BIGINT"},
     "class_bases": {"symbol_id": "BIGINT", "base_id": "BIGINT"},
     "blocks": {"file": "VARCHAR", "name": "VARCHAR", "line": "INTEGER", "stmt_count": "INTEGER", "tokens": "VARCHAR[]"},
@@ -191,7 +192,9 @@ BODIES: dict[str, str] = {
         "deletion of a name": "n.kind = 'Identifier' AND p.kind = 'DeleteExpression'"}) + f""" UNION ALL SELECT n.file, n.line, n.col, 'global assigned: ' || s.name FROM {SIDES} JOIN node_symbols y ON y.file = n.file AND y.node_id = k_left.node_id JOIN symbols s ON s.symbol_id = y.symbol_id
   WHERE {binary('EqualsToken')} AND k_left.kind = 'Identifier' AND s.origin = 'lib'""",
     "no-magic-numbers": f"SELECT n.file, n.line, n.col, 'number ' || n.text FROM nodes n{PARENT} WHERE n.kind = 'NumericLiteral' AND TRY_CAST(n.text AS DOUBLE) NOT IN (0, 1, 2) AND coalesce(p.kind, '') NOT IN {_in((*C.NUMBER_PARENTS, 'NumericLiteral'))}",
-    "no-underscore-prefix": f"SELECT file, line, col, 'name ' || text FROM nodes WHERE kind IN {_in(C.DECLARATIONS)} AND regexp_matches(text, '^_.+')",
+    "no-underscore-prefix": f"""SELECT file, line, col, 'name ' || text FROM nodes WHERE kind IN {_in(C.DECLARATIONS)} AND regexp_matches(text, '^_.+')
+  UNION ALL SELECT n.file, n.line, n.col, 'name ' || n.text FROM nodes n WHERE n.kind IN {_in(C.PROPERTIES)} AND regexp_matches(n.text, '^_.+') AND NOT EXISTS (SELECT 1 FROM contexts x JOIN types t ON t.type_id = x.type_id JOIN types m ON m.type_id = t.type_id OR list_contains(t.members, m.type_id)
+    WHERE x.file = n.file AND x.node_id = n.parent_id AND len(list_filter(m.props, lambda q: q.name = n.text)) > 0)""",
     "no-local-constants": f"""SELECT n.file, n.line, n.col, 'constant ' || n.text FROM nodes n WHERE n.kind = 'VariableDeclaration' AND regexp_matches(n.text, '^[A-Z][A-Z0-9_]*$') AND NOT contains(n.file, '/constants/')
   AND EXISTS (SELECT 1 FROM nodes l WHERE l.file = n.file AND l.kind IN {_in(C.LITERALS)} AND l.text <> '' AND (l.kind <> 'PrefixUnaryExpression' OR regexp_matches(l.text, '^-[0-9.]+$'))
     AND NOT (l.kind IN ('NumericLiteral', 'PrefixUnaryExpression') AND coalesce(TRY_CAST(l.text AS DOUBLE) IN (0, 1, -1), FALSE))
@@ -303,7 +306,11 @@ BODIES: dict[str, str] = {
     "security": checks(children("expression", "initializer"), {
         "markup from a value": "n.kind = 'JsxAttribute' AND starts_with(n.text, 'dangerouslySetInnerHTML') AND coalesce(k_initializer.kind, '') <> 'StringLiteral'",
         "address that runs code": "n.kind = 'JsxAttribute' AND regexp_matches(n.text, '^(href|src|action|formAction)\\b') AND regexp_matches(k_initializer.text, '(?i)^\\s*(javascript|data|vbscript):')",
-        "document.write": "n.kind = 'CallExpression' AND k_expression.text IN ('document.write', 'document.writeln')"}),
+        "document.write": "n.kind = 'CallExpression' AND k_expression.text IN ('document.write', 'document.writeln')"}) + f"""
+  UNION ALL SELECT n.file, n.line, n.col, 'key from a value' FROM {SIDES} JOIN nodes a ON a.file = n.file AND a.parent_id = k_left.node_id AND a.field = 'argument' AND a.ord = 0 JOIN nodes o ON o.file = n.file AND o.parent_id = k_left.node_id AND o.field = 'expression' AND o.ord = 0
+    WHERE {binary(*S.ASSIGNMENTS)} AND k_left.kind = 'ElementAccessExpression' AND a.kind NOT IN ('StringLiteral', 'NumericLiteral', 'NoSubstitutionTemplateLiteral', 'PropertyAccessExpression')
+    AND NOT EXISTS (SELECT 1 FROM node_types nt JOIN types t ON t.type_id = nt.type_id WHERE nt.file = o.file AND nt.node_id = o.node_id AND (suffix(t.shape, '[]') OR starts_with(t.shape, '[') OR starts_with(t.shape, 'Record<') OR regexp_matches(t.shape, '^(readonly )?(Array|ReadonlyArray|Map|Set|WeakMap|WeakSet|ReadonlyMap|ReadonlySet)<|\\[\\w+: (string|number)\\]')))
+    AND NOT (a.kind = 'Identifier' AND EXISTS (SELECT 1 FROM node_types nt JOIN types t ON t.type_id = nt.type_id WHERE nt.file = a.file AND nt.node_id = a.node_id AND (t.flags & 384 <> 0 OR (len(t.members) > 0 AND NOT EXISTS (SELECT 1 FROM types m WHERE list_contains(t.members, m.type_id) AND m.flags & 384 = 0)))))""",
     "simplification": f"""WITH b AS (SELECT file, parent_id, count(*) AS held, arg_max(kind, ord) AS last_kind, max(ord) AS last_ord FROM nodes WHERE field = 'statement' GROUP BY ALL)
   SELECT file, line, col, unnest(list_filter([CASE WHEN kind = 'IfStatement' AND then_last IN {_in(S.EXITS)} AND other IS NOT NULL THEN 'else after an exit' END,
     CASE WHEN kind = 'ContinueStatement' AND field = 'statement' AND ord = last_ord AND parent_kind IN {_in(LOOPS)} THEN 'continue at the end' END,
@@ -495,9 +502,12 @@ BODIES |= {
     JOIN types t ON t.type_id = nt.type_id WHERE q.used <= 5 AND q.used < len(t.props))
   SELECT file, line, col, 'few of a partial type' FROM fewer UNION ALL SELECT q.file, q.line, q.col, 'few of a wide type' FROM q JOIN node_types nt ON nt.file = q.file AND nt.node_id = q.node_id JOIN types t ON t.type_id = nt.type_id WHERE len(t.props) >= 10 AND q.used < 0.25 * len(t.props)
     AND NOT EXISTS (SELECT 1 FROM fewer f WHERE f.file = q.file AND f.node_id = q.node_id)""",
-    "no-async-client-component": """SELECT n.file, n.line, n.col, 'async component' FROM nodes n WHERE n.kind = 'FunctionDeclaration' AND suffix(n.file, '.tsx') AND regexp_matches(n.text, '^[A-Z]') AND n.file IN (SELECT file FROM files WHERE directive = 'use client')
-  AND EXISTS (SELECT 1 FROM exports x WHERE x.file = n.file AND x.name = n.text) AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = n.file AND a.parent_id = n.node_id AND a.kind = 'AsyncKeyword' AND a.field = 'modifier')""",
-    "no-misused-promises": f"SELECT n.file, n.line, n.col, 'not awaited by ' || c.name FROM {ARGUMENT} WHERE c.name IN ('useEffect', 'forEach') AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = g.file AND a.parent_id = g.node_id AND a.kind = 'AsyncKeyword' AND a.field = 'modifier')",
+    "no-async-client-component": """WITH RECURSIVE e AS (SELECT type_id, 0 AS k FROM types WHERE len(list_filter(props, lambda q: q.name IN ('type', 'props', 'key'))) = 3 UNION SELECT t.type_id, e.k + 1 FROM e JOIN types t ON list_contains(t.members, e.type_id) WHERE e.k < 2),
+  d AS (SELECT n.*, n.node_id AS fn FROM nodes n WHERE n.kind = 'FunctionDeclaration' UNION ALL SELECT n.*, i.node_id FROM nodes n JOIN nodes i ON i.file = n.file AND i.parent_id = n.node_id AND i.field = 'initializer' AND i.kind IN ('ArrowFunction', 'FunctionExpression') WHERE n.kind = 'VariableDeclaration')
+  SELECT d.file, d.line, d.col, 'async component' FROM d WHERE suffix(d.file, '.tsx') AND d.file IN (SELECT file FROM files WHERE directive = 'use client') AND EXISTS (SELECT 1 FROM exports x WHERE x.file = d.file AND x.name = d.text)
+  AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = d.file AND a.parent_id = d.fn AND a.kind = 'AsyncKeyword' AND a.field = 'modifier') AND EXISTS (SELECT 1 FROM node_types nt JOIN e ON e.type_id = nt.type_id WHERE nt.file = d.file AND nt.node_id = d.fn)""",
+    "no-misused-promises": f"""SELECT n.file, n.line, n.col, 'not awaited by ' || c.name FROM {ARGUMENT} WHERE g.kind IN ('ArrowFunction', 'FunctionExpression') AND EXISTS (SELECT 1 FROM nodes a WHERE a.file = g.file AND a.parent_id = g.node_id AND a.kind = 'AsyncKeyword' AND a.field = 'modifier')
+  AND ((c.name = 'useEffect' AND starts_with(c.origin, 'pkg:')) OR EXISTS (SELECT 1 FROM contexts x JOIN types t ON t.type_id = x.type_id WHERE x.file = g.file AND x.node_id = g.node_id AND regexp_matches(t.shape, '=>\\s*void$')))""",
     "no-page-params-unsafe-parse": f"""SELECT n.file, n.line, n.col, 'use safeParse' FROM {ARGUMENT} WHERE c.name = 'parse' AND regexp_matches(c.file, 'page\\.tsx$') AND EXISTS (SELECT 1 FROM nodes q WHERE q.file = g.file AND q.kind = 'Parameter' AND regexp_matches(q.text, '\\b(params|searchParams)\\b')
     AND (q.node_id = g.node_id OR q.node_id IN (SELECT f.origin_node FROM flow f WHERE f.file = g.file AND f.node = g.node_id)))""",
     "no-redundant-zod-parse": f"""SELECT n.file, n.line, n.col, 'it has this type' FROM {ARGUMENT}{type_of('g', 'x')}{type_of('n', 'y')} WHERE c.name IN ('parse', 'safeParse') AND NOT list_contains(c.chain, 'catch') AND c.chain[1] <> 'JSON' AND c.file NOT IN {SERVER}
@@ -509,7 +519,18 @@ BODIES |= {
     WHERE c.name IN {_in(H.CONTAINER_KEY_METHODS)} AND len(c.chain) > 1 AND EXISTS (SELECT 1 FROM nodes r JOIN node_types nt ON nt.file = r.file AND nt.node_id = r.node_id JOIN types t ON t.type_id = nt.type_id WHERE r.file = n.file AND r.parent_id = n.node_id AND r.field = 'receiver' AND regexp_matches(t.shape, '^(Map|Set)<string[,>]'))
   UNION ALL SELECT n.file, n.line, n.col, 'branded key of a record' FROM {children('expression', 'argument')} JOIN b ON b.file = n.file AND b.node_id = k_argument.node_id JOIN node_types nt ON nt.file = n.file AND nt.node_id = k_expression.node_id JOIN types t ON t.type_id = nt.type_id
     WHERE n.kind = 'ElementAccessExpression' AND (regexp_matches(t.shape, '\\[\\w+: string\\]') OR starts_with(t.shape, 'Record<string,'))""",
-    "prefer-literal-union": f"""SELECT n.file, n.line, n.col, 'make it a union of literals' FROM {TYPED_SIDES} WHERE {binary('EqualsEqualsEqualsToken', 'ExclamationEqualsEqualsToken')} AND a.flags = {T.STRING} AND k_right.kind = 'StringLiteral' AND k_right.text NOT IN ('', '''''', '""')""",
+    "prefer-literal-union": f"""WITH narrow AS (SELECT t.type_id FROM types t WHERE t.flags & 128 <> 0 OR EXISTS (SELECT 1 FROM types m WHERE list_contains(t.members, m.type_id) AND m.flags & 128 <> 0)),
+  q AS (SELECT n.file, n.node_id, n.line, n.col, CASE WHEN k_left.kind = 'StringLiteral' THEN k_right.node_id ELSE k_left.node_id END AS operand, CASE WHEN k_left.kind = 'StringLiteral' THEN k_left.text ELSE k_right.text END AS literal
+    FROM {SIDES} WHERE {binary('EqualsEqualsEqualsToken', 'ExclamationEqualsEqualsToken')} AND (k_left.kind = 'StringLiteral') <> (k_right.kind = 'StringLiteral')),
+  fed AS (SELECT i.file, i.node_id, y.symbol_id FROM nodes i JOIN node_symbols y ON y.file = i.file AND y.node_id = i.node_id LEFT JOIN nodes p ON p.file = i.file AND p.node_id = i.parent_id LEFT JOIN owner o ON o.file = i.file AND o.node_id = i.node_id WHERE i.kind = 'Identifier'
+    AND ((i.field = 'argument' AND EXISTS (SELECT 1 FROM contexts x WHERE x.file = i.file AND x.node_id = i.node_id AND x.type_id IN (SELECT type_id FROM narrow)))
+      OR (i.field = 'expression' AND p.kind = 'ReturnStatement' AND EXISTS (SELECT 1 FROM node_types r WHERE r.file = i.file AND r.node_id = o.fn AND r.type_id IN (SELECT type_id FROM narrow))))),
+  guard AS (SELECT u.file, u.node_id, arg_min(u.anc, u.dist) AS g, arg_min(u.kind, u.dist) AS kind FROM up u WHERE u.kind = 'IfStatement' OR u.kind IN {_in(FUNCTIONS)} GROUP BY ALL)
+  SELECT q.file, q.line, q.col, 'make it a union of literals' FROM q JOIN nodes o ON o.file = q.file AND o.node_id = q.operand WHERE q.literal NOT IN ('', '''''', '""')
+  AND EXISTS (SELECT 1 FROM node_types nt JOIN types t ON t.type_id = nt.type_id WHERE nt.file = q.file AND nt.node_id = q.operand AND t.flags = {T.STRING} AND len(t.members) = 0)
+  AND NOT EXISTS (SELECT 1 FROM node_symbols y JOIN symbols s ON s.symbol_id = y.symbol_id WHERE y.file = q.file AND y.node_id = q.operand AND (s.origin = 'lib' OR starts_with(s.origin, 'pkg:')))
+  AND NOT EXISTS (SELECT 1 FROM guard w JOIN nodes t ON t.file = w.file AND t.parent_id = w.g AND t.field = 'then' JOIN node_symbols y ON y.file = q.file AND y.node_id = q.operand JOIN fed f ON f.file = w.file AND f.symbol_id = y.symbol_id JOIN up u ON u.file = f.file AND u.node_id = f.node_id AND u.anc = t.node_id
+    WHERE w.file = q.file AND w.node_id = q.node_id AND w.kind = 'IfStatement' AND o.kind = 'Identifier')""",
     "zustand-patterns": checks(children("expression", "argument"), {
         "shallow for one field": "n.kind = 'CallExpression' AND k_expression.text = 'useShallow' AND regexp_matches(k_argument.text, '^\\(?\\w+\\)?\\s*=>\\s*\\w+\\.\\w+$')",
         "fields without shallow": "n.kind = 'CallExpression' AND regexp_matches(k_expression.text, '^use\\w*Store$') AND k_argument.kind = 'ArrowFunction' AND len(string_split(regexp_extract(k_argument.text, '=>\\s*\\(\\{([^}]*)\\}', 1), ',')) >= 2"}) + f"""

@@ -4,7 +4,7 @@ A node's field is its role in its parent (left, right, operator, expression, con
 branch, else, member, name, type), ord its place among those of the role; its text is a name, a literal's value, or the
 source. A call's chain holds the names from the root to the called one. Edges of def_use run also from the parts of an
 expression to the whole. Types of unions and intersections list their members;
-a function's own type in node_types is what it returns.
+a function's own type in node_types is what it returns. contexts has the type that a node's place expects.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ SCHEMAS = {
     "exports": "file string, name string, symbol string",
     "import_edges": "src string, dst string, specifier string, line int, type_only boolean, is_dynamic boolean, external boolean",
     "node_types": "file string, node_id long, type_id long",
+    "contexts": "file string, node_id long, type_id long",
     "node_symbols": "file string, node_id long, symbol_id long",
     "class_bases": "symbol_id long, base_id long",
     "blocks": "file string, name string, line int, stmt_count int, tokens array<string>",

@@ -10,7 +10,7 @@ TYPES = [
     (STR, 4, "string", [], [], False, True), (NUM, 8, "number", [], [], False, True), (BIG, 64, "bigint", [], [], False, True), (OBJ, 524288, "{}", [], [], False, True), (ANY, 1, "any", [], [], False, True),
     (PROMISE, 524288, "Promise", [], [], True, True), (NULLABLE, 1048576, "string | null", [STR, 12], [], False, True), (12, 65536, "null", [], [], False, True),
     (UNION, 1048576, "'a' | 'b'", [MEMBER_A, MEMBER_B], [], False, True), (MEMBER_A, 128, "'a'", [], [], False, True), (MEMBER_B, 128, "'b'", [], [], False, True), (BARE, 524288, "Bare", [], [], False, False),
-    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True), (SCHEMA, 524288, "Schema", [], [("parse", FUNC), ("safeParse", FUNC)], False, True), (LIST, 524288, "string[]", [], [], False, True), (BRAND, 2097152, "UserId", [STR, OBJ], [], False, True), (KEYS, 524288, "Map<string, number>", [], [], False, True), (RECORD, 524288, "{ [k: string]: number }", [], [], False, True), (FLAG, 16, "boolean", [], [], False, True), (23, 1048576, "Bare | null", [BARE, 12], [], False, True), (24, 524288, "A", [], [("kind", MEMBER_A)], False, True), (25, 524288, "B", [], [("kind", MEMBER_B), ("b", STR)], False, True), (26, 1048576, "A | B", [24, 25], [], False, True),
+    (WIDE, 524288, "Wide", [], [(f"p{k}", STR) for k in range(12)], False, True), (FUNC, 524288, "() => void", [], [], False, True), (ROW, 524288, "InferSelectModel<T>", [], [], False, True), (HOLDER, 524288, "{ row }", [], [("row", ROW)], False, True), (SCHEMA, 524288, "Schema", [], [("parse", FUNC), ("safeParse", FUNC)], False, True), (LIST, 524288, "string[]", [], [], False, True), (BRAND, 2097152, "UserId", [STR, OBJ], [], False, True), (KEYS, 524288, "Map<string, number>", [], [], False, True), (RECORD, 524288, "{ [k: string]: number }", [], [], False, True), (FLAG, 16, "boolean", [], [], False, True), (23, 1048576, "Bare | null", [BARE, 12], [], False, True), (24, 524288, "A", [], [("kind", MEMBER_A)], False, True), (25, 524288, "B", [], [("kind", MEMBER_B), ("b", STR)], False, True), (26, 1048576, "A | B", [24, 25], [], False, True), (27, 524288, "Element", [], [("type", STR), ("props", OBJ), ("key", STR)], False, True), (28, 524288, "Promise<Element>", [27], [], True, True), (29, 524288, "Row", [], [("_id", STR)], False, True), (30, 1048576, "Row | null", [29, 12], [], False, True),
 ]
 
 
@@ -21,6 +21,7 @@ class N:
     role: str = "child"
     line: int = 0
     type: int | None = None
+    expects: int | None = None
     symbol: int | None = None
     name: str | None = None  # to be referred to
     kids: list = field(default_factory=list)
@@ -90,7 +91,9 @@ TREES = {
                N("WhileStatement", line=15)(I("go", 132, "expression"), N("Block", role="statement")), N("WhileStatement", line=16)(I("go", 133, "expression"), N("Block", role="statement")(binary("EqualsToken", I("go", 133), "x", 16))),
                N("CallExpression", line=17)(N("PropertyAccessExpression", "xs.map", "expression"), fn("", STATEMENT("ExpressionStatement", 17, fn("", STATEMENT("ReturnStatement", 17), kind="ArrowFunction")), kind="ArrowFunction", role="argument", line=17)),
                N("CallExpression", line=18)(N("PropertyAccessExpression", "xs.map", "expression"), fn("", STATEMENT("IfStatement", 18, STATEMENT("ReturnStatement", 18)), kind="ArrowFunction", role="argument", line=18)), N("CallExpression", line=19)(N("PropertyAccessExpression", "xs.forEach", "expression"), fn("", STATEMENT("ExpressionStatement", 19), kind="ArrowFunction", role="argument", line=19))],
-    "security": [N("JsxAttribute", "dangerouslySetInnerHTML", line=1), N("JsxAttribute", "href", line=2)(N("StringLiteral", " JavaScript:x", "initializer")), call(3, "write", chain=["document", "write"]), N("JsxAttribute", "href", line=4)(N("StringLiteral", "/a", "initializer"))],
+    "security": [N("JsxAttribute", "dangerouslySetInnerHTML", line=1), N("JsxAttribute", "href", line=2)(N("StringLiteral", " JavaScript:x", "initializer")), call(3, "write", chain=["document", "write"]), N("JsxAttribute", "href", line=4)(N("StringLiteral", "/a", "initializer")), binary("EqualsToken", N("ElementAccessExpression", "o[k]")(N("Identifier", "o", "expression", type=BARE), N("Identifier", "k", "argument", type=STR)), "v", 5), binary("EqualsToken", N("ElementAccessExpression", "o[k]")(N("Identifier", "o", "expression", type=RECORD), N("Identifier", "k", "argument", type=STR)), "v", 6),
+                 binary("PlusEqualsToken", N("ElementAccessExpression", "o[k]")(N("Identifier", "o", "expression", type=BARE), N("Identifier", "k", "argument", type=UNION)), "v", 7), binary("EqualsToken", N("ElementAccessExpression", "o[f()]")(N("Identifier", "o", "expression", type=BARE), N("CallExpression", "f()", "argument")), "v", 8),
+                 binary("EqualsToken", N("ElementAccessExpression", "o[a.b]")(N("Identifier", "o", "expression", type=BARE), N("PropertyAccessExpression", "a.b", "argument")), "v", 9)],
     "simplification": [N("IfStatement", line=1)(N("Block", "", "then")(STATEMENT("ReturnStatement", 1, N("Identifier", "x", "expression"))), N("Block", "", "else")), N("WhileStatement", line=2)(STATEMENT("ExpressionStatement", 2), STATEMENT("ContinueStatement", 3)), fn("f", STATEMENT("ReturnStatement", 4)), N("IfStatement", line=5)(N("Block", "", "then")(STATEMENT("IfStatement", 6))), N("ForStatement", line=7), N("ForStatement", line=8)(N("Identifier", "i", "initializer")), fn("", kind="Constructor", line=10), fn("", STATEMENT("ExpressionStatement", 11, N("CallExpression", role="expression", line=11)(N("SuperKeyword", role="expression"))), kind="Constructor", line=11), fn("", N("Parameter", "p", "parameter"), kind="Constructor", line=12),
                        N("Block")(N("IfStatement", role="statement", line=13)(N("Block", "", "then")(STATEMENT("ReturnStatement", 13, N("TrueKeyword", "true", "expression")))), STATEMENT("ReturnStatement", 14, N("FalseKeyword", "false", "expression"))),
                        N("Block")(N("IfStatement", role="statement", line=15)(STATEMENT("ReturnStatement", 15, N("TrueKeyword", "true", "expression"))), STATEMENT("ReturnStatement", 16, N("FalseKeyword", "false", "expression"))),
@@ -158,12 +161,19 @@ TREES = {
                            call(2, "useMemo", fn("", N("Identifier", "p", symbol=60), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "p", symbol=60)), target=REACT), call(3, "useEffect", fn("", N("Identifier", "q", symbol=61), kind="ArrowFunction"), target=REACT),
                            call(4, "useLayoutEffect", fn("", N("Identifier", "q", symbol=61), kind="ArrowFunction"), N("ArrayLiteralExpression"), target=REACT), call(5, "useEffect", fn("", N("Identifier", "q", symbol=61), kind="ArrowFunction"), N("ArrayLiteralExpression"), target=2))],
     "narrow-param-type": [fn("f", N("Parameter", "a", line=1, symbol=70, type=WIDE), N("PropertyAccessExpression", "a.p1")(N("Identifier", "a", "expression", symbol=70))), fn("g", N("Parameter", "b", line=2, symbol=71, type=WIDE), N("PropertyAccessExpression", "b.p1")(N("Identifier", "b", "expression", symbol=71)), call(2, "h", N("Identifier", "b", symbol=71))), fn("h", N("Parameter", "c", line=3, symbol=72, type=OBJ)), fn("i", N("Parameter", "d", line=4, symbol=160)(N("TypeReference", "Partial", "type")(N("TypeReference", "Wide", "typeArgument", type=WIDE))), N("PropertyAccessExpression", "d.p1")(I("d", 160, "expression"))), fn("j", N("Parameter", "e", line=5, symbol=161, type=WIDE)(N("TypeReference", "Partial", "type")(N("TypeReference", "Wide", "typeArgument", type=WIDE))), *[N("PropertyAccessExpression", f"e.p{k}")(I("e", 161, "expression")) for k in range(6)])],
-    "no-async-client-component": [fn("Page", N("AsyncKeyword", role="modifier"), line=1), fn("Plain", line=2), fn("Hidden", N("AsyncKeyword", role="modifier"), line=3)],
-    "no-misused-promises": [call(1, "forEach", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction")), call(2, "forEach", fn("", kind="ArrowFunction")), call(3, "map", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction"))],
+    "no-async-client-component": [fn("Page", N("AsyncKeyword", role="modifier"), line=1, type=28), fn("Plain", line=2, type=27), fn("Hidden", N("AsyncKeyword", role="modifier"), line=3, type=28), fn("loads", N("AsyncKeyword", role="modifier"), line=4, type=PROMISE),
+                                  N("VariableDeclaration", "Card", line=5)(fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction", role="initializer", type=28))],
+    "no-misused-promises": [call(1, "forEach", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction", expects=FUNC)), call(2, "forEach", fn("", kind="ArrowFunction", expects=FUNC)), call(3, "map", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction", expects=PROMISE)),
+                            call(4, "useEffect", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction"), target=REACT), call(5, "useEffect", fn("", N("AsyncKeyword", role="modifier"), kind="ArrowFunction"), target=2)],
+    "no-underscore-prefix": [N("VariableDeclaration", "_a", line=1), N("VariableDeclaration", "_", line=2), N("BindingElement", "_b", line=3), N("ObjectLiteralExpression", expects=29)(N("PropertyAssignment", "_id", "property", 4), N("PropertyAssignment", "_other", "property", 5)), N("ObjectLiteralExpression")(N("PropertyAssignment", "_id", "property", 6)),
+                             N("ObjectLiteralExpression", expects=30)(N("ShorthandPropertyAssignment", "_id", "property", 7))],
     "no-redundant-zod-parse": [call(1, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=STR), call(2, "parse", N("Identifier", "a", type=ANY), chain=["Schema", "parse"], type=STR), call(3, "parse", N("Identifier", "a", type=STR), chain=["Schema", "catch", "parse"], type=STR), call(4, "parse", N("Identifier", "a", type=STR), chain=["Schema", "parse"], type=NUM)],
     "unbranded-type-consistency": [N("Parameter", "userId", line=1, type=STR), N("Parameter", "user", line=2, type=STR), N("Parameter", "userId", line=3, type=NUM), call(4, "set", N("Identifier", "k", type=BRAND), chain=["m", "set"]), N("CallExpression", line=5, call={"name": "get", "chain": ["m", "get"], "target": None})(N("Identifier", "m", "receiver", type=KEYS), N("Identifier", "k", "argument", type=BRAND)),
                                    N("CallExpression", line=6, call={"name": "get", "chain": ["m", "get"], "target": None})(N("Identifier", "m", "receiver", type=KEYS), N("Identifier", "k", "argument", type=STR)), N("ElementAccessExpression", "r[k]", line=7)(N("Identifier", "r", "expression", type=RECORD), N("Identifier", "k", "argument", type=BRAND)), N("ElementAccessExpression", "r[k]", line=8)(N("Identifier", "r", "expression", type=BARE), N("Identifier", "k", "argument", type=BRAND))],
-    "prefer-literal-union": [binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", "x"), 1), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=UNION), N("StringLiteral", "x"), 2), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", ""), 3)],
+    "prefer-literal-union": [binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", "x"), 1), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=UNION), N("StringLiteral", "x"), 2), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR), N("StringLiteral", ""), 3), binary("EqualsEqualsEqualsToken", N("StringLiteral", "x"), N("Identifier", "a", type=STR), 4), binary("EqualsEqualsEqualsToken", N("Identifier", "a", type=STR, symbol=11), N("StringLiteral", "x"), 5),
+                             fn("f", N("IfStatement")(binary("EqualsEqualsEqualsToken", N("Identifier", "b", type=STR, symbol=190), N("StringLiteral", "x"), 6, role="condition"), N("Block", "", "then")(call(7, "g", N("Identifier", "b", symbol=190, expects=UNION))))),
+                             fn("f", N("IfStatement")(binary("EqualsEqualsEqualsToken", N("Identifier", "b", type=STR, symbol=191), N("StringLiteral", "x"), 8, role="condition"), N("Block", "", "then")(STATEMENT("ReturnStatement", 9, N("Identifier", "b", "expression", symbol=191)))), type=UNION),
+                             fn("f", N("IfStatement")(binary("EqualsEqualsEqualsToken", N("Identifier", "b", type=STR, symbol=192), N("StringLiteral", "x"), 10, role="condition"), N("Block", "", "then")(call(11, "g", N("Identifier", "b", symbol=192, expects=STR)))))],
     "zustand-patterns": [call(1, "useShallow", N("ArrowFunction", "(s) => s.a")), call(2, "useAppStore", N("ArrowFunction", "(s) => ({ a: s.a, b: s.b })")), call(3, "useAppStore", N("ArrowFunction", "(s) => s.a")), call(5, "useEffect", fn("", N("PropertyAccessExpression", "useAppStore.getState"), kind="ArrowFunction"), N("ArrayLiteralExpression")), call(6, "useEffect", fn("", N("CallExpression")(N("PropertyAccessExpression", "useAppStore.getState().reset")(N("CallExpression")(N("PropertyAccessExpression", "useAppStore.getState")))), kind="ArrowFunction"), N("ArrayLiteralExpression")),
                          call(7, "useEffect", fn("", call(8, "useAppStore"), kind="ArrowFunction"), N("ArrayLiteralExpression")(N("Identifier", "dep"))), call(9, "useEffect", fn("", call(10, "useAppStore"), kind="ArrowFunction"), N("ArrayLiteralExpression"))],
     "prop-drilling": [fn("A", *[N("Parameter", f"p{k}", symbol=80 + k, type=FUNC if k < 2 else STR) for k in range(4)], *[N("JsxExpression")(N("Identifier", f"p{k}", symbol=80 + k)) for k in range(4)], line=1),
@@ -210,7 +220,7 @@ def _single_file() -> list[tuple]:
 
 def sample() -> dict[str, list[tuple]]:
     """Rows of each relation of ``facts.SCHEMAS`` (and refs): a file for each rule, and a few that import one another."""
-    rows: dict[str, list[tuple]] = {k: [] for k in ("nodes", "node_types", "node_symbols", "calls", "def_use", "files")}
+    rows: dict[str, list[tuple]] = {k: [] for k in ("nodes", "node_types", "contexts", "node_symbols", "calls", "def_use", "files")}
     for rule, tops in TREES.items():
         file, names, count = f"{rule}.tsx", {}, 0
         rows["files"].append((file, "tsx", 1, "", False, "use server" if rule in SERVER else "use client" if rule in CLIENT else None))
@@ -223,6 +233,8 @@ def sample() -> dict[str, list[tuple]]:
             names.setdefault(n.name, me)
             if n.type:
                 rows["node_types"].append((file, me, n.type))
+            if n.expects:
+                rows["contexts"].append((file, me, n.expects))
             if n.symbol:
                 rows["node_symbols"].append((file, me, n.symbol))
             if n.call:
@@ -244,7 +256,7 @@ def sample() -> dict[str, list[tuple]]:
         edge("src/a.tsx", "b.ts", 9), edge("app/p/q.ts", "app/r/s.ts", 2), edge("app/p/q.ts", "app/p/t.ts", 3), edge("m.ts", "n.ts", 1), edge("m.ts", "n.ts", 2), edge("m.ts", "n.ts", 3, types=True), edge("o.ts", "n.ts", 1, dynamic=True), edge("o.ts", "n.ts", 2), edge("m.ts", "lib/index.ts", 4), edge("m.ts", "lib/indexes.ts", 5),
     ]
     exports = [("b.ts", "used", "s1"), ("b.ts", "idle", "s2"), *[(f"schema/{f}.tsx", n, "s3") for f in "ab" for n in ("user", "nameSchema")], ("schema/b.tsx", "alone", "s4"), ("schema/a.tsx", "hidden", "s5")]
-    exports += [("input-validation.tsx", x, "s") for x in ("bad", "own", "through", "helper")] + [("no-async-client-component.tsx", x, "s") for x in ("Page", "Plain")]
+    exports += [("input-validation.tsx", x, "s") for x in ("bad", "own", "through", "helper")] + [("no-async-client-component.tsx", x, "s") for x in ("Page", "Plain", "loads", "Card")]
     exports += [("extract.tsx", x, "s") for x in ("load", "save", "brief", "Level", "User", "LIMIT")]
     refs = [("b.ts", "used", "src/a.tsx"), *[(f, n, "x") for f, n, _ in exports if f not in ("b.ts", "schema/a.tsx")]]
     origin = {10: "pkg:crypto", 11: "lib", 12: "pkg:axios", 13: "pkg:fs", 14: "pkg:child_process", REACT: "pkg:react", 2: "local", 20: "local", 21: "local", **{i: "local" for i in (30, 31, 34, 41)}, 32: "pkg:orm", 33: "local"}

@@ -11,13 +11,13 @@ FINDS = {
     "banned-syntax": [1, 2, 3, 4, 6, 7], "complexity": [3, 5, 6], "readability": [1, 3, 4, 5],
     "no-identical-binary-operands": [1], "no-collection-size-mischeck": [1, 2, 4], "jsx-no-useless-fragment": [1], "no-all-duplicated-branches": [1], "error-handling": [1, 4], "no-empty-function": [1], "no-multiline-comments": [1],
     "naming-convention": [1, 3], "correctness": [1, 2, 3, 4, 5, 7, 8, 11, 22, 30, 31, 33], "logic": [1, 3, 5, 10, 12], "no-deprecated-api": [1, 2, 3], "no-useless-code": [1, 2, 3, 5], "no-implicit-coercion": [1, 3, 4, 5, 7, 8], "safety": [1, 2, 3, 5, 6, 11, 13, 15, 17],
-    "security": [1, 2, 3], "simplification": [1, 3, 4, 5, 7, 10, 11, 13, 17, 21], "syntax": [1, 3, 4, 5, 6, 7, 10, 13], "typescript": [1, 2, 4, 6, 7, 20, 22, 26, 27, 29, 32, 33], "react": [1, 3, 6, 11, 17], "rules-of-hooks": [1, 3, 4, 5, 6], "no-re-export": [1, 4, 5, 7], "no-duplicated-constants": [1], "no-local-constants": [1, 3, 7],
+    "security": [1, 2, 3, 5, 8], "simplification": [1, 3, 4, 5, 7, 10, 11, 13, 17, 21], "syntax": [1, 3, 4, 5, 6, 7, 10, 13], "typescript": [1, 2, 4, 6, 7, 20, 22, 26, 27, 29, 32, 33], "react": [1, 3, 6, 11, 17], "rules-of-hooks": [1, 3, 4, 5, 6], "no-re-export": [1, 4, 5, 7], "no-duplicated-constants": [1], "no-local-constants": [1, 3, 7],
     "await-non-thenable": [1], "no-floating-promises": [1], "restrict-plus-operands": [1, 3, 4], "restrict-template-expr": [1], "no-base-to-string": [1, 3], "prefer-nullish-coalescing": [1], "unnecessary-type-assertion": [1],
     "prefer-satisfies-over-as": [1], "exhaustive-switch": [1], "any-propagation": [1], "cache-primitive-args": [2], "deprecated-usage": [1], "no-weak-crypto": [1], "no-implied-eval": [1], "no-client-data-fetch": [1, 3],
     "no-dynamic-sql": [1], "no-db-antipatterns": [1, 2], "missing-returning": [1], "cache-caller-count": [1], "effect-cleanup": [3], "input-validation": [1], "state-hooks-cluster": [2, 11, 15, 21], "performance": [1, 3, 5, 8, 11],
     "no-child-process": [1], "no-non-literal-fs-path": [1], "no-non-literal-regexp": [1], "no-non-literal-require": [1], "no-ssrf": [1], "no-unthrown-error": [1],
-    "prefer-modern-api": [1, 2, 3, 4, 6], "prefer-optional-chain": [1, 3], "promise-all-opportunity": [3], "exhaustive-deps": [1], "narrow-param-type": [1, 4], "no-async-client-component": [1], "no-misused-promises": [1],
-    "no-redundant-zod-parse": [1], "unbranded-type-consistency": [1, 5, 7], "prefer-literal-union": [1], "zustand-patterns": [1, 2, 5, 9], "prop-drilling": [1], "no-db-origin-client-boundary": [1], "type-precision": [1, 2, 4, 10, 12, 14, 20, 23, 24, 27],
+    "prefer-modern-api": [1, 2, 3, 4, 6], "prefer-optional-chain": [1, 3], "promise-all-opportunity": [3], "exhaustive-deps": [1], "narrow-param-type": [1, 4], "no-async-client-component": [1, 5], "no-misused-promises": [1, 4], "no-underscore-prefix": [1, 3, 5, 6],
+    "no-redundant-zod-parse": [1], "unbranded-type-consistency": [1, 5, 7], "prefer-literal-union": [1, 4, 10], "zustand-patterns": [1, 2, 5, 9], "prop-drilling": [1], "no-db-origin-client-boundary": [1], "type-precision": [1, 2, 4, 10, 12, 14, 20, 23, 24, 27],
 }
 
 @pytest.fixture(scope="module")
