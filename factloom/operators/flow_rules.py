@@ -389,32 +389,53 @@ def no_unthrown_error(facts: Facts, options: dict) -> DataFrame:
 # --- clones -----------------------------------------------------------------------------------------
 
 
-def cloned_blocks(blocks: DataFrame, least: float, below: float | None = None) -> DataFrame:
-    """Blocks like one of another file by bigrams of their tokens. Copies are one class, whose first and last file say
-    whether a block has a partner elsewhere: no pairs within a class are made."""
+def cloned_blocks(blocks: DataFrame, least: float, below: float | None, ratio: float, marks: Column, loose: bool) -> DataFrame:
+    """Blocks that have a partner in another file: like by bigrams of their tokens (under ``below``, if given), of a length
+    of ``ratio`` or more of the other's, not of another route, and with a mark in common (``loose``: or one without marks).
+
+    Two files are of different routes if both lie two or more folders below their last common one. So one of them, less its
+    last folder, is a folder around the other: an equality, as is a common mark. Partners are the first and last file of each
+    (class of copies, length, folder, mark): no pairs of blocks are made.
+    """
     size = F.size("tokens")
     bigrams = F.array_distinct(F.zip_with(F.slice("tokens", 1, F.greatest(size - 1, F.lit(0))), F.slice("tokens", 2, F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    keyed = blocks.withColumns({"key": F.concat_ws("#", "file", F.col("line").cast("string"), "name"), "bigrams": F.array_sort(bigrams)}).where(F.size("bigrams") > 0)
-    classes = keyed.groupBy("bigrams").agg(F.min("key").alias("class"), F.min("file").alias("first_file"), F.max("file").alias("last_file"))
+    folders = F.slice(F.split("file", "/"), F.lit(1), F.size(F.split("file", "/")) - 1)
+    around = lambda k: F.concat_ws("/", F.lit(""), F.slice("folders", F.lit(1), k))
+    keyed = blocks.withColumns({"key": F.concat_ws("#", "file", F.col("line").cast("string"), "name"), "bigrams": F.array_sort(bigrams), "n": size, "folders": folders, "marks": F.coalesce(marks, F.array().cast("array<string>"))}).where(F.size("bigrams") > 0)
+    keyed = keyed.withColumns({"whole": F.transform(F.sequence(F.lit(0), F.size("folders")), around), "less": F.array(around(F.greatest(F.size("folders") - 1, F.lit(0))))})
+    classes = keyed.groupBy("bigrams").agg(F.min("key").alias("class"))
+    rows = keyed.join(classes, "bigrams")
     pairs = similarity.similar_sets(classes, "class", "bigrams", least)
     if below is not None:
         pairs = pairs.where(F.col("jaccard") < below)
     both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    other = classes.select(F.col("class").alias("other"), F.col("first_file").alias("other_first"), F.col("last_file").alias("other_last"))
-    near = both.join(other, "other").groupBy("class").agg(F.min("other_first").alias("near_first"), F.max("other_last").alias("near_last"))
-    rows = keyed.drop("key").join(classes, "bigrams").join(near, "class", "left")
-    elsewhere = F.coalesce((F.col("near_first") != F.col("file")) | (F.col("near_last") != F.col("file")), F.lit(False))
-    copied = (F.col("first_file") != F.col("file")) | (F.col("last_file") != F.col("file"))
-    return rows.where(elsewhere if below is not None else elsewhere | copied)
+    if below is None or below > 1:
+        both = both.union(classes.select("class", F.col("class").alias("other")))
+    lengths = rows.select("class", "n").distinct()
+    units = both.join(lengths, "class").join(lengths.select(F.col("class").alias("other"), F.col("n").alias("other_n")), "other").where(F.least("n", "other_n") >= ratio * F.greatest("n", "other_n"))
+    none, any_ = F.array(F.lit("-")), F.array(F.lit("*"))  # a block without marks; any block
+    held = F.when(F.size("marks") > 0, F.col("marks")).otherwise(none if loose else F.array().cast("array<string>"))
+    sought = F.when(F.size("marks") > 0, F.concat("marks", none) if loose else F.col("marks")).otherwise(any_ if loose else F.array().cast("array<string>"))
+    met = []
+    for own, other in (("less", "whole"), ("whole", "less")):
+        there = rows.select(F.col("class").alias("other"), F.col("n").alias("other_n"), F.explode(other).alias("folder"), "file", F.concat(held, any_).alias("m")).withColumn("mark", F.explode("m"))
+        there = there.groupBy("other", "other_n", "folder", "mark").agg(F.min("file").alias("first"), F.max("file").alias("last"))
+        here = rows.join(units, ["class", "n"]).select("key", "file", "other", "other_n", F.explode(own).alias("folder"), sought.alias("m")).withColumn("mark", F.explode("m")).drop("m")
+        met.append(here.join(there, ["other", "other_n", "folder", "mark"]).where((F.col("first") != F.col("file")) | (F.col("last") != F.col("file"))).select("key"))
+    return relations.covered(rows, met[0].union(met[1]).distinct(), ["key"])
 
 
 @CODE_RULES.rule("syntactic-clone", "architecture", "Blocks that are copies of others", needs=("blocks",))
 def syntactic_clone(facts: Facts, options: dict) -> DataFrame:
+    """Blocks whose calls have no receiver in common are no copies, unless one has none."""
     blocks = facts["blocks"].where(F.col("stmt_count") >= options.get("minStatements", 10))
-    return found(cloned_blocks(blocks, options.get("minCloneSimilarity", 0.92)).withColumn("col", F.lit(1)), F.concat(F.lit("copy: "), F.col("name")))
+    found_ = cloned_blocks(blocks, options.get("minCloneSimilarity", 0.92), None, 0.6, F.col("receivers"), True)
+    return found(found_.withColumn("col", F.lit(1)), F.concat(F.lit("copy: "), F.col("name")))
 
 
 @CODE_RULES.rule("semantic-clone", "architecture", "Blocks that are much like others", needs=("blocks",))
 def semantic_clone(facts: Facts, options: dict) -> DataFrame:
-    blocks = facts["blocks"].where(F.col("stmt_count") >= options.get("minStatements", 5))
-    return found(cloned_blocks(blocks, options.get("minSemanticSimilarity", 0.80), options.get("minSyntacticThreshold", 0.92)).withColumn("col", F.lit(1)), F.concat(F.lit("alike: "), F.col("name")))
+    """Functions of one signature that are alike, but no copies."""
+    blocks = facts["blocks"].where((F.col("stmt_count") >= options.get("minStatements", 5)) & F.col("signature").isNotNull())
+    found_ = cloned_blocks(blocks, options.get("minSemanticSimilarity", 0.80), options.get("minSyntacticThreshold", 0.92), options.get("minLengthRatio", 0.4), F.array("signature"), False)
+    return found(found_.withColumn("col", F.lit(1)), F.concat(F.lit("alike: "), F.col("name")))

@@ -77,7 +77,7 @@ COLUMNS = {
     "contexts": {"file": "VARCHAR", "node_id": "BIGINT", "type_id": "BIGINT"},
     "node_symbols": {"file": "VARCHAR", "node_id": "BIGINT", "symbol_id": "BIGINT"},
     "class_bases": {"symbol_id": "BIGINT", "base_id": "BIGINT"},
-    "blocks": {"file": "VARCHAR", "name": "VARCHAR", "line": "INTEGER", "stmt_count": "INTEGER", "tokens": "VARCHAR[]"},
+    "blocks": {"file": "VARCHAR", "name": "VARCHAR", "line": "INTEGER", "stmt_count": "INTEGER", "tokens": "VARCHAR[]", "receivers": "VARCHAR[]", "signature": "VARCHAR"},
     "calls": {"file": "VARCHAR", "node_id": "BIGINT", "caller_id": "BIGINT", "target_symbol": "BIGINT", "name": "VARCHAR", "chain": "VARCHAR[]"},
     "def_use": {"file": "VARCHAR", "use_node": "BIGINT", "def_node": "BIGINT"},
 }
@@ -567,15 +567,21 @@ BODIES |= {
 }
 
 
-def _clones(least: float, statements: int, below: float | None, word: str) -> str:
+def _clones(least: float, statements: int, below: float | None, ratio: float, marks: str, word: str) -> str:
     """Blocks with a partner in another file: all pairs are compared."""
     bound = f"j >= {least}" + (f" AND j < {below}" if below else "")
-    return f"""WITH b AS (SELECT row_number() OVER () AS r, file, name, line, list_distinct(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) AS g FROM blocks WHERE stmt_count >= {statements} AND len(tokens) > 1),
-  p AS (SELECT x.r, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS j FROM b x JOIN b y ON x.file <> y.file)
+    shared = "len(list_filter(range(1, least(len(x.d), len(y.d)) + 1), lambda i: x.d[1:i] = y.d[1:i]))"
+    return f"""WITH b AS (SELECT row_number() OVER () AS r, *, len(tokens) AS n, string_split(file, '/')[1:len(string_split(file, '/')) - 1] AS d, list_distinct(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) AS g
+    FROM blocks WHERE stmt_count >= {statements} AND len(tokens) > 1),
+  p AS (SELECT x.r, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS j FROM b x JOIN b y ON x.file <> y.file
+    WHERE least(x.n, y.n) >= {ratio} * greatest(x.n, y.n) AND NOT (len(x.d) - {shared} >= 2 AND len(y.d) - {shared} >= 2) AND {marks})
   SELECT file, line, 1, '{word}: ' || name FROM b WHERE r IN (SELECT r FROM p WHERE {bound})"""
 
 
-BODIES |= {"syntactic-clone": _clones(0.92, 10, None, "copy"), "semantic-clone": _clones(0.80, 5, 0.92, "alike")}
+BODIES |= {
+    "syntactic-clone": _clones(0.92, 10, None, 0.6, "(len(x.receivers) = 0 OR len(y.receivers) = 0 OR list_has_any(x.receivers, y.receivers))", "copy"),
+    "semantic-clone": _clones(0.80, 5, 0.92, 0.4, "x.signature = y.signature", "alike"),
+}
 
 
 def _name(rule: str) -> str:

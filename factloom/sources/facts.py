@@ -4,7 +4,9 @@ A node's field is its role in its parent (left, right, operator, expression, con
 branch, else, member, name, type), ord its place among those of the role; its text is a name, a literal's value, or the
 source. A call's chain holds the names from the root to the called one. Edges of def_use run also from the parts of an
 expression to the whole. Types of unions and intersections list their members;
-a function's own type in node_types is what it returns. contexts has the type that a node's place expects.
+a function's own type in node_types is what it returns. contexts has the type that a node's place expects. A block's
+receivers are the types whose methods it calls, its signature (exported functions with parameters only) a text that equal
+parameters and results share.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ SCHEMAS = {
     "contexts": "file string, node_id long, type_id long",
     "node_symbols": "file string, node_id long, symbol_id long",
     "class_bases": "symbol_id long, base_id long",
-    "blocks": "file string, name string, line int, stmt_count int, tokens array<string>",
+    "blocks": "file string, name string, line int, stmt_count int, tokens array<string>, receivers array<string>, signature string",
     "calls": "file string, node_id long, caller_id long, target_symbol long, name string, chain array<string>",
     "def_use": "file string, use_node long, def_node long, def_kind string",
 }

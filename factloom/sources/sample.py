@@ -263,8 +263,15 @@ def sample() -> dict[str, list[tuple]]:
     own_symbols = [(150, "own", 0, "no-re-export.tsx", 1, "local", [])]
     symbols = [*own_symbols, (1, "old", 0, "x.ts", 9, "local", ["deprecated"]), (40, "Error", 0, "lib.d.ts", 0, "lib", []), *[(i, f"s{i}", 0, "node_modules/orm/index.ts" if o == "pkg:orm" else "x.ts", i, o, []) for i, o in origin.items()]]
     tokens = [f"t{k}" for k in range(60)]
+    near, alike = [*tokens[:57], "x", *tokens[58:]], [*tokens[:55], "y", "z", "w", "v", "u"]
+    one = "(string)=>void"
+    body = lambda c: [f"{c}{k}" for k in range(31)]
     blocks = [
-        ("a.ts", "f", 1, 12, tokens), ("b.ts", "f", 2, 12, tokens), ("c.ts", "near", 3, 12, [*tokens[:57], "x", *tokens[58:]]), ("d.ts", "alike", 4, 12, [*tokens[:55], "y", "z", "w", "v", "u"]), ("e.ts", "twice", 5, 12, ["q", "r", "s"]),
-        ("e.ts", "twice", 9, 12, ["q", "r", "s"]), ("g.ts", "short", 6, 1, tokens), ("h.ts", "none", 7, 12, []),
+        ("a.ts", "f", 1, 12, tokens, [], one), ("b.ts", "f", 2, 12, tokens, [], None), ("c.ts", "near", 3, 12, near, ["Db"], one), ("d.ts", "alike", 4, 12, alike, [], one), ("e.ts", "twice", 5, 12, ["q", "r", "s"], [], None),
+        ("e.ts", "twice", 9, 12, ["q", "r", "s"], [], None), ("g.ts", "short", 6, 1, tokens, [], None), ("h.ts", "none", 7, 12, [], [], None), ("i.ts", "other", 8, 12, alike, [], "(number)=>void"),
+        # routes, receivers and lengths
+        ("app/x/p/q.ts", "far", 10, 12, body("k"), [], None), ("app/y/r/s.ts", "far", 11, 12, body("k"), [], None), ("app/z.ts", "root", 12, 12, body("m"), [], None), ("app/y/r/t.ts", "deep", 13, 12, body("m"), [], None),
+        ("r1.ts", "made", 14, 12, body("o"), ["Db"], None), ("r2.ts", "made", 15, 12, body("o"), ["Fs"], None), ("r3.ts", "shared", 16, 12, body("v"), ["Db", "Fs"], None), ("r4.ts", "shared", 17, 12, body("v"), ["Fs"], None),
+        ("l1.ts", "loop", 18, 12, ["w1", "w2"] * 5, [], None), ("l2.ts", "loop", 19, 12, ["w1", "w2"] * 20, [], None),
     ]
     return rows | {"symbols": symbols, "types": TYPES, "assignable": [(STR, STR)], "class_bases": [(41, 40)], "blocks": blocks, "exports": exports, "refs": refs, "import_edges": imports}

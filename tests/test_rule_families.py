@@ -38,8 +38,8 @@ def test_page_parameters(facts):
 
 def test_clones(facts):
     of = lambda rule: sorted((r["file"], r["line"]) for r in CODE_RULES.only([rule]).diagnostics(facts).collect())
-    assert of("syntactic-clone") == [("a.ts", 1), ("b.ts", 2), ("c.ts", 3)]
-    assert of("semantic-clone") == [("a.ts", 1), ("b.ts", 2), ("c.ts", 3), ("d.ts", 4)]
+    assert of("syntactic-clone") == sorted([("a.ts", 1), ("b.ts", 2), ("c.ts", 3), ("d.ts", 4), ("i.ts", 8), ("app/z.ts", 12), ("app/y/r/t.ts", 13), ("r3.ts", 16), ("r4.ts", 17)])
+    assert of("semantic-clone") == [("a.ts", 1), ("c.ts", 3), ("d.ts", 4)]
 
 
 def test_every_rule_has_a_case():
