@@ -243,7 +243,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, order, n: int, cuts: int, fir
 
     made = docs.join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(run, "rep long, c1 long, fragment int, n long, inside long, grams array<long>")
     # a repeated id may bring other texts, or the same one again
-    return made.join(wanted, ["rep", "c1"]).groupBy("node", "fragment").agg(*[F.first(c).alias(c) for c in ("n", "inside", "grams")])
+    return made.join(_few(wanted, broadcast_rows), ["rep", "c1"]).groupBy("node", "fragment").agg(*[F.first(c).alias(c) for c in ("n", "inside", "grams")])
 
 
 def _few(ids: DataFrame, most: int) -> DataFrame:
@@ -251,11 +251,12 @@ def _few(ids: DataFrame, most: int) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def _overlapping(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+def _overlapping(pairs: DataFrame, fragments: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """Of the (a, b) pairs, those that can reach the threshold: overlaps within each fragment, summed by pair, and at
-    most all of what is outside the fragments. If they are the whole order, just those at the threshold."""
+    most all of what is outside the fragments. If they are the whole order, just those at the threshold. Few pairs go to
+    the fragments, which lie by (node, fragment) already; only the first side moves to the second."""
     side = lambda t: fragments.select(F.col("node").alias(t), F.col("n").alias(f"{t}_n"), (F.col("n") - F.col("inside")).alias(f"{t}_out"), "fragment", F.col("grams").alias(f"{t}_grams"))
-    partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
+    partial = side("a").join(_few(pairs, broadcast_rows), "a").join(side("b"), ["b", "fragment"])
     partial = partial.select("a", "b", "a_n", "b_n", "a_out", "b_out", F.size(F.array_intersect("a_grams", "b_grams")).alias("common"))
     total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), *[F.first(c).alias(c) for c in ("a_n", "b_n", "a_out", "b_out")])
     return total.where((100 + percent) * (F.col("common") + F.least("a_out", "b_out")) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
@@ -327,7 +328,7 @@ def similar_documents(
 
     def overlapping(pairs: DataFrame, first: int, tag: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep", "c1"), "node")
-        return written(_overlapping(pairs, _fragments(source, wanted, again, n, cuts, first, broadcast_rows), percent), f"jaccard-{tag}")
+        return written(_overlapping(pairs, _fragments(source, wanted, again, n, cuts, first, broadcast_rows), percent, broadcast_rows), f"jaccard-{tag}")
 
     def by_id(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
