@@ -348,7 +348,8 @@ j AS (SELECT a, b, common, common / (na + nb - common) AS jaccard FROM c)
 
 
 def _clones(spark, sf_dir, least):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.word_bigrams(F.coalesce("text", F.lit(""))).alias("bigrams"))
+    # texts are dealt by id: a file of one row group would be taken apart in one task
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", tx.word_bigrams(F.coalesce("text", F.lit(""))).alias("bigrams"))
     return similarity.similar_sets(docs, "doc_id", "bigrams", least)
 
 
@@ -439,7 +440,7 @@ def scan_union(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT page_id, split_part(url, '?', 1) AS path FROM pages)
-SELECT page_id, path, regexp_matches(path, '/en/') OR (regexp_matches(path, '/[4-6][^/]*$') AND NOT regexp_matches(path, '/6[^/]*$')) OR suffix(path, '#top') AS ignored FROM p""")
+SELECT page_id, path, regexp_matches(path, '/en/') OR (regexp_matches(path, '/[4-6][^/]*/?$') AND NOT regexp_matches(path, '/6[^/]*/?$')) OR suffix(path, '#top') AS ignored FROM p""")
 def ignored_pages(spark, sf_dir):
     path = F.split_part("url", F.lit("?"), F.lit(1))
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), files.ignored(path, ["en/", "[4-6]*", "!6*", "# a note", "*\\#top"]).alias("ignored"))
