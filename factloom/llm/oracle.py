@@ -108,6 +108,49 @@ FROM lw LEFT JOIN hit ON lw.r = hit.r LEFT JOIN items ON lw.r = items.r LEFT JOI
 """
 
 
+def _lloyd(k: int = 8, rounds: int = 10) -> str:
+    """One step of SQL for each round: a recursive query could not average within its recursion."""
+    out = ["""k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS c, v FROM (
+    SELECT sha256('3:' || vec_id) AS h, v FROM k ORDER BY h NULLS LAST, v LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := list_dot_product(k.v, k.v) - 2 * list_dot_product(k.v, c.v) + list_dot_product(c.v, c.v), c := c.c)) AS m FROM k, c{i} c GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (SELECT m.c AS c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+  SELECT m, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM k JOIN a{i} ON k.r = a{i}.r) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (
+  SELECT c, v FROM c{i} WHERE c NOT IN (SELECT c FROM s{i})
+  UNION ALL SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) FROM s{i} GROUP BY c)""")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT k.vec_id, m.c AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM k JOIN a{rounds} ON k.r = a{rounds}.r JOIN c{rounds} c ON c.c = m.c
+"""
+
+
+OP13 = """
+WITH g AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM g a JOIN g b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT r, anchor_id, b AS p, vec_id AS positive_id, score AS positive_score FROM s WHERE alike AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.r, p.p ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.r = p.r AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Token counts, nearest neighbours, secret spans and languages have none: they are tested against brute force."""
-    return {"op1_warc": OP1, "op3_ngram_jaccard": OP3, "op4_line_dedup": OP4, "op5_mixing": OP5, "op8_chat": OP8, "op10_decontamination": OP10}
+    """Token counts, nearest neighbours, secret spans, languages and fingerprints have none: they are tested against brute force."""
+    return {
+        "op1_warc": OP1, "op3_ngram_jaccard": OP3, "op4_line_dedup": OP4, "op5_mixing": OP5, "op8_chat": OP8, "op10_decontamination": OP10,
+        "op11_delta_lloyd": _lloyd(), "op13_hard_negatives": OP13}

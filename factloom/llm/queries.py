@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, linededup, mixing, secrets, tokens, warc
+from . import ann, chat, decontam, jaccard, langid, linededup, lloyd, mixing, negatives, secrets, simhash, tokens, warc
 from .common import table
 
 
@@ -66,5 +66,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), spans.alias("hit_spans"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",").cast("binary"), 256)
+    return lloyd.cluster(table(spark, sf_dir, "embeddings")).withColumn("centroid_sha256", digest).drop("centroid")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_token_counts, op3_ngram_jaccard, op4_line_dedup, op5_mixing, op6_nearest, op7_secrets, op8_chat, op9_language_id, op10_decontamination)}
+    done = (
+        op1_warc, op2_token_counts, op3_ngram_jaccard, op4_line_dedup, op5_mixing, op6_nearest, op7_secrets, op8_chat, op9_language_id, op10_decontamination,
+        op11_delta_lloyd, op12_simhash, op13_hard_negatives)
+    return {f.__name__: f for f in done}
