@@ -53,7 +53,7 @@ def _vectors(column, dim: int, kind: str = "<i4") -> np.ndarray:
 
 def best(keys: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores of each key, smaller ids first on ties; keys may have two columns."""
-    key = keys.reshape(len(keys), -1)
+    key = keys if keys.ndim == 2 else keys[:, None]
     by = np.lexsort((ids, -scores, *key.T[::-1]))
     new = np.ones(len(by), dtype=bool)
     new[1:] = (key[by][1:] != key[by][:-1]).any(axis=1)
