@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,15 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import ready
 
-#: A cut after a letter, before a space, a line's end, a digit or a mark (no apostrophe), or after a digit, before one of
-#: these but digits. Patterns of byte-level vocabularies take letters, and digits, in runs of their own: a run ends here
-#: whatever stands around it, and what follows is split from here on alike.
-MARKS = r"\x20\n.,;:!?()\[\]{}\"/|<>=_+*#@%&\u3000\u3001\u3002\u300c\u300d\uff0c\uff0e\uff01\uff1f\uff1a\uff1b\u060c\u061b\u061f\u0964\u2014\u2013\u2026\u201c\u201d\u00ab\u00bb"
-SAFE = regex.compile(rf"\p{{L}}(?=[{MARKS}0-9])|[0-9](?=[{MARKS}])")
+#: Places where a byte-level pattern ends a run whatever stands around it, and splits what follows alike from there on:
+#: between anything and the ASCII blank after it, after a letter before a digit, mark or symbol, and after a digit before a
+#: mark or symbol. Blanks are what both this module's and the vocabulary's classes take as such.
+SAFE = regex.compile(r"\S(?=[\x20\t\n\r])|\p{L}(?=[0-9\p{P}\p{S}])|[0-9](?=[\p{P}\p{S}])")
 
 
 def pieces(text: str, most: int) -> list[str]:
-    """``text`` in parts of about ``most`` characters, cut at safe boundaries only; a stretch without one stays whole."""
+    """``text``, which holds no special string, in parts of about ``most`` characters, cut at safe boundaries only. A
+    stretch without one (blanks, letters, digits or marks alone) stays whole: the vocabulary takes it as one run."""
     out, at = [], 0
     while len(text) - at > most:
         cut = None
@@ -44,9 +45,33 @@ def pieces(text: str, most: int) -> list[str]:
     return out
 
 
+def _special_strings(settings: dict):
+    """A pattern of the strings that the tokenizer takes out of texts before it splits them; None if its texts can't be
+    cut: its pattern is not the byte-level one, texts are normalised first, or such a string acts on its neighbours."""
+    own, added = settings["pre_tokenizer"] or {}, settings["added_tokens"]
+    if own.get("type") != "ByteLevel" or not own.get("use_regex", True) or own.get("add_prefix_space") or settings["normalizer"]:
+        return None
+    if any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip")):
+        return None
+    longest_first = sorted((x["content"] for x in added), key=len, reverse=True)
+    return regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)")
+
+
+def parts(text: str, most: int, special) -> tuple[list[str], int]:
+    """(pieces to encode, special strings between them) of a text."""
+    if special is None or len(text) <= most:
+        return [text], 0
+    found, n, at = [], 0, 0
+    for m in special.finditer(text):
+        found += pieces(text[at : m.start()], most)
+        n, at = n + 1, m.end()
+    return [x for x in found + pieces(text[at:], most) if x], n
+
+
 @lru_cache(maxsize=4)
 def _lengths_of(name: str):
-    """A function from texts to token counts, for a vocabulary file by name or path."""
+    """(function from texts to token counts, pattern of its special strings or None if texts must stay whole), for a
+    vocabulary file by name or path."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if os.path.isabs(name):
         path = name
@@ -58,13 +83,13 @@ def _lengths_of(name: str):
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in processor.encode(texts, num_threads=1)]
+        return lambda texts: [len(x) for x in processor.encode(texts, num_threads=1)], None
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], _special_strings(json.loads(tokenizer.to_str()))
 
 
 def count_tokens(
@@ -75,15 +100,15 @@ def count_tokens(
 
     Texts are encoded whole: long ones in pieces cut where the tokenizer cuts anyway, and batches close
     at ``batch_bytes`` bytes of UTF-8, not at a row count, so that one batch needs the same memory
-    whatever the texts. Only ``.json`` vocabularies are cut; others take texts whole, and so does a stretch of
-    letters alone, which the vocabulary takes as one piece anyway.
+    whatever the texts. Special strings are taken out of long texts first, as the library does, and count one each, so no
+    cut falls into one. Only plain byte-level vocabularies are cut; others take texts whole, and so does a stretch of
+    letters, digits, marks or blanks alone, which the vocabulary takes as one run anyway.
     Null and empty texts count 0 bytes and 0 tokens; a null id stays null; repeated rows each count.
     """
     ready(docs.sparkSession)
-    cut = piece_chars if tokenizer.endswith(".json") else 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _lengths_of(tokenizer)
+        lengths, special = _lengths_of(tokenizer)
         for batch in batches:
             column = batch.column(1)
             counts = np.zeros(batch.num_rows, dtype=np.int64)
@@ -94,7 +119,8 @@ def count_tokens(
                 text = column[i].as_py()
                 if not text:
                     continue
-                for piece in pieces(text, cut):
+                cut, counts[i] = parts(text, piece_chars, special)
+                for piece in cut:
                     part.append(piece)
                     owner.append(i)
                     held += len(piece.encode())

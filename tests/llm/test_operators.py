@@ -89,6 +89,48 @@ def test_long_texts_of_all_scripts_are_cut(spark):
     assert got == {i: len(own.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
 
 
+@pytest.fixture(scope="module")
+def byte_level():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths, special = tokens._lengths_of("byte_bpe_50k.json")
+
+    def both(text, most):
+        cut, n = tokens.parts(text, most, special)
+        return sum(lengths(cut)) + n, len(own.encode(text, add_special_tokens=False))
+
+    return both
+
+
+@pytest.mark.parametrize("before", ["a", "7", "あ", " ", ".", "\n", "'", "|", "<", "<|endoftext|>"])
+def test_special_strings_at_every_offset_of_a_cut(byte_level, before):
+    for shift in range(30):
+        text = "ab cd, " * 14 + "x" * shift + before + "<|endoftext|>" + "y z1. <|endoftext" + "|>" * 3 + " q's." * 30
+        mine, library = byte_level(text, 100)
+        assert mine == library, (shift, text)
+
+
+def test_cuts_agree_with_the_library_on_random_texts(byte_level):
+    rng = random.Random(7)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", "it's", "'S", "we'll", "  ", "\n", "\n\n ", "\t", "\xa0", "\u3000", "\x1c", "\x85", "12", "٣", "½", "é", "e\u0301", "あい", "한국", "नमस्ते", "😀", "👩‍💻", "_", "--", "...", "x", " y", "\u200b", "。", "\x00", "ﬁ", "Ⅷ"]
+    for n in range(300):
+        some = rng.sample(bits, rng.randrange(1, 6))
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(20, 400)))
+        mine, library = byte_level(text, rng.choice([5, 17, 60]))
+        assert mine == library, (n, text)
+    for alone in (" ", "\n", "a", "7", ".", "😀", "<|endoftext|>", "\u3000"):
+        mine, library = byte_level(alone * 3_000, 100)
+        assert mine == library, alone
+
+
+def test_only_plain_byte_level_texts_are_cut():
+    assert tokens._lengths_of("word_bpe_49k.json")[1] is None
+    assert tokens.parts("a b " * 100, 50, None) == (["a b " * 100], 0)
+    assert max(map(len, tokens.parts("😀 é! " * 1000, 50, tokens._lengths_of("byte_bpe_50k.json")[1])[0])) < 60
+
+
 # --- 3 --------------------------------------------------------------------------------------------
 
 
