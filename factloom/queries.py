@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import edits, graph, metrics, relations, similarity
+from .operators import edits, graph, intervals, metrics, relations, similarity, trees
 from .plans import report, rules
 from .sources import files
 
@@ -275,6 +275,44 @@ def later_duplicates(spark, sf_dir):
     return relations.later_duplicates(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"]).select("doc_id", "source", "rank")
 
 
+# --- trees and intervals ----------------------------------------------------------------------------
+
+
+@query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->|<[^>]*>|[^<]+|<')) AS token, generate_subscripts(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->|<[^>]*>|[^<]+|<'), 1) - 1 AS i FROM pages),
+k AS (SELECT page_id, i, trim(regexp_replace(token, '[\x20\x09-\x0D]+', ' ', 'g')) AS flat, lower(regexp_extract(token, '^</?([A-Za-z][^\s/>]*)', 1)) AS name, token FROM t),
+n AS (SELECT *, CASE WHEN NOT starts_with(token, '<') OR token = '<' THEN 'text' WHEN name = '' THEN 'none' WHEN starts_with(token, '</') THEN 'close' ELSE 'open' END AS kind FROM k),
+s AS (SELECT *, CASE WHEN kind = 'close' THEN -1 WHEN kind = 'open' AND NOT suffix(token, '/>') AND name NOT IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') THEN 1 ELSE 0 END AS step
+  FROM n WHERE kind <> 'none' AND NOT (kind = 'text' AND flat = '')),
+d AS MATERIALIZED (SELECT * FROM (SELECT *, coalesce(sum(step) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM s) WHERE kind <> 'close'),
+e AS (SELECT a.page_id, a.i, any_value(a.depth) AS depth, any_value(a.name) AS tag, min(b.i) AS stop FROM d a LEFT JOIN d b ON a.page_id = b.page_id AND b.i > a.i AND b.depth <= a.depth WHERE a.kind = 'open' GROUP BY a.page_id, a.i),
+f AS (SELECT e.page_id, e.i, any_value(e.tag) AS tag, count(*) AS size, string_agg((d.depth - e.depth) || d.kind || d.flat, chr(1) ORDER BY d.i) AS whole
+  FROM e JOIN d ON d.page_id = e.page_id AND d.i >= e.i AND (e.stop IS NULL OR d.i < e.stop) GROUP BY e.page_id, e.i)
+SELECT any_value(tag) AS tag, any_value(size) AS size, count(DISTINCT page_id) AS pages, count(*) AS occurrences, min(page_id) AS first_page, arg_min(i, (page_id, i)) AS first_node FROM f GROUP BY whole HAVING count(DISTINCT page_id) >= 3""")
+def equal_subtrees(spark, sf_dir):
+    return trees.equal_subtrees(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+
+
+@query("""WITH i AS (SELECT e.event_id AS error_id, e.user_id, e.ts AS a, min(p.ts) AS b FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts > e.ts WHERE e.event_type = 'error' GROUP BY ALL)
+SELECT i.user_id, error_id, event_id FROM i JOIN events e ON e.user_id = i.user_id AND e.ts > i.a AND e.ts < i.b""")
+def events_before_recovery(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    day = 86_400_000_000
+    known = intervals.next_match(events, ["user_id"], "at", F.col("event_type") == "purchase", day)
+    spans = known.where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("at").alias("start"), F.col("next_at").alias("stop"))
+    return intervals.contained(events.select("user_id", "event_id", "at"), spans, ["user_id"], "at", "start", "stop").select("user_id", "error_id", "event_id")
+
+
+@query("""WITH w AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS a, max(CAST(l_shipdate AS DATE)) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT w.o_orderkey, count(*) AS n FROM w JOIN orders o ON o.o_custkey = w.o_custkey AND CAST(o.o_orderdate AS DATE) > w.a AND CAST(o.o_orderdate AS DATE) < w.b GROUP BY w.o_orderkey""")
+def orders_in_ship_windows(spark, sf_dir):
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day("o_orderdate").alias("start"))
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(day("l_shipdate")).alias("stop"))
+    points = orders.select("o_custkey", F.col("o_orderkey").alias("other"), F.col("start").alias("at"))
+    met = intervals.contained(points, orders.join(shipped, "o_orderkey"), ["o_custkey"], "at", "start", "stop")
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
 # --- metrics ----------------------------------------------------------------------------------------
 
 
