@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import edits, graph, intervals, metrics, relations, similarity, trees
-from .plans import report, rules
+from .plans import incremental, report, rules
 from .sources import files
+from .sources.scratch import scratch_path
+from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,11 +112,6 @@ def result_totals(spark, sf_dir):
     return report.totals(diagnostics(spark, sf_dir), TEXT_RULES.table(spark))
 
 
-@query("SELECT * FROM (VALUES ('max-lines', 'warning'), ('secret-format', 'error'), ('duplicate-text', 'error')) v(rule, severity)")
-def severity_resolution(spark, sf_dir):
-    return rules.severities(TEXT_RULES.table(spark), *_config(spark))
-
-
 @query(FOUND + "SELECT file || ':1:1 ' || severity || ' ' || rule || ' ' || message AS value FROM found")
 def report_lines(spark, sf_dir):
     return report.as_lines(diagnostics(spark, sf_dir))
@@ -275,6 +272,55 @@ def later_duplicates(spark, sf_dir):
     return relations.later_duplicates(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"]).select("doc_id", "source", "rank")
 
 
+# --- what changed, and streams --------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, rule, message, coalesce(lang <> 'fr' AND (lang <> 'es' OR text IS NOT DISTINCT FROM upper(text)), FALSE) AS reused FROM (
+  SELECT doc_id, lang, text, 'max-lines' AS rule, CAST(len(string_split(text, chr(10))) AS VARCHAR) || ' lines — split it' AS message FROM documents WHERE len(string_split(text, chr(10))) > 8
+  UNION ALL SELECT doc_id, lang, text, 'secret-format', '40 hex digits — remove them' FROM documents WHERE regexp_matches(text, '[0-9a-f]{40}'))""")
+def rechecked_documents(spark, sf_dir):
+    """Findings in all documents, after a first run over a state without the French ones and with the Spanish in capitals."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    store = incremental.ResultStore(spark, scratch_path(spark, "rechecked"), "doc_id", "bigint", "rule string, message string")
+
+    def check(rows: DataFrame) -> DataFrame:
+        found = TEXT_RULES.only(("max-lines", "secret-format")).diagnostics({"documents": rows})
+        return found.select(F.col("file").cast("long").alias("doc_id"), "rule", "message")
+
+    store.update(docs.where("lang <> 'fr'").withColumn("text", F.when(F.col("lang") == "es", F.upper("text")).otherwise(F.col("text"))), ["text"], check)
+    first = [r["part"] for r in store.manifest().select("part").distinct().collect()]
+    store.update(docs, ["text"], check)
+    return store.results().select("doc_id", "rule", "message", F.col("part").isin(first).alias("reused"))
+
+
+def _slices(spark, sf_dir, n=4):
+    """The events in ``n`` stretches of time, one after the other."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    low, high = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    of = F.least(F.floor((F.unix_micros("ts") - F.lit(low or 0)) * n / F.lit(max(1, (high or 0) - (low or 0)))), F.lit(n - 1))
+    return [events.where(of == i) for i in range(n)]
+
+
+CLOSED = "SELECT (epoch_us(max(ts)) // 1000 - 86400000) * 1000 AS mark FROM events"
+
+
+@query(f"""WITH w AS (SELECT epoch_us(ts) // 21600000000 * 21600 AS window_start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL)
+SELECT window_start, event_type, n, most FROM w WHERE (window_start + 21600) * 1000000 <= ({CLOSED})""")
+def streamed_windows(spark, sf_dir):
+    build = lambda events: windows.tumbling(events, "ts", "6 hours", "1 day", ["event_type"], [F.count("*").alias("n"), F.max("value").alias("most")])
+    given = windows.replayed(spark, _slices(spark, sf_dir), build, scratch_path(spark, "streamed"))
+    return given.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n", "most")
+
+
+@query(f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT user_id, t, sum(CASE WHEN before IS NULL OR t - before > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM e)
+SELECT user_id, min(t) AS session_start, max(t) + 21600000000 AS session_end, count(*) AS n FROM s GROUP BY user_id, k HAVING max(t) + 21600000000 <= ({CLOSED})""")
+def streamed_sessions(spark, sf_dir):
+    build = lambda events: windows.sessions(events, "ts", "6 hours", "1 day", ["user_id"], [F.count("*").alias("n")])
+    given = windows.replayed(spark, _slices(spark, sf_dir), build, scratch_path(spark, "streamed"))
+    return given.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
+
+
 # --- trees and intervals ----------------------------------------------------------------------------
 
 

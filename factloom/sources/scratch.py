@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-_scopes: list[str] = []
+#: The innermost block of this thread or task, not of the process: pipelines side by side keep their own folders.
+_scope: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A folder for what is written inside, deleted at the end: results must be written elsewhere before."""
     folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    _scopes.append(folder)
+    before = _scope.set(folder)
     try:
         yield folder
     finally:
-        _scopes.remove(folder)
+        _scope.reset(before)
         remove(spark, folder)
 
 
@@ -46,8 +48,15 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """What is directly in a folder, as paths that begin as ``path`` does; none if it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f"{path}/{s.getPath().getName()}" for s in system.listStatus(place)] if system.exists(place) else []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{_scopes[-1] if _scopes else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
