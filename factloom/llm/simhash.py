@@ -219,5 +219,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links(distinct, shard_rows, leaf_sample))
     first = found.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("least").alias("first"))
     of = distinct.join(found.join(first, "component").select(F.col("node").alias("fp"), "first"), "fp", "left")
-    of = of.select("fp", F.coalesce("first", "least").alias("component_id"))
+    # written, so that a fingerprint of a third of all rows is met in a join of two exchanges, which Spark can split
+    of = written(of.select("fp", F.coalesce("first", "least").alias("component_id")), "simhash-classes")
     return each.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
