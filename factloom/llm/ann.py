@@ -154,7 +154,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def fitted(rows: DataFrame, queries: DataFrame, dim: int, count: int, k: int, tables: int, recall: float, sample: int, cell_rows: int) -> tuple[CrossPolytope, int]:
     """(hash, probes a table): the fewest probes by which ``sample`` queries meet their true neighbours.
 
-    Depth grows with the logarithm of the number of rows, to about ``cell_rows`` a cell. The sample's exact
+    Depth grows with the logarithm of the number of rows, so that a cell has ``cell_rows`` at most on the average. The sample's exact
     neighbours come from one scan; ``sample`` * (k + 1) vectors come to the driver. Where an id is met twice,
     the query's and the neighbour's vectors at their smaller distance count.
     """
@@ -168,7 +168,7 @@ def fitted(rows: DataFrame, queries: DataFrame, dim: int, count: int, k: int, ta
     pairs = rows.join(F.broadcast(found.join(asking, "query_id")), "id")
     true = pairs.groupBy("query_id", "id").agg(F.min_by(F.struct("at", "v"), apart).alias("m")).select("m.at", "m.v").toPandas()  # sample * k rows
     owner, near = true["at"].to_numpy(), np.array(true["v"].tolist(), dtype=np.float64).reshape(-1, dim)
-    depth = max(1, round(math.log(max(1, count / cell_rows)) / math.log(2 * dim)))
+    depth = max(1, math.ceil(math.log(max(1, count / cell_rows)) / math.log(2 * dim)))
     while True:
         hashed = CrossPolytope(dim, tables, depth)
         most = 2 * hashed.width if depth == 1 else 1024

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, scratch_path
 
 WORD = re.compile(rb"[^ ]+")
 #: Digits, letters and all bytes of non-ASCII characters stay (A-Z as a-z); the rest separates words.
@@ -106,7 +108,33 @@ def _blocks(items: list[tuple[str, str]], most_chars: int) -> list[tuple[tuple[s
     return [tuple(x) for x in out]
 
 
-def scan_all(texts: list[str | None], blocks: list[tuple[tuple[str, str], ...]], n: int) -> list[dict]:
+class StoredBlocks:
+    """Blocks of items as Parquet files in the shared folder, read one at a time by whoever goes through them."""
+
+    def __init__(self, folder: str, count: int):
+        self.folder, self.count = folder, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[tuple[tuple[str, str], ...]]:
+        files, path = fs.FileSystem.from_uri(self.folder)
+        for b in range(self.count):
+            found = [f.path for f in files.get_file_info(fs.FileSelector(f"{path}/block={b}", allow_not_found=True)) if f.path.endswith(".parquet")]
+            rows = [r for f in sorted(found) for r in pq.read_table(f, filesystem=files, partitioning=None).to_pylist()]
+            yield tuple(sorted((r["i"], r["t"]) for r in rows))
+
+
+def _stored(wanted: DataFrame, size: int, most_chars: int) -> StoredBlocks:
+    """Different items in blocks of about ``most_chars`` characters by a hash, written by Spark."""
+    count = -(-size // most_chars)
+    place = scratch_path(wanted.sparkSession, "benchmark-blocks")
+    dealt = wanted.distinct().withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(count)))
+    dealt.repartition("block").write.partitionBy("block").parquet(place)
+    return StoredBlocks(place, count)
+
+
+def scan_all(texts: list[str | None], blocks: list[tuple[tuple[str, str], ...]] | StoredBlocks, n: int) -> list[dict]:
     """n_words, n_hit, items and hit_spans of each text. Blocks are the outer loop: one automaton is held at a time and
     scans all texts."""
     total, runs, met = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
@@ -132,8 +160,8 @@ def find_items(
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted strings) and hit_spans (code points, end exclusive) added.
 
-    The items are a test set, not a corpus: their size is summed first, and beyond ``most_item_chars``
-    the call fails rather than send them to the executors. Up to ``block_chars`` characters they are one automaton
+    The items' size is summed first. Up to ``most_item_chars`` they come to the driver and are sent to the executors; beyond,
+    Spark writes them to the shared folder in blocks, and workers read these one at a time. Up to ``block_chars`` characters they are one automaton
     (some 200 MB), built once a worker; texts are scanned batch by batch. Beyond, a worker holds one block's automaton at a time
     and ``held_bytes`` of texts, which all blocks scan in turn: a block is built once for so many bytes.
     Columns of the same names as the added ones are replaced. Null or empty texts have no words. Null or empty items
@@ -143,9 +171,7 @@ def find_items(
     ready(spark)
     wanted = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     size = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
-    if size > most_item_chars:
-        raise ValueError(f"the items have {size} characters; at most {most_item_chars} are sent to the executors")
-    parts = _blocks(sorted(tuple(x) for x in wanted.collect()), block_chars)
+    parts = _blocks(sorted(tuple(x) for x in wanted.collect()), block_chars) if size <= most_item_chars else _stored(wanted, size, block_chars)
     blocks = spark.sparkContext.broadcast(parts)
     most = held_bytes if len(parts) > 1 else 0
 

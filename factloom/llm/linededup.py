@@ -80,6 +80,12 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE {name}")
         remove(self.spark, place)
 
+    def close(self) -> None:
+        """Drops all runs; what was read from them must be written before."""
+        for name in [n for level in self.levels for n in level]:
+            self.drop(name)
+        self.levels = []
+
     def _sum(self, names: list[str]) -> DataFrame:
         # bucket k of all runs is one partition of the union. The filter (n is 1 at least) makes the scans' columns rows: a
         # union of columnar scans would put the buckets behind one another, but pass for partitioned by key (Spark 4.1).
@@ -132,10 +138,14 @@ def dedup_lines(
     ready(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     keys = written(line_keys(source, least_chars), "line-keys")  # texts are read twice: here and at the end
+    own = runs is None
     runs = runs or LineRuns(spark, fanout, min_docs, max(spark.sparkContext.defaultParallelism, -(-keys.count() // bucket_keys)))
     for batch in batches_of(keys, batches):
         runs.add(batch)
-    hot = runs.counts().where(F.col("n") >= min_docs).select("h1", "h2", "newest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    common = written(runs.counts().where(F.col("n") >= min_docs).select("h1", "h2", "newest"), "line-common")
+    if own:  # nothing stays in the catalog
+        runs.close()
+    hot = common.select("h1", "h2", "newest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     # a key may be in a third of all documents: its rows are dealt to `salts` tasks
     met = keys.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
     lost = met.join(hot, ["h1", "h2", "salt"]).where(~F.col("newest").eqNullSafe(F.col("doc")))

@@ -224,6 +224,14 @@ def test_line_dedup(spark, batches):
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()), key=repr) == brute_lines(table)
     assert got.columns == ["doc_id", "text", "doc", "n_lines", "n_dropped"]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_line_dedup_of_a_text_of_very_many_lines(spark):
+    lines = [f"line number {k} of a long text" for k in range(30_000)]
+    table = [(1, "\n".join(lines)), (2, "\n".join(lines[::2])), (3, "\n".join(lines[:20_000])), (4, lines[1])]
+    got = linededup.dedup_lines(spark.createDataFrame(table, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == brute_lines(table)
 
 
 def test_line_runs_compact(spark):
@@ -258,6 +266,18 @@ def test_mixing(spark):
         assert v[0]["source_size"] == sum(r["size"] for r in v) and v[0]["target"] <= 3 * v[0]["source_size"]
         assert abs(sum(r["taken"] for r in v) - v[0]["target"]) <= max(r["size"] for r in v) / 2 + 1e-6
     assert mixing.mix(df.limit(0)).count() == 0
+    assert rows(mixing.mix(df, most_sources=3)) == sorted((tuple(r) for r in got), key=repr)  # sources as a table, met by shuffles
+    again = df.unionByName(df.where("doc_id < 50")).withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")))
+    assert rows(mixing.mix(again, most_sources=3)) == rows(mixing.mix(again))  # null and repeated ids
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(15)
+    for sizes in ([0, 0], [5], [rng.choice([0, 1, 1, 3, 10, 1000]) for _ in range(200)], [1 << 40, 1, 1]):
+        table = spark.createDataFrame([(f"s{i}é" if i else None, n) for i, n in enumerate(sizes)], "source string, source_size long").repartition(3)
+        few, many = (mixing.targets(table, (5, 2, 1), 3, n).collect() for n in (1000, 0))
+        assert {r["source"]: r["source_size"] for r in few} == {r["source"]: r["source_size"] for r in many}
+        assert {r["source"]: r["target"] for r in few} == pytest.approx({r["source"]: r["target"] for r in many}, rel=1e-12)
 
 
 # --- 6 --------------------------------------------------------------------------------------------
@@ -286,6 +306,24 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id >= 2000"), F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize(("cell_rows", "depth"), [(4096, 1), (20, 2), (1, 3)])
+def test_depth_grows_with_the_rows(spark, cell_rows, depth, monkeypatch):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(1200, 16))
+    x[600:] = x[:600] + 0.4 * rng.normal(size=(600, 16))
+    seen, own = [], ann.fitted
+    monkeypatch.setattr(ann, "fitted", lambda *a, **k: seen.append(own(*a, **k)) or seen[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 10 == 0, k=5, cell_rows=cell_rows).collect()
+    assert seen[0][0].depth == depth
+    hit = 0
+    for q in range(0, 1200, 10):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        hit += len(set(np.lexsort((np.arange(1200), d))[1:6].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == 600
+    assert hit >= 0.93 * 600
+
+
 def test_nearest_of_repeated_rows(spark):
     ids, scores = np.repeat(np.arange(1, 31), 3), np.repeat(np.arange(30) / 7, 3) + np.tile([0.0, 0.01, 0.02], 30)
     best = ann.Best(10)
@@ -468,6 +506,58 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def plain_languages(labelled, texts, profile, bits):
+    """(label, score) by sets of cells of each language, gram by gram."""
+    def grams(text):
+        words = re.sub("[^a-z\x80-\U0010ffff]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")).split(" ")
+        raw = " ".join(w for w in words if w).encode()
+        raw = b" " + raw + b" " if text else b""
+        return [int.from_bytes(raw[k : k + 4], "little") for k in range(len(raw) - 3)]
+
+    def places(g):
+        out = []
+        for m in langid.MULTIPLIERS:
+            h = g * m % 2**64
+            h = (h ^ (h >> 29)) * langid.MULTIPLIERS[0] % 2**64
+            out.append(h >> (64 - bits))
+        return out
+
+    counts = {}
+    for lang, text in labelled:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    tops = {k: sorted(c, key=lambda g: (-c[g], g))[:profile] for k, c in sorted(counts.items())}
+    filled = {k: {p for g in top for p in places(g)} for k, top in tops.items()}
+    out = []
+    for text in texts:
+        own = grams(text)
+        best = ("und", 0.0)
+        if text and any(c.isalpha() for c in text):
+            fair = {}
+            for k, cells in filled.items():
+                rate = (len(cells) / 2**bits) ** len(langid.MULTIPLIERS)
+                met = sum(all(p in cells for p in places(g)) for g in own)
+                fair[k] = max(0.0, (met - rate * len(own)) / (1 - rate))
+            label = max(fair, key=lambda k: (fair[k], [-ord(c) for c in k]))
+            best = (label, min(1.0, fair[label] / max(len(own), 1)))
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize(("profile", "bits", "cut"), [(6_000, 19, 1_000_000), (40, 10, 50), (3, 8, 1)])
+def test_language_id_equals_a_plain_version(spark, profile, bits, cut):
+    """Small filters are full of false positives, small profiles of ties, small slices cut batches at each text."""
+    rng = random.Random(19)
+    langs = [rng.choice(["xx", "yy", "zz", "aa", None]) for _ in range(150)]
+    texts = [speech(rng, x if x in SYLLABLES else rng.choice(list(SYLLABLES)), rng.randrange(1, 40)) for x in langs]
+    texts += [None, "", "!? 12", "a", "é", "ABC abc", "Жук жук", "\x00x", "日本語", "no such"]
+    df = docs_table(spark, texts, langs + [None] * 10).repartition(3)
+    model = langid.train(df, profile=profile, bits=bits)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, model, slice_chars=cut).collect()}
+    want = plain_languages([(k, t) for k, t in zip(langs, texts, strict=False) if k], texts, profile, bits)
+    assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in enumerate(want)}
+    assert [got[i][1] for i in range(len(texts))] == pytest.approx([v[1] for v in want], abs=1e-12)
+
+
 def test_language_filter_counts():
     rng = np.random.default_rng(1)
     profiles = {k: rng.integers(0, 2**32, 500).astype(np.uint32) for k in map(str, range(70))}  # two words of bits
@@ -510,8 +600,8 @@ def test_decontamination(spark, block):
         assert sum(len(decontam.words(t[s["start"] : s["end"]])) for s in got[i]["hit_spans"]) == got[i]["n_hit"]
     assert decontam.find_items(df.limit(0), table).count() == 0
     assert {r["n_hit"] for r in decontam.find_items(df, table.limit(0)).collect()} == {0}
-    with pytest.raises(ValueError):
-        decontam.find_items(df, table, most_item_chars=10)
+    more = decontam.find_items(df, table.unionByName(table), block_chars=block, most_item_chars=10)  # items beyond the bound: from the shared folder
+    assert rows(more) == rows(decontam.find_items(df, table, block_chars=block))
 
 
 def test_blocks_are_built_once(monkeypatch):
