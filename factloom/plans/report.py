@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape, percent
+from ..sources.scratch import written
 
 
 def by_rule(found: DataFrame) -> DataFrame:
@@ -25,16 +26,42 @@ def totals(found: DataFrame, rules: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(checks))  # one row beside one row
 
 
-def category_scores(found: DataFrame, rules: DataFrame, files: int) -> DataFrame:
+def evaluated(found: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(findings, counts): the findings, evaluated once and written for all reports, and findings, errors and warnings as
+    they were counted while they were written."""
+    seen, of = Observation(), lambda level: F.count_if(F.col("severity") == level)
+    counted = found.observe(seen, F.count(F.lit(1)).alias("findings"), of("error").alias("errors"), of("warning").alias("warnings"))
+    return written(counted, "findings"), seen.get
+
+
+def all_counts(found: DataFrame) -> DataFrame:
+    """(level, key, n, errors, warnings) by rule, by file, by category and of all together, in one pass."""
+    levels = ["rule", "file", "category"]
+    counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("severity") == v).alias(f"{v}s") for v in ("error", "warning")]]
+    level = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in levels], F.lit("all"))
+    every = found.groupingSets([[c] for c in levels] + [[]], *levels).agg(*counts, level.alias("level"))
+    key = F.coalesce(*[F.when(F.col("level") == c, F.col(c)) for c in levels])
+    return every.select("level", key.alias("key"), "n", "errors", "warnings")
+
+
+def _with_files(rows: DataFrame, files: int | DataFrame) -> DataFrame:
+    """With the number of files: given, or the rows of a table, counted with the query."""
+    if isinstance(files, int):
+        return rows.withColumn("files", F.lit(files))
+    return rows.join(F.broadcast(files.agg(F.count(F.lit(1)).alias("files"))))  # one row
+
+
+def category_scores(found: DataFrame, rules: DataFrame, files: int | DataFrame) -> DataFrame:
     """Of each category of the rules, the share of files without an error in it."""
     bad = found.where("severity = 'error'").join(F.broadcast(rules.select("rule", "category")), "rule").groupBy("category").agg(F.count_distinct("file").alias("bad"))
-    clean = F.lit(files) - F.coalesce("bad", F.lit(0))
-    return rules.select("category").distinct().join(bad, "category", "left").select("category", clean.alias("clean"), percent(clean, F.lit(files)).alias("pct"))
+    clean = F.col("files") - F.coalesce("bad", F.lit(0))
+    known = _with_files(rules.select("category").distinct().join(bad, "category", "left"), files)
+    return known.select("category", clean.alias("clean"), percent(clean, F.col("files")).alias("pct"))
 
 
-def clean_score(found: DataFrame, files: int) -> DataFrame:
-    bad = found.where("severity = 'error'").agg(F.count_distinct("file").alias("bad"))
-    return bad.select((F.lit(files) - F.col("bad")).alias("clean"), percent(F.lit(files) - F.col("bad"), F.lit(files)).alias("pct"))
+def clean_score(found: DataFrame, files: int | DataFrame) -> DataFrame:
+    bad = _with_files(found.where("severity = 'error'").agg(F.count_distinct("file").alias("bad")), files)
+    return bad.select((F.col("files") - F.col("bad")).alias("clean"), percent(F.col("files") - F.col("bad"), F.col("files")).alias("pct"))
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column | str], k: int) -> DataFrame:
@@ -44,11 +71,14 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column | str],
 
 def shares(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Sum and percentage of the whole, to one decimal; the whole is summed over the groups."""
-    return rows.groupBy(key).agg(F.sum(value).alias("total")).withColumn("pct", F.round(100.0 * F.col("total") / F.sum("total").over(Window.partitionBy()), 1))
+    totals = rows.groupBy(key).agg(F.sum(value).alias("total"))
+    whole = F.broadcast(totals.agg(F.sum("total").alias("whole")))  # one row
+    return totals.join(whole).withColumn("pct", F.round(100.0 * F.col("total") / F.col("whole"), 1)).drop("whole")
 
 
 def bars(rows: DataFrame, value: str, width: int = 66) -> DataFrame:
-    return rows.withColumn("bar", F.round(F.col(value) / F.max(value).over(Window.partitionBy()) * width).cast("long"))
+    longest = F.broadcast(rows.agg(F.max(value).alias("longest")))  # one row
+    return rows.join(longest).withColumn("bar", F.round(F.col(value) / F.col("longest") * width).cast("long")).drop("longest")
 
 
 def issue_groups(rows: DataFrame, issue: str, mark: str = "—") -> DataFrame:
@@ -79,10 +109,10 @@ def as_json(found: DataFrame) -> DataFrame:
     return found.select(F.to_json(F.struct("rule", "severity", "file", "line", "column", "message")).alias("value"))
 
 
-def json_head(found: DataFrame, rules: DataFrame, files: int) -> DataFrame:
+def json_head(found: DataFrame, rules: DataFrame, files: int | DataFrame) -> DataFrame:
     """One object with the counts of a report: files, rules, checks, errors, warnings."""
-    counts = totals(found, rules).join(F.broadcast(rules.agg(F.count("*").alias("n"))))
-    return counts.select(F.to_json(F.struct(F.lit(files).alias("files"), F.col("n").alias("rules"), F.col("sub_checks").alias("checks"), "errors", "warnings")).alias("value"))
+    counts = _with_files(totals(found, rules).join(F.broadcast(rules.agg(F.count("*").alias("n")))), files)
+    return counts.select(F.to_json(F.struct("files", F.col("n").alias("rules"), F.col("sub_checks").alias("checks"), "errors", "warnings")).alias("value"))
 
 
 def as_html(found: DataFrame) -> DataFrame:

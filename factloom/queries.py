@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import edits, graph, intervals, metrics, relations, similarity, trees
+from .operators import derive, edits, graph, intervals, metrics, relations, similarity, substrings, trees
 from .plans import incremental, report, rules
-from .sources import files
-from .sources.scratch import scratch_path
+from .sources import files, layout
+from .sources.scratch import scratch_path, written
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,22 +40,27 @@ MOST_LINES = 8
 LONG_HEX = r"[0-9a-f]{40}"
 
 
+def document_facts(docs: DataFrame) -> DataFrame:
+    """What the rules ask of a document, without its text: one scan of the texts serves all rules."""
+    return docs.select(
+        "doc_id", F.size(F.split("text", "\n", -1)).alias("lines"), F.col("text").rlike(LONG_HEX).alias("long_hex"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
+
+
 @TEXT_RULES.rule("max-lines", "quality", "A document has more lines than allowed")
 def max_lines(facts: rules.Facts, options: dict) -> DataFrame:
-    lines = F.size(F.split("text", "\n", -1))
-    hit = facts["documents"].where(rules.lines_over(F.col("text"), options.get("most", MOST_LINES)))
-    return hit.select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.concat(lines.cast("string"), F.lit(" lines — split it")).alias("message"))
+    hit = facts["documents"].where(F.col("lines") > options.get("most", MOST_LINES))
+    return hit.select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.concat(F.col("lines").cast("string"), F.lit(" lines — split it")).alias("message"))
 
 
 @TEXT_RULES.rule("secret-format", "security", "A document has a key in a known format", sub_checks=2)
 def secret_format(facts: rules.Facts, options: dict) -> DataFrame:
-    hit = facts["documents"].where(F.col("text").rlike(LONG_HEX))
+    hit = facts["documents"].where("long_hex")
     return hit.select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("40 hex digits — remove them").alias("message"))
 
 
 @TEXT_RULES.rule("duplicate-text", "architecture", "Several documents have the same text")
 def duplicate_text(facts: rules.Facts, options: dict) -> DataFrame:
-    docs = facts["documents"].select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
+    docs = facts["documents"].select("doc_id", "h")
     groups = relations.duplicates(docs, ["h"], "doc_id")
     return docs.join(groups, "h").where("doc_id <> first").select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.concat(F.lit("same text as "), F.col("first").cast("string"), F.lit(" — drop it")).alias("message"))
 
@@ -68,7 +73,7 @@ def _config(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     overrides, groups = _config(spark)
-    found = TEXT_RULES.diagnostics({"documents": table(spark, sf_dir, "documents")})
+    found = TEXT_RULES.diagnostics({"documents": written(document_facts(table(spark, sf_dir, "documents")), "document-facts")})
     active = rules.severities(TEXT_RULES.table(spark), overrides, groups)
     return rules.without_disabled(found, overrides).join(F.broadcast(active), "rule")  # one row a rule
 
@@ -98,13 +103,13 @@ def findings_by_file(spark, sf_dir):
 round(100.0 * ((SELECT count(*) FROM documents) - count(DISTINCT file) FILTER (severity = 'error')) / (SELECT count(*) FROM documents), 1) AS pct
 FROM rules LEFT JOIN found USING (rule) GROUP BY category""")
 def category_scores(spark, sf_dir):
-    return report.category_scores(diagnostics(spark, sf_dir), TEXT_RULES.table(spark), table(spark, sf_dir, "documents").count())
+    return report.category_scores(diagnostics(spark, sf_dir), TEXT_RULES.table(spark), table(spark, sf_dir, "documents"))
 
 
 @query(FOUND + """SELECT (SELECT count(*) FROM documents) - count(DISTINCT file) AS clean, round(100.0 * ((SELECT count(*) FROM documents) - count(DISTINCT file)) / (SELECT count(*) FROM documents), 1) AS pct
 FROM found WHERE severity = 'error'""")
 def clean_score(spark, sf_dir):
-    return report.clean_score(diagnostics(spark, sf_dir), table(spark, sf_dir, "documents").count())
+    return report.clean_score(diagnostics(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 @query(FOUND + "SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, 4 AS sub_checks FROM found")
@@ -112,6 +117,24 @@ def result_totals(spark, sf_dir):
     return report.totals(diagnostics(spark, sf_dir), TEXT_RULES.table(spark))
 
 
+COUNTED = "count(*) AS n, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings"
+
+
+@query(FOUND + f""", c AS (SELECT found.*, category FROM found JOIN rules USING (rule))
+SELECT 'rule' AS level, rule AS key, {COUNTED} FROM c GROUP BY rule UNION ALL SELECT 'file', file, {COUNTED} FROM c GROUP BY file
+UNION ALL SELECT 'category', category, {COUNTED} FROM c GROUP BY category UNION ALL SELECT 'all', NULL, {COUNTED} FROM c""")
+def report_counts(spark, sf_dir):
+    found, _ = report.evaluated(diagnostics(spark, sf_dir))
+    return report.all_counts(found.join(F.broadcast(TEXT_RULES.table(spark).select("rule", "category")), "rule"))  # one row a rule
+
+
+@query(FOUND + "SELECT count(*) AS findings, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM found")
+def observed_totals(spark, sf_dir):
+    """The report's totals, counted while its findings were written."""
+    _, counts = report.evaluated(diagnostics(spark, sf_dir))
+    return spark.createDataFrame([tuple(counts[c] for c in ("findings", "errors", "warnings"))], "findings long, errors long, warnings long")
+
+
 @query(FOUND + "SELECT file || ':1:1 ' || severity || ' ' || rule || ' ' || message AS value FROM found")
 def report_lines(spark, sf_dir):
     return report.as_lines(diagnostics(spark, sf_dir))
@@ -284,7 +307,7 @@ def rechecked_documents(spark, sf_dir):
     store = incremental.ResultStore(spark, scratch_path(spark, "rechecked"), "doc_id", "bigint", "rule string, message string")
 
     def check(rows: DataFrame) -> DataFrame:
-        found = TEXT_RULES.only(("max-lines", "secret-format")).diagnostics({"documents": rows})
+        found = TEXT_RULES.only(("max-lines", "secret-format")).diagnostics({"documents": document_facts(rows)})
         return found.select(F.col("file").cast("long").alias("doc_id"), "rule", "message")
 
     store.update(docs.where("lang <> 'fr'").withColumn("text", F.when(F.col("lang") == "es", F.upper("text")).otherwise(F.col("text"))), ["text"], check)
@@ -359,6 +382,28 @@ def orders_in_ship_windows(spark, sf_dir):
     return met.groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
+@query("""WITH p AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS pattern FROM part UNION SELECT DISTINCT unnest(regexp_extract_all(html, '<a [^>]*>([^<]+)</a>', 1)) FROM pages)
+SELECT pattern, count(*) AS docs, min(doc_id) AS first FROM p JOIN documents ON contains(text, pattern) GROUP BY pattern""")
+def phrases_in_documents(spark, sf_dir):
+    """Words of parts' names and texts of pages' links, where they stand in documents."""
+    names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("pattern"))
+    links = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<a [^>]*>([^<]+)</a>"), F.lit(1))).alias("pattern"))
+    met = substrings.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", names.union(links).distinct(), "pattern")
+    return met.groupBy("pattern").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+
+
+KIND_RULES = [("cheap-purchase", "purchase", 0.0, 5.0), ("dear-purchase", "purchase", 95.0, 1e9), ("odd-error", "error", 90.0, 1e9), ("no-such-kind", "refund", 0.0, 1e9)]
+
+
+@query(f"SELECT rule, count(*) AS n FROM (VALUES {', '.join(map(str, KIND_RULES))}) r(rule, kind, low, high) JOIN events ON event_type = kind AND value >= low AND value < high GROUP BY rule")
+def findings_by_kind(spark, sf_dir):
+    """Rules that each visit one kind of event: kinds that no rule visits are not read."""
+    laid = layout.laid_out(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_type", scratch_path(spark, "events-by-kind"))
+    active = spark.createDataFrame(KIND_RULES, "rule string, kind string, low double, high double")
+    met = layout.visited(laid, "event_type", active, "kind").where("value >= low AND value < high")
+    return met.groupBy("rule").agg(F.count("*").alias("n"))
+
+
 # --- metrics ----------------------------------------------------------------------------------------
 
 
@@ -497,6 +542,35 @@ def taint_to_sink(spark, sf_dir):
     return graph.tainted_sinks(_edges(spark, sf_dir), _customers(spark, sf_dir, "c_nationkey = 2"), _customers(spark, sf_dir, "c_mktsegment = 'MACHINERY'"))
 
 
+def _trusted(rounds: int = 24) -> str:
+    """Rounds written out: SQL's recursion has no "all". More than the tables need."""
+    out = ["""line AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
+ord AS MATERIALIZED (SELECT o_orderkey AS o, o_custkey AS c FROM orders),
+near AS MATERIALIZED (SELECT s_suppkey AS s, c_custkey AS c FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9000),
+s0 AS MATERIALIZED (SELECT s_suppkey AS s FROM supplier WHERE s_acctbal > 9000)"""]
+    for i in range(rounds):
+        out.append(f"""o{i} AS MATERIALIZED (SELECT o FROM ord WHERE o NOT IN (SELECT o FROM line WHERE s NOT IN (SELECT s FROM s{i}))),
+c{i} AS MATERIALIZED (SELECT DISTINCT c FROM ord JOIN o{i} USING (o)), s{i + 1} AS MATERIALIZED (SELECT s FROM s0 UNION SELECT s FROM near JOIN c{i} USING (c))""")
+    last = rounds - 1
+    return "WITH " + ", ".join(out) + f" SELECT 'order' AS kind, o AS id FROM o{last} UNION ALL SELECT 'customer', c FROM c{last} UNION ALL SELECT 'supplier', s FROM s{rounds}"
+
+
+@query(_trusted())
+def trusted_orders(spark, sf_dir):
+    """An order is trusted if all its suppliers are, a customer if any of their orders is, and a supplier by its balance or
+    if any rich customer of its nation is: a graph of "all" and "any" with cycles."""
+    named = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    order, customer, supplier = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nodes = order.select(named("order", "o_orderkey").alias("node"), F.lit(True).alias("every"))
+    nodes = nodes.union(customer.select(named("customer", "c_custkey"), F.lit(False))).union(supplier.select(named("supplier", "s_suppkey"), F.lit(False)))
+    needs = table(spark, sf_dir, "lineitem").select(named("order", "l_orderkey").alias("node"), named("supplier", "l_suppkey").alias("needs"))
+    needs = needs.union(order.select(named("customer", "o_custkey"), named("order", "o_orderkey")))
+    near = supplier.join(customer.where("c_acctbal > 9000"), F.col("s_nationkey") == F.col("c_nationkey"))
+    needs = needs.union(near.select(named("supplier", "s_suppkey"), named("customer", "c_custkey")))
+    held = derive.derived(nodes, needs, supplier.where("s_acctbal > 9000").select(named("supplier", "s_suppkey").alias("node")))
+    return held.select(F.split_part("node", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("node", F.lit(":"), F.lit(2)).cast("long").alias("id"))
+
+
 # --- edits and scans --------------------------------------------------------------------------------
 
 
@@ -548,7 +622,7 @@ def listed_files(spark, sf_dir):
 
 @query(FOUND + """SELECT '{"files":' || (SELECT count(*) FROM documents) || ',"rules":3,"checks":4,"errors":' || count(*) FILTER (severity = 'error') || ',"warnings":' || count(*) FILTER (severity = 'warning') || '}' AS value FROM found""")
 def json_report_head(spark, sf_dir):
-    return report.json_head(diagnostics(spark, sf_dir), TEXT_RULES.table(spark), table(spark, sf_dir, "documents").count())
+    return report.json_head(diagnostics(spark, sf_dir), TEXT_RULES.table(spark), table(spark, sf_dir, "documents"))
 
 
 @query(FOUND + """SELECT '<tr class="' || severity || '"><td>' || severity || '</td><td>' || rule || '</td><td>' || file || '</td><td>1</td><td>1</td><td>' || message || '</td></tr>' AS value FROM found""")
