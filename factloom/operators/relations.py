@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def uncovered(items: DataFrame, uses: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items that no use refers to (unused exports, missing dependencies, missing cases)."""
@@ -34,10 +36,29 @@ def duplicates(rows: DataFrame, keys: Sequence[str], member: str, least: int = 2
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(member).alias("first")).where(F.col("n") >= least)
 
 
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``rank``, their place from 1 among those of their key (nulls are a key, and come first in an order).
+
+    For few keys of very many rows: rows are dealt by ranges of key and order, written, numbered within each range, and
+    moved on by what the key has in earlier ranges, which are a row for each key and range. A key of a third of all rows
+    is sorted in many tasks.
+    """
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    own = F.row_number().over(Window.partitionBy("range", *keys).orderBy(*order))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy("range", *keys).agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
+    counts = counts.select(F.col("range").alias("__range"), *[F.col(k).alias(f"__{k}") for k in keys], "before")
+    same = F.col("range") == F.col("__range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    numbered = dealt.withColumn("own", own).join(counts, same)
+    return numbered.select(*rows.columns, (F.col("own") + F.col("before")).cast("int").alias("rank"))
+
+
 def later_duplicates(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """All but the first row of each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("rank", rank).where("rank > 1")
+    """All but the first row of each key, with their rank."""
+    return ranked(rows, keys, order).where("rank > 1")
 
 
 def first_match(rows: DataFrame, known: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import dynamic
 from .functions import text as tx
 from .operators import derive, edits, graph, intervals, metrics, relations, similarity, substrings, trees
-from .plans import incremental, report, rules
+from .plans import incremental, packs, report, rules
 from .sources import files, layout
 from .sources.scratch import scratch_path, written
 from .streaming import windows
 
+#: Rule files that come with the library.
+PACKS = Path(__file__).parent / "packs"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -344,6 +348,28 @@ def streamed_sessions(spark, sf_dir):
     return given.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
 
 
+# --- rule packs, properties ---------------------------------------------------------------------------
+
+
+@query(r"""WITH f AS (SELECT page_id, 'inline-script' AS rule, unnest(regexp_extract_all(html, '<script>')) AS hit FROM pages
+UNION ALL SELECT page_id, 'image-without-text', unnest(list_filter(regexp_extract_all(html, '(?i)<img\b[^>]*>'), lambda x: NOT regexp_matches(x, '(?i)\salt\s*='))) FROM pages)
+SELECT rule, count(*) AS n, count(DISTINCT page_id) AS pages FROM f GROUP BY rule""")
+def pack_findings(spark, sf_dir):
+    """The rule files of a folder over pages, through a table function."""
+    rules_of = packs.pack(PACKS / "pages")
+    found = packs.checked(spark, rules_of, table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+@query("""SELECT event_type, count(*) AS n, count(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS typed, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS k,
+count(*) FILTER (json_extract(props, '$.none') IS NOT NULL) AS none FROM events GROUP BY event_type""")
+def typed_properties(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", dynamic.properties(F.col("props")).alias("v"))
+    k = dynamic.typed(F.col("v"), "$.k", "int")
+    counts = F.count("*").alias("n"), F.count(k).alias("typed"), F.sum(k).alias("k"), F.count(dynamic.typed(F.col("v"), "$.none", "string")).alias("none")
+    return events.groupBy("event_type").agg(*counts)
+
+
 # --- trees and intervals ----------------------------------------------------------------------------
 
 
