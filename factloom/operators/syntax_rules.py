@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import Facts
-from . import graph, relations
+from ..sources.scratch import written
+from . import graph, relations, trees
 from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, unreachable_code, with_parent
 
 # Fixed values of the rules.
@@ -52,10 +53,32 @@ def operator(*tokens: str) -> Column:
     return kind("BinaryExpression") & F.col("operator.kind").isin(*tokens)
 
 
+def structures(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(file, node_id, structure) of the (file, node_id) nodes ``roots``: equal if their subtrees are, kind by kind, in roles
+    and order, down to the texts of leaves. The source text of a node with parts of its own has no bearing, so blanks and
+    comments between parts make no difference, and those in a literal do. Of a leaf that is no literal blanks are folded."""
+    below = nodes.select("file", "node_id", F.explode("ancestors").alias("a")).select("file", "node_id", F.col("a.id").alias("root"))
+    inside = relations.covered(below, roots.withColumnRenamed("node_id", "root"), ["file", "root"]).select("file", "node_id")
+    some = relations.covered(nodes, inside.union(roots.select("file", "node_id")).distinct(), ["file", "node_id"])
+    parts = nodes.select("file", F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    literal = F.col("kind").rlike("Literal|Template|JsxText")
+    text = F.when(F.col("inner").isNull(), F.when(literal, F.col("text")).otherwise(F.trim(F.regexp_replace("text", r"\s+", " "))))
+    labelled = some.join(parts, ["file", "node_id"], "left").select(
+        "file", F.col("node_id").alias("node"), "depth", F.col("parent_id").alias("parent"), F.xxhash64("field", "ord").alias("place"),
+        *[F.xxhash64(F.lit(salt), "kind", text).alias(f"label_{salt}") for salt in (1, 2)])
+    hashed = trees.subtree_hashes(labelled, "file")
+    return hashed.select("file", F.col("node").alias("node_id"), F.struct("hash_1", "hash_2").alias("structure"))
+
+
 @CODE_RULES.rule("no-identical-binary-operands", "quality", "The same operand on both sides", needs=("nodes",))
 def no_identical_binary_operands(facts: Facts, options: dict) -> DataFrame:
     rows = with_children(facts["nodes"], "left", "operator", "right")
-    return each(rows, {"both sides are the same": operator(*SAME_OPERANDS) & F.col("left.kind").isin(*PURE) & (F.col("left.kind") == F.col("right.kind")) & (F.col("left.text") == F.col("right.text"))})
+    some = rows.where(operator(*SAME_OPERANDS) & F.col("left.kind").isin(*PURE) & (F.col("left.kind") == F.col("right.kind")))
+    side = lambda k: some.select("file", F.col(f"{k}.id").alias("node_id"))
+    of = written(structures(facts["nodes"], side("left").union(side("right"))), "structures")
+    named = lambda k: of.select("file", F.col("node_id").alias(k), F.col("structure").alias(f"{k}_structure"))
+    both = some.withColumns({"l": F.col("left.id"), "r": F.col("right.id")}).join(named("l"), ["file", "l"]).join(named("r"), ["file", "r"])
+    return found(both.where("l_structure = r_structure").select(*rows.columns), "both sides are the same")
 
 
 @CODE_RULES.rule("no-collection-size-mischeck", "quality", "Size checks that sizes of 0 or more settle", needs=("nodes",))
@@ -81,8 +104,9 @@ def jsx_no_useless_fragment(facts: Facts, options: dict) -> DataFrame:
 def no_all_duplicated_branches(facts: Facts, options: dict) -> DataFrame:
     """Branches of a chain hang under its first if, those of a switch under it; only with an else or a default is one always taken."""
     branches = facts["nodes"].where(F.col("field").isin("branch", "else"))
+    branches = branches.join(structures(facts["nodes"], branches.select("file", "node_id")), ["file", "node_id"])
     same = branches.groupBy("file", F.col("parent_id").alias("node_id")).agg(
-        F.count("*").alias("n"), F.count_distinct(F.regexp_replace("text", r"\s+", " ")).alias("bodies"), F.bool_or(F.col("field") == "else").alias("whole"), F.bool_or(F.trim("text") == "").alias("empty"))
+        F.count("*").alias("n"), F.count_distinct("structure").alias("bodies"), F.bool_or(F.col("field") == "else").alias("whole"), F.bool_or(F.trim("text") == "").alias("empty"))
     heads = same.where("n >= 2 AND bodies = 1 AND whole AND NOT empty")
     return found(relations.covered(facts["nodes"], heads, ["file", "node_id"]), "all branches are the same")
 
