@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready
+from ..operators.relations import ranked
+from .common import ready, scratch_path, written
 
 #: ASCII letters (A-Z as a-z) and all bytes of non-ASCII characters stay; the rest is a space.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -89,14 +92,46 @@ class LanguageFilter:
                 out[some, i] = np.add.reduceat(bit, starts[:-1][some], dtype=np.int64)
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        codes, starts = grams(texts)
+    def fair(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``counts`` without what false positives are expected to add."""
         n = np.diff(starts)[:, None]
-        fair = np.clip((self.counts(codes, starts) - self.rates * n) / (1 - self.rates), 0, None)
-        best = fair.argmax(axis=1)
-        score = np.clip(fair[np.arange(len(texts)), best] / np.maximum(n[:, 0], 1), 0, 1)
-        names = [self.languages[b] if has_letter(t) else "und" for b, t in zip(best, texts, strict=True)]
-        return names, np.where([x == "und" for x in names], 0.0, score)
+        return np.clip((self.counts(codes, starts) - self.rates * n) / (1 - self.rates), 0, None)
+
+
+class StoredFilters:
+    """Filters of groups of languages, in the order of their names, as files in the shared folder: read one at a time."""
+
+    def __init__(self, folder: str, count: int):
+        self.folder, self.count = folder, count
+
+    def write(self, number: int, model: LanguageFilter) -> None:
+        files, path = fs.FileSystem.from_uri(self.folder)
+        files.create_dir(path, recursive=True)
+        with files.open_output_stream(f"{path}/{number}") as out:
+            out.write(pickle.dumps(model))
+
+    def __iter__(self) -> Iterator[LanguageFilter]:
+        files, path = fs.FileSystem.from_uri(self.folder)
+        for number in range(self.count):
+            with files.open_input_stream(f"{path}/{number}") as held:
+                yield pickle.loads(held.read())
+
+
+def predict(filters: Iterable[LanguageFilter], texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each text: the first by name of those with the most n-grams, and their share."""
+    codes, starts = grams(texts)
+    most, names = np.full(len(texts), -1.0), ["und"] * len(texts)
+    for f in filters:
+        if f.languages:
+            fair = f.fair(codes, starts)
+            best = fair.argmax(axis=1)
+            own = fair[np.arange(len(texts)), best]
+            for i in np.flatnonzero(own > most):
+                names[i] = f.languages[best[i]]
+            most = np.maximum(most, own)
+    names = [x if has_letter(t) else "und" for x, t in zip(names, texts, strict=True)]
+    score = np.clip(most / np.maximum(np.diff(starts), 1), 0, 1)
+    return names, np.where([x == "und" for x in names], 0.0, score)
 
 
 def slices(column: pa.Array, most: int) -> Iterator[list[str]]:
@@ -112,17 +147,21 @@ def slices(column: pa.Array, most: int) -> Iterator[list[str]]:
         yield part
 
 
-def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, most_languages: int) -> tuple[list[str], DataFrame]:
-    """(languages by name, (lang, text) of about ``docs_per_language`` rows of each language, by a hash of the id)."""
+def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, most_languages: int) -> tuple[list[str] | DataFrame, DataFrame]:
+    """(languages by name, (lang, text) of about ``docs_per_language`` rows of each language, by a hash of the id). More than
+    ``most_languages`` languages stay a table (lang)."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"),
         ((F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))).alias("u"),
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counted.limit(most_languages + 1).collect()}
     if not sizes:
         return [], rows.select("lang", "text")
+    if len(sizes) > most_languages:
+        counted = written(counted, "languages")
+        some = rows.join(counted, "lang").where(F.col("u") <= F.lit(float(docs_per_language)) / F.col("n"))
+        return counted.select("lang"), some.select("lang", "text")
     share = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, docs_per_language / sizes[k]))])
     return sorted(sizes), rows.where(F.col("u") <= share[F.col("lang")]).select("lang", "text")
 
@@ -130,15 +169,16 @@ def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs
 def train(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     docs_per_language: int = 4_000, profile: int = 6_000, bits: int = 19, most_languages: int = 1_024,
-) -> LanguageFilter:
+) -> LanguageFilter | StoredFilters:
     """Fit on a bounded sample: about ``docs_per_language`` rows of each language, by a hash of the id.
 
     The sample's n-grams are counted on Spark; the ``profile`` most frequent ones of each language come to
-    the driver, at most ``most_languages * profile`` numbers. Ties in counts go to the smaller n-gram.
+    the driver, at most ``most_languages * profile`` numbers. Ties in counts go to the smaller n-gram. More languages
+    are fitted in groups of so many by name, one after the other, each a filter in the shared folder.
     """
     ready(labelled.sparkSession)
     languages, sample = sampled(labelled, id_col, text_col, lang_col, docs_per_language, most_languages)
-    if not languages:
+    if isinstance(languages, list) and not languages:
         return LanguageFilter.build([], {}, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +199,21 @@ def train(
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counted.withColumn("r", rank).where(F.col("r") <= profile).select("lang", "gram").toPandas()
-    return LanguageFilter.build(languages, {k: g["gram"].to_numpy().astype(np.uint32) for k, g in top.groupby("lang")}, bits)
+    top = counted.withColumn("r", rank).where(F.col("r") <= profile).select("lang", "gram")
+
+    def built(names: list[str], some: DataFrame) -> LanguageFilter:
+        return LanguageFilter.build(names, {k: g["gram"].to_numpy().astype(np.uint32) for k, g in some.toPandas().groupby("lang")}, bits)
+
+    if isinstance(languages, list):
+        return built(languages, top)
+    by_name = ranked(languages.withColumn("all", F.lit(0)), ["all"], ["lang"])
+    grouped = written(by_name.select("lang", ((F.col("rank") - 1) / most_languages).cast("int").alias("part")), "language-groups")
+    held = written(top.join(grouped, "lang"), "language-profiles")
+    model = StoredFilters(scratch_path(labelled.sparkSession, "language-filters"), -(-grouped.count() // most_languages))
+    for part in range(model.count):
+        names = sorted(r["lang"] for r in grouped.where(F.col("part") == part).select("lang").collect())  # most_languages at most
+        model.write(part, built(names, held.where(F.col("part") == part).select("lang", "gram")))
+    return model
 
 
 def most_likely(text_col: str = "text", width: float = 2.0):
@@ -170,11 +223,11 @@ def most_likely(text_col: str = "text", width: float = 2.0):
 
 
 def low_scores(
-    labelled: DataFrame, model: LanguageFilter, quantile: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    labelled: DataFrame, model: LanguageFilter | StoredFilters, quantile: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     docs_per_language: int = 4_000, most_languages: int = 1_024,
 ) -> dict[str, float]:
     """By language, the exact ``quantile`` of ``most_likely`` scores of ``train``'s sample: rows that are told to be in
-    their own language. A language without such rows is left out."""
+    their own language: one number a language. A language without such rows is left out."""
     _, sample = sampled(labelled, id_col, text_col, lang_col, docs_per_language, most_languages)
     told = identify(sample, model).where("lang = lang_pred")
     return {r["lang"]: r["low"] for r in told.groupBy("lang").agg(F.percentile(most_likely(), F.lit(quantile)).alias("low")).collect()}
@@ -185,7 +238,7 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", slice_chars: int = 1_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageFilter | StoredFilters, text_col: str = "text", slice_chars: int = 1_000_000) -> DataFrame:
     """``docs`` with lang_pred and score (share of the text's n-grams that the language holds) added.
 
     Every whole text is read. lang_pred is one of the model's languages, the first by name on a tie, or
@@ -202,10 +255,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", sli
             names: list[str] = []
             scores: list[np.ndarray] = [np.zeros(0)]
             for texts in slices(batch.column(at), slice_chars):
-                if sent.value.languages:
-                    some, score = sent.value.predict(texts)
-                else:
-                    some, score = ["und"] * len(texts), np.zeros(len(texts))
+                some, score = predict([sent.value] if isinstance(sent.value, LanguageFilter) else sent.value, texts)
                 names += some
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*batch.schema.names, "lang_pred", "score"])

@@ -555,6 +555,11 @@ def test_language_id_equals_a_plain_version(spark, profile, bits, cut):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, model, slice_chars=cut).collect()}
     want = plain_languages([(k, t) for k, t in zip(langs, texts, strict=False) if k], texts, profile, bits)
     assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in enumerate(want)}
+    many = langid.train(df, profile=profile, bits=bits, most_languages=3)  # four languages: in two groups
+    assert isinstance(many, langid.StoredFilters)
+    assert [f.languages for f in many] == [["aa", "xx", "yy"], ["zz"]]
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, many, slice_chars=cut).collect()} == got
+    assert langid.low_scores(df, many, 0.5, most_languages=3) == langid.low_scores(df, model, 0.5)
     assert [got[i][1] for i in range(len(texts))] == pytest.approx([v[1] for v in want], abs=1e-12)
 
 
