@@ -261,13 +261,13 @@ def duplicated_constants(spark, sf_dir):
     return relations.first_match(part.where("p_size < 5").select("p_partkey", "p_brand", "p_type"), part.where("p_size > 40"), ["p_brand", "p_type"], "p_partkey")
 
 
-@query("""WITH e AS (SELECT l_suppkey AS file, l_partkey AS symbol FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), u AS (SELECT DISTINCT l_partkey AS symbol, l_suppkey AS use_file FROM lineitem WHERE l_linenumber = 2),
+@query("""WITH e AS (SELECT l_suppkey AS file, l_partkey AS symbol FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL), u AS (SELECT DISTINCT l_partkey AS symbol, l_suppkey AS use_file FROM lineitem WHERE l_returnflag <> 'N'),
 d AS (SELECT s_suppkey AS file, CAST(s_nationkey AS BIGINT) AS use_file FROM supplier WHERE s_acctbal < 0)
 SELECT file AS def_file, symbol AS name, use_file FROM e JOIN u USING (symbol) WHERE file <> use_file UNION SELECT file, symbol, use_file FROM e JOIN d USING (file)""")
 def reference_index(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    exports = lines.where("l_linenumber = 1").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("symbol"), F.col("l_partkey").alias("name")).distinct()
-    uses = lines.where("l_linenumber = 2").select(F.col("l_partkey").alias("symbol"), F.col("l_suppkey").alias("use_file")).distinct()
+    exports = lines.where("l_returnflag = 'N'").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("symbol"), F.col("l_partkey").alias("name")).distinct()
+    uses = lines.where("l_returnflag <> 'N'").select(F.col("l_partkey").alias("symbol"), F.col("l_suppkey").alias("use_file")).distinct()
     dynamic = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("file"), F.col("s_nationkey").cast("long").alias("use_file"))
     return relations.references(exports, uses, dynamic)
 
@@ -637,13 +637,13 @@ def branch_files(spark, sf_dir):
     return files.branch(changes, docs.where("lang <> 'de'"), "doc_id")
 
 
-@query("""WITH f AS (SELECT page_id, regexp_replace(split_part(split_part(url, '?', 1), '//', 2), '\\.', '/') AS file FROM pages)
-SELECT DISTINCT file FROM f WHERE page_id % 7 = 0 OR (starts_with(file, 'www/') AND suffix(file, '.html') AND NOT regexp_matches(file, '/en/'))""")
+@query("""WITH f AS (SELECT url, regexp_replace(split_part(split_part(url, '?', 1), '//', 2), '\\.', '/') AS file FROM pages)
+SELECT DISTINCT file FROM f WHERE contains(url, '?') OR (starts_with(file, 'www/') AND suffix(file, '.html') AND NOT regexp_matches(file, '/en/'))""")
 def listed_files(spark, sf_dir):
     address = F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("//"), F.lit(2))
     host = F.substring_index(address, ".", 1)
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(host, F.lit("/"), F.substring(address, F.length(host) + 2, F.length(address))).alias("file"))
-    return files.listed(pages.select("file"), pages.where("page_id % 7 = 0"), ["www"], ["html"], ["en/"])
+    pages = table(spark, sf_dir, "pages").select("url", F.concat(host, F.lit("/"), F.substring(address, F.length(host) + 2, F.length(address))).alias("file"))
+    return files.listed(pages.select("file"), pages.where(F.col("url").contains("?")), ["www"], ["html"], ["en/"])
 
 
 @query(FOUND + """SELECT '{"files":' || (SELECT count(*) FROM documents) || ',"rules":3,"checks":4,"errors":' || count(*) FILTER (severity = 'error') || ',"warnings":' || count(*) FILTER (severity = 'warning') || '}' AS value FROM found""")
