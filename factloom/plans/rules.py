@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 CATEGORIES = ("quality", "security", "architecture", "performance")
 DIAGNOSTIC = "rule string, sub_check string, file string, line int, column int, message string"
 Facts = dict[str, DataFrame]
@@ -97,14 +99,22 @@ def severities(rules: DataFrame, overrides: DataFrame, groups: DataFrame, defaul
     return joined.withColumn("severity", F.coalesce("by_override", "meta_severity", "by_group", F.lit(default))).where("severity <> 'off'").select("rule", "severity")
 
 
-def without_disabled(found: DataFrame, overrides: DataFrame) -> DataFrame:
+def without_disabled(found: DataFrame, overrides: DataFrame, most_broadcast: int = 1_000) -> DataFrame:
     """Findings but those that an override with files switches off: the file's path contains one of its texts. An id is
-    a rule's, or rule:part for a part of it."""
+    a rule's, or rule:part for a part of it.
+
+    Up to ``most_broadcast`` texts, which are counted, are compared with each finding. More are looked for once in each
+    path, by a substring join, and findings meet what was found by equality."""
     off = overrides.where((F.col("severity") == "off") & F.col("files").isNotNull()).select(F.col("rule").alias("off_rule"), F.explode("files").alias("part"))
-    same = F.col("rule") == F.col("off_rule")
-    if "sub_check" in found.columns:
-        same |= F.concat_ws(":", "rule", "sub_check") == F.col("off_rule")
-    return found.join(off, same & F.col("file").contains(F.col("part")), "left_anti")
+    ids = [F.col("rule")] + ([F.concat_ws(":", "rule", "sub_check")] if "sub_check" in found.columns else [])
+    if off.limit(most_broadcast + 1).count() <= most_broadcast:
+        same = reduce(Column.__or__, [i == F.col("off_rule") for i in ids])
+        return found.join(F.broadcast(off), same & F.col("file").contains(F.col("part")), "left_anti")
+    from ..operators.substrings import containing  # the operators import this module
+
+    met = containing(found.select("file").distinct(), "file", "file", off, "part").withColumnsRenamed({"file": "off_file", "pattern": "part"})
+    switched = written(met.join(off, "part").select("off_file", "off_rule").distinct(), "disabled")
+    return reduce(lambda left, i: left.join(switched, (F.col("file") == F.col("off_file")) & (i == F.col("off_rule")), "left_anti"), ids, found)
 
 
 def disabled_parts(overrides: DataFrame, groups: DataFrame) -> DataFrame:

@@ -62,6 +62,17 @@ def test_file_override_is_a_part_of_the_path(spark):
     found = spark.createDataFrame([("r", "src/x/a.ts"), ("r", "src/y.ts"), ("q", "src/x/a.ts")], "rule string, file string")
     overrides = spark.createDataFrame([(0, "r", "off", ["x/"]), (1, "q", "warning", ["x/"])], "ord int, rule string, severity string, files array<string>")
     assert rows(rules.without_disabled(found, overrides)) == [("q", "src/x/a.ts"), ("r", "src/y.ts")]
+    by_index = rules.without_disabled(found, overrides, most_broadcast=0)
+    assert rows(by_index) == [("q", "src/x/a.ts"), ("r", "src/y.ts")]
+    assert "NestedLoop" not in by_index._jdf.queryExecution().toString()
+
+
+def test_many_file_overrides_of_rules_and_parts(spark):
+    found = spark.createDataFrame([("r", "p", "src/x/a.ts"), ("r", "q", "src/x/a.ts"), ("r", None, "src/x/a.ts"), ("s", "p", "src/y.ts"), ("r", "p", None)], "rule string, sub_check string, file string")
+    overrides = spark.createDataFrame([(0, "r:p", "off", ["x/", "zz"]), (1, "s", "off", ["y.ts"]), (2, "r", "off", None)], "ord int, rule string, severity string, files array<string>")
+    want = {("r", "q", "src/x/a.ts"), ("r", None, "src/x/a.ts"), ("r", "p", None)}
+    for most in (1_000, 0):
+        assert {tuple(r) for r in rules.without_disabled(found, overrides, most_broadcast=most).collect()} == want
 
 
 def test_scores_without_files(spark):
