@@ -9,15 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rules import Facts
-from . import graph, relations, similarity
+from ..sources.scratch import written
+from . import derive, graph, relations, similarity
 from .code_rules import CODE_RULES, FUNCTIONS, LOOPS, found, inside, with_parent
 from .syntax_rules import boolean_context, kind, operator, with_children
 
 # Type flags, as the public compiler interface has them.
 ANY, UNKNOWN, STRING, NUMBER, BOOLEAN, BIGINT = 1, 2, 4, 8, 16, 64
 STRING_LITERAL, NUMBER_LITERAL, BOOLEAN_LITERAL, BIGINT_LITERAL = 128, 256, 512, 2048
-UNDEFINED, NULL, OBJECT = 32768, 65536, 524288
+UNDEFINED, NULL, OBJECT, UNION, INTERSECTION = 32768, 65536, 524288, 1048576, 2097152
+ENUM_LITERAL, TEMPLATE_LITERAL = 1024, 134217728
 STRINGS, NUMBERS, BOOLEANS, BIGINTS = STRING | STRING_LITERAL, NUMBER | NUMBER_LITERAL, BOOLEAN | BOOLEAN_LITERAL, BIGINT | BIGINT_LITERAL
+#: Types that have a text of their own, and those whose equal values are the same.
+PLAIN_TEXT = STRINGS | NUMBERS | BOOLEANS | BIGINTS | UNDEFINED | NULL | ANY | UNKNOWN | ENUM_LITERAL | TEMPLATE_LITERAL
+SAME_BY_VALUE = STRINGS | NUMBERS | BOOLEANS | UNDEFINED | NULL
 PRIMITIVES = STRINGS | NUMBERS | BOOLEANS | BIGINTS | UNDEFINED | NULL
 
 # Fixed values of the rules.
@@ -53,6 +58,14 @@ def typed_nodes(facts: Facts) -> DataFrame:
     return facts["node_types"].join(whole, "type_id")
 
 
+def by_members(types: DataFrame, own: Column) -> DataFrame:
+    """(type_id) of the types for which ``own`` holds; of unions if it holds in this way for all members, and of
+    intersections if for any, members of members too. A type that could only have it from itself has it not."""
+    nodes = types.select(F.col("type_id").alias("node"), has("flags", UNION).alias("every"))
+    premises = types.where(has("flags", UNION | INTERSECTION)).select(F.col("type_id").alias("node"), F.explode("members").alias("needs"))
+    return derive.derived(nodes, premises, types.where(own).select(F.col("type_id").alias("node"))).select(F.col("node").alias("type_id"))
+
+
 def with_type(rows: DataFrame, typed: DataFrame, node: Column, name: str) -> DataFrame:
     """Rows with the type of a node in the same file, as a struct; null if it has none."""
     side = typed.select(F.col("file").alias("__f"), F.col("node_id").alias("__n"), F.struct("type_id", "flags", "is_thenable", "own_to_string").alias(name))
@@ -118,8 +131,13 @@ def restrict_template_expr(facts: Facts, options: dict) -> DataFrame:
 @CODE_RULES.rule("no-base-to-string", "quality", "Texts of objects that don't define one", needs=TYPED)
 def no_base_to_string(facts: Facts, options: dict) -> DataFrame:
     rows = operand_type(facts, ["left", "right", "expression"], operator("PlusToken") | (kind("PropertyAccessExpression") & F.col("text").endswith(".toString")))
-    bare = lambda role: F.coalesce(~F.col(f"{role}_type.own_to_string"), F.lit(False)) & has(f"{role}_type.flags", OBJECT)
-    return found(rows.where(bare("left") | bare("right") | (bare("expression") & (F.col("kind") != "BinaryExpression"))), "no text of its own")
+    texts = by_members(facts["types"], has("flags", PLAIN_TEXT) | F.coalesce("own_to_string", F.lit(False)))
+    texts = written(texts.select(F.col("type_id").alias("__t"), F.lit(True).alias("__text")), "types-with-text")
+    for role in ("left", "right", "expression"):
+        rows = rows.join(texts, F.col(f"{role}_type.type_id") == F.col("__t"), "left").withColumn(f"{role}_text", F.col("__text")).drop("__t", "__text")
+    bare = lambda role: F.col(f"{role}_text").isNull() & has(f"{role}_type.flags", OBJECT)
+    hit = rows.where(bare("left") | bare("right") | (bare("expression") & (F.col("kind") != "BinaryExpression")))
+    return found(hit.drop("left_text", "right_text", "expression_text"), "no text of its own")
 
 
 @CODE_RULES.rule("prefer-nullish-coalescing", "quality", "Defaults by || where ?? is meant", needs=TYPED)
@@ -179,7 +197,9 @@ def any_propagation(facts: Facts, options: dict) -> DataFrame:
 def cache_primitive_args(facts: Facts, options: dict) -> DataFrame:
     functions = first_argument(facts, facts["calls"].where("name = 'cache'")).select("file", F.col("argument").alias("parent_id"))
     parameters = relations.covered(facts["nodes"].where(kind("Parameter")), functions, ["file", "parent_id"])
-    return found(with_type(parameters, typed_nodes(facts), F.col("node_id"), "own").where(has("own.flags", OBJECT) & ~has("own.flags", PRIMITIVES)), "an object is never the same again")
+    same = by_members(facts["types"], has("flags", SAME_BY_VALUE | ANY)).withColumnRenamed("type_id", "__t")
+    typed = with_type(parameters, typed_nodes(facts), F.col("node_id"), "own").where("own IS NOT NULL")
+    return found(typed.join(same, F.col("own.type_id") == F.col("__t"), "left_anti"), "an object is never the same again")
 
 
 # --- symbols and calls ------------------------------------------------------------------------------
