@@ -101,7 +101,7 @@ def _round(met: DataFrame, centroids: np.ndarray, moved: np.ndarray, first: bool
 
 def cluster(
     rows: DataFrame, k: int = 8, rounds: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    dim: int = 64, scale: int = 1024, seed: int = 3, block_rows: int = 2_048,
+    dim: int = 64, scale: int = 1024, seed: int = 3, block_rows: int = 2_048, task_blocks: int = 256,
 ) -> DataFrame:
     """(id, cluster, distance, cluster_inertia, inertia, centroid) of every vector kept; other columns are left out.
 
@@ -111,8 +111,8 @@ def cluster(
     count each. With fewer than k vectors there are so many centroids; an empty table gives an empty result. Centroids
     that lose all vectors stay where they are. Components beyond 2**27 / scale raise an error.
 
-    Vectors are packed once, in blocks dealt out by number and kept with Spark's cache, which rebuilds lost parts from
-    the written table. A round meets them with the assignments and distances of the round before, a written table of
+    Vectors are packed once, in blocks dealt out by number, ``task_blocks`` to a task (fewer, where that makes fewer tasks
+    than a shuffle has), and kept with Spark's cache, which rebuilds lost parts from the written table. A round meets them with the assignments and distances of the round before, a written table of
     12 bytes a vector, compares only with centroids that moved (all, for vectors of those), and writes the new ones with
     a row of signed integer sums for each task and centroid that gained or lost. What reaches the driver are the k
     totals. Rounds end early once no centroid moves.
@@ -128,7 +128,8 @@ def cluster(
     centroids = quantised(np.array(start["v"].tolist(), dtype=np.float64), scale).astype(np.int64)
     k = len(centroids)
     blocks = _packed(source, dim, scale, block_rows)
-    vectors = blocks.select("block", "vectors").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").persist()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // task_blocks))
+    vectors = blocks.select("block", "vectors").repartition(tasks, "block").persist()
     sums, counts, moved = np.zeros_like(centroids), np.zeros(k, dtype=np.int64), np.full(k, True)
     state, place = None, None
     for step in range(rounds + 1):

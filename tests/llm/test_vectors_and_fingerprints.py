@@ -57,7 +57,7 @@ def brute_lloyd(table, k, rounds):
 def test_delta_lloyd(spark, k, rounds, block):
     table = hostile(np.random.default_rng(k), 200) + [(None, [0.5] * 64, None)]
     df = spark.createDataFrame(table, VECTORS).withColumn("cluster", F.lit("clash")).withColumn("block", F.lit(1)).repartition(3)
-    assert rows(lloyd.cluster(df, k=k, rounds=rounds, block_rows=block)) == brute_lloyd(table, k, rounds)
+    assert rows(lloyd.cluster(df, k=k, rounds=rounds, block_rows=block, task_blocks=block)) == brute_lloyd(table, k, rounds)
 
 
 def test_delta_lloyd_small_tables(spark):
