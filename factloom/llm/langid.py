@@ -185,7 +185,7 @@ def train(
         for batch in batches:
             langs = batch.column(0).to_pylist()
             done = 0
-            for texts in slices(batch.column(1), 2_000_000):
+            for texts in slices(batch.column(1), 500_000):
                 codes, starts = grams(texts)
                 owner = np.repeat(np.arange(len(texts)), np.diff(starts))
                 names = pd.Categorical(langs[done : done + len(texts)])
@@ -238,7 +238,7 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def identify(docs: DataFrame, model: LanguageFilter | StoredFilters, text_col: str = "text", slice_chars: int = 1_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageFilter | StoredFilters, text_col: str = "text", slice_chars: int = 250_000) -> DataFrame:
     """``docs`` with lang_pred and score (share of the text's n-grams that the language holds) added.
 
     Every whole text is read. lang_pred is one of the model's languages, the first by name on a tie, or
