@@ -217,6 +217,33 @@ def test_hard_negatives_of_odd_tables(spark):
     assert rows(negatives.hard_negatives(zero, F.col("vec_id") == 0)) == [(0, 1, 1, 2, 0, 0)]  # 0 <= 0 <= 0
 
 
+def test_blocks_are_dealt_once(spark, monkeypatch):
+    table = hostile(np.random.default_rng(10), 400)
+    kind = type(spark.range(0))
+    fed, own = [], kind.mapInArrow
+
+    def mapped(self, f, schema, *more):
+        if schema == negatives.FOUND:
+            fed.append(self.count())
+        return own(self, f, schema, *more)
+
+    monkeypatch.setattr(kind, "mapInArrow", mapped)
+    got = negatives.hard_negatives(spark.createDataFrame(table, VECTORS), F.col("vec_id") % 5 == 0, block_rows=5, group_rows=4, pivot_rows=100)
+    assert rows(got) == brute_negatives(table, 5)
+    assert len(fed) == 4 and max(fed) < 200  # 80 blocks at least, 20 groups at least: over 1,600 pairs
+
+
+@pytest.mark.parametrize("high", [1, 40])  # scores of whole numbers in floats and in doubles
+def test_hard_negatives_of_copies(spark, high):
+    rng = np.random.default_rng(11)
+    some = rng.normal(size=(6, 64)).astype(np.float32) * high
+    table = [(int(i), some[rng.integers(6)].tolist(), int(i) % 3) for i in rng.permutation(900)]
+    table += [(i, some[i % 6].tolist(), 0) for i in (0, 30) for _ in range(8)]  # ids that are repeated
+    table += [(900 + i, (some[i % 6] * rng.uniform(0.5, 0.94)).astype(np.float32).tolist(), i % 3) for i in range(90)]
+    got = negatives.hard_negatives(spark.createDataFrame(table, VECTORS), F.col("vec_id") % 30 == 0, block_rows=50, group_rows=8, pivot_rows=200, part_rows=300)
+    assert rows(got) == brute_negatives(table, 30)
+
+
 def test_hard_negatives_equal_their_sql(spark, tmp_path):
     spark.createDataFrame(hostile(np.random.default_rng(2), 200), VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
     back = spark.read.parquet(f"{tmp_path}/embeddings.parquet").where("size(embedding) = 64")
