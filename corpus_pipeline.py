@@ -15,17 +15,18 @@ from factloom.llm.common import remove, scratch, scratch_path, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents are in none of the learned languages if they score, with a margin that shrinks with their length
-#: (``langid.most_likely``), under SHARE of what all but the lowest LOW of the training rows of the predicted language
+#: (``langid.most_likely``), under SHARE of what all but the lowest LOW of all training rows of the predicted language
 #: reach. The rest of SHARE is for numbers, keys and rare words.
 LOW, SHARE = 0.01, 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters or in no known language go."""
+    """Documents in a learned language; those without letters or in no known language go. Profiles and scores are counted
+    over every training row (those that op9's fold doesn't hold out), without a sample."""
     labelled = docs.where(~langid.held_out())
-    model = langid.train(labelled)
+    model = langid.train(labelled, docs_per_language=None)
     told = langid.identify(docs, model)
-    low = langid.low_scores(labelled, model, LOW)
+    low = langid.low_scores(labelled, model, LOW, docs_per_language=None)
     share = F.create_map(*[F.lit(x) for k in sorted(low) for x in (k, SHARE * low[k])])[F.col("lang_pred")] if low else F.lit(None)
     return told.where((F.col("lang_pred") != "und") & (langid.most_likely() >= F.coalesce(share, F.lit(0.0)))).select(*COLUMNS)
 

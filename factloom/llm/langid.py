@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -147,9 +146,9 @@ def slices(column: pa.Array, most: int) -> Iterator[list[str]]:
         yield part
 
 
-def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, most_languages: int) -> tuple[list[str] | DataFrame, DataFrame]:
-    """(languages by name, (lang, text) of about ``docs_per_language`` rows of each language, by a hash of the id). More than
-    ``most_languages`` languages stay a table (lang)."""
+def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int | None, most_languages: int) -> tuple[list[str] | DataFrame, DataFrame]:
+    """(languages by name, (lang, text) of about ``docs_per_language`` rows of each language, by a hash of the id; of all
+    rows, if that is None). More than ``most_languages`` languages stay a table (lang)."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"),
         ((F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))).alias("u"),
@@ -160,19 +159,23 @@ def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs
         return [], rows.select("lang", "text")
     if len(sizes) > most_languages:
         counted = written(counted, "languages")
+        if docs_per_language is None:
+            return counted.select("lang"), rows.select("lang", "text")
         some = rows.join(counted, "lang").where(F.col("u") <= F.lit(float(docs_per_language)) / F.col("n"))
         return counted.select("lang"), some.select("lang", "text")
+    if docs_per_language is None:
+        return sorted(sizes), rows.select("lang", "text")
     share = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, docs_per_language / sizes[k]))])
     return sorted(sizes), rows.where(F.col("u") <= share[F.col("lang")]).select("lang", "text")
 
 
 def train(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_language: int = 4_000, profile: int = 6_000, bits: int = 19, most_languages: int = 1_024,
+    docs_per_language: int | None = 4_000, profile: int = 6_000, bits: int = 19, most_languages: int = 1_024,
 ) -> LanguageFilter | StoredFilters:
-    """Fit on a bounded sample: about ``docs_per_language`` rows of each language, by a hash of the id.
+    """Fit on a bounded sample: about ``docs_per_language`` rows of each language, by a hash of the id; None: on all rows.
 
-    The sample's n-grams are counted on Spark; the ``profile`` most frequent ones of each language come to
+    Their n-grams are counted on Spark; the ``profile`` most frequent ones of each language come to
     the driver, at most ``most_languages * profile`` numbers. Ties in counts go to the smaller n-gram. More languages
     are fitted in groups of so many by name, one after the other, each a filter in the shared folder.
     """
@@ -182,20 +185,33 @@ def train(
         return LanguageFilter.build([], {}, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}  # this task's languages
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+        def told(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            langs = np.array(list(names), dtype=object)[(keys >> np.uint64(32)).astype(int)]
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            langs = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], dtype=np.uint64) << np.uint64(32)
             done = 0
-            for texts in slices(batch.column(1), 500_000):
+            for texts in slices(batch.column(1), 250_000):
                 codes, starts = grams(texts)
-                owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-                names = pd.Categorical(langs[done : done + len(texts)])
-                key = names.codes.astype(np.uint64)[owner] << np.uint64(32) | codes
-                keys, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(names.categories, dtype=object)[(keys >> np.uint64(32)).astype(int)], pa.string()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["lang", "gram", "n"],
-                )
-                done += len(texts)
+                parts.append(np.unique(np.repeat(langs[done : done + len(texts)], np.diff(starts)) | codes, return_counts=True))
+                done, held = done + len(texts), held + len(parts[-1][0])
+                if held > 500_000:
+                    parts = [summed()]
+                    held = len(parts[0][0])
+                if held > 250_000:  # few of them repeat
+                    yield told(*summed())
+                    parts, held = [], 0
+        if parts:
+            yield told(*summed())
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -224,13 +240,25 @@ def most_likely(text_col: str = "text", width: float = 2.0):
 
 def low_scores(
     labelled: DataFrame, model: LanguageFilter | StoredFilters, quantile: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_language: int = 4_000, most_languages: int = 1_024,
+    docs_per_language: int | None = 4_000, most_languages: int = 1_024, bins: int = 1 << 16,
 ) -> dict[str, float]:
-    """By language, the exact ``quantile`` of ``most_likely`` scores of ``train``'s sample: rows that are told to be in
-    their own language: one number a language. A language without such rows is left out."""
+    """By language, the exact ``quantile`` of ``most_likely`` scores of ``train``'s rows: those that are told to be in
+    their own language: one number a language. A language without such rows is left out. Between two scores it lies as
+    SQL's percentile does.
+
+    Equal scores are counted first; sums by bins of 1 / ``bins`` tell in which one or two bins the quantile is, and only
+    these are put in order."""
     _, sample = sampled(labelled, id_col, text_col, lang_col, docs_per_language, most_languages)
-    told = identify(sample, model).where("lang = lang_pred")
-    return {r["lang"]: r["low"] for r in told.groupBy("lang").agg(F.percentile(most_likely(), F.lit(quantile)).alias("low")).collect()}
+    told = identify(sample, model).where("lang = lang_pred").select("lang", most_likely().alias("x"))
+    counted = written(told.groupBy("lang", "x").agg(F.count("*").alias("n")), "language-scores").withColumn("bin", F.floor(F.col("x") * bins))
+    own = Window.partitionBy("lang")
+    sums = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(own.orderBy("bin")))
+    sums = sums.withColumn("at", F.lit(quantile) * (F.sum("n").over(own) - 1)).withColumn("before", F.col("upto") - F.col("n"))
+    near = sums.where((F.col("before") <= F.ceil("at")) & (F.col("upto") > F.floor("at"))).select("lang", "bin", "before", "at")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("lang", "bin").orderBy("x"))
+    first = lambda place: F.min(F.when(F.col("reached") > place, F.col("x")))
+    ends = counted.join(near, ["lang", "bin"]).withColumn("reached", upto).groupBy("lang", "at").agg(first(F.floor("at")).alias("low"), first(F.ceil("at")).alias("high"))
+    return {r["lang"]: r["low"] + (r["at"] % 1) * (r["high"] - r["low"]) for r in ends.collect()}
 
 
 def held_out(id_col: str = "doc_id"):

@@ -2,9 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
 from test_operators import DOCS, brute_components, brute_items, brute_lines, speech
 
 import corpus_pipeline
+from factloom.llm import langid
 
 
 def test_stages(spark, tmp_path):
@@ -83,6 +86,32 @@ def test_language_stage_drops_unlearned_languages(spark):
     assert kept == set(range(401)), [texts[i][:30] for i in kept if i > 400]
 
 
+def test_language_stage_learns_from_all_rows(spark):
+    rng = random.Random(14)
+    usual, rest, other = (["".join(rng.choices(letters, k=6)) for _ in range(40)] for letters in ("abcdef", "ghijkl", "mnopqr"))
+    # over 4,000 training rows of xx; those that a sample by a hash of the id would leave out have words of their own
+    u = F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    marks = spark.range(6300).select("id", langid.held_out("id").alias("held"), u.alias("u")).collect()
+    share = 4000 / sum(not r["held"] for r in marks if r["id"] < 6000)
+    texts = [" ".join(rng.choices(other if r["id"] >= 6000 else rest if r["u"] > share and not r["held"] else usual, k=12)) for r in marks]
+    table = spark.createDataFrame([(i, t, "xx" if i < 6000 else "yy", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert sum(t.split()[0] in rest for t in texts) > 300
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, table, "").collect()} == set(range(6300))
+
+
+def test_low_scores_are_exact(spark):
+    rng = random.Random(15)
+    texts = [" ".join(rng.choices(VOCABULARY["en" if i % 3 else "de"].split(), k=rng.randrange(3, 40))) + " qx" * rng.randrange(9) for i in range(300)]
+    texts += texts[:40] * 2
+    table = spark.createDataFrame([(i, t, "de" if t in texts[:300:3] else "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    model = langid.train(table, profile=200)
+    told = langid.identify(table, model).where("lang = lang_pred")
+    for q in (0.0, 0.01, 0.37, 1.0):
+        exact = {r["lang"]: r["p"] for r in told.groupBy("lang").agg(F.percentile(langid.most_likely(), F.lit(q)).alias("p")).collect()}
+        for bins in (1, 50, 1 << 16):
+            assert langid.low_scores(table, model, q, docs_per_language=None, bins=bins) == pytest.approx(exact, rel=1e-12)
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     rng = random.Random(13)
     a, b, c, d, e = (speech(rng, "xx", 60) for _ in range(5))
