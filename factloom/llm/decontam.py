@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, scratch_path
+from .common import lean, ready, scratch_path
 
 WORD = re.compile(rb"[^ ]+")
 #: Digits, letters and all bytes of non-ASCII characters stay (A-Z as a-z); the rest separates words.
@@ -197,7 +197,7 @@ def find_items(
     kept = docs.drop(*ADDED.names)
     text_at = kept.columns.index(text_col)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,end:long>>"])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, remove, scratch_path, written
+from .common import lean, ready, remove, scratch_path, written
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -122,9 +122,12 @@ def _sets(docs: DataFrame, n: int, chunk: int = 2_000_000, common: int = 8) -> D
         held = 0
 
         def frequent() -> pa.RecordBatch:
-            flat = np.sort(np.concatenate([*here.values(), np.zeros(0, np.uint64)]))
-            keys, times = np.unique(flat, return_counts=True)
-            keys, times = keys[times >= common], times[times >= common]
+            flat = np.concatenate([*here.values(), np.zeros(0, np.uint64)])
+            here.clear()
+            flat.sort()  # in place: the sets are the most that a task holds
+            starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+            times = np.diff(np.append(starts, len(flat)))
+            keys, times = flat[starts[times >= common]], times[times >= common]
             none = pa.nulls(len(keys), pa.int64())
             return pa.RecordBatch.from_arrays([none] * (4 + SKETCH) + [pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
@@ -143,12 +146,11 @@ def _sets(docs: DataFrame, n: int, chunk: int = 2_000_000, common: int = 8) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *map(pa.array, columns), none, none], names=names)
                 if held >= chunk:
                     yield frequent()
-                    here.clear()
                     held = 0
         if here:
             yield frequent()
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(lean(run), SETS)
 
 
 class Order:
@@ -208,7 +210,7 @@ def _prefixes(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                     names=["gram", "c1", "pos", "n"],
                 )
 
-    return docs.mapInArrow(run, "gram long, c1 long, pos int, n int")
+    return docs.mapInArrow(lean(run), "gram long, c1 long, pos int, n int")
 
 
 def _possible(percent: int, x: str, y: str, sketches: bool = True) -> Column:
@@ -241,7 +243,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, order, n: int, cuts: int, fir
                         rows.append({"rep": batch.column(0)[at + i].as_py(), "c1": c1, "fragment": int(f), "n": len(keys), "inside": inside, "grams": keys[part == f].view(np.int64)})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("rep", pa.int64()), ("c1", pa.int64()), ("fragment", pa.int32()), ("n", pa.int64()), ("inside", pa.int64()), ("grams", pa.list_(pa.int64()))]))
 
-    made = docs.join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(run, "rep long, c1 long, fragment int, n long, inside long, grams array<long>")
+    made = docs.join(ids, "doc", "left_semi").select("doc", "text").mapInArrow(lean(run), "rep long, c1 long, fragment int, n long, inside long, grams array<long>")
     # a repeated id may bring other texts, or the same one again
     return made.join(_few(wanted, broadcast_rows), ["rep", "c1"]).groupBy("node", "fragment").agg(*[F.first(c).alias(c) for c in ("n", "inside", "grams")])
 

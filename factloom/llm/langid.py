@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relations import ranked
-from .common import ready, scratch_path, written
+from .common import lean, ready, scratch_path, written
 
 #: ASCII letters (A-Z as a-z) and all bytes of non-ASCII characters stay; the rest is a space.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -194,8 +194,8 @@ def train(
             return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
         def told(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            langs = np.array(list(names), dtype=object)[(keys >> np.uint64(32)).astype(int)]
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            langs = pa.array(list(names), pa.string()).take(pa.array((keys >> np.uint64(32)).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([langs, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
         for batch in batches:
             langs = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], dtype=np.uint64) << np.uint64(32)
@@ -213,7 +213,7 @@ def train(
         if parts:
             yield told(*summed())
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("r", rank).where(F.col("r") <= profile).select("lang", "gram")
 
@@ -288,4 +288,4 @@ def identify(docs: DataFrame, model: LanguageFilter | StoredFilters, text_col: s
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"]))
+    return kept.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"]))

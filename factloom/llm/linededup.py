@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, remove, scratch_path, settings, written
+from .common import lean, ready, remove, scratch_path, settings, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -44,7 +44,7 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
             h = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pc.take(batch.column(0), pa.array(owners, pa.int64()))], names=["h1", "h2", "doc"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc long")
+    return docs.mapInArrow(lean(run), "h1 long, h2 long, doc long")
 
 
 class LineRuns:
@@ -174,4 +174,4 @@ def dedup_lines(
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*batch.schema.names[:last], "n_lines", "n_dropped"])
 
     schema = ", ".join([*(f"`{f.name}` {'string' if k == at else f.dataType.simpleString()}" for k, f in enumerate(kept.schema)), "n_lines long, n_dropped long"])
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(lean(run), schema)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -10,6 +11,7 @@ from .common import written
 BLANK = " \t\n\x0b\x0c\r"
 #: Hash of a document: 60 bits, as the first 15 hex digits of md5; levels read 12 bits each.
 BITS, STEP = 60, 12
+KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 
 
 def word_count(text: Column) -> Column:
@@ -43,7 +45,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int, most_source
             break
         capped |= over
     out = [(r["source"], s, float(most * s) if i in capped else (w * left / free if free else 0.0)) for i, (r, s, w) in enumerate(zip(rows, sizes, weight, strict=True))]
-    return sources.sparkSession.createDataFrame(out, "source string, source_size long, target double")
+    return _few_rows(sources.sparkSession, out, "source string, source_size long, target double")
+
+
+def _few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """The driver's rows as a local table: by Arrow, since from plain rows Spark makes one in Python workers of a kind of their own."""
+    fields = [x.split() for x in schema.split(", ")]
+    columns = [pa.array([r[k] for r in rows], KINDS[kind]) for k, (_, kind) in enumerate(fields)]
+    return spark.createDataFrame(pa.table(columns, names=[name for name, _ in fields]))
 
 
 def _targets_as_table(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -135,4 +144,4 @@ def _refine(rows: DataFrame, state: DataFrame, shift: int, few: bool) -> DataFra
     )
     if not few:
         return written(done, "mix-thresholds")
-    return spark.createDataFrame(done.collect(), "source string, budget double, threshold long, below long")  # one row a source
+    return _few_rows(spark, done.collect(), "source string, budget double, threshold long, below long")  # one row a source
