@@ -113,3 +113,20 @@ def test_next_match(spark):
     want = {i: min((a for q, _, a, h in rows if q == k and h and a > at), default=None) for k, i, at, _ in rows}
     for width in (1, 10, 1000):
         assert {r["id"]: r["next_at"] for r in intervals.next_match(df, ["k"], "at", F.col("hit"), width).collect()} == want
+
+
+def test_points_of_every_width_are_not_broadcast(spark, tmp_path):
+    """Small files, so Spark would take the points for small, though each stands there once a width."""
+    spark.range(2_000).selectExpr("id % 5 AS k", "id", "id AS at").write.parquet(f"{tmp_path}/points")
+    spark.range(500).selectExpr("id % 5 AS k", "id AS span", "id * 4 AS a", "id * 4 + 2 + (1L << (id % 20)) AS b").write.parquet(f"{tmp_path}/spans")
+    got = intervals.contained(spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/spans"), ["k"], "at", "a", "b")
+    assert got.count() > 500
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intervals_of_nearly_all_longs(spark):
+    points = [(1, -(1 << 61)), (1, -1), (1, 0), (1, 1 << 61), (1, (1 << 62) - 1)]
+    spans = [(1, -(1 << 61) - 1, 1 << 61), (1, -(1 << 62), (1 << 62) - 1), (1, 0, (1 << 62))]
+    p, s = spark.createDataFrame(points, "k int, at long"), spark.createDataFrame(spans, "k int, a long, b long")
+    got = intervals.contained(p, s, ["k"], "at", "a", "b")
+    assert sorted((r["at"], r["a"], r["b"]) for r in got.collect()) == sorted((at, a, b) for _, at in points for _, a, b in spans if a < at < b)
