@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from factloom import queries
 from factloom.operators import intervals, trees
 
 
@@ -130,3 +131,11 @@ def test_intervals_of_nearly_all_longs(spark):
     p, s = spark.createDataFrame(points, "k int, at long"), spark.createDataFrame(spans, "k int, a long, b long")
     got = intervals.contained(p, s, ["k"], "at", "a", "b")
     assert sorted((r["at"], r["a"], r["b"]) for r in got.collect()) == sorted((at, a, b) for _, at in points for _, a, b in spans if a < at < b)
+
+
+def test_orders_by_width_are_not_broadcast(spark):
+    got = queries.orders_in_ship_windows(spark, "/root/testdata/sf0.001")
+    assert got.count() > 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [o_custkey" in plan
+    assert "BroadcastHashJoin [o_custkey" not in plan
